@@ -16,22 +16,23 @@ from tabwise.operators import filters as flt
 from tabwise.operators import search as srch
 from tabwise.operators.models import TrainedModel
 from tabwise.plans import durations
+from tabwise.plans.specs import DatasetConfig
 
 ERROR = "prediction_error"
 
 
 def features_as_of(
-    model: TrainedModel, observations: DataFrame, as_of=None, layout: lay.Layout | None = None
+    config: DatasetConfig, fitted: features.FittedFeatures | None, observations: DataFrame, as_of=None,
+    layout: lay.Layout | None = None,
 ) -> DataFrame:
     """Feature rows at every entity's last observation at or before one time (default: the latest).
 
     Only rows inside the longest window before that observation are windowed, so the shuffle carries
     the recent history, not the table.
     """
-    config, spec = model.config, model.config.dataset
-    rows = observations
+    spec, rows = config.dataset, observations
     if not spec.temporal:
-        return features.build_features(rows, spec, config.features, model.fitted)[0]
+        return features.build_features(rows, spec, config.features, fitted)[0]
     if as_of is not None:
         bound = F.lit(as_of).cast("timestamp").cast(rows.schema[spec.time_key].dataType)
         rows = rows.where(F.col(spec.time_key) <= bound)
@@ -45,7 +46,7 @@ def features_as_of(
         rows = rows.join(ends, F.col(spec.entity_key).eqNullSafe(F.col("__e")), "inner").where(
             scalars.micros(spec.time_key) > F.col("__end") - F.lit(span)
         ).drop("__e", "__end")
-    built, _ = features.build_features(rows, spec, config.features, model.fitted, layout=layout)
+    built, _ = features.build_features(rows, spec, config.features, fitted, layout=layout)
     return joins.latest_per_entity(built, spec.entity_key, spec.time_key)
 
 
@@ -54,7 +55,7 @@ def score_as_of(
 ) -> DataFrame:
     """One prediction per entity as of one time."""
     keys = model.config.dataset.keys
-    scored = model.transform(features_as_of(model, observations, as_of, layout))
+    scored = model.transform(features_as_of(model.config, model.fitted, observations, as_of, layout))
     return scored.select(*keys, *_outputs(model))
 
 

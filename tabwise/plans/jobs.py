@@ -177,7 +177,9 @@ class Workspace:
             keyed = scoring.with_placeholder_keys(records, spec)
             rows, _ = features.build_features(keyed, spec, model.config.features, model.fitted)
         else:
-            rows = scoring.features_as_of(model, self.table(spec.dataset_id), as_of)
+            rows = scoring.features_as_of(
+                model.config, model.fitted, self.table(spec.dataset_id), as_of
+            )
         keys = [k for k in spec.keys if k in rows.columns]
         impacts = explain.attribution(rows, model, keys)
         return explain.top_drivers(explain.group_onehot(impacts, keys).drop("categories"), keys, top_k)
