@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tabwise.operators import encoding
 from tabwise.operators import explain as ops
-from tabwise.queries.registry import register, rounded, table
+from tabwise.queries.registry import register, rounded, steady, table
 
 # The model of these queries. The means are those of the table itself.
 COEFFICIENTS = {"lines_current": 1.5, "quantity_current": -0.02, "discount_current": 30.0}
@@ -48,7 +48,7 @@ def linear_attribution(spark, folder):
         SELECT *, 'negative', n FROM r WHERE round(impact, 9) < 0 UNION ALL
         SELECT *, 'absolute', a FROM r) WHERE pos <= 2""")
 def top_drivers(spark, folder):
-    rows = impacts(spark, folder).withColumn("impact", F.round("impact", 9))
+    rows = impacts(spark, folder).withColumn("impact", steady("impact", 9))
     return rounded(ops.top_drivers(rows, ["l_orderkey"], 2).drop("value"))
 
 

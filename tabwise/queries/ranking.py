@@ -9,7 +9,7 @@ from tabwise.operators.search import Sort
 from tabwise.plans import durations
 from tabwise.plans.specs import DatasetConfig
 from tabwise.queries.analysis import flat
-from tabwise.queries.registry import register, rounded, table
+from tabwise.queries.registry import register, rounded, steady, table
 
 # Labelled documents; the score is a formula of the length, rounded so that scores tie.
 SCORED_SQL = """s AS (SELECT doc_id, quality AS y, round(n_chars / (n_chars + 1500.0), 2) AS p
@@ -26,7 +26,7 @@ CURVE_SQL = TABLE_SQL + """,
 
 def scored_documents(spark, folder):
     n = F.col("n_chars")
-    docs = table(spark, folder, "documents").select("doc_id", F.round(n / (n + 1500.0), 2).alias("p"))
+    docs = table(spark, folder, "documents").select("doc_id", steady(n / (n + 1500.0), 2).alias("p"))
     return table(spark, folder, "labels").select("doc_id", F.col("quality").alias("y")).join(docs, "doc_id")
 
 
@@ -94,7 +94,7 @@ def predicted_orders(spark, folder):
 def metrics_regression(spark, folder):
     measured = ops.evaluate_regression(predicted_orders(spark, folder), "y", "p")
     money = ["mae", "rmse", "mape", "median_abs_error", "p95_abs_error", "max_error", "mean_prediction_error"]
-    return measured.select("n", F.round("r2", 4).alias("r2"), *[F.round(c, 2).alias(c) for c in money])
+    return measured.select("n", steady("r2", 4).alias("r2"), *[steady(c, 2).alias(c) for c in money])
 
 
 @register("baseline", f"""
@@ -106,7 +106,7 @@ def baseline(spark, folder):
     """Constant predictor: the mean of finished orders."""
     mean = table(spark, folder, "orders").where(F.col("o_orderstatus") == "F").agg(F.avg("o_totalprice")).first()[0]
     found = ops.evaluate_regression(predicted_orders(spark, folder), "y", "p", mean)
-    return found.select(*[F.round(f"baseline_{c}", 4 if c == "r2" else 2).alias(f"baseline_{c}")
+    return found.select(*[steady(f"baseline_{c}", 4 if c == "r2" else 2).alias(f"baseline_{c}")
                           for c in ("value", "mae", "rmse", "r2")])
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabwise.functions.scalars import as_column
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,13 +22,14 @@ class Registered:
 REGISTRY: dict[str, Registered] = {}
 
 
-# Sums run in a different order in every engine, so a mean of cents can fall on either side of a rounding
-# tie. Both sides therefore drop the last digits of a double first and round for display second.
-NOISE_DIGITS = 9
+# A mean of cents can sit exactly on a rounding tie, which engines resolve differently (and sums run in a
+# different order in each). Both sides add the same tiny amount first, so no value sits on a tie.
+def nudge(digits: int) -> float:
+    return 10.0 ** -(digits + 3)
 
 
 def steady_rounds(sql: str) -> str:
-    """Turn every ``round(x, n)`` of a statement into ``round(round(x, 9), n)``."""
+    """Turn every ``round(x, n)`` of a statement into ``round(x + nudge, n)``."""
     out, rest = "", sql
     while (start := rest.find("round(")) >= 0:
         depth, end, comma = 0, start + 6, -1
@@ -34,8 +37,8 @@ def steady_rounds(sql: str) -> str:
             depth += {"(": 1, ")": -1}.get(rest[end], 0)
             comma = end if rest[end] == "," and depth == 0 else comma
             end += 1
-        inner, digits = rest[start + 6:comma], rest[comma + 1:end]
-        out += rest[:start] + f"round(round({steady_rounds(inner)}, {NOISE_DIGITS}),{digits})"
+        inner, digits = rest[start + 6:comma], int(rest[comma + 1:end])
+        out += rest[:start] + f"round(({steady_rounds(inner)}) + {nudge(digits):.0e}, {digits})"
         rest = rest[end + 1:]
     return out + rest
 
@@ -55,8 +58,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def steady(column: str | Column, digits: int) -> Column:
+    return F.round(as_column(column).cast("double") + F.lit(nudge(digits)), digits)
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded for comparison across engines."""
     return df.select(*[
-        F.round(F.round(c, NOISE_DIGITS), digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes
+        steady(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes
     ])

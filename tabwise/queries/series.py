@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabwise.operators import series as ops
-from tabwise.queries.registry import register, rounded, table
+from tabwise.queries.registry import register, rounded, steady, table
 
 DAILY_SQL = """d AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, round(sum(value), 2) AS amount,
                      count(*) AS n, count(*) FILTER (event_type = 'error') AS errors,
@@ -17,7 +17,7 @@ def daily(spark, folder):
     return table(spark, folder, "events").groupBy(
         "user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
     ).agg(
-        F.round(F.sum("value"), 2).alias("amount"), F.count(F.lit(1)).alias("n"), errors.alias("errors"),
+        steady(F.sum("value"), 2).alias("amount"), F.count(F.lit(1)).alias("n"), errors.alias("errors"),
         F.when(errors > 1, F.lit("Constrained")).otherwise(F.lit("None")).alias("state"),
     )
 
@@ -86,7 +86,7 @@ def coverage(spark, folder):
     sums = table(spark, folder, "orders").groupBy("o_custkey").agg(
         F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("n")
     )
-    return sums.select("o_custkey", ops.coverage("total", F.col("n") * 1000.0).alias("coverage"))
+    return rounded(sums.select("o_custkey", ops.coverage("total", F.col("n") * 1000.0, None).alias("coverage")), 2)
 
 
 @register("rule_label", """

@@ -10,6 +10,7 @@ from tabwise.queries.registry import register, rounded, table
 
 EVENTS = DatasetSpec("events", "Events", "user_id", "ts")
 WINDOWS = ("6h", "24h")
+DIGITS = {"slope": 9}  # a slope per second is small
 
 
 def frame(window: str, name: str) -> str:
@@ -21,7 +22,7 @@ def frame(window: str, name: str) -> str:
 def window_sql(op: str, formula: str) -> str:
     """``formula`` with {w} in place of the window name."""
     columns = ", ".join(
-        f"round({formula.format(w=f'w{i}')}, 4) AS value_{op}_{w}" for i, w in enumerate(WINDOWS)
+        f"round({formula.format(w=f'w{i}')}, {DIGITS.get(op, 4)}) AS value_{op}_{w}" for i, w in enumerate(WINDOWS)
     )
     frames = ", ".join(frame(w, f"w{i}") for i, w in enumerate(WINDOWS))
     return f"""
@@ -36,7 +37,7 @@ def rolling(op: str, formula: str):
     @register(f"rolling_{op}", window_sql(op, formula))
     def run(spark, folder):
         built, _ = ops.build_features(table(spark, folder, "events"), EVENTS, spec, keep=["event_id"])
-        return rounded(built)
+        return rounded(built, DIGITS.get(op, 4))
 
     return run
 

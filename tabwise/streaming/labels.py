@@ -12,6 +12,8 @@ from tabwise.plans import durations
 from tabwise.plans.specs import DatasetSpec, TargetSpec
 from tabwise.streaming import state
 
+HIT = "positive_row"
+
 
 def delayed_labels(
     stream: DataFrame, dataset: DatasetSpec, target: TargetSpec, keep: list[str] | None = None,
@@ -25,20 +27,20 @@ def delayed_labels(
         raise ValueError(f"target {target.name!r}: a future event needs a horizon")
     horizon = target.horizon_micros
     hit = F.coalesce(F.col(target.source_column) == F.lit(target.positive_class), F.lit(False))
-    columns = list(dict.fromkeys([dataset.entity_key, dataset.time_key, *(keep or []), "__hit"]))
+    columns = list(dict.fromkeys([dataset.entity_key, dataset.time_key, *(keep or []), HIT]))
 
     def compute(held: pd.DataFrame) -> pd.DataFrame:
         times = held[state.US].to_numpy(dtype="int64")
-        events = np.sort(times[held["__hit"].astype(bool).to_numpy()])
+        events = np.sort(times[held[HIT].astype(bool).to_numpy()])
         first = np.searchsorted(events, times, side="right")
         last = np.searchsorted(events, times + horizon, side="right")
         held[target.name] = (last > first).astype("int8")
         return held
 
     placed = state.keyed(
-        stream.withColumn("__hit", hit), dataset.entity_key, dataset.time_key,
-        max(durations.micros(bucket), horizon), 0, horizon, delay, halo_filter=F.col("__hit"),
+        stream.withColumn(HIT, hit), dataset.entity_key, dataset.time_key,
+        max(durations.micros(bucket), horizon), 0, horizon, delay, halo_filter=F.col(HIT),
     )
     out = state.run(placed, dataset.entity_key, dataset.time_key, columns, horizon, 0, compute,
                     [T.StructField(target.name, T.ByteType())])
-    return out.drop("__hit")
+    return out.drop(HIT)

@@ -20,7 +20,8 @@ from tabwise.functions import layout as lay
 from tabwise.functions import scalars
 
 # Rows of one bucket: event time in microseconds, and whether the bucket emits the row.
-US = "__us"
+# Their names start with a letter: the Python side of the stateful operator renames others.
+US, OWN, BUCKET = "time_us", "own_row", "bucket_id"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -40,9 +41,10 @@ class BucketProcessor(StatefulProcessor):
         for batch in rows:
             values = batch[self.columns].astype(object)
             self.rows.appendList([tuple(r) for r in values.where(values.notna(), None).itertuples(index=False)])
-            pending = batch.loc[batch[lay.OWN], US]
+            pending = batch.loc[batch[OWN], US]
             if len(pending):
                 self._wake(int(pending.min()))
+            self._wake(int(batch[US].max()) + self.reach)  # drops copies nobody asked for
         return iter(())
 
     def _wake(self, us: int) -> None:
@@ -54,16 +56,18 @@ class BucketProcessor(StatefulProcessor):
         if held.empty:
             return
         held = held.sort_values(US, kind="stable").reset_index(drop=True)
-        done = held[lay.OWN].astype(bool) & (held[US] <= closed)
+        done = held[OWN].astype(bool) & (held[US] <= closed)
         if done.any():
             result = self.compute(held)[done]
             yield result[self.out].reset_index(drop=True)
-            held.loc[done, lay.OWN] = False
-        pending = held.loc[held[lay.OWN].astype(bool), US]
+            held.loc[done, OWN] = False
+        pending = held.loc[held[OWN].astype(bool), US]
         # Rows already emitted stay only while a pending or future row can reach back to them.
-        keep = held[held[lay.OWN].astype(bool) | (held[US] > closed - self.reach)]
-        if len(pending):
-            self._wake(int(pending.min()))
+        keep = held[held[OWN].astype(bool) | (held[US] > closed - self.reach)]
+        if keep.empty:
+            self.rows.clear()
+            return
+        self._wake(int(pending.min()) if len(pending) else int(keep[US].max()) + self.reach)
         values = keep.astype(object)
         self.rows.put([tuple(r) for r in values.where(values.notna(), None).itertuples(index=False)])
 
@@ -78,19 +82,19 @@ def keyed(
     """Watermarked stream with bucket, ownership and halo copies (only those passing ``halo_filter``)."""
     marked = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
     placed = lay.range_halo(marked.withColumn(US, scalars.micros(time)), F.col(US), lay.Layout(width), before, after)
-    return placed if halo_filter is None else placed.where(F.col(lay.OWN) | halo_filter)
+    placed = placed.withColumnsRenamed({lay.OWN: OWN, lay.BUCKET: BUCKET})
+    return placed if halo_filter is None else placed.where(F.col(OWN) | halo_filter)
 
 
 def run(
     placed: DataFrame, entity: str, time: str, value_columns: Sequence[str], wait: int, reach: int,
     compute: Callable[[pd.DataFrame], pd.DataFrame], outputs: Sequence[T.StructField],
 ) -> DataFrame:
-    columns = [*value_columns, US, lay.OWN]
+    columns = [*value_columns, US, OWN]
     schema = T.StructType([placed.schema[c] for c in columns])
     emitted = T.StructType([*[placed.schema[c] for c in value_columns], *outputs])
     processor = partial(BucketProcessor, columns, schema, wait, reach, compute, [f.name for f in emitted.fields])()
-    needed = placed.select(entity if entity in value_columns else F.col(entity), lay.BUCKET, time,
-                           *[c for c in columns if c not in (entity, time)])
-    return needed.groupBy(entity, lay.BUCKET).transformWithStateInPandas(
+    needed = placed.select(BUCKET, *dict.fromkeys([entity, time, *columns]))
+    return needed.groupBy(entity, BUCKET).transformWithStateInPandas(
         processor, emitted, "Append", "EventTime"
     )
