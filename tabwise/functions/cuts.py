@@ -1,18 +1,21 @@
 """Exact rank cuts: the value below which a given number of rows lie.
 
-Each round counts rows in at most ``FANOUT`` equal slices of the interval that still holds the cut
-and keeps one slice, so the driver only ever sees ``FANOUT`` counts and no task a global order.
+Every round is one job for all cuts: it counts rows in at most ``FANOUT`` equal slices of each interval that
+still holds a cut and keeps one slice per cut. Once an interval holds few rows its values are listed. The driver
+sees counts and at most ``LISTED`` values per cut, and no task sees a global order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FANOUT = 4096
+LISTED = 8192
 
 
 @dataclass(frozen=True)
@@ -24,29 +27,63 @@ class Cut:
     remainder: int
 
 
-def find_cuts(df: DataFrame, column: str, ranks: Sequence[int]) -> dict[int, Cut]:
-    """Cuts of a non-null long column for ranks in ``[0, n)``."""
-    if not ranks:
+@dataclass(frozen=True)
+class _Interval:
+    low: int
+    high: int
+    below: int
+    rows: int
+    ranks: tuple[int, ...]
+
+    @property
+    def step(self) -> int:
+        return 1 if self.rows <= LISTED else -(-(self.high - self.low + 1) // FANOUT)
+
+
+def extent(df: DataFrame, column: str) -> tuple[int, int, int]:
+    """(rows, smallest, largest) of a long column in one pass."""
+    n, low, high = df.agg(F.count(F.lit(1)), F.min(column), F.max(column)).first()
+    return n, low or 0, high or 0
+
+
+def find_cuts(
+    df: DataFrame, column: str, ranks: Sequence[int], known: tuple[int, int, int] | None = None
+) -> dict[int, Cut]:
+    """Cuts of a non-null long column for ranks in ``[0, n)``; ``known`` is its extent where already measured."""
+    wanted = tuple(sorted(set(ranks)))
+    if not wanted:
         return {}
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    return {rank: cut for rank, cut in _refine(df, column, sorted(set(ranks)), low, high, 0)}
-
-
-def _refine(df: DataFrame, column: str, ranks: list[int], low: int, high: int, below: int):
-    if low == high:
-        for rank in ranks:
-            yield rank, Cut(low, below, rank - below)
-        return
-    step = -(-(high - low + 1) // FANOUT)
-    inside = df.where(F.col(column).between(low, high))
-    slot = F.expr(f"({column} - ({low}L)) div {step}L").alias("slot")
-    # Minimum and maximum of a slice tighten the next interval to values that exist.
-    counts = inside.groupBy(slot).agg(F.count(F.lit(1)).alias("n"), F.min(column), F.max(column)).collect()
-    for _, n, smallest, largest in sorted(counts):
-        here = [r for r in ranks if below <= r < below + n]
-        if here:
-            yield from _refine(df, column, here, smallest, largest, below)
-        below += n
+    rows, low, high = known or extent(df, column)
+    found: dict[int, Cut] = {}
+    active = [_Interval(low, high, 0, rows, wanted)]
+    while active:
+        for done in [i for i in active if i.low == i.high]:
+            found |= {r: Cut(done.low, done.below, r - done.below) for r in done.ranks}
+        active = [i for i in active if i.low != i.high]
+        if active:
+            active = _round(df, column, active)
+    return found
+
+
+def _round(df: DataFrame, column: str, active: list[_Interval]) -> list[_Interval]:
+    x = F.col(column)
+    inside = [x.between(i.low, i.high) for i in active]
+    slots = [F.expr(f"({column} - ({i.low}L)) div {i.step}L") for i in active]
+    which = reduce(lambda c, k: c.when(inside[k], F.lit(k)), range(len(active)), F)
+    slot = reduce(lambda c, k: c.when(inside[k], slots[k]), range(len(active)), F)
+    # The extremes of a slice tighten the next interval to values that exist.
+    counted = df.where(reduce(lambda a, b: a | b, inside)).groupBy(which.alias("i"), slot.alias("s")).agg(
+        F.count(F.lit(1)), F.min(x), F.max(x)
+    ).collect()
+    narrowed = []
+    for k, interval in enumerate(active):
+        below = interval.below
+        for _, _, n, low, high in sorted(r for r in counted if r[0] == k):
+            here = tuple(r for r in interval.ranks if below <= r < below + n)
+            if here:
+                narrowed.append(_Interval(low, high, below, n, here))
+            below += n
+    return narrowed
 
 
 def before_cut(order: Column, tie: Column, cut: Cut | None, tie_cut: Cut | None) -> Column:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUFFER_ROWS = 5_000_000
+BUFFER_ROWS = 1_000_000
 ACCURACY = 10_000
 
 
@@ -26,9 +26,9 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
-def _position(n: Column, q: float, method: str) -> Column:
+def _position(n: Column, q: float, nearest: bool) -> Column:
     exact = (n - 1) * F.lit(float(q))
-    return F.floor(exact + 0.5).cast("double") if method == "nearest" else exact
+    return F.floor(exact + 0.5).cast("double") if nearest else exact
 
 
 def group_quantiles(
@@ -36,50 +36,65 @@ def group_quantiles(
     keys: Sequence[str],
     value: str,
     fractions: Mapping[str, float],
-    method: str = "linear",
+    nearest: Sequence[str] = (),
     buffer_rows: int = BUFFER_ROWS,
     accuracy: int = ACCURACY,
     largest: int | None = None,
 ) -> DataFrame:
     """One row per group with a column per requested fraction.
 
-    ``linear`` interpolates between neighbours; ``nearest`` returns the element at 0-based rank
-    ``floor((n - 1) * q + 0.5)``. Nulls are ignored; a group of nulls gives nulls. ``largest`` is the
+    Fractions interpolate between neighbours; those named in ``nearest`` return the element at 0-based
+    rank ``floor((n - 1) * q + 0.5)``. Nulls are ignored; a group of nulls gives nulls. ``largest`` is the
     size of the largest group where the caller already knows it, otherwise it is counted.
     """
-    if method not in ("linear", "nearest"):
-        raise ValueError(f"unknown quantile method {method!r}")
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("__v"))
     small = (largest if largest is not None else largest_group(data, keys)) <= buffer_rows
-    if small and method == "linear":
+    if small and not nearest:
         return data.groupBy(*keys).agg(*[F.percentile("__v", q).alias(name) for name, q in fractions.items()])
-    return _by_counting(data, keys, fractions, method, None if small else accuracy)
+    return _by_counting(data, keys, fractions, set(nearest), None if small else accuracy)
 
 
 def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
 
 
+def _by_ranking(data: DataFrame, keys: list[str], fractions: Mapping[str, float], nearest: set[str]) -> DataFrame:
+    """Groups that fit a task: distinct values with counts, ranked inside the group."""
+    counted = data.groupBy(*keys, "__v").agg(F.count("__v").alias("__c"))
+    group = Window.partitionBy(*keys)
+    ranked = counted.select(
+        *keys, "__v", F.sum("__c").over(group.orderBy("__v")).alias("__upto"), "__c", F.sum("__c").over(group).alias("__n")
+    ).withColumn("__before", F.col("__upto") - F.col("__c"))
+    wide = []
+    for name, q in fractions.items():
+        pos = _position(F.col("__n"), q, name in nearest)
+        at = lambda rank: F.max(F.when((F.col("__before") <= rank) & (F.col("__upto") > rank), F.col("__v")))
+        low, high = at(F.floor(pos)), at(F.ceil(pos))
+        wide.append((low + (high - low) * F.max(pos - F.floor(pos))).alias(name))
+    return ranked.groupBy(*keys).agg(*wide)
+
+
 def _by_counting(
-    data: DataFrame, keys: list[str], fractions: Mapping[str, float], method: str, accuracy: int | None
+    data: DataFrame, keys: list[str], fractions: Mapping[str, float], nearest: set[str], accuracy: int | None
 ) -> DataFrame:
     names = list(fractions)
+    if not accuracy:
+        return _by_ranking(data, keys, fractions, nearest)
     present = data.where(F.col("__v").isNotNull())
     sizes = [F.count("__v").alias("__n")]
-    if accuracy:
-        slack = 2.0 / accuracy
-        lows = F.array(*[F.lit(max(0.0, fractions[n] - slack)) for n in names])
-        highs = F.array(*[F.lit(min(1.0, fractions[n] + slack)) for n in names])
-        sizes += [F.percentile_approx("__v", lows, accuracy).alias("__lo"),
-                  F.percentile_approx("__v", highs, accuracy).alias("__hi")]
+    slack = 2.0 / accuracy
+    lows = F.array(*[F.lit(max(0.0, fractions[n] - slack)) for n in names])
+    highs = F.array(*[F.lit(min(1.0, fractions[n] + slack)) for n in names])
+    sizes += [F.percentile_approx("__v", lows, accuracy).alias("__lo"),
+              F.percentile_approx("__v", highs, accuracy).alias("__hi")]
     stats = data.groupBy(*keys).agg(*sizes)
     wanted = F.array(*[
         F.struct(
             F.lit(name).alias("name"),
-            _position(F.col("__n"), q, method).alias("pos"),
-            (F.col("__lo")[i] if accuracy else F.lit(float("-inf"))).alias("lo"),
-            (F.col("__hi")[i] if accuracy else F.lit(float("inf"))).alias("hi"),
+            _position(F.col("__n"), q, name in nearest).alias("pos"),
+            F.col("__lo")[i].alias("lo"),
+            F.col("__hi")[i].alias("hi"),
         )
         for i, (name, q) in enumerate(fractions.items())
     ])

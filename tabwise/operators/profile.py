@@ -68,11 +68,10 @@ def numeric_stats(df: DataFrame, spec: DatasetSpec, columns: Sequence[str] | Non
         F.stddev_samp("value").alias("std"),
     )
     rows = df.count()
-    median = quantiles.group_quantiles(long, ["column"], "value", {"median": 0.5}, largest=rows)
-    quarters = quantiles.group_quantiles(
-        long, ["column"], "value", {"p25": 0.25, "p75": 0.75}, method="nearest", largest=rows
+    spread = quantiles.group_quantiles(
+        long, ["column"], "value", {"median": 0.5, "p25": 0.25, "p75": 0.75}, nearest=("p25", "p75"), largest=rows
     )
-    return moments.join(median, "column", "left").join(quarters, "column", "left")
+    return moments.join(spread, "column", "left")
 
 
 def top_values(df: DataFrame, spec: DatasetSpec, columns: Sequence[str] | None = None, k: int = TOP_VALUES):

@@ -23,6 +23,8 @@ from tabwise.plans.specs import DatasetSpec
 
 # Grouping sets per Expand; more sets are run as a union of batches.
 SETS_PER_BATCH = 64
+# Winning slices whose conditions one scan evaluates.
+SLICES_PER_PASS = 64
 
 
 def dimension_sets(dimensions: Sequence[str], max_dimensions: int) -> list[tuple[str, ...]]:
@@ -153,17 +155,26 @@ def _median_slices(rows: DataFrame, dims: list[str], sets: list[tuple[str, ...]]
     return joined.crossJoin(F.broadcast(whole))
 
 
+def _members(rows: DataFrame, batch: list[tuple], schema: T.StructType, dims: list[str]) -> DataFrame:
+    """(slice_id, metric) for every slice a row belongs to, as literal conditions inside the scan: no join."""
+    at = {name: i for i, name in enumerate(schema.names)}
+    inside = []
+    for winner in batch:
+        grouped = [d for d in dims if not winner[at["set_id"]] & _bit(dims, d)]
+        held = reduce(lambda a, b: a & b, [F.col(d).eqNullSafe(F.lit(winner[at[d]])) for d in grouped])
+        inside.append(F.when(held, F.lit(winner[at["slice_id"]])))
+    ids = F.array_compact(F.array(*inside)) if inside else F.array().cast("array<int>")
+    return rows.select(F.explode(ids).alias("slice_id"), "__metric")
+
+
 def _describe(ranked: DataFrame, rows: DataFrame, dims: list[str]) -> DataFrame:
     """Median and spread of the winning slices, then the readable dimension and value columns."""
     winners = ranked.collect()  # top_k rows
     numbered = [(i, *row) for i, row in enumerate(winners, start=1)]
     schema = T.StructType([T.StructField("slice_id", T.IntegerType()), *ranked.schema.fields])
     slices = rows.sparkSession.createDataFrame(numbered, schema)
-    on = reduce(
-        lambda a, b: a & b,
-        [~_grouped_in(F.col("s.set_id"), dims, d) | F.col(f"r.{d}").eqNullSafe(F.col(f"s.{d}")) for d in dims],
-    )
-    members = rows.alias("r").join(F.broadcast(slices.alias("s")), on).select("s.slice_id", "r.__metric")
+    batches = [numbered[i:i + SLICES_PER_PASS] for i in range(0, len(numbered), SLICES_PER_PASS)] or [[]]
+    members = reduce(DataFrame.unionByName, [_members(rows, batch, schema, dims) for batch in batches])
     spread = F.stddev_samp("__metric").alias("metric_std")
     largest = max((row.row_count for row in winners), default=0)
     if largest <= quantiles.BUFFER_ROWS:

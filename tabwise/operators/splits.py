@@ -59,9 +59,10 @@ def assign_split(
     ranked = df.select(order.alias("__order"), tie.alias("__tie")) if chronological else df.select(
         order.alias("__order")
     )
-    n = ranked.count()
+    known = cuts.extent(ranked, "__order")
+    n = known[0]
     ends = [int(n * train), int(n * (train + validate))]
-    found = cuts.find_cuts(ranked, "__order", [e for e in ends if 0 <= e < n])
+    found = cuts.find_cuts(ranked, "__order", [e for e in ends if 0 <= e < n], known)
     bounds = []
     for end in ends:
         cut = found.get(end)
