@@ -3,7 +3,8 @@
 The built-in exact ``percentile`` keeps every distinct value of a group in one aggregation
 buffer, which is right for many small groups. For groups above ``buffer_rows`` the quantile
 is first bracketed with the mergeable sketch behind ``percentile_approx`` (rank error at most
-``n / accuracy``); only values inside the bracket are then counted exactly, so a group holding
+``n / accuracy``, so a bracket of twice that on each side holds the wanted rank once a group has a few
+times ``accuracy`` rows; smaller groups are counted whole); only values inside the bracket are then counted exactly, so a group holding
 a third of the table leaves a fraction of about ``4 / accuracy`` of its rows to sort.
 """
 
@@ -91,42 +92,43 @@ def _by_counting(
     stats = data.groupBy(*keys).agg(*sizes)
     wanted = F.array(*[
         F.struct(
-            F.lit(name).alias("name"),
-            _position(F.col("__n"), q, name in nearest).alias("pos"),
-            F.col("__lo")[i].alias("lo"),
-            F.col("__hi")[i].alias("hi"),
+            F.lit(name).alias("__name"),
+            _position(F.col("__n"), q, name in nearest).alias("__pos"),
+            F.when(F.col("__n") >= 4 * accuracy, F.col("__lo")[i]).otherwise(F.lit(float("-inf"))).alias("__lo"),
+            F.when(F.col("__n") >= 4 * accuracy, F.col("__hi")[i]).otherwise(F.lit(float("inf"))).alias("__hi"),
         )
         for i, (name, q) in enumerate(fractions.items())
     ])
     stats = stats.select(*keys, F.explode(wanted).alias("__w")).select(
         *keys, "__w.*"
     )
-    renamed = stats.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "name", "pos", "lo", "hi")
+    renamed = stats.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__name", "__pos", "__lo", "__hi")
     on = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)],
         F.lit(True),
     )
     joined = present.join(renamed, on, "inner") if keys else present.crossJoin(F.broadcast(renamed))
-    inside = F.col("__v").between(F.col("lo"), F.col("hi"))
+    inside = F.col("__v").between(F.col("__lo"), F.col("__hi"))
     # One shuffle keyed by (group, fraction, value): rows below the bracket shrink to one count per map task.
-    counted = joined.where(F.col("__v") <= F.col("hi")).groupBy(
-        *keys, "name", "pos", F.when(inside, F.col("__v")).alias("__v")
+    counted = joined.where(F.col("__v") <= F.col("__hi")).groupBy(
+        *keys, "__name", "__pos", F.when(inside, F.col("__v")).alias("__v")
     ).agg(F.count(F.lit(1)).alias("__c"))
-    order = Window.partitionBy(*keys, "name").orderBy(F.col("__v").asc_nulls_first())
+    order = Window.partitionBy(*keys, "__name").orderBy(F.col("__v").asc_nulls_first())
     ranked = counted.withColumn("__upto", F.sum("__c").over(order)).withColumn(
         "__before", F.col("__upto") - F.col("__c")
     )
-    lower, upper = F.floor("pos"), F.ceil("pos")
+    lower, upper = F.floor("__pos"), F.ceil("__pos")
     covers = lambda rank: (F.col("__before") <= rank) & (F.col("__upto") > rank)
-    picked = ranked.groupBy(*keys, "name").agg(
-        F.max(F.when(covers(lower), F.col("__v"))).alias("a"),
-        F.max(F.when(covers(upper), F.col("__v"))).alias("b"),
-        F.max(F.col("pos") - lower).alias("frac"),
+    picked = ranked.groupBy(*keys, "__name").agg(
+        F.max(F.when(covers(lower), F.col("__v"))).alias("__a"),
+        F.max(F.when(covers(upper), F.col("__v"))).alias("__b"),
+        F.max(F.col("__pos") - lower).alias("__frac"),
     )
-    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")
+    missed = F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")
+    value = F.coalesce(F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__frac"), missed)
     wide = picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == n, value)).alias(n) for n in names]
+        *[F.max(F.when(F.col("__name") == n, value)).alias(n) for n in names]
     )
     if not keys:
         return wide

@@ -235,27 +235,29 @@ def _three_way(df, entity_key, time_key, split, **kw):
 
 
 def _measure(model: TrainedModel, rows: DataFrame, label: str) -> None:
-    spec = model.config.dataset
-    if spec.time_key:
-        found = splits.split_periods(rows, spec.time_key, "__split").collect()  # three rows
-        model.periods = {r[0]: [str(r[1]), str(r[2])] for r in found}
-    scored = model.transform(rows)
-    sizes = {r[0]: r[1] for r in rows.groupBy("__split").count().collect()}
-    baseline = None
-    if model.regression:
-        baseline = rows.where(F.col("__split") == "train").agg(F.avg(label)).first()[0]
-    elif sizes.get("validation"):
-        validation = scored.where(F.col("__split") == "validation")
-        model.threshold = float(
-            metrics.best_threshold(metrics.score_table(validation, label, "prediction")).first()["threshold"]
-        )
-    for name in ("validation", "test"):
-        if not sizes.get(name):
-            continue
-        part = scored.where(F.col("__split") == name)
-        result = (
-            metrics.evaluate_regression(part, label, "prediction", baseline) if model.regression
-            else metrics.evaluate_binary(part, label, "prediction", model.threshold)
-        )
-        model.metrics[name] = result.first().asDict()
+    """Periods and sizes in one pass; held-out rows are scored once, narrowed to label and prediction."""
+    time = model.config.dataset.time_key or "__split"
+    found = rows.groupBy("__split").agg(
+        F.count(F.lit(1)).alias("n"), F.min(time).alias("start"), F.max(time).alias("end"), F.avg(label).alias("mean")
+    ).collect()  # three splits
+    sizes = {r["__split"]: r["n"] for r in found}
+    means = {r["__split"]: r["mean"] for r in found}
+    if model.config.dataset.time_key:
+        model.periods = {r["__split"]: [str(r["start"]), str(r["end"])] for r in found}
+    held_out = model.transform(rows.where(F.col("__split") != "train")).select("__split", label, "prediction").persist()
+    part = lambda name: held_out.where(F.col("__split") == name)
+    try:
+        if not model.regression and sizes.get("validation"):
+            table = metrics.score_table(part("validation"), label, "prediction")
+            model.threshold = float(metrics.best_threshold(table).first()["threshold"])
+        for name in ("validation", "test"):
+            if sizes.get(name):
+                result = (
+                    metrics.evaluate_regression(part(name), label, "prediction", means.get("train"))
+                    if model.regression
+                    else metrics.evaluate_binary(part(name), label, "prediction", model.threshold)
+                )
+                model.metrics[name] = result.first().asDict()
+    finally:
+        held_out.unpersist()
     model.metrics["rows"] = sizes

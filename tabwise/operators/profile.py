@@ -93,12 +93,12 @@ def distribution(df: DataFrame, spec: DatasetSpec, columns: Sequence[str] | None
 def overview(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """One row: rows, columns, time range, entities."""
     entities = df.groupBy(spec.entity_key).agg(
-        F.count(F.lit(1)).alias("n"),
-        *([F.min(spec.time_key).alias("lo"), F.max(spec.time_key).alias("hi")] if spec.time_key else []),
+        F.count(F.lit(1)).alias("__n"),
+        *([F.min(spec.time_key).alias("__lo"), F.max(spec.time_key).alias("__hi")] if spec.time_key else []),
     )
-    times = [F.min("lo").cast("string").alias("time_start"), F.max("hi").cast("string").alias("time_end")]
+    times = [F.min("__lo").cast("string").alias("time_start"), F.max("__hi").cast("string").alias("time_end")]
     return entities.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"),
         F.lit(len(df.columns)).alias("column_count"),
         F.count(F.lit(1)).alias("entity_count"),
         *(times if spec.time_key else []),

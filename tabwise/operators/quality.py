@@ -51,8 +51,8 @@ def null_keys(df: DataFrame, entity: str) -> DataFrame:
 
 def duplicate_keys(df: DataFrame, entity: str, time: str) -> DataFrame:
     """Number of (entity, time) pairs that occur more than once."""
-    pairs = df.groupBy(entity, time).agg(F.count(F.lit(1)).alias("n"))
-    return pairs.agg(F.count_if(F.col("n") > 1).alias("n_violations"))
+    pairs = df.groupBy(entity, time).agg(F.count(F.lit(1)).alias("__n"))
+    return pairs.agg(F.count_if(F.col("__n") > 1).alias("n_violations"))
 
 
 def row_checks(df: DataFrame, spec: DatasetSpec) -> DataFrame:

@@ -35,14 +35,14 @@ def dimension_sets(dimensions: Sequence[str], max_dimensions: int) -> list[tuple
 def _moments(df: DataFrame, keys: list[str], metric: str) -> DataFrame:
     x = F.col(metric).cast("double")
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.count(x).alias("n"), F.sum(x).alias("total"),
-        F.var_pop(x).alias("var"), F.min(x).alias("low"), F.max(x).alias("high"),
+        F.count(F.lit(1)).alias("__rows"), F.count(x).alias("__n"), F.sum(x).alias("__total"),
+        F.var_pop(x).alias("__var"), F.min(x).alias("__low"), F.max(x).alias("__high"),
     )
 
 
 def _merged(name: str, center: Column) -> Column:
     """The aggregation from cell moments; spread is taken around ``center`` to keep its digits."""
-    n, total = F.sum("n"), F.sum("total")
+    n, total = F.sum("__n"), F.sum("__total")
     match name:
         case "mean":
             return total / F.when(n > 0, n)
@@ -51,16 +51,16 @@ def _merged(name: str, center: Column) -> Column:
         case "count":
             return n.cast("double")
         case "min":
-            return F.min("low")
+            return F.min("__low")
         case "max":
-            return F.max("high")
+            return F.max("__high")
     return _spread(center)
 
 
 def _spread(center: Column) -> Column:
-    n, total = F.sum("n"), F.sum("total")
-    offset = F.col("total") / F.when(F.col("n") > 0, F.col("n")) - center
-    squares = F.sum(F.col("n") * (F.col("var") + offset * offset))
+    n, total = F.sum("__n"), F.sum("__total")
+    offset = F.col("__total") / F.when(F.col("__n") > 0, F.col("__n")) - center
+    squares = F.sum(F.col("__n") * (F.col("__var") + offset * offset))
     shift = total / F.when(n > 0, n) - F.max(center)
     return F.when(n > 1, F.sqrt(F.greatest(squares - n * shift * shift, F.lit(0.0)) / (n - 1)))
 
@@ -109,12 +109,12 @@ def interesting_slices(
         found = _median_slices(rows, dims, sets)
     else:
         cells = _moments(rows, dims, "__metric")
-        centers = cells.agg((F.sum("total") / F.sum("n")).alias("center"))
+        centers = cells.agg((F.sum("__total") / F.sum("__n")).alias("__center"))
         cells = cells.crossJoin(F.broadcast(centers))
-        whole = cells.agg(_merged(aggregation, F.col("center")).alias("overall_baseline"))
+        whole = cells.agg(_merged(aggregation, F.col("__center")).alias("overall_baseline"))
         found = _every_set(
-            cells, dims, sets, F.sum("rows").alias("row_count"),
-            _merged(aggregation, F.col("center")).alias("metric_value"),
+            cells, dims, sets, F.sum("__rows").alias("row_count"),
+            _merged(aggregation, F.col("__center")).alias("metric_value"),
         ).crossJoin(F.broadcast(whole))
     # NaN can only come from NaN inputs; null slices cannot be ranked and are left out.
     ranked = (
