@@ -43,14 +43,25 @@ class Layout:
 WHOLE = Layout()
 
 
+def _densest(df: DataFrame, keys: Sequence[str], us: Column, width: int) -> int:
+    counts = df.groupBy(*keys, F.floor(us / F.lit(width)).alias("__slot")).count()
+    return counts.agg(F.max("count")).first()[0] or 0
+
+
 def measure(df: DataFrame, keys: Sequence[str], us: Column, task_rows: int = TASK_ROWS) -> Layout:
-    """Pick the bucket width from the densest entity; reads only keys and time, counts map-side."""
+    """Pick the bucket width from the densest entity; reads only keys and time, counts map-side.
+
+    Where an entity is heavy the width is checked and narrowed again, as its rows may come in bursts.
+    """
     daily = df.select(*keys, F.floor(us / DAY).alias("__day")).groupBy(*keys, "__day").count()
-    per_entity = daily.groupBy(*keys).agg(F.sum("count").alias("n"), F.max("count").alias("d"))
-    total, densest = per_entity.agg(F.max("n"), F.max("d")).first()
+    per_entity = daily.groupBy(*keys).agg(F.sum("count").alias("__n"), F.max("count").alias("__d"))
+    total, densest = per_entity.agg(F.max("__n"), F.max("__d")).first()
     if (total or 0) <= task_rows:
         return Layout(None, densest or 0)
-    return Layout(max(1, int(DAY * task_rows / densest)), densest)
+    width = max(1, DAY * task_rows // densest)
+    while width > 1 and (held := _densest(df, keys, us, width)) > 4 * task_rows:
+        width = max(1, width * task_rows // held)
+    return Layout(width, densest)
 
 
 def resolve(layout: Layout | None, df: DataFrame, keys: Sequence[str], us: Column) -> Layout:
@@ -67,6 +78,20 @@ def range_halo(df: DataFrame, us: Column, layout: Layout, before: int = 0, after
     )
 
 
+def with_extreme(
+    df: DataFrame, entity: str, us: str, out: str, latest: bool, layout: Layout
+) -> DataFrame:
+    """The entity's first (or latest) time on every row, without gathering a heavy entity or joining on it."""
+    pick = F.max if latest else F.min
+    if layout.whole:
+        return df.withColumn(out, pick(us).over(Window.partitionBy(entity)))
+    slot = layout.bucket(F.col(us))
+    per_bucket = df.groupBy(F.col(entity).alias("__xe"), slot.alias("__xb")).agg(pick(us).alias(out))
+    per_bucket = per_bucket.withColumn(out, pick(out).over(Window.partitionBy("__xe")))
+    same = F.col(entity).eqNullSafe(F.col("__xe")) & (slot == F.col("__xb"))
+    return df.join(per_bucket, same, "inner").drop("__xe", "__xb")
+
+
 def owned(df: DataFrame) -> DataFrame:
     return df.where(F.col(OWN)).drop(OWN, BUCKET)
 

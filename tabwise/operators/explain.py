@@ -71,41 +71,53 @@ def tree_leaves(model: TrainedModel) -> list[tuple[float, list[tuple[int, float,
     return out
 
 
-def shapley_batch(x: np.ndarray, leaves, n_features: int) -> tuple[np.ndarray, float]:
-    """Impacts of a batch of rows and the base value.
+def leaf_tables(leaves) -> list[tuple[np.ndarray, list, np.ndarray, float]]:
+    """Per leaf: its features, their tests, the impacts for every pattern of passed tests, and its base value.
 
-    A leaf is a product game: a feature in the coalition passes its own tests (0 or 1), a feature outside
-    it passes with the ratio of training rows that did. Its Shapley value is a weighted sum over the
-    subsets of the path's other features, at most the tree depth.
+    A leaf is a product game: a feature in the coalition passes its own tests (0 or 1), a feature outside it
+    passes with the ratio of training rows that did. The path holds at most depth features, so all patterns
+    of passed tests fit a small table and a row only needs its pattern.
     """
-    impact = np.zeros((len(x), n_features))
-    base = 0.0
+    compiled = []
     for value, path in leaves:
-        outside = np.array([ratio for _, ratio, _ in path])
-        base += value * outside.prod()
-        if not path:
-            continue
-        inside = np.stack([
-            np.logical_and.reduce([(x[:, f] <= t) if left else (x[:, f] > t) for t, left in tests])
-            for f, _, tests in path
-        ], axis=1).astype(float)
         k = len(path)
-        for j, (feature, ratio, _) in enumerate(path):
+        ratios = np.array([ratio for _, ratio, _ in path])
+        patterns = (np.arange(2**k)[:, None] >> np.arange(k)) & 1
+        table = np.zeros((2**k, k))
+        for j in range(k):
             others = [i for i in range(k) if i != j]
-            total = np.zeros(len(x))
             for size in range(k):
                 weight = factorial(size) * factorial(k - size - 1) / factorial(k)
                 for chosen in combinations(others, size):
                     rest = [i for i in others if i not in chosen]
-                    total += weight * inside[:, list(chosen)].prod(axis=1) * outside[rest].prod()
-            impact[:, feature] += value * total * (inside[:, j] - ratio)
+                    table[:, j] += weight * patterns[:, list(chosen)].prod(axis=1) * ratios[rest].prod()
+            table[:, j] *= value * (patterns[:, j] - ratios[j])
+        features = np.array([f for f, _, _ in path], dtype=int)
+        compiled.append((features, [tests for _, _, tests in path], table, value * float(ratios.prod())))
+    return compiled
+
+
+def shapley_batch(x: np.ndarray, compiled, n_features: int) -> tuple[np.ndarray, float]:
+    """Impacts of a batch of rows and the base value."""
+    impact = np.zeros((len(x), n_features))
+    base = 0.0
+    for features, tests, table, leaf_base in compiled:
+        base += leaf_base
+        if not len(features):
+            continue
+        pattern = np.zeros(len(x), dtype=int)
+        for j, feature in enumerate(features):
+            column = x[:, feature]
+            passed = np.logical_and.reduce([(column <= t) if left else (column > t) for t, left in tests[j]])
+            pattern |= passed.astype(int) << j
+        impact[:, features] += table[pattern]
     return impact, base
 
 
 def tree_attribution(df: DataFrame, model: TrainedModel, keys: Sequence[str]) -> DataFrame:
     """Long table of impacts for feature rows, computed per Arrow batch with the leaves broadcast."""
     names = model.feature_names
-    leaves = df.sparkSession.sparkContext.broadcast(tree_leaves(model))
+    leaves = df.sparkSession.sparkContext.broadcast(leaf_tables(tree_leaves(model)))
     filled = encoding.impute(df.select(*keys, *names), model.medians)
     n = len(names)
 

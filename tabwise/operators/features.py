@@ -153,11 +153,10 @@ def build_features(
     dense: dict[str, str] = {}
     if dataset.temporal and (windows or "elapsed_time" in ops):
         work = work.withColumn(US, scalars.micros(dataset.time_key))
-        entity = [dataset.entity_key]
-        if windows:
-            plan = lay.resolve(layout, work, entity, F.col(US))
+        plan = lay.resolve(layout, work, [dataset.entity_key], F.col(US))
         if "elapsed_time" in ops or "slope" in ops:
-            work = _with_first(work, entity, plan)
+            work = lay.with_extreme(work, dataset.entity_key, US, "__first", latest=False, layout=plan)
+            work = work.withColumn("__t", F.expr(f"div({US} - __first, 1000000)"))
         if windows:
             looking_back = [(c, t.op, w) for c, t in spec.items() if needs_history(t.op) for w in t.windows]
             work, dense = dense_windows.attach(work, dataset.entity_key, US, looking_back, plan)
@@ -183,14 +182,3 @@ def build_features(
     extra = [lay.OWN, lay.BUCKET] if halo else []
     out = work.select(*carried, *extra, *[value.alias(name) for name, value in built])
     return (lay.owned(out) if halo else out), fitted
-
-
-def _with_first(df: DataFrame, entity: list[str], plan: lay.Layout) -> DataFrame:
-    """First time of the entity and whole seconds since: by window, or by join where an entity is heavy."""
-    if plan.whole:
-        first = F.min(US).over(Window.partitionBy(*entity))
-        with_first = df.withColumn("__first", first)
-    else:
-        starts = df.groupBy(*entity).agg(F.min(US).alias("__first")).withColumnRenamed(entity[0], "__e")
-        with_first = df.join(starts, F.col(entity[0]).eqNullSafe(F.col("__e")), "left").drop("__e")
-    return with_first.withColumn("__t", F.expr(f"div({US} - __first, 1000000)"))

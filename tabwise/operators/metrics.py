@@ -15,6 +15,7 @@ from tabwise.functions import quantiles, running
 from tabwise.functions.scalars import as_column
 from tabwise.operators import slices
 from tabwise.plans.specs import DatasetSpec
+from tabwise.session import settle
 
 # Clipping of probabilities in the log loss, points aimed at in a curve, F1 guard.
 LOG_EPS, CURVE_POINTS, F1_EPS = 1e-15, 200, 1e-12
@@ -49,7 +50,8 @@ def score_table(df: DataFrame, label: str, score: str) -> DataFrame:
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"),
         F.lit(1).cast("long").alias("seen"),
     )
-    return running.running_totals(per_score, "score", ["pos", "neg", "seen"]).select(
+    # The ordered pass reads the distinct scores several times; the scoring behind them runs once.
+    return running.running_totals(settle(per_score), "score", ["pos", "neg", "seen"]).select(
         "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
         F.col("cum_seen").alias("seen"),
     )

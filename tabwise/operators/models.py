@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwise.functions import layout as lay
+from tabwise.functions import scalars
 from tabwise.operators import encoding, features, metrics, splits, targets
 from tabwise.plans.specs import DatasetConfig
 from tabwise.session import checkpoint_dir
@@ -164,6 +165,8 @@ def labelled_features(
     Windows look over the full history; ``cold_start`` restarts them in every split instead.
     """
     target = config.target
+    if layout is None and config.dataset.temporal:
+        layout = lay.measure(df, [config.dataset.entity_key], scalars.micros(config.dataset.time_key))
     labelled = targets.build_target(df, target, config.dataset, layout)
     keep = list(dict.fromkeys([*keep, target.name, *([split] if split else [])]))
     if fitted is None:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tabwise.functions import quantiles
 from tabwise.functions.scalars import micros, text_value
 from tabwise.plans.specs import DatasetSpec, SearchSpec
+from tabwise.session import settle
 
 # Fixed value: categories listed per column.
 TOP_VALUES = 10
@@ -40,7 +41,10 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def column_counts(df: DataFrame, spec: DatasetSpec, columns: Sequence[str] | None = None) -> DataFrame:
     """Null and distinct counts per declared column; null counts as one distinct value."""
-    counts = value_counts(df, columns or _declared(df, spec))
+    return _column_counts(value_counts(df, columns or _declared(df, spec)))
+
+
+def _column_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("column").agg(
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
         F.count(F.lit(1)).alias("unique_count"),
@@ -76,7 +80,10 @@ def numeric_stats(df: DataFrame, spec: DatasetSpec, columns: Sequence[str] | Non
 
 def top_values(df: DataFrame, spec: DatasetSpec, columns: Sequence[str] | None = None, k: int = TOP_VALUES):
     """Most frequent values per categorical column; ties by value. The row-number limit is applied map-side."""
-    counts = value_counts(df, list(columns or _declared(df, spec, "categorical")))
+    return _top(value_counts(df, list(columns or _declared(df, spec, "categorical"))), k)
+
+
+def _top(counts: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_first("value"))
     return counts.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
@@ -105,17 +112,25 @@ def overview(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, spec: DatasetSpec) -> DataFrame:
-    """One row per declared column: type, role, counts, numeric statistics, top values."""
+def profile(df: DataFrame, spec: DatasetSpec, approximate: bool = False) -> DataFrame:
+    """One row per declared column: type, role, counts, numeric statistics, top values.
+
+    ``approximate`` sketches the distinct counts, so only categorical values are shuffled.
+    """
     declared = df.sparkSession.createDataFrame(
         [(c.name, c.type, c.role) for c in spec.columns.values() if c.name in df.columns],
         "column string, type string, role string",
     )
-    result = declared.join(column_counts(df, spec), "column", "left")
+    categorical = _declared(df, spec, "categorical")
+    names = categorical if approximate else _declared(df, spec)
+    # Distinct values with counts, written once: both the column counts and the top values read them.
+    counts = settle(value_counts(df, names)) if names else None
+    columns = approx_column_counts(df, spec) if approximate else _column_counts(counts)
+    result = declared.join(columns, "column", "left")
     if _declared(df, spec, "numeric"):
         result = result.join(numeric_stats(df, spec), "column", "left")
-    if _declared(df, spec, "categorical"):
-        ranked = top_values(df, spec).groupBy("column").agg(
+    if categorical:
+        ranked = _top(counts.where(F.col("column").isin(categorical)), TOP_VALUES).groupBy("column").agg(
             F.sort_array(F.collect_list(F.struct("position", "value", "n"))).alias("top_values")
         )
         result = result.join(ranked, "column", "left")

@@ -40,12 +40,10 @@ def features_as_of(
     needs_start = any(t.op == "elapsed_time" for _, t in config.features.items())
     if not needs_start:
         span = durations.micros(history) if history else 1
-        ends = rows.groupBy(F.col(spec.entity_key).alias("__e")).agg(
-            F.max(scalars.micros(spec.time_key)).alias("__end")
-        )
-        rows = rows.join(ends, F.col(spec.entity_key).eqNullSafe(F.col("__e")), "inner").where(
-            scalars.micros(spec.time_key) > F.col("__end") - F.lit(span)
-        ).drop("__e", "__end")
+        rows = rows.withColumn("__us_", scalars.micros(spec.time_key))
+        layout = lay.resolve(layout, rows, [spec.entity_key], F.col("__us_"))
+        rows = lay.with_extreme(rows, spec.entity_key, "__us_", "__end", latest=True, layout=layout)
+        rows = rows.where(F.col("__us_") > F.col("__end") - F.lit(span)).drop("__us_", "__end")
     built, _ = features.build_features(rows, spec, config.features, fitted, layout=layout)
     return joins.latest_per_entity(built, spec.entity_key, spec.time_key)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +36,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return target
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once as a table in the shared folder and go on from there.
+
+    For results that several later passes read; survives the loss of any executor.
+    """
+    place = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)

@@ -93,7 +93,8 @@ def test_a_heavy_entity_is_spread_over_partitions(skewed):
 
 
 def test_first_mean_is_the_first_value(sensors):
-    got = built(sensors.where(F.col("value").isNotNull()))
+    single = sensors.dropDuplicates(["machine_id", "timestamp"])  # rows of equal time share their window
+    got = built(single.where(F.col("value").isNotNull()))
     first = got.sort_values("timestamp").groupby("machine_id").head(1)
     assert np.allclose(first["value_mean_1h"], first["value_current"])
     assert first["value_std_1h"].isna().all() and first["value_slope_1h"].isna().all()

@@ -214,7 +214,7 @@ def test_tree_attribution_is_exact_and_additive(spark, labelled, trees):
     n = len(trees.feature_names)
     rng = np.random.default_rng(0)
     x = np.column_stack([rng.normal(52, 12, (4, 3)), rng.integers(0, 2, (4, n - 3))])
-    impact, base = explain.shapley_batch(x, leaves, n)
+    impact, base = explain.shapley_batch(x, explain.leaf_tables(leaves), n)
     for row, got in zip(x, impact):
         want, empty = brute_shapley(leaves, row, n)
         assert np.allclose(got, want) and base == pytest.approx(empty)
