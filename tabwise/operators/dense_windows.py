@@ -21,8 +21,15 @@ from tabwise.functions import layout as lay
 from tabwise.plans import durations
 
 # Estimated rows in a window above which sliding frames are not used.
-FRAME_ROWS = 20_000
+FRAME_ROWS = 1_000
+# Entities treated as dense may be listed up to this number; the list is then small enough to broadcast.
+LISTED_ENTITIES = 10_000
 MERGEABLE = ("mean", "min", "max", "std", "slope", "delta")
+# Moments an operation needs.
+NEEDS = {
+    "mean": {"level"}, "std": {"level", "spread"}, "min": {"range"}, "max": {"range"}, "delta": {"range"},
+    "slope": {"level", "trend"},
+}
 
 CELL, AT, KIND, ORIGIN = "__cell", "__at", "__kind", "__origin"
 Triple = tuple[str, str, str]
@@ -42,54 +49,82 @@ def cell_width(windows: list[str], rows_per_day: int, task_rows: int = lay.TASK_
     return shared // parts
 
 
-def _state(column: str, over=None) -> Column:
-    """Moments of time (all rows), of the value, and of the two together (valued rows)."""
-    wrap = (lambda c: c.over(over)) if over is not None else (lambda c: c)
-    t, y = F.col("__tt"), F.col(column).cast("double")
-    zero = F.lit(0.0)
-    rows, n = wrap(F.count(t)), wrap(F.count(y))
-    return F.struct(
-        rows.cast("double").alias("rows"),
-        F.coalesce(wrap(F.avg(t)), zero).alias("tm"),
-        F.coalesce(wrap(F.var_pop(t)) * rows, zero).alias("t2"),
-        n.cast("double").alias("n"),
-        F.coalesce(wrap(F.avg(y)), zero).alias("ym"),
-        F.coalesce(wrap(F.var_pop(y)) * n, zero).alias("y2"),
-        F.coalesce(wrap(F.avg(F.when(y.isNotNull(), t))), zero).alias("pm"),
-        F.coalesce(wrap(F.covar_pop(t, y)) * n, zero).alias("c"),
-        wrap(F.min(y)).alias("low"),
-        wrap(F.max(y)).alias("high"),
-    )
+def dense_entities(df: DataFrame, entity: str, us: str, triples: list[Triple], frame_rows: int = FRAME_ROWS):
+    """Entities whose busiest day fills a window, or None where there are too many to list."""
+    longest = max(durations.micros(w) for _, _, w in triples)
+    daily = df.groupBy(F.col(entity).alias("__de"), F.floor(F.col(us) / lay.DAY).alias("__day")).count()
+    listed = daily.groupBy("__de").agg(F.max("count").alias("__d")).where(
+        F.col("__d") * (longest / lay.DAY) > frame_rows
+    ).select("__de")
+    found = listed.limit(LISTED_ENTITIES + 1).collect()
+    if len(found) > LISTED_ENTITIES:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(found, listed.schema))
 
 
-def _empty() -> Column:
+def _state(column: str, needs: frozenset[str], over=None) -> Column:
+    """Moments of the value, of time (all rows), and of the two together (valued rows)."""
+    wrap = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    t, y = F.col("__tt"), F.col(column).cast("double")
     zero = F.lit(0.0)
-    names = ("rows", "tm", "t2", "n", "ym", "y2", "pm", "c")
-    none = F.lit(None).cast("double")
-    return F.struct(*[zero.alias(n) for n in names], none.alias("low"), none.alias("high"))
-
-
-def _merge(a: Column, b: Column) -> Column:
-    def joint(count: str):
+    n = wrap(F.count(y))
+    fields = [n.cast("double").alias("n")]
+    if "level" in needs:
+        fields.append(F.coalesce(wrap(F.avg(y)), zero).alias("ym"))
+    if "spread" in needs:
+        fields.append(F.coalesce(wrap(F.var_pop(y)) * n, zero).alias("y2"))
+    if "trend" in needs:
+        rows = wrap(F.count(t))
+        fields += [
+            rows.cast("double").alias("rows"),
+            F.coalesce(wrap(F.avg(t)), zero).alias("tm"),
+            F.coalesce(wrap(F.var_pop(t)) * rows, zero).alias("t2"),
+            F.coalesce(wrap(F.avg(F.when(y.isNotNull(), t))), zero).alias("pm"),
+            F.coalesce(wrap(F.covar_pop(t, y)) * n, zero).alias("c"),
+        ]
+    if "range" in needs:
+        fields += [wrap(F.min(y)).alias("low"), wrap(F.max(y)).alias("high")]
+    return F.struct(*fields)
+
+
+def _empty(needs: frozenset[str]) -> Column:
+    names = ["n"] + ["ym"] * ("level" in needs) + ["y2"] * ("spread" in needs)
+    names += ["rows", "tm", "t2", "pm", "c"] if "trend" in needs else []
+    fields = [F.lit(0.0).alias(n) for n in names]
+    if "range" in needs:
+        fields += [F.lit(None).cast("double").alias(n) for n in ("low", "high")]
+    return F.struct(*fields)
+
+
+def _merge(needs: frozenset[str]):
+    """Combination of two states."""
+    def joint(a: Column, b: Column, count: str):
         total = a[count] + b[count]
-        share = F.when(total > 0, b[count] / total).otherwise(F.lit(0.0))
-        return total, share
-
-    rows, row_share = joint("rows")
-    n, share = joint("n")
-    dt, dy, dp = b["tm"] - a["tm"], b["ym"] - a["ym"], b["pm"] - a["pm"]
-    return F.struct(
-        rows.alias("rows"),
-        (a["tm"] + dt * row_share).alias("tm"),
-        (a["t2"] + b["t2"] + dt * dt * a["rows"] * row_share).alias("t2"),
-        n.alias("n"),
-        (a["ym"] + dy * share).alias("ym"),
-        (a["y2"] + b["y2"] + dy * dy * a["n"] * share).alias("y2"),
-        (a["pm"] + dp * share).alias("pm"),
-        (a["c"] + b["c"] + dp * dy * a["n"] * share).alias("c"),
-        F.least(a["low"], b["low"]).alias("low"),
-        F.greatest(a["high"], b["high"]).alias("high"),
-    )
+        return total, F.when(total > 0, b[count] / total).otherwise(F.lit(0.0))
+
+    def merge(a: Column, b: Column) -> Column:
+        n, share = joint(a, b, "n")
+        fields = [n.alias("n")]
+        if "level" in needs:
+            dy = b["ym"] - a["ym"]
+            fields.append((a["ym"] + dy * share).alias("ym"))
+        if "spread" in needs:
+            fields.append((a["y2"] + b["y2"] + dy * dy * a["n"] * share).alias("y2"))
+        if "trend" in needs:
+            rows, row_share = joint(a, b, "rows")
+            dt, dp = b["tm"] - a["tm"], b["pm"] - a["pm"]
+            fields += [
+                rows.alias("rows"),
+                (a["tm"] + dt * row_share).alias("tm"),
+                (a["t2"] + b["t2"] + dt * dt * a["rows"] * row_share).alias("t2"),
+                (a["pm"] + dp * share).alias("pm"),
+                (a["c"] + b["c"] + dp * dy * a["n"] * share).alias("c"),
+            ]
+        if "range" in needs:
+            fields += [F.least(a["low"], b["low"]).alias("low"), F.greatest(a["high"], b["high"]).alias("high")]
+        return F.struct(*fields)
+
+    return merge
 
 
 def _result(op: str, s: Column, current: Column) -> Column:
@@ -122,6 +157,7 @@ def attach(
     if not dense:
         return df, {}
     columns = list(dict.fromkeys(c for c, _, _ in dense))
+    needs = [frozenset().union(*[NEEDS[op] for c, op, _ in dense if c == column]) for column in columns]
     windows = list(dict.fromkeys(w for _, _, w in dense))
     width = cell_width(windows, plan.rows_per_day, task_rows)
     spans = [durations.micros(w) for w in windows]
@@ -147,8 +183,8 @@ def attach(
     after = inside.orderBy(F.desc(AT)).rangeBetween(Window.unboundedPreceding, -1)
     parts = data.unionByName(probes)
     for i in range(len(columns)):
-        parts = parts.withColumn(f"__head{i}", _state(f"__y{i}", upto)).withColumn(
-            f"__tail{i}", _state(f"__y{i}", after)
+        parts = parts.withColumn(f"__head{i}", _state(f"__y{i}", needs[i], upto)).withColumn(
+            f"__tail{i}", _state(f"__y{i}", needs[i], after)
         )
     chosen = []
     for i in range(len(columns)):
@@ -157,7 +193,7 @@ def attach(
             chosen.append(F.any_value(F.when(F.col(KIND) == k, F.col(f"__tail{i}")), True).alias(f"__tail{i}_{k}"))
     points = parts.groupBy("__e", ORIGIN).agg(*chosen).withColumn(CELL, cell(F.col(ORIGIN)))
 
-    cells = data.groupBy("__e", CELL).agg(*[_state(f"__y{i}").alias(f"__s{i}") for i in range(len(columns))])
+    cells = data.groupBy("__e", CELL).agg(*[_state(f"__y{i}", needs[i]).alias(f"__s{i}") for i in range(len(columns))])
     across = Window.partitionBy("__e").orderBy(CELL)
     middle = []
     for k, span in enumerate(spans):
@@ -165,10 +201,10 @@ def attach(
         for i in range(len(columns)):
             name = f"__mid{i}_{k}"
             if between < 1:
-                middle.append(_empty().alias(name))
+                middle.append(_empty(needs[i]).alias(name))
                 continue
             held = F.collect_list(f"__s{i}").over(across.rangeBetween(-between, -1))
-            middle.append(F.aggregate(held, _empty(), _merge).alias(name))
+            middle.append(F.aggregate(held, _empty(needs[i]), _merge(needs[i])).alias(name))
     cells = cells.select(F.col("__e").alias("__me"), F.col(CELL).alias("__mcell"), *middle)
     points = points.join(
         cells, F.col("__e").eqNullSafe(F.col("__me")) & (F.col(CELL) == F.col("__mcell")), "inner"
@@ -176,7 +212,9 @@ def attach(
     totals = points.select(
         F.col("__e").alias("__pe"), F.col(ORIGIN).alias("__pus"),
         *[
-            _merge(_merge(F.col(f"__tail{i}_{k}"), F.col(f"__mid{i}_{k}")), F.col(f"__head{i}")).alias(f"__w{i}_{k}")
+            _merge(needs[i])(
+                _merge(needs[i])(F.col(f"__tail{i}_{k}"), F.col(f"__mid{i}_{k}")), F.col(f"__head{i}")
+            ).alias(f"__w{i}_{k}")
             for i in range(len(columns)) for k in range(len(windows))
         ],
     )

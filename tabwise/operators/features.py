@@ -45,7 +45,6 @@ class Context:
     spec: DatasetSpec
     fitted: FittedFeatures
     frame: Callable[[str], Any]
-    first_us: Callable[[], Column]
 
 
 Built = list[tuple[str, Column]]
@@ -59,8 +58,6 @@ class TransformRule:
 
 def _windowed(op: str, formula: Callable[[str, Any], Column]) -> TransformRule:
     def build(ctx: Context, column: str, t: Transform) -> Built:
-        if not ctx.spec.temporal:
-            raise ValueError(f"transform {op!r} on {column!r} needs a time key")
         return [(f"{column}_{op}_{w}", formula(column, ctx.frame(w))) for w in t.windows]
 
     return TransformRule(build, needs_history=True)
@@ -142,43 +139,60 @@ def build_features(
     """Keys, ``keep`` columns and every engineered feature, one output row per input row.
 
     All windows share one shuffle and one sort per entity (or entity and time bucket when an entity
-    is too heavy for a task). Windows too dense for sliding frames use merged partial moments.
+    is too heavy for a task). Entities too dense for sliding frames go through merged partial moments.
     """
     _check(spec)
     fitted = fitted or FittedFeatures()
-    ops = {t.op for _, t in spec.items()}
-    windows = spec.windows()
-    work = df
-    plan = lay.WHOLE
+    looking_back = [(c, t.op, w) for c, t in spec.items() if needs_history(t.op) for w in t.windows]
+    if looking_back and not dataset.temporal:
+        raise ValueError(f"transforms of {spec.source_columns()} need a time key")
+    started = any(t.op == "elapsed_time" for _, t in spec.items())
+    if not (looking_back or started):
+        return _select(df, dataset, spec, fitted, keep, {}, halo=False)
+    work = df.withColumn(US, scalars.micros(dataset.time_key))
+    entity = dataset.entity_key
+    plan = lay.resolve(layout, work, [entity], F.col(US))
+    if dense_windows.choose(looking_back, plan):
+        dense = dense_windows.dense_entities(work, entity, US, looking_back)
+        if dense is not None:
+            same = F.col(entity).eqNullSafe(F.col("__de"))
+            sparse = work.join(dense, same, "left_anti")
+            rest = lay.measure(sparse, [entity], F.col(US))
+            a, state = _windowed_features(sparse, dataset, spec, fitted, keep, looking_back, rest, merged=False)
+            b, _ = _windowed_features(
+                work.join(dense, same, "left_semi"), dataset, spec, fitted, keep, looking_back, plan, merged=True
+            )
+            return a.unionByName(b), state
+    return _windowed_features(work, dataset, spec, fitted, keep, looking_back, plan, merged=True)
+
+
+def _windowed_features(work, dataset, spec, fitted, keep, looking_back, plan: lay.Layout, merged: bool):
+    entity = dataset.entity_key
+    if any(t.op in ("elapsed_time", "slope") for _, t in spec.items()):
+        work = lay.with_extreme(work, entity, US, "__first", latest=False, layout=plan)
+        work = work.withColumn("__t", F.expr(f"div({US} - __first, 1000000)"))
     dense: dict[str, str] = {}
-    if dataset.temporal and (windows or "elapsed_time" in ops):
-        work = work.withColumn(US, scalars.micros(dataset.time_key))
-        plan = lay.resolve(layout, work, [dataset.entity_key], F.col(US))
-        if "elapsed_time" in ops or "slope" in ops:
-            work = lay.with_extreme(work, dataset.entity_key, US, "__first", latest=False, layout=plan)
-            work = work.withColumn("__t", F.expr(f"div({US} - __first, 1000000)"))
-        if windows:
-            looking_back = [(c, t.op, w) for c, t in spec.items() if needs_history(t.op) for w in t.windows]
-            work, dense = dense_windows.attach(work, dataset.entity_key, US, looking_back, plan)
-            framed = [durations.micros(w) for c, op, w in looking_back if f"{c}_{op}_{w}" not in dense]
-            if framed:
-                span = max(framed)
-                plan = plan.at_least(span)
-                work = lay.range_halo(work, F.col(US), plan, before=span - 1)
-    halo = lay.BUCKET in work.columns
+    if merged:
+        work, dense = dense_windows.attach(work, entity, US, looking_back, plan)
+    framed = [durations.micros(w) for c, op, w in looking_back if f"{c}_{op}_{w}" not in dense]
+    if framed:
+        span = max(framed)
+        work = lay.range_halo(work, F.col(US), plan.at_least(span), before=span - 1)
+    return _select(work, dataset, spec, fitted, keep, dense, halo=bool(framed))
 
+
+def _select(work, dataset, spec, fitted, keep, dense: dict[str, str], halo: bool):
     def frame(window: str):
         parts = [dataset.entity_key] + ([lay.BUCKET] if halo else [])
         return Window.partitionBy(*parts).orderBy(US).rangeBetween(-durations.micros(window) + 1, 0)
 
-    ctx = Context(dataset, fitted, frame, lambda: F.col("__first"))
+    ctx = Context(dataset, fitted, frame)
     built: Built = []
     for column, t in spec.items():
         for name, value in TRANSFORMS[t.op].build(ctx, column, t):
             built.append((name, F.col(dense[name]) if name in dense else value))
     names = [name for name, _ in built]
-    fitted = FittedFeatures(fitted.categories, names)
     carried = list(dict.fromkeys([*dataset.keys, *keep]))
     extra = [lay.OWN, lay.BUCKET] if halo else []
     out = work.select(*carried, *extra, *[value.alias(name) for name, value in built])
-    return (lay.owned(out) if halo else out), fitted
+    return (lay.owned(out) if halo else out), FittedFeatures(fitted.categories, names)

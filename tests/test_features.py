@@ -71,14 +71,46 @@ def test_windows_match_the_definition(sensors, expected, layout):
     same(got, expected, expected.columns)
 
 
-def test_dense_windows_match_the_definition(sensors, expected, monkeypatch):
+@pytest.mark.parametrize("limit", [1, 10**9], ids=["all-dense", "none-dense"])
+def test_dense_windows_match_the_definition(sensors, expected, monkeypatch, limit):
     """Merged cell moments for every window that can be merged."""
     monkeypatch.setattr(dense_windows.choose, "__defaults__", (1,))
     monkeypatch.setattr(dense_windows.attach, "__defaults__", (1, 7))
+    monkeypatch.setattr(dense_windows.dense_entities, "__defaults__", (limit,))
     got = built(sensors, layout=lay.Layout(lay.DAY, 60))
     same(got, expected, expected.columns)
 
 
+def test_each_operation_alone_on_merged_moments(sensors, expected, monkeypatch):
+    monkeypatch.setattr(dense_windows.choose, "__defaults__", (1,))
+    monkeypatch.setattr(dense_windows.attach, "__defaults__", (1, 7))
+    monkeypatch.setattr(dense_windows.dense_entities, "__defaults__", (1,))
+    for op in dense_windows.MERGEABLE:
+        spec = FeatureSpec.read("s", {"value": {"transforms": [{op: {"windows": ["6h"]}}]}})
+        same(built(sensors, spec, lay.Layout(lay.DAY, 60)), expected, [f"value_{op}_6h"])
+
+
+def test_dense_and_sparse_entities_are_put_together(skewed, monkeypatch):
+    """Only the heavy entity passes the limit; the others keep sliding frames."""
+    want = built(skewed, layout=lay.WHOLE)
+    monkeypatch.setattr(dense_windows.choose, "__defaults__", (100,))
+    monkeypatch.setattr(dense_windows.attach, "__defaults__", (100, 50))
+    monkeypatch.setattr(dense_windows.dense_entities, "__defaults__", (100,))
+    us = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    plan = lay.measure(skewed, ["machine_id"], us, task_rows=100)
+    listed = dense_windows.dense_entities(skewed.withColumn("us", us), "machine_id", "us", [("value", "mean", "1d")])
+    assert [r[0] for r in listed.collect()] == ["m0"]
+    same(built(skewed, layout=plan), want, [c for c in want.columns if c.startswith("value_")])
+
+
+def test_many_dense_entities_all_take_merged_moments(sensors, expected, monkeypatch):
+    monkeypatch.setattr(dense_windows.choose, "__defaults__", (1,))
+    monkeypatch.setattr(dense_windows.attach, "__defaults__", (1, 7))
+    monkeypatch.setattr(dense_windows.dense_entities, "__defaults__", (1,))
+    monkeypatch.setattr(dense_windows, "LISTED_ENTITIES", 2)
+    same(built(sensors, layout=lay.Layout(lay.DAY, 60)), expected, expected.columns)
+
+
 def test_heavy_entity_is_cut_and_stays_exact(skewed):
     plan = lay.measure(skewed, ["machine_id"], F.unix_micros(F.col("timestamp").cast("timestamp")), task_rows=100)
     assert not plan.whole and plan.width < lay.DAY
