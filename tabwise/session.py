@@ -27,13 +27,13 @@ def build_session(app: str = "tabwise", master: str | None = None, **extra: str)
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for reliable checkpoints: the cluster's own setting, or a new one where unset (tests)."""
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    target = configured or tempfile.mkdtemp(prefix="tabwise-ckpt-")
-    spark.sparkContext.setCheckpointDir(target)
-    return target
+    current = context._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tabwise-ckpt-"))
+        current = context._jsc.sc().getCheckpointDir()
+    return configured or current.get()
 
 
 def settle(df: DataFrame) -> DataFrame:
