@@ -7,15 +7,20 @@ cut into cells that divide the window; the window ``(t - w, t]`` of a row is the
 
 Each part is a mergeable set of moments: the first and last come from running (not sliding) frames
 inside one (entity, cell), the middle from one row per cell. Work is linear in the rows, and an
-entity of any size is spread over its cells. Medians cannot be merged and stay with sliding frames.
+entity of any size is spread over its cells.
+
+Medians cannot be merged. They are taken per (entity, time bucket) with the window's rows copied in, by a
+rolling order statistic whose cost grows with the logarithm of the window instead of its size.
 """
 
 from __future__ import annotations
 
 from math import ceil, gcd
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwise.functions import layout as lay
 from tabwise.plans import durations
@@ -37,7 +42,7 @@ Triple = tuple[str, str, str]
 
 def choose(triples: list[Triple], plan: lay.Layout, frame_rows: int = FRAME_ROWS) -> list[Triple]:
     rows = lambda w: plan.rows_per_day * durations.micros(w) / lay.DAY
-    return [t for t in triples if t[1] in MERGEABLE and rows(t[2]) > frame_rows]
+    return [t for t in triples if t[1] in (*MERGEABLE, "median") and rows(t[2]) > frame_rows]
 
 
 def cell_width(windows: list[str], rows_per_day: int, task_rows: int = lay.TASK_ROWS) -> int:
@@ -153,9 +158,58 @@ def attach(
 
     Returns the rows and, per feature name, the column that holds it; sparse windows are left alone.
     """
-    dense = choose(triples, plan, frame_rows)
+    chosen = choose(triples, plan, frame_rows)
+    medians = [t for t in chosen if t[1] == "median"]
+    dense = [t for t in chosen if t[1] != "median"]
+    df, found = _attach_medians(df, entity, us, medians, plan) if medians else (df, {})
     if not dense:
-        return df, {}
+        return df, found
+    df, merged = _attach_merged(df, entity, us, dense, plan, task_rows)
+    return df, found | merged
+
+
+def rolling(held: pd.DataFrame, time: str, column: str, op: str, window: str) -> pd.Series:
+    """Values over ``(t - w, t]`` of rows in time order; rows of equal time all see the window of the last."""
+    values = pd.Series(
+        held[column].astype(float).to_numpy(), index=pd.DatetimeIndex(pd.to_datetime(held[time], unit="us"))
+    )
+    span = pd.Timedelta(durations.micros(window), unit="us")
+    rolled = getattr(values.rolling(span, min_periods=2 if op == "std" else 1, closed="right"), op)()
+    return pd.Series(rolled.to_numpy()).groupby(held[time].to_numpy()).transform("last")
+
+
+def _attach_medians(
+    df: DataFrame, entity: str, us: str, triples: list[Triple], plan: lay.Layout
+) -> tuple[DataFrame, dict[str, str]]:
+    columns = list(dict.fromkeys(c for c, _, _ in triples))
+    span = max(durations.micros(w) for _, _, w in triples)
+    narrow = df.select(
+        F.col(entity).alias("__e"), F.col(us).alias("__t"),
+        *[F.col(c).cast("double").alias(f"__y{i}") for i, c in enumerate(columns)],
+    )
+    placed = lay.range_halo(narrow, F.col("__t"), plan.at_least(span), before=span - 1)
+    wanted = [(f"__y{columns.index(c)}", w) for c, _, w in triples]
+    out = T.StructType([
+        T.StructField("__pe", narrow.schema["__e"].dataType), T.StructField("__pus", T.LongType()),
+        *[T.StructField(f"__median{j}", T.DoubleType()) for j in range(len(wanted))],
+    ])
+
+    def medians(group: pd.DataFrame) -> pd.DataFrame:
+        held = group.sort_values("__t", kind="stable").reset_index(drop=True)
+        result = pd.DataFrame({"__pe": held["__e"], "__pus": held["__t"]})
+        for j, (column, window) in enumerate(wanted):
+            result[f"__median{j}"] = rolling(held, "__t", column, "median", window)
+        return result[held[lay.OWN].astype(bool)].drop_duplicates("__pus")
+
+    found = placed.groupBy("__e", lay.BUCKET).applyInPandas(medians, out)
+    joined = df.join(found, F.col(entity).eqNullSafe(F.col("__pe")) & (F.col(us) == F.col("__pus")), "inner")
+    names = {f"{c}_median_{w}": f"__median{j}" for j, (c, _, w) in enumerate(triples)}
+    return joined.select(*[F.col(c) for c in df.columns], *names.values()), names
+
+
+def _attach_merged(
+    df: DataFrame, entity: str, us: str, dense: list[Triple], plan: lay.Layout, task_rows: int
+) -> tuple[DataFrame, dict[str, str]]:
     columns = list(dict.fromkeys(c for c, _, _ in dense))
     needs = [frozenset().union(*[NEEDS[op] for c, op, _ in dense if c == column]) for column in columns]
     windows = list(dict.fromkeys(w for _, _, w in dense))

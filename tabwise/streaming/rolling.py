@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tabwise.operators.dense_windows import rolling
 from tabwise.plans import durations
 from tabwise.plans.specs import DatasetSpec, FeatureSpec
 from tabwise.streaming import state
@@ -13,15 +14,6 @@ from tabwise.streaming import state
 STREAMED = ("mean", "min", "max", "std", "median")
 
 
-def _window(held: pd.DataFrame, column: str, op: str, window: str) -> pd.Series:
-    """Values over ``(t - w, t]``; rows of equal time all see the window of the last of them."""
-    times = pd.to_datetime(held[state.US], unit="us")
-    values = pd.Series(held[column].astype(float).to_numpy(), index=pd.DatetimeIndex(times))
-    span = pd.Timedelta(durations.micros(window), unit="us")
-    rolled = getattr(values.rolling(span, min_periods=2 if op == "std" else 1, closed="right"), op)()
-    return pd.Series(rolled.to_numpy()).groupby(held[state.US].to_numpy()).transform("last")
-
-
 def rolling_features(
     stream: DataFrame, dataset: DatasetSpec, spec: FeatureSpec, keep: list[str] | None = None,
     delay: str = "1 hour", bucket: str = "1d",
@@ -40,7 +32,7 @@ def rolling_features(
 
     def compute(held: pd.DataFrame) -> pd.DataFrame:
         for column, op, window in wanted:
-            held[f"{column}_{op}_{window}"] = _window(held, column, op, window)
+            held[f"{column}_{op}_{window}"] = rolling(held, state.US, column, op, window)
         return held
 
     outputs = [T.StructField(f"{c}_{op}_{w}", T.DoubleType()) for c, op, w in wanted]
