@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwise.functions.scalars import named
+
 DAY = 86_400_000_000
 # Rows one task may sort for one entity before the entity is cut into time buckets.
 TASK_ROWS = 1_000_000
@@ -107,7 +109,7 @@ def nearest_halo(
     if layout.whole:
         return df.withColumn(BUCKET, layout.bucket(F.col(us))).withColumn(OWN, F.lit(True))
     placed = df.withColumn(BUCKET, layout.bucket(F.col(us)))
-    payload = F.struct(*[F.col(c) for c in df.columns])
+    payload = F.struct(*map(named, df.columns))
     pick = F.min_by if later else F.max_by
     edge = placed.groupBy(*keys, BUCKET).agg(
         pick(F.when(marker, payload), F.when(marker, F.col(us))).alias("__edge")

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def named(name: str) -> Column:
+    """Column of exactly this name: category and header names may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def as_column(value: str | Column) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+    return named(value) if isinstance(value, str) else value
 
 
 def micros(time: str | Column) -> Column:

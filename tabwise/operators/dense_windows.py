@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwise.functions import layout as lay
+from tabwise.functions.scalars import named
 from tabwise.plans import durations
 
 # Estimated rows in a window above which sliding frames are not used.
@@ -185,7 +186,7 @@ def _attach_medians(
     span = max(durations.micros(w) for _, _, w in triples)
     narrow = df.select(
         F.col(entity).alias("__e"), F.col(us).alias("__t"),
-        *[F.col(c).cast("double").alias(f"__y{i}") for i, c in enumerate(columns)],
+        *[named(c).cast("double").alias(f"__y{i}") for i, c in enumerate(columns)],
     )
     placed = lay.range_halo(narrow, F.col("__t"), plan.at_least(span), before=span - 1)
     wanted = [(f"__y{columns.index(c)}", w) for c, _, w in triples]
@@ -204,7 +205,7 @@ def _attach_medians(
     found = placed.groupBy("__e", lay.BUCKET).applyInPandas(medians, out)
     joined = df.join(found, F.col(entity).eqNullSafe(F.col("__pe")) & (F.col(us) == F.col("__pus")), "inner")
     names = {f"{c}_median_{w}": f"__median{j}" for j, (c, _, w) in enumerate(triples)}
-    return joined.select(*[F.col(c) for c in df.columns], *names.values()), names
+    return joined.select(*map(named, df.columns), *names.values()), names
 
 
 def _attach_merged(
@@ -216,7 +217,7 @@ def _attach_merged(
     width = cell_width(windows, plan.rows_per_day, task_rows)
     spans = [durations.micros(w) for w in windows]
 
-    values = [F.col(c).cast("double").alias(f"__y{i}") for i, c in enumerate(columns)]
+    values = [named(c).cast("double").alias(f"__y{i}") for i, c in enumerate(columns)]
     seconds = F.col("__t").cast("double") if "__t" in df.columns else F.lit(0.0)
     cell = lambda at: F.floor(at / F.lit(width)).cast("long").alias(CELL)
     data = df.select(
@@ -280,4 +281,4 @@ def _attach_merged(
         state = F.col(f"__w{columns.index(column)}_{windows.index(window)}")
         out.append(_result(op, state, F.col(column)).alias(f"__dense{j}"))
         names[f"{column}_{op}_{window}"] = f"__dense{j}"
-    return joined.select(*[F.col(c) for c in df.columns], *out), names
+    return joined.select(*map(named, df.columns), *out), names

@@ -71,11 +71,11 @@ def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     if not columns:
         return {}
     pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns
+        F.struct(F.lit(c).alias("column"), scalars.named(c).cast("double").alias("x")) for c in columns
     ]))
     rows = df.count()
     if rows * len(columns) <= quantiles.BUFFER_ROWS:  # all columns share one aggregation buffer
-        fitted = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in columns]).first().asDict()
+        fitted = df.agg(*[F.median(scalars.named(c).cast("double")).alias(c) for c in columns]).first().asDict()
     else:
         long = df.select(pairs.alias("p")).select("p.*")
         table = quantiles.group_quantiles(long, ["column"], "x", {"median": 0.5}, largest=rows).collect()
@@ -87,14 +87,14 @@ def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 
 def impute(df: DataFrame, medians: Mapping[str, float]) -> DataFrame:
-    fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in medians.items() if c in df.columns}
+    fill = {c: F.coalesce(scalars.named(c).cast("double"), F.lit(v)) for c, v in medians.items() if c in df.columns}
     return df.withColumns(fill) if fill else df
 
 
 def fit_scaling(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation per column; a constant column is divided by 1."""
     row = df.agg(*[
-        f(F.col(c).cast("double")).alias(f"{k}{i}")
+        f(scalars.named(c).cast("double")).alias(f"{k}{i}")
         for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))
     ]).first()
     return {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
@@ -102,13 +102,13 @@ def fit_scaling(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float,
 
 def scaled(column: str, fitted: tuple[float, float]) -> Column:
     mean, spread = fitted
-    return (F.col(column).cast("double") - F.lit(mean)) / F.lit(spread)
+    return (scalars.named(column).cast("double") - F.lit(mean)) / F.lit(spread)
 
 
 def assemble(df: DataFrame, names: Sequence[str], out: str = "features", scaling: Mapping[str, Any] | None = None):
     """Feature vector in contract order, scaled first when constants are given."""
-    if not scaling:
-        return VectorAssembler(inputCols=list(names), outputCol=out, handleInvalid="error").transform(df)
-    inputs = {f"__z{i}": scaled(n, scaling[n]) for i, n in enumerate(names)}
+    inputs = {
+        f"__z{i}": scaled(n, scaling[n]) if scaling else scalars.named(n).cast("double") for i, n in enumerate(names)
+    }
     wide = df.withColumns(inputs)
     return VectorAssembler(inputCols=list(inputs), outputCol=out).transform(wide).drop(*inputs)

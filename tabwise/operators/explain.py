@@ -26,14 +26,14 @@ UNSEEN = "(unseen)"
 
 def linear_impact(column: str, coefficient: float, mean: float) -> Column:
     """Effect of a value against the training mean, for a coefficient in the column's own unit."""
-    return F.lit(float(coefficient)) * (F.col(column).cast("double") - F.lit(float(mean)))
+    return F.lit(float(coefficient)) * (scalars.named(column).cast("double") - F.lit(float(mean)))
 
 
 def linear_attribution(
     df: DataFrame, keys: Sequence[str], coefficients: dict[str, float], means: dict[str, float]
 ) -> DataFrame:
     entries = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"),
+        F.struct(F.lit(c).alias("feature"), scalars.named(c).cast("double").alias("value"),
                  linear_impact(c, w, means[c]).alias("impact"))
         for c, w in coefficients.items()
     ])
@@ -118,12 +118,14 @@ def tree_attribution(df: DataFrame, model: TrainedModel, keys: Sequence[str]) ->
     """Long table of impacts for feature rows, computed per Arrow batch with the leaves broadcast."""
     names = model.feature_names
     leaves = df.sparkSession.sparkContext.broadcast(leaf_tables(tree_leaves(model)))
-    filled = encoding.impute(df.select(*keys, *names), model.medians)
+    filled = encoding.impute(df.select(*map(scalars.named, [*keys, *names])), model.medians)
     n = len(names)
+    inputs = [f"x{i}" for i in range(n)]  # feature names may hold any character
+    filled = filled.select(*map(scalars.named, keys), *[scalars.named(f).alias(x) for f, x in zip(names, inputs)])
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = batch[names].to_numpy(dtype=float)
+            x = batch[inputs].to_numpy(dtype=float)
             impact, base = shapley_batch(x, leaves.value, n)
             rows = batch[list(keys)].loc[batch.index.repeat(n)].reset_index(drop=True)
             rows["feature"] = names * len(batch)

@@ -90,7 +90,7 @@ def _categorical(ctx: Context, column: str, t: Transform) -> Built:
 
 
 TRANSFORMS: dict[str, TransformRule] = {
-    "current": TransformRule(lambda _ctx, c, _t: [(f"{c}_current", F.col(c))]),
+    "current": TransformRule(lambda _ctx, c, _t: [(f"{c}_current", scalars.named(c))]),
     "mean": _windowed("mean", lambda c, f: F.avg(c).over(f)),
     "min": _windowed("min", lambda c, f: F.min(c).over(f)),
     "max": _windowed("max", lambda c, f: F.max(c).over(f)),
@@ -194,5 +194,5 @@ def _select(work, dataset, spec, fitted, keep, dense: dict[str, str], halo: bool
     names = [name for name, _ in built]
     carried = list(dict.fromkeys([*dataset.keys, *keep]))
     extra = [lay.OWN, lay.BUCKET] if halo else []
-    out = work.select(*carried, *extra, *[value.alias(name) for name, value in built])
+    out = work.select(*map(scalars.named, carried), *extra, *[value.alias(name) for name, value in built])
     return (lay.owned(out) if halo else out), FittedFeatures(fitted.categories, names)

@@ -26,8 +26,10 @@ def latest_per_entity(
             df = df.where(F.col(time) >= earliest.cast(df.schema[time].dataType))
     order = F.struct(scalars.micros(time), *[F.col(t) for t in ties])
     rest = [c for c in df.columns if c != entity]
-    best = df.groupBy(entity).agg(F.max_by(F.struct(*rest), order).alias(PAYLOAD))
-    return best.select(entity, f"{PAYLOAD}.*").select(*df.columns)
+    best = df.groupBy(scalars.named(entity)).agg(
+        F.max_by(F.struct(*map(scalars.named, rest)), order).alias(PAYLOAD)
+    )
+    return best.select(scalars.named(entity), f"{PAYLOAD}.*").select(*map(scalars.named, df.columns))
 
 
 def as_of_join(
@@ -45,12 +47,12 @@ def as_of_join(
         raise ValueError(f"columns on both sides: {clash}; give a prefix")
     seen = observations.select(
         F.col(entity).alias("__e"), scalars.micros(time).alias(AT), F.lit(0).alias("__kind"),
-        F.struct(*[F.col(c) for c in payload]).alias(PAYLOAD),
+        F.struct(*map(scalars.named, payload)).alias(PAYLOAD),
         F.struct(*[F.col(t) for t in ties] or [F.lit(0).alias("t")]).alias("__tie"),
     )
     asked = requests.select(
         F.col(entity).alias("__e"), scalars.micros(request_time).alias(AT), F.lit(1).alias("__kind"),
-        F.struct(*[F.col(c) for c in requests.columns]).alias(ROW),
+        F.struct(*map(scalars.named, requests.columns)).alias(ROW),
     )
     both = seen.unionByName(asked, allowMissingColumns=True)
     plan = lay.resolve(layout, both, ["__e"], F.col(AT))
@@ -65,7 +67,7 @@ def as_of_join(
     )
     found = placed.withColumn("__last", F.last(PAYLOAD, ignorenulls=True).over(upto))
     return found.where((F.col("__kind") == 1) & F.col(lay.OWN)).select(
-        f"{ROW}.*", *[F.col(f"__last.{c}").alias(prefix + c) for c in payload]
+        f"{ROW}.*", *[F.col("__last")[c].alias(prefix + c) for c in payload]
     )
 
 
@@ -93,7 +95,7 @@ def first_within(
     """
     asked = left.select(
         F.col(entity).alias("__e"), scalars.from_micros(scalars.micros(left_time)).alias(AT),
-        F.lit(False).alias("__event"), F.struct(*[F.col(c) for c in left.columns]).alias(ROW),
+        F.lit(False).alias("__event"), F.struct(*map(scalars.named, left.columns)).alias(ROW),
     )
     events = right.select(
         F.col(entity).alias("__e"), scalars.from_micros(scalars.micros(right_time)).alias(AT),

@@ -83,7 +83,7 @@ class TrainedModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction`` (value or probability) and, for classifiers, ``predicted_label``."""
         ready = encoding.assemble(encoding.impute(df, self.medians), self.feature_names, VECTOR, self.scaling)
-        kept = [c for c in df.columns]
+        kept = [scalars.named(c) for c in df.columns]
         scored = self.estimator.transform(ready)
         if self.regression:
             return scored.select(*kept, F.col("prediction").cast("double").alias("prediction"))

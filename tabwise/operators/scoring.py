@@ -71,7 +71,7 @@ def score_requests(
     names = {f"f_{n}": n for n in model.feature_names}
     flat = found.select(
         *requests.columns, F.col(f"f_{spec.time_key}").alias("observed_at"), F.col("f___seen").alias("__seen"),
-        *[F.col(f"`{k}`").alias(v) for k, v in names.items()],
+        *[scalars.named(k).alias(v) for k, v in names.items()],
     )
     scored = model.transform(flat)
     seen = F.col("__seen").isNotNull()
@@ -106,7 +106,7 @@ def score_records(model: TrainedModel, records: DataFrame) -> DataFrame:
         raise ValueError(f"records lack the source columns {absent}")
     rows = with_placeholder_keys(records, spec)
     built, _ = features.build_features(rows, spec, config.features, model.fitted, keep=records.columns)
-    return model.transform(built).select(*records.columns, *_outputs(model))
+    return model.transform(built).select(*map(scalars.named, records.columns), *_outputs(model))
 
 
 def with_placeholder_keys(records: DataFrame, spec) -> DataFrame:

@@ -35,7 +35,7 @@ def over_rows(
     work = lay.row_halo(work, [entity], US, ties, plan, before, after, chunk_rows)
     window = Window.partitionBy(entity, lay.BUCKET).orderBy(POS)
     added = build(window)
-    return work.withColumns(added).where(F.col(lay.OWN)).select(*names, *added)
+    return work.withColumns(added).where(F.col(lay.OWN)).select(*map(scalars.named, names), *added)
 
 
 def lags(df, entity: str, time: str, column: str, steps: Sequence[int], default: Any = 0, **kw) -> DataFrame:

@@ -19,7 +19,7 @@ def binary_target(spec: TargetSpec) -> Column:
 
 
 def regression_target(spec: TargetSpec) -> Column:
-    return F.col(spec.source_column).cast("double")
+    return scalars.named(spec.source_column).cast("double")
 
 
 def with_next_event(
@@ -39,7 +39,7 @@ def with_next_event(
         Window.unboundedPreceding, 0 if include_current else -1
     )
     work = work.withColumn(out, F.min(F.when(F.col("__hit"), F.col(US))).over(ahead))
-    return lay.owned(work).select(*names, out)
+    return lay.owned(work).select(*map(scalars.named, names), out)
 
 
 def future_event_target(
@@ -50,7 +50,7 @@ def future_event_target(
         raise ValueError(f"target {spec.name!r}: a future event needs a horizon")
     if not dataset.temporal:
         raise ValueError(f"target {spec.name!r}: a future event needs a time key")
-    hit = F.col(spec.source_column) == F.lit(spec.positive_class)
+    hit = scalars.named(spec.source_column) == F.lit(spec.positive_class)
     ahead = with_next_event(df, dataset.entity_key, dataset.time_key, hit, layout=layout)
     within = F.col(NEXT) - scalars.micros(dataset.time_key) <= F.lit(spec.horizon_micros)
     return ahead.withColumn(spec.name, F.coalesce(within, F.lit(False)).cast("tinyint")).drop(NEXT)

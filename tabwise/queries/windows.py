@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tabwise.functions import layout as lay
+from tabwise.functions.scalars import micros
 from tabwise.operators import features as ops
 from tabwise.operators import targets
 from tabwise.plans import durations
@@ -88,8 +90,10 @@ PURCHASE = TargetSpec("purchase_24h", "future_event", "event_type", "24h", "purc
     FROM e WINDOW {frame('6h', 'w6')}, {frame('24h', 'w24')}""")
 def feature_matrix(spark, folder):
     """Training table: keys, trailing features, future label."""
-    labelled = targets.build_target(table(spark, folder, "events"), PURCHASE, EVENTS)
-    built, _ = ops.build_features(labelled, EVENTS, FLAGSHIP, keep=["event_id", PURCHASE.name])
+    events = table(spark, folder, "events")
+    layout = lay.measure(events, ["user_id"], micros("ts"))  # shared by label and windows
+    labelled = targets.build_target(events, PURCHASE, EVENTS, layout)
+    built, _ = ops.build_features(labelled, EVENTS, FLAGSHIP, keep=["event_id", PURCHASE.name], layout=layout)
     return rounded(built)
 
 

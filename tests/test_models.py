@@ -247,3 +247,24 @@ def test_grouping_and_drivers(spark):
     assert got["exposure_dose"].value == "24.9" and got["tool__x"].value == explain.UNSEEN
     top = explain.top_drivers(explain.group_onehot(long, ["id"]), ["id"], 1).collect()
     assert {(r.ranking, r.feature) for r in top} == {("positive", "tool__x"), ("negative", "exposure_dose"), ("absolute", "tool__x")}
+
+
+def test_categories_with_dots_and_backticks(spark):
+    rng = np.random.default_rng(4)
+    kinds = ["v1.2", "a`b", "plain"]
+    rows = [(f"e{i}", kinds[i % 3], float(i % 3) * 10 + float(rng.normal())) for i in range(240)]
+    df = spark.createDataFrame(rows, "id string, kind string, y double")
+    config = DatasetConfig.read({
+        "dataset": {"dataset_id": "d", "entity_key": "id"},
+        "features": {"kind": {"transforms": ["categorical"]}},
+        "target": {"name": "t", "type": "regression", "source_column": "y"}})
+    for algorithm, params in (("linear_regression", None), ("xgboost_regressor", {"maxIter": 2})):
+        model = models.train_model(df, config, "dots", algorithm, params)
+        assert {f"kind__{k}" for k in kinds} == set(model.feature_names)
+        assert model.metrics["test"]["r2"] > 0.1
+        assert scoring.score_entities(model, df).count() == 240
+        from tabwise.operators import features
+
+        built, _ = features.build_features(df, config.dataset, config.features, model.fitted)
+        grouped = explain.group_onehot(explain.attribution(built, model, ["id"]), ["id"])
+        assert {(r.feature, r.value) for r in grouped.collect()} == {("kind", k) for k in kinds}
