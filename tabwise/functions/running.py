@@ -13,19 +13,23 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 512
 SINGLE_TASK_ROWS = 200_000
+# Rows aimed at per bucket, and bounds on the number of buckets.
+BUCKET_ROWS = 500_000
+FEWEST, MOST = 16, 8192
 
 
 def running_totals(
     df: DataFrame, order: str, columns: Sequence[str], descending: bool = True,
-    single_task_rows: int = SINGLE_TASK_ROWS, buckets: int = BUCKETS,
+    single_task_rows: int = SINGLE_TASK_ROWS, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add ``cum_{c}`` (inclusive) for every column; ``order`` must be distinct in ``df``."""
     direction = F.desc(order) if descending else F.asc(order)
-    if df.count() <= single_task_rows:
+    rows = df.count()
+    if rows <= single_task_rows:
         single = Window.orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(single).alias(f"cum_{c}") for c in columns])
+    buckets = max(FEWEST, min(MOST, rows // bucket_rows))
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = df.select(F.percentile_approx(F.col(order).cast("double"), cuts, 10 * buckets)).first()[0]
     splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
@@ -36,7 +40,7 @@ def running_totals(
     earlier = Window.orderBy(F.desc("__cell") if descending else F.asc("__cell")).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = totals.select(  # at most `buckets` rows
+    offsets = totals.select(  # one row per bucket
         "__cell", *[F.coalesce(F.sum(f"__t_{c}").over(earlier), F.lit(0)).alias(f"__t_{c}") for c in columns]
     )
     inside = Window.partitionBy("__cell").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)

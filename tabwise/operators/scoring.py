@@ -17,6 +17,7 @@ from tabwise.operators import search as srch
 from tabwise.operators.models import TrainedModel
 from tabwise.plans import durations
 from tabwise.plans.specs import DatasetConfig
+from tabwise.session import settle
 
 ERROR = "prediction_error"
 
@@ -63,6 +64,13 @@ def score_requests(
 ) -> DataFrame:
     """Score many (entity, time) requests in one job; requests without history carry an error text."""
     spec = model.config.dataset
+    # Only entities asked for, up to the last time asked for: the time bound reaches the scan.
+    latest = requests.agg(F.max(F.col(request_time).cast("timestamp"))).first()[0]
+    if latest is not None:
+        bound = F.lit(latest).cast(observations.schema[spec.time_key].dataType)
+        observations = observations.where(F.col(spec.time_key) <= bound)
+    asked = requests.select(F.col(spec.entity_key).alias("__asked")).distinct()
+    observations = observations.join(asked, F.col(spec.entity_key) == F.col("__asked"), "left_semi")
     built, _ = features.build_features(observations, spec, model.config.features, model.fitted, layout=layout)
     found = joins.as_of_join(
         requests, built.withColumn("__seen", F.lit(1)), spec.entity_key, request_time, spec.time_key,
@@ -193,14 +201,14 @@ class Evaluation:
     scored: DataFrame
 
 
-def evaluate(
-    model: TrainedModel, table: DataFrame, split: str | None = "split", filters=None, sample_size: int = 50,
-    layout=None, cold_start: bool = False,
-) -> Evaluation:
-    """Held-out metrics, overall and under an optional filter, with a sample of scored rows.
+def score_held_out(
+    model: TrainedModel, table: DataFrame, split: str | None = "split", layout=None, cold_start: bool = False
+) -> DataFrame:
+    """Held-out rows with label and prediction beside the table's own columns.
 
-    Predictions stay on their row together with the table's columns, so filters and error slices always
-    see the right row. Windows read the full history before the held-out rows unless ``cold_start``.
+    Predictions stay on their row, so filters and error slices always see the right one. Windows read the full
+    history before the held-out rows unless ``cold_start``. Metrics read the result many times, so it is
+    written once.
     """
     from tabwise.operators.models import labelled_features
 
@@ -210,9 +218,17 @@ def evaluate(
     built, _ = labelled_features(
         source, config, layout, fitted=model.fitted, keep=[c for c in table.columns if c != label]
     )
-    scored = model.transform(held_out(built).where(F.col(label).isNotNull())).drop(
-        *[n for n in model.feature_names if n not in table.columns]
-    )
+    scored = model.transform(held_out(built).where(F.col(label).isNotNull()))
+    return settle(scored.drop(*[n for n in model.feature_names if n not in table.columns]))
+
+
+def evaluate(
+    model: TrainedModel, table: DataFrame, split: str | None = "split", filters=None, sample_size: int = 50,
+    layout=None, cold_start: bool = False,
+) -> Evaluation:
+    """Held-out metrics, overall and under an optional filter, with a sample of scored rows."""
+    config, label = model.config, model.config.target.name
+    scored = score_held_out(model, table, split, layout, cold_start)
 
     def measured(rows: DataFrame) -> DataFrame:
         if not model.regression:

@@ -161,7 +161,7 @@ class Workspace:
 
     def evaluation_slices(self, model_id: str, metric: str = "abs_error", dimensions=None, **kw) -> DataFrame:
         model = self.model(model_id)
-        scored = scoring.evaluate(model, self.split(model.config.dataset_id)).scored
+        scored = scoring.score_held_out(model, self.split(model.config.dataset_id))
         return metrics.error_slices(
             scored, model.config.target.name, "prediction", metric, dimensions, model.regression,
             spec=model.config.dataset, **kw,

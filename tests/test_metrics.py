@@ -40,7 +40,7 @@ def test_perfect_separation(spark):
 
 @pytest.mark.parametrize("single_task_rows", [10**6, 0], ids=["one-task", "bucketed"])
 def test_ranking_with_ties(spark, tied, monkeypatch, single_task_rows):
-    monkeypatch.setattr(running.running_totals, "__defaults__", (True, single_task_rows, 16))
+    monkeypatch.setattr(running.running_totals, "__defaults__", (True, single_task_rows, 50))
     y, p = tied
     table = metrics.score_table(scored(spark, y, p), "y", "p")
     row = metrics.ranking_metrics(table).first()
@@ -113,5 +113,5 @@ def test_error_columns_and_slices(spark):
 
 def test_running_totals_ascending(spark):
     df = spark.range(1000).selectExpr("cast(id as double) x", "id % 7 v")
-    rows = running.running_totals(df, "x", ["v"], descending=False, single_task_rows=0, buckets=8).orderBy("x").collect()
+    rows = running.running_totals(df, "x", ["v"], descending=False, single_task_rows=0, bucket_rows=10).orderBy("x").collect()
     assert [r.cum_v for r in rows] == list(np.cumsum([i % 7 for i in range(1000)]))
