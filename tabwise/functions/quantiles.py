@@ -18,13 +18,20 @@ from pyspark.sql import functions as F
 
 BUFFER_ROWS = 1_000_000
 ACCURACY = 10_000
+# Bracket rows (groups times fractions) up to which they are broadcast to the table instead of shuffling it.
+BROADCAST_ROWS = 100_000
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group: one pass with map-side counts."""
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """(rows of the largest group, number of groups): one pass with map-side counts."""
     if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        return df.count(), 1
+    largest, groups = df.groupBy(*keys).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    return largest or 0, groups
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    return group_sizes(df, keys)[0]
 
 
 def _position(n: Column, q: float, nearest: bool) -> Column:
@@ -40,20 +47,23 @@ def group_quantiles(
     nearest: Sequence[str] = (),
     buffer_rows: int = BUFFER_ROWS,
     accuracy: int = ACCURACY,
-    largest: int | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """One row per group with a column per requested fraction.
 
     Fractions interpolate between neighbours; those named in ``nearest`` return the element at 0-based
-    rank ``floor((n - 1) * q + 0.5)``. Nulls are ignored; a group of nulls gives nulls. ``largest`` is the
-    size of the largest group where the caller already knows it, otherwise it is counted.
+    rank ``floor((n - 1) * q + 0.5)``. Nulls are ignored; a group of nulls gives nulls. ``sizes`` is the
+    result of ``group_sizes``, or an upper bound of it, where the caller already knows it.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("__v"))
-    small = (largest if largest is not None else largest_group(data, keys)) <= buffer_rows
+    largest, groups = sizes or group_sizes(data, keys)
+    small = largest <= buffer_rows
     if small and not nearest:
         return data.groupBy(*keys).agg(*[F.percentile("__v", q).alias(name) for name, q in fractions.items()])
-    return _by_counting(data, keys, fractions, set(nearest), None if small else accuracy)
+    if small:
+        return _by_ranking(data, keys, fractions, set(nearest))
+    return _by_counting(data, keys, fractions, set(nearest), accuracy, groups * len(fractions) <= BROADCAST_ROWS)
 
 
 def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -77,11 +87,9 @@ def _by_ranking(data: DataFrame, keys: list[str], fractions: Mapping[str, float]
 
 
 def _by_counting(
-    data: DataFrame, keys: list[str], fractions: Mapping[str, float], nearest: set[str], accuracy: int | None
+    data: DataFrame, keys: list[str], fractions: Mapping[str, float], nearest: set[str], accuracy: int, few: bool
 ) -> DataFrame:
     names = list(fractions)
-    if not accuracy:
-        return _by_ranking(data, keys, fractions, nearest)
     present = data.where(F.col("__v").isNotNull())
     sizes = [F.count("__v").alias("__n")]
     slack = 2.0 / accuracy
@@ -103,6 +111,7 @@ def _by_counting(
         *keys, "__w.*"
     )
     renamed = stats.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__name", "__pos", "__lo", "__hi")
+    renamed = F.broadcast(renamed) if few else renamed
     on = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)],

@@ -19,14 +19,15 @@ def _grouped(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str,
     medians = {out: col for out, (col, name) in wanted.items() if check(name) == "median"}
     direct = [aggregate(name, col).alias(out) for out, (col, name) in wanted.items() if out not in medians]
     counted = [F.count(F.lit(1)).cast("long").alias("row_count")] if rows else []
-    if medians and quantiles.largest_group(df.select(*keys), keys) <= quantiles.BUFFER_ROWS:
+    sizes = quantiles.group_sizes(df.select(*keys), keys) if medians else (0, 0)
+    if medians and sizes[0] <= quantiles.BUFFER_ROWS:
         direct += [F.median(col).alias(out) for out, col in medians.items()]
         medians = {}
     if not direct and not counted:
         counted = [F.count(F.lit(1)).alias("__rows")]
     result = df.groupBy(*keys).agg(*direct, *counted)
     for out, col in medians.items():
-        part = quantiles.group_quantiles(df, keys, col, {out: 0.5})
+        part = quantiles.group_quantiles(df, keys, col, {out: 0.5}, sizes=sizes)
         part = part.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], out)
         on = reduce(
             lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.lit(True)

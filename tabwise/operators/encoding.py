@@ -78,7 +78,7 @@ def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
         fitted = df.agg(*[F.median(scalars.named(c).cast("double")).alias(c) for c in columns]).first().asDict()
     else:
         long = df.select(pairs.alias("p")).select("p.*")
-        table = quantiles.group_quantiles(long, ["column"], "x", {"median": 0.5}, largest=rows).collect()
+        table = quantiles.group_quantiles(long, ["column"], "x", {"median": 0.5}, sizes=(rows, len(columns))).collect()
         fitted = {r["column"]: r["median"] for r in table}
     empty = [c for c in columns if fitted.get(c) is None]
     if empty:

@@ -148,7 +148,7 @@ def build_features(
         raise ValueError(f"transforms of {spec.source_columns()} need a time key")
     started = any(t.op == "elapsed_time" for _, t in spec.items())
     if not (looking_back or started):
-        return _select(df, dataset, spec, fitted, keep, {}, halo=False)
+        return select_features(df, dataset, spec, fitted, keep, {})
     work = df.withColumn(US, scalars.micros(dataset.time_key))
     entity = dataset.entity_key
     plan = lay.resolve(layout, work, [entity], F.col(US))
@@ -178,10 +178,11 @@ def _windowed_features(work, dataset, spec, fitted, keep, looking_back, plan: la
     if framed:
         span = max(framed)
         work = lay.range_halo(work, F.col(US), plan.at_least(span), before=span - 1)
-    return _select(work, dataset, spec, fitted, keep, dense, halo=bool(framed))
+    return select_features(work, dataset, spec, fitted, keep, dense, halo=bool(framed))
 
 
-def _select(work, dataset, spec, fitted, keep, dense: dict[str, str], halo: bool):
+def select_features(work, dataset, spec, fitted, keep, dense: dict[str, str], halo: bool = False):
+    """Keys, kept columns and features; ``dense`` names the columns that already hold a feature."""
     def frame(window: str):
         parts = [dataset.entity_key] + ([lay.BUCKET] if halo else [])
         return Window.partitionBy(*parts).orderBy(US).rangeBetween(-durations.micros(window) + 1, 0)

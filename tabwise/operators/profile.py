@@ -71,9 +71,9 @@ def numeric_stats(df: DataFrame, spec: DatasetSpec, columns: Sequence[str] | Non
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
     )
-    rows = df.count()
+    bound = df.count(), len(names)
     spread = quantiles.group_quantiles(
-        long, ["column"], "value", {"median": 0.5, "p25": 0.25, "p75": 0.75}, nearest=("p25", "p75"), largest=rows
+        long, ["column"], "value", {"median": 0.5, "p25": 0.25, "p75": 0.75}, nearest=("p25", "p75"), sizes=bound
     )
     return moments.join(spread, "column", "left")
 

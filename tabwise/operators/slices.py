@@ -20,6 +20,7 @@ from tabwise.functions import quantiles
 from tabwise.functions.aggregates import check
 from tabwise.operators import filters as flt
 from tabwise.plans.specs import DatasetSpec
+from tabwise.session import settle
 
 # Grouping sets per Expand; more sets are run as a union of batches.
 SETS_PER_BATCH = 64
@@ -147,8 +148,11 @@ def _median_slices(rows: DataFrame, dims: list[str], sets: list[tuple[str, ...]]
     for d in dims:
         expanded = expanded.withColumn(d, F.when(_grouped_in(F.col("set_id"), dims, d), F.col(d)))
     keys = ["set_id", *dims]
-    medians = quantiles.group_quantiles(expanded, keys, "__metric", {"metric_value": 0.5})
-    counts = expanded.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
+    counts = settle(expanded.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")))
+    largest, groups = counts.agg(F.max("row_count"), F.count(F.lit(1))).first()
+    medians = quantiles.group_quantiles(
+        expanded, keys, "__metric", {"metric_value": 0.5}, sizes=(largest or 0, groups)
+    )
     same = reduce(lambda a, b: a & b, [F.col(f"m.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys])
     joined = counts.alias("c").join(medians.alias("m"), same).select("c.*", "m.metric_value")
     whole = quantiles.group_quantiles(rows, [], "__metric", {"overall_baseline": 0.5})
@@ -181,7 +185,7 @@ def _describe(ranked: DataFrame, rows: DataFrame, dims: list[str]) -> DataFrame:
         stats = members.groupBy("slice_id").agg(F.median("__metric").alias("metric_median"), spread)
     else:
         stats = members.groupBy("slice_id").agg(spread).join(
-            quantiles.group_quantiles(members, ["slice_id"], "__metric", {"metric_median": 0.5}, largest=largest),
+            quantiles.group_quantiles(members, ["slice_id"], "__metric", {"metric_median": 0.5}, sizes=(largest, len(winners))),
             "slice_id",
         )
     entry = lambda d: F.when(

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tabwise.operators.dense_windows import rolling
+from tabwise.operators.features import needs_history, select_features
+from tabwise.operators.models import TrainedModel
 from tabwise.plans import durations
 from tabwise.plans.specs import DatasetSpec, FeatureSpec
 from tabwise.streaming import state
 
-STREAMED = ("mean", "min", "max", "std", "median")
+STREAMED = ("mean", "min", "max", "std", "median", "delta")
 
 
 def rolling_features(
@@ -22,7 +24,7 @@ def rolling_features(
 
     State of a bucket: its rows and those of the longest window before it.
     """
-    wanted = [(c, t.op, w) for c, t in spec.items() for w in t.windows]
+    wanted = [(c, t.op, w) for c, t in spec.items() if needs_history(t.op) for w in t.windows]
     unknown = [op for _, op, _ in wanted if op not in STREAMED]
     if unknown or not wanted:
         raise ValueError(f"streamed windows are {', '.join(STREAMED)}; got {unknown or 'none'}")
@@ -32,9 +34,29 @@ def rolling_features(
 
     def compute(held: pd.DataFrame) -> pd.DataFrame:
         for column, op, window in wanted:
-            held[f"{column}_{op}_{window}"] = rolling(held, state.US, column, op, window)
+            taken = rolling(held, state.US, column, "min" if op == "delta" else op, window)
+            held[f"{column}_{op}_{window}"] = held[column] - taken if op == "delta" else taken
         return held
 
     outputs = [T.StructField(f"{c}_{op}_{w}", T.DoubleType()) for c, op, w in wanted]
     placed = state.keyed(stream, dataset.entity_key, dataset.time_key, width, span - 1, 0, delay)
     return state.run(placed, dataset.entity_key, dataset.time_key, columns, 0, span, compute, outputs)
+
+
+def score_stream(
+    stream: DataFrame, model: TrainedModel, keep: list[str] | None = None, delay: str = "1 hour", bucket: str = "1d"
+) -> DataFrame:
+    """Prediction of every row once the watermark has passed it; the model and its fitted state stay as they are.
+
+    Features that need more than a window of the past (``elapsed_time``, ``slope``) are not streamed.
+    """
+    dataset, spec = model.config.dataset, model.config.features
+    if any(t.op in ("elapsed_time", "slope") for _, t in spec.items()):
+        raise ValueError("elapsed_time and slope count from an entity's first row and are not streamed")
+    sources = [c for c in spec.source_columns() if c not in dataset.keys]
+    held = list(dict.fromkeys([*(keep or []), *sources]))
+    closed = rolling_features(stream, dataset, spec, held, delay, bucket)
+    windowed = {f"{c}_{t.op}_{w}" for c, t in spec.items() if needs_history(t.op) for w in t.windows}
+    ready, _ = select_features(closed, dataset, spec, model.fitted, keep or [], {n: n for n in windowed})
+    outputs = ["prediction"] + ([] if model.regression else ["predicted_label"])
+    return model.transform(ready).select(*dataset.keys, *(keep or []), *outputs)

@@ -12,7 +12,7 @@ SPEC = DatasetSpec.read({
     "columns": {"machine_id": {"type": "categorical", "role": "identifier"}, "timestamp": {"type": "timestamp"},
                 "value": {"type": "numeric"}, "failure": {"type": "boolean", "role": "event"}}})
 WINDOWS = FeatureSpec.read("s", {"value": {"transforms": [
-    {op: {"windows": ["2h", "6h"]}} for op in ("mean", "min", "max", "std", "median")]}})
+    {op: {"windows": ["2h", "6h"]}} for op in ("mean", "min", "max", "std", "median", "delta")]}})
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +64,30 @@ def test_delayed_labels_equal_batch_labels_of_closed_rows(spark, sensors, arriva
     assert got == want and 0 < sum(got.values())
 
 
+def test_streamed_scores_equal_batch_scores(spark, sensors, arrivals, tmp_path):
+    from tabwise.operators import models
+    from tabwise.plans.specs import DatasetConfig
+
+    config = DatasetConfig.read({
+        "dataset": {"dataset_id": "s", "entity_key": "machine_id", "time_key": "timestamp"},
+        "features": {"value": {"transforms": ["current", {"mean": {"windows": ["2h"]}}, {"delta": {"windows": ["6h"]}}]},
+                     "kind": {"transforms": ["categorical", "hour_of_day"]}},
+        "target": {"name": "y", "type": "binary", "source_column": "kind", "positive_class": "a"}})
+    model = models.train_model(sensors, config, "m", "logistic_regression", ties=["row_id"])
+    out = rolling.score_stream(stream_of(spark, arrivals, sensors.schema), model, ["row_id"], bucket="8h")
+    got = {r.row_id: r for r in finish(spark, out, tmp_path).collect()}
+    batch, _ = features.build_features(sensors, config.dataset, config.features, model.fitted, ["row_id"])
+    rows = model.transform(batch).collect()
+    latest = max(r.timestamp for r in rows)
+    want = {r.row_id: r for r in rows if r.timestamp <= latest - timedelta(hours=1, milliseconds=1)}
+    assert set(got) == set(want)
+    assert all(got[i].prediction == pytest.approx(want[i].prediction, abs=1e-9) for i in want)
+    sloped = DatasetConfig.read({**__import__("json").loads(config.raw), "features": {
+        "value": {"transforms": [{"slope": {"windows": ["2h"]}}]}}})
+    with pytest.raises(ValueError, match="not streamed"):
+        rolling.score_stream(sensors, models.TrainedModel("x", "logistic_regression", sloped, model.fitted, {}, {}, None))
+
+
 def test_unsupported_streams(spark, sensors, arrivals):
     stream = stream_of(spark, arrivals, sensors.schema)
     with pytest.raises(ValueError, match="streamed windows"):
