@@ -33,8 +33,11 @@ def event_stream(spark, folder):
 def run_to_end(spark, make, columns):
     """Run a stream over what is there now and return the written table."""
     place = f"{checkpoint_dir(spark)}/stream-{uuid4().hex}"
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    provider, partitions = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+    before = {key: spark.conf.get(key) for key in (provider, partitions)}
+    spark.conf.set(provider, ROCKSDB)
+    # State partitions stay for the life of a stream: one per core of the cluster, as every one keeps a store.
+    spark.conf.set(partitions, str(min(int(before[partitions]), spark.sparkContext.defaultParallelism)))
     try:
         query = (
             make.writeStream.format("parquet").option("path", f"{place}/out").outputMode("append")
@@ -42,7 +45,8 @@ def run_to_end(spark, make, columns):
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(make.schema).parquet(f"{place}/out").select(*columns)
 
 
