@@ -94,6 +94,6 @@ def atomic_output(folder: str, name: str):
     system, base = open_filesystem(folder)
     system.create_dir(base, recursive=True)
     draft = posixpath.join(base, f".{name}.{uuid4().hex}")
-    with system.open_output_stream(draft) as stream:
+    with system.open_output_stream(draft, compression=None) as stream:
         yield stream
     system.move(draft, posixpath.join(base, name))

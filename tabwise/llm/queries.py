@@ -24,7 +24,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-from tabwise.llm import decontaminate, mixing  # noqa: E402
+import public_tokenizers  # noqa: E402
+
+from tabwise.llm import decontaminate, mixing, sharding, token_ids, topk, warc  # noqa: E402
 
 WORDS = r"""
 regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -71,3 +73,44 @@ FROM d JOIN g USING (k) JOIN (SELECT r, sum(CASE WHEN fits THEN size ELSE 0 END)
 def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words taken of every document in the mix."""
     return mixing.report(table(spark, folder, "documents"))
+
+
+@query("op7_hilbert_sharding")
+def op7_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document along the curve."""
+    return sharding.report(table(spark, folder, "documents"))
+
+
+@query("op10_exact_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op10_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best rows for every row whose id is divisible by 20."""
+    vectors = table(spark, folder, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op6_warc_revisits", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, html, h, list_transform(range(0, 8), lambda k: ('0x' || h[5 * k + 1:5 * k + 5])::INT) AS parts
+      FROM p),
+d AS (SELECT page_id, h, strlen(html)::BIGINT AS payload_bytes, array_to_string(flatten(list_transform(parts, lambda v:
+          list_transform([15, 10, 5, 0], lambda s: '{warc.BASE32}'[((v >> s) & 31) + 1]))), '') AS payload_digest,
+          min(page_id) OVER (PARTITION BY h) AS first FROM b)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d""")
+def op6_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    """The record of every page, as read back from the archives."""
+    return warc.report(table(spark, folder, "pages"))
+
+
+@query("op9_token_files")
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place and checksum of every document in the token files."""
+    return token_ids.report(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
