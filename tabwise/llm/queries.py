@@ -26,7 +26,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 import public_tokenizers  # noqa: E402
 
-from tabwise.llm import decontaminate, mixing, sharding, token_ids, topk, warc  # noqa: E402
+from tabwise.llm import decontaminate, mixing, quality, secret_scan, sharding, token_ids, topk, warc  # noqa: E402
 
 WORDS = r"""
 regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -114,3 +114,15 @@ def op6_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Place and checksum of every document in the token files."""
     return token_ids.report(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets by rule and by model in every document."""
+    return secret_scan.report(table(spark, folder, "documents"))
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores and decision of every document."""
+    return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))

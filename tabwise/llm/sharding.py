@@ -31,6 +31,10 @@ ROW_OVERHEAD = 16
 DIMENSIONS = ("source", "lang", "doc_id", "size")
 
 
+def _below(bounds: Column, value: Column) -> Column:
+    return F.filter(bounds, lambda b: b < value)
+
+
 def _number_cells(df: DataFrame, names: Sequence[str], bits: int) -> list[Column]:
     """Cells 1 .. 2^bits - 1 by approximate quantiles, 0 for null; one pass for all columns."""
     edges = (1 << bits) - 2
@@ -39,7 +43,7 @@ def _number_cells(df: DataFrame, names: Sequence[str], bits: int) -> list[Column
     cells = []
     for c in names:
         bounds = F.array(*[F.lit(x) for x in sorted(set(found[c] or []))])
-        below = F.size(F.filter(bounds, lambda b, x=F.col(c): b < x))
+        below = F.size(_below(bounds, F.col(c)))
         cells.append(F.when(F.col(c).isNotNull(), below + 1).otherwise(0).cast("int"))
     return cells
 
