@@ -1,7 +1,7 @@
 """Quality classifier: document evidence combined with hierarchical empirical-Bayes site posteriors.
 
-Two heads, quality and toxicity, are logistic regressions over the words of a document and binned style measures, fitted
-on labelled documents. The document's log-likelihood ratio is one part of the evidence; where it comes from is the other.
+Two heads, quality and toxicity, are logistic regressions over the words of a document, the beginnings of its words and
+binned style measures, fitted on labelled documents. The document's log-likelihood ratio is one part of the evidence; where it comes from is the other.
 Rates of hosts (``source``) and of paths below them (``source``, ``lang``) are posterior means of nested Beta models: a
 path is shrunk towards its host, a host towards the global rate, each with a strength estimated from the spread between
 sites beyond chance. Sites with few documents thus take the global prior. A document's own vote is left out of its path.
@@ -35,6 +35,8 @@ from tabwise.llm.common import cut, fresh
 
 MAX_LABELLED = 20_000
 FEATURES = 1 << 18
+#: Lengths of the beginnings by which inflected and compound words share evidence.
+PREFIXES = (4, 5)
 ROUNDS = 40
 PENALTY = 2e-4
 HEADS = ("quality", "toxic")
@@ -50,8 +52,13 @@ def _binned(name: str, share: Column, bins: int = 12) -> Column:
     return F.concat(F.lit(f"\x01{name}="), F.least(F.floor(share * bins), F.lit(bins)).cast("string"))
 
 
+def _prefixes(distinct: Column, length: int) -> Column:
+    longer = F.filter(distinct, lambda w: F.length(w) > length)
+    return F.array_distinct(F.transform(longer, lambda w: F.concat(F.lit(f"\x02{length}"), F.substring(w, 1, length))))
+
+
 def features(text: Column, found: Column) -> Column:
-    """Distinct words, and style measures as words of their own."""
+    """Distinct words and beginnings of words, and style measures as words of their own."""
     size = F.greatest(F.length(text), F.lit(1))
     lines = F.split(text, "\n")
     distinct = F.array_distinct(found)
@@ -64,7 +71,7 @@ def features(text: Column, found: Column) -> Column:
         _binned("repeated_lines", 1 - F.size(F.array_distinct(lines)) / F.size(lines)),
         _binned("word_length", size / count / 24),
         _binned("length", F.log2(size + 1) / 20, 20))
-    return F.concat(distinct, style)
+    return F.concat(distinct, *[_prefixes(distinct, n) for n in PREFIXES], style)
 
 
 @dataclass(frozen=True)
