@@ -26,7 +26,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 import public_tokenizers  # noqa: E402
 
-from tabwise.llm import decontaminate, mixing, quality, secret_scan, sharding, token_ids, topk, warc  # noqa: E402
+from tabwise.llm import decontaminate, mixing, near_dup, quality, secret_scan, sharding, token_ids, topk, warc  # noqa: E402
 
 WORDS = r"""
 regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -126,3 +126,21 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Scores and decision of every document."""
     return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_minhash_near_dup", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+           FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i)
+      WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON x = a.r JOIN n b ON y = b.r WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+c AS (WITH RECURSIVE reach(x, y) AS (SELECT r, r FROM d UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x)
+      SELECT x, min(doc_id) AS component_id FROM reach JOIN d ON y = d.r GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept
+FROM d JOIN c ON c.x = d.r LEFT JOIN n USING (r)""")
+def op8_minhash_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document."""
+    return near_dup.report(table(spark, folder, "documents"))
