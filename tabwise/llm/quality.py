@@ -37,8 +37,9 @@ MAX_LABELLED = 20_000
 FEATURES = 1 << 18
 #: Lengths of the beginnings by which inflected and compound words share evidence.
 PREFIXES = (4, 5)
-ROUNDS = 40
-PENALTY = 2e-4
+ROUNDS = 60
+#: Weight of the absolute penalty, which leaves only words that tell something.
+PENALTY = 3e-4
 HEADS = ("quality", "toxic")
 #: Bounds of a site prior's strength, in documents.
 WEAKEST, STRONGEST = 1.0, 1e6
@@ -106,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[
             rate = (positive / n) if n else (1.0 if name == "quality" else 0.0)
             heads.append(Head(name, rate, None))
             continue
-        fit = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, standardization=False, aggregationDepth=3).fit(known)
+        fit = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, elasticNetParam=1.0,
+                                 standardization=False, aggregationDepth=3).fit(known)
         heads.append(Head(name, positive / n, fit))
     rows.unpersist()
     return heads
