@@ -1,11 +1,63 @@
-"""From raw documents to token ids: quality, near copies, benchmark passages, source mix, token files."""
+"""From raw documents to token ids.
+
+Quality classifier, near-duplicates, benchmark passages, source mix, token files: each stage works on what the one
+before has kept. All but the last return the columns of ``documents``; the last returns where each document lies in the
+token files. An empty ``documents`` table runs through and gives no rows; see the operators for other edge cases.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tabwise.llm import decontaminate, mixing, near_dup, quality, token_ids
+from tabwise.llm.common import new_folder
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the given labels, keeps."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its five-word shingles."""
+    return near_dup.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document in the token files."""
+    return token_ids.report(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near_dup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("mix", mix_sources),
+    ("token_ids", write_token_ids),
+]
+
+#: Trained models, MinHash and the tokenizer have no SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``; every stage's rows are written as Parquet and read again."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        place = new_folder(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(place)
+        docs = spark.read.parquet(place)
+    return docs

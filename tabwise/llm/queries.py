@@ -26,7 +26,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 import public_tokenizers  # noqa: E402
 
-from tabwise.llm import decontaminate, mixing, near_dup, quality, secret_scan, sharding, token_ids, topk, warc  # noqa: E402
+from tabwise.llm import (  # noqa: E402
+    decontaminate,
+    mixing,
+    near_dup,
+    quality,
+    secret_scan,
+    sharding,
+    suffix_dedup,
+    token_ids,
+    topk,
+    warc,
+)
 
 WORDS = r"""
 regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -144,3 +155,9 @@ FROM d JOIN c ON c.x = d.r LEFT JOIN n USING (r)""")
 def op8_minhash_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document."""
     return near_dup.report(table(spark, folder, "documents"))
+
+
+@query("op5_suffix_array_dedup")
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes that every document loses, and the digest of the rest."""
+    return suffix_dedup.report(table(spark, folder, "documents"))
