@@ -3,8 +3,8 @@
 Rules name the secrets whose form is known: assignments, access keys, long hexadecimal strings. For all other strings two
 first-order Markov models compete, one of random strings and one of ordinary identifiers; a string whose mean
 log-likelihood ratio per character lies above ``THRESHOLD`` is added to the finds. Both models are trained from
-labelled samples of the scanned table: what the rules found is random, the words around it are ordinary. Digests of the
-row keys, as hexadecimal and base 64, are labelled random as well, so that the model is defined where no rule matches.
+labelled samples of the scanned table: what the rules found is random, shorter strings around it are ordinary. Digests of the
+row keys in base 64 are labelled random as well, so that the model is defined where no rule matches.
 
 Training reads at most ``TRAINING_DOCS`` documents with the smallest hash of their id, a documented bound on labelled
 rows; every text is scanned whole.
@@ -32,10 +32,13 @@ RULES = (
 )
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
-IDENTIFIER = r"[A-Za-z0-9+/_=-]{3,}"
+TOKEN = r"[A-Za-z0-9+/_=-]+"
+#: Lengths of the strings that are labelled ordinary; longer ones are the candidates.
+ORDINARY = (3, 15)
 TRAINING_DOCS = 5000
-THRESHOLD = 1.0
-SMOOTHING = 0.5
+THRESHOLD = 0.5
+#: Weight of the single-character rates in those of a pair, and of a character never seen.
+BACKOFF, SMOOTHING = 20.0, 0.5
 SPANS = "array<struct<start:int,end:int,kind:int,name:string,match:string>>"
 
 
@@ -86,11 +89,12 @@ def labelled_strings(sample: DataFrame) -> DataFrame:
     found = sample.select(F.explode(rule_spans(F.col("text"))).alias("s")).select(
         F.regexp_replace("s.match", r"^.*[\x20:=\x22']", "").alias("token"))
     digest = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
-    digests = sample.select(F.explode(F.array(digest, F.base64(F.unhex(digest)))).alias("token"))
+    digests = sample.select(F.base64(F.unhex(digest)).alias("token"))
     rest = F.col("text")
     for _, pattern, _, _ in RULES:
         rest = F.regexp_replace(rest, pattern, " ")
-    ordinary = sample.select(F.explode(F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0))).alias("token"))
+    ordinary = sample.select(F.explode(F.regexp_extract_all(rest, F.lit(TOKEN), F.lit(0))).alias("token")).where(
+        F.length("token").between(*ORDINARY))
     return found.unionByName(digests).select(F.lit(True).alias("random"), "token").unionByName(
         ordinary.select(F.lit(False).alias("random"), "token")).distinct()
 
@@ -102,13 +106,20 @@ def train(docs: DataFrame, most: int = TRAINING_DOCS) -> list[float]:
         "random", F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("b")).alias("a"), F.col("b").alias("b"))).alias("p"))
     counted = pairs.where("p.b IS NOT NULL").groupBy("random", "p.a", "p.b").count().collect()  # alphabet squared at most
     n = len(ALPHABET) + 1
-    counts = {kind: [[SMOOTHING] * n for _ in range(n)] for kind in (True, False)}
+    counts = {kind: [[0.0] * n for _ in range(n)] for kind in (True, False)}
     for kind, a, b, times in counted:
         counts[kind][a][b] += times
     if not any(r[0] for r in counted) or all(r[0] for r in counted):
         return [0.0] * (n * n)
-    share = {kind: [[x / sum(row) for x in row] for row in table] for kind, table in counts.items()}
-    return [math.log(share[True][a][b] / share[False][a][b]) for a in range(n) for b in range(n)]
+    chance = {kind: _chances(table) for kind, table in counts.items()}
+    return [math.log(chance[True][a][b] / chance[False][a][b]) for a in range(n) for b in range(n)]
+
+
+def _chances(pairs: list[list[float]]) -> list[list[float]]:
+    """Chance of each character after each, backed off to its chance anywhere."""
+    single = [sum(row[b] for row in pairs) + SMOOTHING for b in range(len(pairs))]
+    single = [x / sum(single) for x in single]
+    return [[(x + BACKOFF * p) / (sum(row) + BACKOFF) for x, p in zip(row, single)] for row in pairs]
 
 
 def log_ratio(token: Column, model: list[float]) -> Column:
