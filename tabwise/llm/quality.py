@@ -38,6 +38,7 @@ FEATURES = 1 << 18
 #: Lengths of the beginnings by which inflected and compound words share evidence.
 PREFIXES = (4, 5)
 ROUNDS = 60
+PARTS = 8
 #: Weight of the absolute penalty, which leaves only words that tell something.
 PENALTY = 3e-4
 HEADS = ("quality", "toxic")
@@ -98,7 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[
     named = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(h).alias(h) for h in HEADS])
     sample = named.orderBy(order, "doc_id").limit(most)
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # ``most`` rows of three numbers
-    rows = _vectors(joined, "features", "__words", "text").select("features", *HEADS).persist()
+    # Every round adds up a vector per partition; the bounded sample needs few.
+    rows = _vectors(joined, "features", "__words", "text").select("features", *HEADS).repartition(PARTS).persist()
     heads = []
     for name in HEADS:
         known = rows.where(F.col(name).isNotNull()).select("features", F.col(name).cast("double").alias("label"))
@@ -108,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[
             heads.append(Head(name, rate, None))
             continue
         fit = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, elasticNetParam=1.0,
-                                 standardization=False, aggregationDepth=3).fit(known)
+                                 standardization=False).fit(known)
         heads.append(Head(name, positive / n, fit))
     rows.unpersist()
     return heads
