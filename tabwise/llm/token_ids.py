@@ -21,7 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,9 @@ from tabwise.llm.common import atomic_output, cut, new_folder, open_filesystem,
 MAGIC = b"TOKSEF01"
 END_ID = 2
 FILE_IDS = 8_000_000
-REMEMBERED = 300_000
+REMEMBERED = 800_000
+#: Texts that are encoded together.
+TEXTS = 256
 #: Ones between two sampled positions of the upper bits.
 SAMPLE = 256
 
@@ -123,24 +125,34 @@ def unpack_file(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
 
 
 class Encoder:
-    """Ids of texts, remembering those of the words seen before."""
+    """Ids of texts, remembering those of the words seen before as little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def __call__(self, text: str) -> list[int]:
-        parts, known = text.encode().split(), self.known  # bytes split at ASCII white space alone
-        unknown = [w for w in dict.fromkeys(parts) if w not in known]
-        if unknown:
-            if len(known) + len(unknown) > REMEMBERED:
-                known.clear()
-                unknown = list(dict.fromkeys(parts))
-            texts = [w.decode() for w in unknown]
-            for word, found in zip(unknown, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-                known[word] = found.ids
-        return list(chain.from_iterable([known[w] for w in parts]))
+    def _look_up(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return {w: np.array(f.ids, "<u4").tobytes() for w, f in zip(words, found)}
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [text.encode().split() if text else [] for text in texts]  # bytes split at ASCII white space alone
+        known = self.known
+        unknown = list({w for parts in split for w in parts if w not in known})
+        if len(known) + len(unknown) <= REMEMBERED:
+            known.update(self._look_up(unknown))
+            get = known.__getitem__
+        else:  # what came first is most frequent; the rest is looked up again where it occurs
+            rest = self._look_up(unknown)
+            get = lambda w: known.get(w) if w in known else rest[w]
+        return [np.frombuffer(b"".join(map(get, parts)), "<u4") for parts in split]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One per worker process, so that later tasks know the words of earlier ones."""
+    return Encoder(path)
 
 
 FILES = "task long, number long, path string, n_docs long, n_ids long"
@@ -151,7 +163,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
     def dump(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, task, number = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, task, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids, lengths, arrays, held = [], [], [], 0
 
         def close():
@@ -161,17 +173,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
             row = [[task], [number], [name], [len(doc_ids)], [len(ids)]]
             return pa.record_batch([pa.array(x) for x in row], ["task", "number", "path", "n_docs", "n_ids"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = encode(text.as_py() or "")
-                ids.append(end_id)
-                doc_ids.append(doc_id.as_py())
-                lengths.append(len(ids))
-                arrays.append(np.array(ids, np.uint32))
-                held += len(ids)
-                if held >= file_ids:
-                    yield close()
-                    doc_ids, lengths, arrays, held, number = [], [], [], 0, number + 1
+        end = np.array([end_id], np.uint32)
+        for doc_id, ids in (x for batch in batches for k in range(0, batch.num_rows, TEXTS) for x in zip(
+                batch.column(0).slice(k, TEXTS), encode(batch.column(1).slice(k, TEXTS).to_pylist()))):
+            doc_ids.append(doc_id.as_py())
+            lengths.append(len(ids) + 1)
+            arrays += [ids, end]
+            held += len(ids) + 1
+            if held >= file_ids:
+                yield close()
+                doc_ids, lengths, arrays, held, number = [], [], [], 0, number + 1
         if doc_ids:
             yield close()
 
