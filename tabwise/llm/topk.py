@@ -29,7 +29,8 @@ SCALE = 64
 SEGMENTS = (4, 16)
 BLOCK_BYTES = 16_000_000
 #: Candidates and queries of one matrix in a task; candidates that set the first thresholds.
-CANDIDATE_ROWS, QUERY_ROWS, SEED_ROWS = 2048, 1024, 512
+CANDIDATE_ROWS, QUERY_ROWS, SEED_ROWS = 1024, 512, 512
+PAIR_ROWS = 20_000
 
 
 def as_integers(values: np.ndarray) -> np.ndarray:
@@ -58,23 +59,33 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1) if out else np.zeros((len(x), 1))
 
 
-def pruned_pairs(q_stats, c_stats, q_norm, c_norm, threshold) -> tuple[np.ndarray, np.ndarray]:
-    """(query, candidate) pairs that no resolution rules out.
+def over_pairs(mask: np.ndarray, dense, sparse) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, value) where ``mask`` holds: one product of matrices if many are left, else pair by pair."""
+    q, c = np.nonzero(mask)
+    if len(q) > 0.05 * mask.size:
+        return q, c, dense()[q, c]
+    parts = [sparse(q[i:i + PAIR_ROWS], c[i:i + PAIR_ROWS]) for i in range(0, len(q), PAIR_ROWS)]
+    return q, c, np.concatenate(parts) if parts else np.zeros(0)
+
+
+def not_ruled_out(q_stats, c_stats, q_norm, c_norm, threshold) -> np.ndarray:
+    """Mask of the (query, candidate) pairs that no resolution rules out.
 
     With both squared norms, a lower bound of the squared distance is an upper bound of the inner product.
     """
-    keep = None
+    mask = np.ones((len(q_norm), len(c_norm)), bool)
     for q, c in zip(q_stats, c_stats):
-        if keep is None:
-            apart = (q ** 2).sum(1)[:, None] + (c ** 2).sum(1)[None, :] - 2 * (q @ c.T)
-            best = (q_norm[:, None] + c_norm[None, :] - apart) / 2
-            keep = np.nonzero(best * (1 + 1e-9) + 1e-6 >= threshold[:, None])
-        else:
-            apart = ((q[keep[0]] - c[keep[1]]) ** 2).sum(1) if len(keep[0]) else np.zeros(0)
-            best = (q_norm[keep[0]] + c_norm[keep[1]] - apart) / 2
-            near = best + 1e-9 * np.abs(best) + 1e-6 >= threshold[keep[0]]
-            keep = keep[0][near], keep[1][near]
-    return keep
+        def dense(q=q, c=c):
+            return (q ** 2).sum(1)[:, None] + (c ** 2).sum(1)[None, :] - 2 * (q @ c.T)
+
+        def sparse(i, j, q=q, c=c):
+            return ((q[i] - c[j]) ** 2).sum(1)
+
+        i, j, apart = over_pairs(mask, dense, sparse)
+        best = (q_norm[i] + c_norm[j] - apart) / 2
+        far = best + 1e-9 * (q_norm[i] + c_norm[j]) + 1e-6 < threshold[i]
+        mask[i[far], j[far]] = False
+    return mask
 
 
 class Search:
@@ -99,11 +110,10 @@ class Search:
             found = []
             for a in range(0, len(self.queries), QUERY_ROWS):
                 b = slice(a, a + QUERY_ROWS)
-                qi, ci = pruned_pairs([q[b] for q in self.stats], stats, self.norm[b], norm, self.floor[b])
-                if len(qi) > 0.1 * len(part) * len(self.norm[b]):
-                    scores = (self.queries[b] @ part.T)[qi, ci]
-                else:
-                    scores = np.einsum("ij,ij->i", self.queries[b][qi], part[ci])
+                mask = not_ruled_out([q[b] for q in self.stats], stats, self.norm[b], norm, self.floor[b])
+                queries = self.queries[b]
+                qi, ci, scores = over_pairs(mask, lambda: queries @ part.T,  # noqa: B023 - called at once
+                                            lambda i, j: np.einsum("ij,ij->i", queries[i], part[j]))  # noqa: B023
                 good = (scores >= self.floor[b][qi]) & (self.ids[b][qi] != part_ids[ci])
                 found.append((qi[good] + a, scores[good], part_ids[ci[good]]))
             self.keep(*[np.concatenate(x) for x in zip(*found)])
