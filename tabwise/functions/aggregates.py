@@ -27,9 +27,3 @@ def check(name: str) -> str:
 
 def aggregate(name: str, column: str | Column) -> Column:
     return _BY_NAME[check(name)](as_column(column))
-
-
-def unique_count(column: str | Column) -> Column:
-    """Distinct values with null counted as one more value."""
-    value = as_column(column)
-    return F.count_distinct(value) + F.max(value.isNull().cast("int"))

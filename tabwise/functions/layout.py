@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tabwise.functions.scalars import named
 
 DAY = 86_400_000_000
+# Bucket of the rows without a time; they form a window of their own, as nulls do in a plain one.
+TIMELESS = -(1 << 62)
 # Rows one task may sort for one entity before the entity is cut into time buckets.
 TASK_ROWS = 1_000_000
 
@@ -39,14 +41,16 @@ class Layout:
         return self if self.whole else Layout(max(self.width, span), self.rows_per_day)
 
     def bucket(self, us: Column) -> Column:
-        return F.lit(0).cast("long") if self.whole else F.floor(us / F.lit(self.width)).cast("long")
+        if self.whole:
+            return F.lit(0).cast("long")
+        return F.coalesce(F.floor(us / F.lit(self.width)).cast("long"), F.lit(TIMELESS))
 
 
 WHOLE = Layout()
 
 
 def _densest(df: DataFrame, keys: Sequence[str], us: Column, width: int) -> int:
-    counts = df.groupBy(*keys, F.floor(us / F.lit(width)).alias("__slot")).count()
+    counts = df.where(us.isNotNull()).groupBy(*keys, F.floor(us / F.lit(width)).alias("__slot")).count()
     return counts.agg(F.max("count")).first()[0] or 0
 
 
@@ -61,8 +65,10 @@ def measure(df: DataFrame, keys: Sequence[str], us: Column, task_rows: int = TAS
     if (total or 0) <= task_rows:
         return Layout(None, densest or 0)
     width = max(1, DAY * task_rows // densest)
-    while width > 1 and (held := _densest(df, keys, us, width)) > 4 * task_rows:
-        width = max(1, width * task_rows // held)
+    before = None
+    while width > 1 and (held := _densest(df, keys, us, width)) > 4 * task_rows and held != before:
+        # Once narrowing no longer helps, one time holds the rows, and no width separates them.
+        before, width = held, max(1, width * task_rows // held)
     return Layout(width, densest)
 
 

@@ -30,10 +30,6 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return largest or 0, groups
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    return group_sizes(df, keys)[0]
-
-
 def _position(n: Column, q: float, nearest: bool) -> Column:
     exact = (n - 1) * F.lit(float(q))
     return F.floor(exact + 0.5).cast("double") if nearest else exact
@@ -66,10 +62,6 @@ def group_quantiles(
     return _by_counting(data, keys, fractions, set(nearest), accuracy, groups * len(fractions) <= BROADCAST_ROWS)
 
 
-def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
-
-
 def _by_ranking(data: DataFrame, keys: list[str], fractions: Mapping[str, float], nearest: set[str]) -> DataFrame:
     """Groups that fit a task: distinct values with counts, ranked inside the group."""
     counted = data.groupBy(*keys, "__v").agg(F.count("__v").alias("__c"))

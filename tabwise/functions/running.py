@@ -8,6 +8,7 @@ earlier buckets, one row each, are added.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isfinite
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
@@ -32,8 +33,9 @@ def running_totals(
     buckets = max(FEWEST, min(MOST, rows // bucket_rows))
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = df.select(F.percentile_approx(F.col(order).cast("double"), cuts, 10 * buckets)).first()[0]
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="__x", outputCol="__cell").transform(
+    splits = [float("-inf"), *sorted({b for b in bounds if isfinite(b)}), float("inf")]
+    # NaN is the largest value, as in Spark's own order, and takes the last cell.
+    placed = Bucketizer(splits=splits, inputCol="__x", outputCol="__cell", handleInvalid="keep").transform(
         df.withColumn("__x", F.col(order).cast("double"))
     ).drop("__x")
     totals = placed.groupBy("__cell").agg(*[F.sum(c).alias(f"__t_{c}") for c in columns])

@@ -29,10 +29,6 @@ def shift_time(time: str | Column, by_micros: int) -> Column:
     return F.timestamp_micros(micros(time) + F.lit(by_micros))
 
 
-def whole_seconds_between(later: str | Column, earlier: str | Column) -> Column:
-    return F.floor((micros(later) - micros(earlier)) / 1_000_000)
-
-
 def hour_of_day(time: str | Column) -> Column:
     return F.hour(as_column(time)).cast("double")
 

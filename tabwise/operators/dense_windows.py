@@ -25,11 +25,10 @@ from pyspark.sql import types as T
 from tabwise.functions import layout as lay
 from tabwise.functions.scalars import named
 from tabwise.plans import durations
+from tabwise.session import settle
 
 # Estimated rows in a window above which sliding frames are not used.
 FRAME_ROWS = 1_000
-# Entities treated as dense may be listed up to this number; the list is then small enough to broadcast.
-LISTED_ENTITIES = 10_000
 MERGEABLE = ("mean", "min", "max", "std", "slope", "delta")
 # Moments an operation needs.
 NEEDS = {
@@ -56,16 +55,13 @@ def cell_width(windows: list[str], rows_per_day: int, task_rows: int = lay.TASK_
 
 
 def dense_entities(df: DataFrame, entity: str, us: str, triples: list[Triple], frame_rows: int = FRAME_ROWS):
-    """Entities whose busiest day fills a window, or None where there are too many to list."""
+    """Entities whose busiest day fills a window, as a table that Spark broadcasts only by its own size check."""
     longest = max(durations.micros(w) for _, _, w in triples)
     daily = df.groupBy(F.col(entity).alias("__de"), F.floor(F.col(us) / lay.DAY).alias("__day")).count()
     listed = daily.groupBy("__de").agg(F.max("count").alias("__d")).where(
         F.col("__d") * (longest / lay.DAY) > frame_rows
     ).select("__de")
-    found = listed.limit(LISTED_ENTITIES + 1).collect()
-    if len(found) > LISTED_ENTITIES:
-        return None
-    return F.broadcast(df.sparkSession.createDataFrame(found, listed.schema))
+    return settle(listed)
 
 
 def _state(column: str, needs: frozenset[str], over=None) -> Column:
@@ -89,16 +85,17 @@ def _state(column: str, needs: frozenset[str], over=None) -> Column:
             F.coalesce(wrap(F.covar_pop(t, y)) * n, zero).alias("c"),
         ]
     if "range" in needs:
-        fields += [wrap(F.min(y)).alias("low"), wrap(F.max(y)).alias("high")]
+        own = F.col(column.replace("__y", "__r"))  # the value in its own type
+        fields += [wrap(F.min(own)).alias("low"), wrap(F.max(own)).alias("high")]
     return F.struct(*fields)
 
 
-def _empty(needs: frozenset[str]) -> Column:
+def _empty(needs: frozenset[str], kind: T.DataType) -> Column:
     names = ["n"] + ["ym"] * ("level" in needs) + ["y2"] * ("spread" in needs)
     names += ["rows", "tm", "t2", "pm", "c"] if "trend" in needs else []
     fields = [F.lit(0.0).alias(n) for n in names]
     if "range" in needs:
-        fields += [F.lit(None).cast("double").alias(n) for n in ("low", "high")]
+        fields += [F.lit(None).cast(kind).alias(n) for n in ("low", "high")]
     return F.struct(*fields)
 
 
@@ -196,14 +193,22 @@ def _attach_medians(
     ])
 
     def medians(group: pd.DataFrame) -> pd.DataFrame:
-        held = group.sort_values("__t", kind="stable").reset_index(drop=True)
-        result = pd.DataFrame({"__pe": held["__e"], "__pus": held["__t"]})
+        timeless = group["__t"].isna()
+        held = group[~timeless].sort_values("__t", kind="stable").reset_index(drop=True)
+        result = pd.DataFrame({"__pe": held["__e"], "__pus": held["__t"].astype("Int64")})
         for j, (column, window) in enumerate(wanted):
             result[f"__median{j}"] = rolling(held, "__t", column, "median", window)
-        return result[held[lay.OWN].astype(bool)].drop_duplicates("__pus")
+        result = result[held[lay.OWN].astype(bool)].drop_duplicates("__pus")
+        if not timeless.any():
+            return result
+        rest = group[timeless]  # rows without a time are each other's window
+        one = pd.DataFrame({"__pe": rest["__e"].iloc[:1].to_numpy(), "__pus": pd.array([pd.NA], dtype="Int64")})
+        for j, (column, _) in enumerate(wanted):
+            one[f"__median{j}"] = rest[column].astype(float).median()
+        return pd.concat([result, one]) if len(result) else one
 
     found = placed.groupBy("__e", lay.BUCKET).applyInPandas(medians, out)
-    joined = df.join(found, F.col(entity).eqNullSafe(F.col("__pe")) & (F.col(us) == F.col("__pus")), "inner")
+    joined = df.join(found, F.col(entity).eqNullSafe(F.col("__pe")) & F.col(us).eqNullSafe(F.col("__pus")), "inner")
     names = {f"{c}_median_{w}": f"__median{j}" for j, (c, _, w) in enumerate(triples)}
     return joined.select(*map(named, df.columns), *names.values()), names
 
@@ -217,7 +222,9 @@ def _attach_merged(
     width = cell_width(windows, plan.rows_per_day, task_rows)
     spans = [durations.micros(w) for w in windows]
 
+    kinds = [df.schema[c].dataType for c in columns]
     values = [named(c).cast("double").alias(f"__y{i}") for i, c in enumerate(columns)]
+    values += [named(c).alias(f"__r{i}") for i, c in enumerate(columns)]
     seconds = F.col("__t").cast("double") if "__t" in df.columns else F.lit(0.0)
     cell = lambda at: F.floor(at / F.lit(width)).cast("long").alias(CELL)
     data = df.select(
@@ -231,6 +238,7 @@ def _attach_merged(
     probes = probes.select(
         "__e", ORIGIN, AT, cell(F.col(AT)), KIND, F.lit(None).cast("double").alias("__tt"),
         *[F.lit(None).cast("double").alias(f"__y{i}") for i in range(len(columns))],
+        *[F.lit(None).cast(kind).alias(f"__r{i}") for i, kind in enumerate(kinds)],
     )
 
     inside = Window.partitionBy("__e", CELL)
@@ -256,25 +264,30 @@ def _attach_merged(
         for i in range(len(columns)):
             name = f"__mid{i}_{k}"
             if between < 1:
-                middle.append(_empty(needs[i]).alias(name))
+                middle.append(_empty(needs[i], kinds[i]).alias(name))
                 continue
             held = F.collect_list(f"__s{i}").over(across.rangeBetween(-between, -1))
-            middle.append(F.aggregate(held, _empty(needs[i]), _merge(needs[i])).alias(name))
+            middle.append(F.aggregate(held, _empty(needs[i], kinds[i]), _merge(needs[i])).alias(name))
     cells = cells.select(F.col("__e").alias("__me"), F.col(CELL).alias("__mcell"), *middle)
     points = points.join(
-        cells, F.col("__e").eqNullSafe(F.col("__me")) & (F.col(CELL) == F.col("__mcell")), "inner"
+        cells, F.col("__e").eqNullSafe(F.col("__me")) & F.col(CELL).eqNullSafe(F.col("__mcell")), "inner"
     )
+
+    def total(i: int, k: int) -> Column:
+        merge = _merge(needs[i])
+        whole = merge(merge(F.col(f"__tail{i}_{k}"), F.col(f"__mid{i}_{k}")), F.col(f"__head{i}"))
+        # Rows without a time are each other's window, which is their own cell.
+        return F.when(F.col(ORIGIN).isNull(), F.col(f"__head{i}")).otherwise(whole)
+
     totals = points.select(
         F.col("__e").alias("__pe"), F.col(ORIGIN).alias("__pus"),
         *[
-            _merge(needs[i])(
-                _merge(needs[i])(F.col(f"__tail{i}_{k}"), F.col(f"__mid{i}_{k}")), F.col(f"__head{i}")
-            ).alias(f"__w{i}_{k}")
+            total(i, k).alias(f"__w{i}_{k}")
             for i in range(len(columns)) for k in range(len(windows))
         ],
     )
     joined = df.join(
-        totals, F.col(entity).eqNullSafe(F.col("__pe")) & (F.col(us) == F.col("__pus")), "inner"
+        totals, F.col(entity).eqNullSafe(F.col("__pe")) & F.col(us).eqNullSafe(F.col("__pus")), "inner"
     )
     out, names = [], {}
     for j, (column, op, window) in enumerate(dense):

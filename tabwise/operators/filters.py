@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwise.functions.scalars import named
 from tabwise.plans.specs import SearchSpec
 
 # The operators of a filter.
@@ -126,8 +127,14 @@ def apply(df: DataFrame, filters: Sequence[Filter]) -> DataFrame:
     if inline:
         df = df.where(reduce(lambda a, b: a & b, inline))
     for f in long_lists:
-        values = df.sparkSession.createDataFrame([(v,) for v in f.value], df.select(f.field).schema)
-        df = df.join(values, f.field, "left_semi")
+        listed = [v for v in f.value if v is not None]
+        if any(isinstance(v, float) for v in listed):
+            listed = [float(v) for v in listed]
+        if not listed:
+            df = df.where(F.lit(False))
+            continue
+        values = df.sparkSession.createDataFrame([(v,) for v in listed]).toDF("__listed")
+        df = df.join(values, named(f.field) == F.col("__listed"), "left_semi")
     return df
 
 

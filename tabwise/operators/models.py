@@ -195,10 +195,12 @@ def train_model(
     from_partition: bool = False,
     layout: lay.Layout | None = None,
     cold_start: bool = False,
+    validation: DataFrame | None = None,
 ) -> TrainedModel:
     """Label → split → features fitted on train → impute → fit → threshold on validation → metrics.
 
-    With ``from_partition`` the rows are a train partition and only validation is carved out of it;
+    With ``validation`` all of ``df`` is trained on and those rows choose the threshold. With ``from_partition`` the
+    rows are a train partition and only validation is carved out of it;
     otherwise the declared train / validation / test split is made here. Validation and test numbers are
     both reported, because the threshold is chosen on validation.
     """
@@ -206,8 +208,12 @@ def train_model(
         raise ValueError(f"dataset {config.dataset_id!r} has no features or no target section")
     spec, target = config.dataset, config.target
     algorithm = resolve_algorithm(algorithm, target.is_regression)
-    make = splits.carve_validation if from_partition else _three_way
-    divided = make(df, spec.entity_key, spec.time_key, spec.split, ties=ties, out="__split")
+    if validation is not None:
+        divided = df.withColumn("__split", F.lit("train")).unionByName(
+            validation.withColumn("__split", F.lit("validation")))
+    else:
+        make = splits.carve_validation if from_partition else _three_way
+        divided = make(df, spec.entity_key, spec.time_key, spec.split, ties=ties, out="__split")
     built, fitted = labelled_features(divided, config, layout, split="__split", cold_start=cold_start)
     rows = built.where(F.col(target.name).isNotNull()).persist()
     try:

@@ -191,6 +191,3 @@ def semantic_contract(df: DataFrame, search: SearchSpec) -> DataFrame:
 def time_span(df: DataFrame, time: str) -> DataFrame:
     """Earliest and latest time: the default as-of point is the latest."""
     return df.agg(F.min(time).alias("earliest"), F.max(time).alias("latest"), F.max(micros(time)).alias("latest_us"))
-
-
-text = text_value

@@ -33,7 +33,7 @@ def register_dataset(
     spark: SparkSession, config: DatasetConfig, source: str, root: str,
     fallback_shares: splits.Shares | None = None, ties: Sequence[str] | None = None,
 ) -> dict[str, Any]:
-    """Ingest, split, write the split table and append one metadata row. Sources may be shared by datasets."""
+    """Ingest, split, write splits and profile, and append one metadata row. Sources may be shared by datasets."""
     spec = config.dataset
     table_path, split_path = f"{root}/tables/{spec.dataset_id}", f"{root}/splits/{spec.dataset_id}"
     df = ingest(spark, source, spec, table_path)
@@ -52,6 +52,7 @@ def register_dataset(
         "evaluation_rows": sizes.get("evaluation", 0), "config": config.raw,
         "registered_at": datetime.now(timezone.utc).isoformat(timespec="microseconds"),
     }
+    writers.write_table(profile.profile(spark.read.parquet(table_path), spec), f"{root}/profiles/{spec.dataset_id}")
     writers.append_metadata(spark, row, f"{root}/datasets", DATASETS_SCHEMA)
     return row
 
@@ -98,7 +99,8 @@ class Workspace:
         return quality.validate(self.table(dataset_id), self.config(dataset_id).dataset)
 
     def profile(self, dataset_id: str) -> DataFrame:
-        return profile.profile(self.table(dataset_id), self.config(dataset_id).dataset)
+        """The profile made at registration."""
+        return self.spark.read.parquet(f"{self.root}/profiles/{dataset_id}")
 
     # queries ------------------------------------------------------------------
     def search(self, dataset_id: str, filters=None, **kw) -> search.SearchResult:
@@ -108,6 +110,10 @@ class Workspace:
         config = self.config(dataset_id)
         return profile.search_contract(self.table(dataset_id), config.dataset, config.search)
 
+    def semantics(self, dataset_id: str) -> DataFrame:
+        """The named filters a search over the table may use."""
+        return profile.semantic_contract(self.table(dataset_id), self.config(dataset_id).search)
+
     def sample_rows(self, dataset_id: str, n: int = 20, **kw) -> DataFrame:
         return search.sample_rows(self.table(dataset_id), n, **kw)
 
@@ -126,10 +132,14 @@ class Workspace:
 
     # models -------------------------------------------------------------------
     def train(self, dataset_id: str, model_id: str, algorithm: str | None = None, params=None, **kw):
-        """Train on the train partition only; held-out rows are never read."""
-        train = self.split(dataset_id, "train").drop("split")
+        """Train on the whole train partition; the threshold comes from the validate partition where there is one.
+
+        Without one, validation is carved out of train. Evaluation rows are never read.
+        """
+        train, validate = (self.split(dataset_id, name).drop("split") for name in (splits.TRAIN, splits.VALIDATE))
         model = models.train_model(
-            train, self.config(dataset_id), model_id, algorithm, params, from_partition=True, **kw
+            train, self.config(dataset_id), model_id, algorithm, params, from_partition=True,
+            validation=None if validate.isEmpty() else validate, **kw
         )
         path = model.save(self.spark, f"{self.root}/artefacts/{model_id}")
         row = {

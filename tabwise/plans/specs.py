@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 from typing import Any
 
@@ -147,19 +147,21 @@ class Transform:
 
     @classmethod
     def read(cls, raw: Any) -> Transform:
-        if isinstance(raw, str):
-            return cls(raw)
-        if not isinstance(raw, Mapping):
-            raise TypeError(f"a transform is a name or a mapping, not {type(raw).__name__}")
-        body = dict(raw)
-        if "op" in body:
-            op = body.pop("op")
-        elif len(body) == 1:
-            (op, inner), = body.items()
-            body = dict(inner) if isinstance(inner, Mapping) else {}
-        else:
-            raise ValueError(f"transform {dict(raw)!r} names more than one operation")
-        return cls(op, tuple(sorted((k, tuple(v) if isinstance(v, list) else v) for k, v in body.items())))
+        """Accepts ``name``, ``{name: settings}`` and ``{op: name, **settings}``."""
+        match raw:
+            case str(name):
+                settings: Mapping[str, Any] = {}
+            case {"op": name, **settings}:
+                pass
+            case Mapping():
+                name, *others = raw
+                if others:
+                    raise ValueError(f"one operation per transform, not {[name, *others]}")
+                settings = raw[name] if isinstance(raw[name], Mapping) else {}
+            case _:
+                raise TypeError(f"cannot read a transform from {raw!r}")
+        frozen = {k: tuple(v) if isinstance(v, list) else v for k, v in settings.items()}
+        return cls(name, tuple(sorted(frozen.items())))
 
 
 @dataclass(frozen=True)
@@ -188,8 +190,7 @@ class FeatureSpec:
 
     def max_history_window(self) -> str | None:
         """Longest trailing window, or None when no transform looks back."""
-        spans = [durations.seconds(w) for w in self.windows()]
-        return durations.spell(max(spans)) if spans else None
+        return max(self.windows(), key=durations.micros, default=None)
 
     @classmethod
     def read(cls, dataset_id: str, raw: Mapping[str, Any]) -> FeatureSpec:
@@ -228,6 +229,19 @@ class TargetSpec:
         return durations.micros(self.horizon) if self.horizon else None
 
 
+def _entries(raw: Mapping[str, Any], section: str, kind: type, **own_name: None) -> dict[str, Any]:
+    """Named entries of a section as dataclasses; lists become tuples, absent settings keep their defaults.
+
+    A setting in ``own_name`` that is absent takes the entry's name.
+    """
+    known, out = {f.name for f in fields(kind)}, {}
+    for name, body in (raw.get(section) or {}).items():
+        body = _mapping(body, f"{section} entry {name!r}")
+        given = {k: tuple(v) if isinstance(v, list) else v for k, v in body.items() if k in known and v is not None}
+        out[name] = kind(**(dict.fromkeys(own_name, name) | given | {"name": name}))
+    return out
+
+
 @dataclass(frozen=True)
 class SearchField:
     name: str
@@ -263,23 +277,8 @@ class SearchSpec:
 
     @classmethod
     def read(cls, raw: Mapping[str, Any]) -> SearchSpec:
-        fields = {}
-        for name, body in (raw.get("searchable_fields") or {}).items():
-            body = _mapping(body, f"searchable field {name!r}")
-            fields[name] = SearchField(
-                name=name,
-                field=body.get("field", name),
-                operators=tuple(body.get("operators") or ("eq", "in")),
-                unit=body.get("unit"),
-                aliases=tuple(body.get("aliases") or ()),
-                description=body.get("description"),
-            )
-        semantics = {}
-        for name, body in (raw.get("semantic_filters") or {}).items():
-            body = dict(_mapping(body, f"semantic filter {name!r}"))
-            body["expands_to"] = tuple(body.get("expands_to") or ())
-            semantics[name] = SemanticFilter(name=name, **body)
-        return cls(fields, semantics)
+        return cls(_entries(raw, "searchable_fields", SearchField, field=None),
+                   _entries(raw, "semantic_filters", SemanticFilter))
 
 
 @dataclass(frozen=True)
@@ -313,7 +312,3 @@ class DatasetConfig:
     @classmethod
     def from_json(cls, text: str) -> DatasetConfig:
         return cls.read(json.loads(text))
-
-
-def as_dict(spec: Any) -> dict[str, Any]:
-    return asdict(spec)

@@ -26,11 +26,13 @@ def build_session(app: str = "tabwise", master: str | None = None, **extra: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for reliable checkpoints: the cluster's own setting, or a new one where unset (tests)."""
+    """Shared folder for reliable checkpoints: the cluster's own setting; where unset, a new local one in local mode."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not configured and context.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tabwise-ckpt-"))
         current = context._jsc.sc().getCheckpointDir()
     return configured or current.get()

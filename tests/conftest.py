@@ -22,17 +22,14 @@ def spark():
 
 @pytest.fixture(scope="session")
 def catalogue(spark):
+    """Bicycles with the body heights they fit; the last one's load was never measured."""
     rows = [
-        ("P1", "DDR5_COMPONENT", 4800, 8, 16, -40, 95, "Production"),
-        ("P2", "DDR5_COMPONENT", 6400, 8, 24, 0, 95, "Production"),
-        ("P3", "LPDDR5X", 8533, 32, 64, -40, 105, "Sampling"),
-        ("P4", "DDR5_RDIMM", 6400, 80, None, 0, 95, "Production"),
-        ("P5", "DDR5_COMPONENT", 7200, 16, 32, -40, 95, "End of Life"),
+        ("tern", "city", 14, 7, 150, 172, 110, "rent"), ("wren", "city", 18, 3, 158, 180, 125, "sale"),
+        ("kite", "race", 7, 22, 165, 190, 95, "sale"), ("heron", "cargo", 31, 11, 155, 195, 220, "rent"),
+        ("finch", "fold", 12, 3, 140, 168, 90, "gone"), ("owl", "cargo", 38, 1, 160, 200, None, "sale"),
     ]
     return spark.createDataFrame(
-        rows, "product_id string, product_family string, data_rate_mt_s long, bus_width_bits long, "
-        "component_density_gb long, operating_temp_min_c long, operating_temp_max_c long, part_status string",
-    )
+        rows, "bike string, kind string, weight long, gears long, shortest long, tallest long, load long, state string")
 
 
 def sensor_rows(entities=6, readings=120, step=timedelta(minutes=30), seed=7, heavy=None):

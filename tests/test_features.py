@@ -103,14 +103,6 @@ def test_dense_and_sparse_entities_are_put_together(skewed, monkeypatch):
     same(built(skewed, layout=plan), want, [c for c in want.columns if c.startswith("value_")])
 
 
-def test_many_dense_entities_all_take_merged_moments(sensors, expected, monkeypatch):
-    monkeypatch.setattr(dense_windows.choose, "__defaults__", (1,))
-    monkeypatch.setattr(dense_windows.attach, "__defaults__", (1, 7))
-    monkeypatch.setattr(dense_windows.dense_entities, "__defaults__", (1,))
-    monkeypatch.setattr(dense_windows, "LISTED_ENTITIES", 2)
-    same(built(sensors, layout=lay.Layout(lay.DAY, 60)), expected, expected.columns)
-
-
 def test_heavy_entity_is_cut_and_stays_exact(skewed):
     plan = lay.measure(skewed, ["machine_id"], F.unix_micros(F.col("timestamp").cast("timestamp")), task_rows=100)
     assert not plan.whole and plan.width < lay.DAY

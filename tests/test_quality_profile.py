@@ -67,16 +67,15 @@ def test_null_bucket(spark):
 
 
 def test_contract(catalogue):
-    spec = DatasetSpec.read({"dataset_id": "c", "entity_key": "product_id", "columns": {
-        "product_id": {"type": "categorical"}, "product_family": {"type": "categorical"},
-        "data_rate_mt_s": {"type": "numeric"}}})
+    spec = DatasetSpec.read({"dataset_id": "c", "entity_key": "bike", "columns": {
+        "bike": {"type": "categorical"}, "kind": {"type": "categorical"}, "weight": {"type": "numeric"}}})
     search = SearchSpec.read({
-        "searchable_fields": {"family": {"field": "product_family"},
-                              "rate": {"field": "data_rate_mt_s", "operators": ["gte"], "unit": "MT/s", "aliases": ["speed"]}},
-        "semantic_filters": {"fast": {"type": "expands_to", "expands_to": [{"field": "rate", "op": "gte", "value": 1}]}}})
+        "searchable_fields": {"sort": {"field": "kind"},
+                              "mass": {"field": "weight", "operators": ["gte"], "unit": "kg", "aliases": ["kilos"]}},
+        "semantic_filters": {"heavy": {"type": "expands_to", "expands_to": [{"field": "mass", "op": "gte", "value": 30}]}}})
     rows = {r.name: r for r in profile.search_contract(catalogue, spec, search).collect()}
-    assert rows["family"].categorical_values[0] == "DDR5_COMPONENT" and rows["family"]["min"] is None
-    assert (rows["rate"]["min"], rows["rate"]["max"], rows["rate"].aliases) == (4800.0, 8533.0, ["speed"])
-    assert profile.semantic_contract(catalogue, search).first().name == "fast"
+    assert set(rows["sort"].categorical_values) == {"cargo", "city", "fold", "race"} and rows["sort"]["min"] is None
+    assert (rows["mass"]["min"], rows["mass"]["max"], rows["mass"].aliases) == (7.0, 38.0, ["kilos"])
+    assert profile.semantic_contract(catalogue, search).first().name == "heavy"
     with pytest.raises(ValueError, match="no search section"):
         profile.search_contract(catalogue, spec, None)

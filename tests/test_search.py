@@ -7,100 +7,94 @@ from tabwise.operators.search import Sort
 from tabwise.plans.specs import SearchSpec
 
 SPEC = SearchSpec.read({
-    "searchable_fields": {"data_rate_mt_s": {"field": "data_rate_mt_s", "aliases": ["speed"]}},
+    "searchable_fields": {"mass": {"field": "weight", "aliases": ["kilos"]}},
     "semantic_filters": {
-        "operating_temperature": {
-            "type": "range_contains", "min_field": "operating_temp_min_c", "max_field": "operating_temp_max_c"},
-        "industrial_temperature": {"type": "expands_to", "expands_to": [
-            {"field": "operating_temp_min_c", "op": "lte", "value": -40},
-            {"field": "operating_temp_max_c", "op": "gte", "value": 95}]},
-        "odd": {"type": "other"},
+        "rider": {"type": "range_contains", "min_field": "shortest", "max_field": "tallest"},
+        "hauler": {"type": "expands_to", "expands_to": [
+            {"field": "load", "op": "gte", "value": 100}, {"field": "kind", "op": "in", "value": ["cargo", "city"]}]},
+        "broken": {"type": "no such type"},
     },
 })
 
 
-def hits(df, *filters):
-    found = search.search(df, list(filters), spec=SPEC)
-    rows = found.rows.collect()
-    assert found.matched() == len(rows)
-    return {r.product_id for r in rows}
-
-
-@pytest.mark.parametrize("condition, expected", [
-    (Filter("product_family", "eq", "LPDDR5X"), {"P3"}),
-    (Filter("product_family", "in", ["DDR5_COMPONENT", "LPDDR5X"]), {"P1", "P2", "P3", "P5"}),
-    (Filter("data_rate_mt_s", "gte", 6400), {"P2", "P3", "P4", "P5"}),
-    (Filter("speed", "lte", 4800), {"P1"}),
-    (Filter("data_rate_mt_s", "between", low=6400, high=7200), {"P2", "P4", "P5"}),
-    (Filter("x", "contains_range", 100, "operating_temp_min_c", "operating_temp_max_c"), {"P3"}),
-    (Filter("operating_temperature", "eq", 100), {"P3"}),
-    (Filter("operating_temperature", "semantic", 100), {"P3"}),
-    (Filter("industrial_temperature", "semantic"), {"P1", "P3", "P5"}),
-    (Filter("component_density_gb", "gte", 24), {"P2", "P3", "P5"}),
-])
-def test_operators(catalogue, condition, expected):
-    assert hits(catalogue, condition) == expected
-
-
-def test_filters_are_combined_with_and(catalogue):
-    assert hits(
-        catalogue, Filter("product_family", "eq", "DDR5_COMPONENT"), Filter("bus_width_bits", "eq", 8),
-        Filter("data_rate_mt_s", "gte", 6400),
-    ) == {"P2"}
-
-
-def test_errors(catalogue):
-    for bad in ({"op": "eq"}, {"op": "between", "low": 1}, {"op": "in", "value": "x"}, {"op": "like", "value": 1},
-                {"op": "contains_range", "value": 1}):
-        with pytest.raises(ValueError):
-            Filter("product_id", **bad)
-    with pytest.raises(ValueError, match="industrial_temperature"):
-        hits(catalogue, Filter("arctic", "semantic", 1))
-    with pytest.raises(ValueError, match="needs a value"):
-        hits(catalogue, Filter("operating_temperature", "semantic"))
-    with pytest.raises(ValueError, match="unknown type"):
-        hits(catalogue, Filter("odd", "semantic", 1))
-    with pytest.raises(ValueError, match="filter column"):
-        hits(catalogue, Filter("nope", "eq", 1))
-    with pytest.raises(ValueError, match="sort column"):
-        search.search(catalogue, [], [Sort("nope")])
-    with pytest.raises(ValueError, match="columns"):
-        search.search(catalogue, [], columns=["nope"])
+def found(df, *filters):
+    result = search.search(df, list(filters), spec=SPEC)
+    names = sorted(r.bike for r in result.rows.collect())
+    assert result.matched() == len(names)
+    return " ".join(names)
+
+
+def test_every_operator_selects_by_value(catalogue):
+    assert found(catalogue, Filter("state", "eq", "gone")) == "finch"
+    assert found(catalogue, Filter("gears", "in", [1, 22])) == "kite owl"
+    assert found(catalogue, Filter("weight", "gte", 18)) == "heron owl wren"
+    assert found(catalogue, Filter("weight", "lte", 12)) == "finch kite"
+    assert found(catalogue, Filter("gears", "between", low=3, high=7)) == "finch tern wren"
+    assert found(catalogue, Filter("any", "contains_range", 145, "shortest", "tallest")) == "finch"
+    assert found(catalogue, Filter("load", "lte", 1000)) == "finch heron kite tern wren"  # unknown is no match
+
+
+def test_aliases_and_named_meanings(catalogue):
+    assert found(catalogue, Filter("kilos", "lte", 7)) == found(catalogue, Filter("mass", "lte", 7)) == "kite"
+    tall = [Filter("rider", op, 193) for op in ("eq", "semantic")]
+    assert [found(catalogue, f) for f in tall] == ["heron owl", "heron owl"]
+    assert found(catalogue, Filter("hauler", "semantic")) == "heron tern wren"
+    parts = search.search(catalogue, [Filter("hauler", "semantic")], spec=SPEC).applied
+    assert [(p["field"], p["op"]) for p in parts] == [("load", "gte"), ("kind", "in")]
 
 
-def test_sort_project_limit(catalogue):
-    result = search.search(
-        catalogue, [], [Sort("product_family"), Sort("data_rate_mt_s", True)], 3, ["product_id"])
-    assert [r.product_id for r in result.rows.collect()] == ["P5", "P2", "P1"]
-    assert result.rows.columns == ["product_id"] and result.matched() == 5
-    assert search.clamp_limit(0) == 1 and search.clamp_limit(10**6) == 1000
+def test_all_filters_must_hold(catalogue):
+    assert found(catalogue, Filter("kind", "eq", "cargo"), Filter("state", "eq", "sale"), Filter("gears", "lte", 5)) == "owl"
+    assert found(catalogue, Filter("kind", "eq", "cargo"), Filter("weight", "lte", 5)) == ""
 
 
-def test_nulls_sort_first_both_ways(catalogue):
-    for descending in (False, True):
-        rows = search.search(catalogue, [], [Sort("component_density_gb", descending)]).rows.collect()
-        assert rows[0].product_id == "P4"
+@pytest.mark.parametrize("arguments", [
+    {"op": "gte"}, {"op": "between", "high": 4}, {"op": "in", "value": 7}, {"op": "about", "value": 7},
+    {"op": "contains_range", "value": 7}])
+def test_incomplete_filters_are_refused(arguments):
+    with pytest.raises(ValueError):
+        Filter("gears", **arguments)
+
+
+@pytest.mark.parametrize("condition, message", [
+    (Filter("sailor", "semantic", 1), "hauler"), (Filter("rider", "semantic"), "needs a value"),
+    (Filter("broken", "semantic", 1), "unknown type"), (Filter("wheels", "eq", 2), "filter column")])
+def test_unknown_names_are_refused(catalogue, condition, message):
+    with pytest.raises(ValueError, match=message):
+        found(catalogue, condition)
+
+
+def test_order_columns_and_limit(catalogue):
+    result = search.search(catalogue, [], [Sort("kind", True), Sort("weight")], 4, ["bike", "gears"])
+    assert [tuple(r) for r in result.rows.collect()] == [("kite", 22), ("finch", 3), ("tern", 7), ("wren", 3)]
+    assert result.matched() == 6
+    assert [search.clamp_limit(n) for n in (-3, 17, 5000)] == [1, 17, 1000]
+    for order in (False, True):
+        assert search.search(catalogue, [], [Sort("load", order)]).rows.first().bike == "owl"  # null comes first
+    with pytest.raises(ValueError, match="sort column"):
+        search.search(catalogue, [], [Sort("wheels")])
+    with pytest.raises(ValueError, match="columns"):
+        search.search(catalogue, [], columns=["wheels"])
 
 
-def test_audit_lists_expanded_filters(catalogue):
-    applied = search.search(catalogue, [Filter("industrial_temperature", "semantic")], spec=SPEC).applied
-    assert [(a["field"], a["op"], a["value"]) for a in applied] == [
-        ("operating_temp_min_c", "lte", -40), ("operating_temp_max_c", "gte", 95)]
+def test_plain_conditions(catalogue):
+    rows = search.sample_rows(catalogue, 10, {"state": "sale", "gears": [1, 3]}, ["bike"])
+    assert sorted(r.bike for r in rows.collect()) == ["owl", "wren"]
 
 
-def test_simple_filters_and_long_lists(catalogue):
-    rows = search.sample_rows(catalogue, 10, {"part_status": "Production", "bus_width_bits": [8, 80]}, ["product_id"])
-    assert {r.product_id for r in rows.collect()} == {"P1", "P2", "P4"}
-    many = [f"P{i}" for i in range(3, flt.INLINE_VALUES + 10)]
-    kept = flt.apply(catalogue, [Filter("product_id", "in", many)])
-    assert {r.product_id for r in kept.collect()} == {"P3", "P4", "P5"}
-    assert "Join" in kept._jdf.queryExecution().optimizedPlan().toString()
+@pytest.mark.parametrize("count", [flt.INLINE_VALUES, flt.INLINE_VALUES + 1])
+@pytest.mark.parametrize("make", [int, float])
+def test_long_lists_change_neither_rows_nor_columns(spark, count, make):
+    df = spark.createDataFrame([("a", 3.0), ("b", 4.5), ("c", float(count + 5)), ("d", None)], "k string, x double")
+    kept = flt.apply(df, [Filter("x", "in", [make(v) for v in range(3, count + 3)])])
+    assert kept.schema == df.schema and [tuple(r) for r in kept.collect()] == [("a", 3.0)]
+    names = flt.apply(df, [Filter("k", "in", [f"n{v}" for v in range(count - 1)] + ["b"])])
+    assert names.columns == df.columns and [r.k for r in names.collect()] == ["b"]
 
 
 def test_filters_reach_the_scan(spark, catalogue, tmp_path):
-    path = str(tmp_path / "c")
-    catalogue.write.parquet(path)
-    df = search.search(spark.read.parquet(path), [Filter("data_rate_mt_s", "gte", 6400)], columns=["product_id"]).rows
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(data_rate_mt_s,6400)" in plan
-    assert "bus_width_bits" not in plan.split("ReadSchema")[1]
+    catalogue.write.parquet(f"{tmp_path}/bikes")
+    stored = spark.read.parquet(f"{tmp_path}/bikes")
+    plan = search.search(stored, [Filter("weight", "gte", 30)], columns=["bike"]).rows._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    assert "GreaterThanOrEqual(weight,30)" in text and "tallest" not in text.split("ReadSchema")[1]

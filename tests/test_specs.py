@@ -25,7 +25,6 @@ CONFIG = {
 
 def test_durations():
     assert durations.seconds("24h") == 86400 and durations.micros("1.5m") == 90_000_000
-    assert durations.spell(13 * 604800) == "13w" and durations.spell(90 * 60) == "90m"
     for bad in ("", "5y", "xh"):
         with pytest.raises(ValueError):
             durations.seconds(bad)
