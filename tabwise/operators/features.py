@@ -135,13 +135,16 @@ def build_features(
     fitted: FittedFeatures | None = None,
     keep: Sequence[str] = (),
     layout: lay.Layout | None = None,
+    frame_rows: int | None = None,
 ) -> tuple[DataFrame, FittedFeatures]:
     """Keys, ``keep`` columns and every engineered feature, one output row per input row.
 
     All windows share one shuffle and one sort per entity (or entity and time bucket when an entity
-    is too heavy for a task). Entities too dense for sliding frames go through merged partial moments.
+    is too heavy for a task). Entities with more than ``frame_rows`` rows in a window (by default what
+    ``dense_windows`` takes) go through merged partial moments.
     """
     _check(spec)
+    limit = {} if frame_rows is None else {"frame_rows": frame_rows}
     fitted = fitted or FittedFeatures()
     looking_back = [(c, t.op, w) for c, t in spec.items() if needs_history(t.op) for w in t.windows]
     if looking_back and not dataset.temporal:
@@ -152,27 +155,28 @@ def build_features(
     work = df.withColumn(US, scalars.micros(dataset.time_key))
     entity = dataset.entity_key
     plan = lay.resolve(layout, work, [entity], F.col(US))
-    if dense_windows.choose(looking_back, plan):
-        dense = dense_windows.dense_entities(work, entity, US, looking_back)
+    if dense_windows.choose(looking_back, plan, **limit):
+        dense = dense_windows.dense_entities(work, entity, US, looking_back, **limit)
         same = F.col(entity).eqNullSafe(F.col("__de"))
         sparse = work.join(dense, same, "left_anti")
         rest = lay.measure(sparse, [entity], F.col(US))
-        a, state = _windowed_features(sparse, dataset, spec, fitted, keep, looking_back, rest, merged=False)
+        a, state = _windowed_features(sparse, dataset, spec, fitted, keep, looking_back, rest, None)
         b, _ = _windowed_features(
-            work.join(dense, same, "left_semi"), dataset, spec, fitted, keep, looking_back, plan, merged=True
+            work.join(dense, same, "left_semi"), dataset, spec, fitted, keep, looking_back, plan, limit
         )
         return a.unionByName(b), state
-    return _windowed_features(work, dataset, spec, fitted, keep, looking_back, plan, merged=True)
+    return _windowed_features(work, dataset, spec, fitted, keep, looking_back, plan, limit)
 
 
-def _windowed_features(work, dataset, spec, fitted, keep, looking_back, plan: lay.Layout, merged: bool):
+def _windowed_features(work, dataset, spec, fitted, keep, looking_back, plan: lay.Layout, merged: dict | None):
+    """``merged`` holds the limit above which windows take merged moments; None keeps sliding frames."""
     entity = dataset.entity_key
     if any(t.op in ("elapsed_time", "slope") for _, t in spec.items()):
         work = lay.with_extreme(work, entity, US, "__first", latest=False, layout=plan)
         work = work.withColumn("__t", F.expr(f"div({US} - __first, 1000000)"))
     dense: dict[str, str] = {}
-    if merged:
-        work, dense = dense_windows.attach(work, entity, US, looking_back, plan)
+    if merged is not None:
+        work, dense = dense_windows.attach(work, entity, US, looking_back, plan, **merged)
     framed = [durations.micros(w) for c, op, w in looking_back if f"{c}_{op}_{w}" not in dense]
     if framed:
         span = max(framed)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tabwise.functions import layout as lay
 from tabwise.operators import series as ops
 from tabwise.queries.registry import register, rounded, steady, table
 
@@ -26,10 +27,20 @@ def base(spark, folder, *columns):
     return daily(spark, folder).select("user_id", "day", *columns)
 
 
-@register("lags", f"""
+LAGS_SQL = f"""
     WITH {DAILY_SQL} SELECT user_id, day, amount, lag(amount, 1, 0) OVER w AS amount_lag_1,
            lag(amount, 2, 0) OVER w AS amount_lag_2, lag(amount, 7, 0) OVER w AS amount_lag_7
-    FROM d WINDOW w AS ({OVER})""")
+    FROM d WINDOW w AS ({OVER})"""
+
+
+@register("lags_cut", LAGS_SQL)
+def lags_cut(spark, folder):
+    """The same with every user in chunks of rows."""
+    return ops.lags(base(spark, folder, "amount"), "user_id", "day", "amount", [1, 2, 7], default=0.0,
+                    layout=lay.Layout(5 * lay.DAY), chunk_rows=8)
+
+
+@register("lags", LAGS_SQL)
 def lags(spark, folder):
     return ops.lags(base(spark, folder, "amount"), "user_id", "day", "amount", [1, 2, 7], default=0.0)
 

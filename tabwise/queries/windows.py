@@ -33,25 +33,35 @@ def window_sql(op: str, formula: str) -> str:
     SELECT event_id, user_id, ts, {columns} FROM e WINDOW {frames}"""
 
 
-def rolling(op: str, formula: str):
+def rolling(op: str, formula: str, path: str = "", **how):
+    """Registers the windows of one operation; ``how`` forces the path that heavy or dense entities take."""
     spec = FeatureSpec.read("events", {"value": {"transforms": [{op: {"windows": list(WINDOWS)}}]}})
 
-    @register(f"rolling_{op}", window_sql(op, formula))
+    @register(f"rolling_{op}{path}", window_sql(op, formula))
     def run(spark, folder):
-        built, _ = ops.build_features(table(spark, folder, "events"), EVENTS, spec, keep=["event_id"])
+        built, _ = ops.build_features(table(spark, folder, "events"), EVENTS, spec, keep=["event_id"], **how)
         return rounded(built, DIGITS.get(op, 4))
 
     return run
 
 
+SLOPE = "CASE WHEN var_samp(t) OVER {w} > 0 THEN covar_pop(t, value) OVER {w} / var_samp(t) OVER {w} END"
 rolling("mean", "avg(value) OVER {w}")
 rolling("min", "min(value) OVER {w}")
 rolling("max", "max(value) OVER {w}")
 rolling("std", "stddev_samp(value) OVER {w}")
 rolling("median", "median(value) OVER {w}")
-rolling("slope", "CASE WHEN var_samp(t) OVER {w} > 0 THEN covar_pop(t, value) OVER {w} / var_samp(t) OVER {w} END")
+rolling("slope", SLOPE)
 rolling("delta", "value - min(value) OVER {w}")
 
+CUT = lay.Layout(lay.DAY)  # every user in time buckets
+rolling("mean", "avg(value) OVER {w}", "_cut", layout=CUT)
+rolling("delta", "value - min(value) OVER {w}", "_cut", layout=CUT)
+rolling("std", "stddev_samp(value) OVER {w}", "_dense", frame_rows=1)
+rolling("max", "max(value) OVER {w}", "_dense", frame_rows=1)
+rolling("slope", SLOPE, "_dense", frame_rows=1)
+rolling("median", "median(value) OVER {w}", "_dense", frame_rows=1)
+
 
 def calendar_spec():
     return FeatureSpec.read("events", {
