@@ -28,8 +28,8 @@ def features_as_of(
 ) -> DataFrame:
     """Feature rows at every entity's last observation at or before one time (default: the latest).
 
-    Only rows inside the longest window before that observation are windowed, so the shuffle carries
-    the recent history, not the table.
+    The latest time of every entity comes from one map-side combined pass. The earliest of them less the longest
+    window bounds the second scan, and only rows inside the window before an entity's own latest time are windowed.
     """
     spec, rows = config.dataset, observations
     if not spec.temporal:
@@ -41,14 +41,23 @@ def features_as_of(
     needs_start = any(t.op == "elapsed_time" for _, t in config.features.items())
     if not needs_start:
         span = durations.micros(history) if history else 1
-        rows = rows.withColumn("__us_", scalars.micros(spec.time_key))
-        layout = lay.resolve(layout, rows, [spec.entity_key], F.col("__us_"))
-        rows = lay.with_extreme(rows, spec.entity_key, "__us_", "__end", latest=True, layout=layout)
-        rows = rows.where(F.col("__us_") > F.col("__end") - F.lit(span)).drop("__us_", "__end")
+        rows = recent_history(rows, spec.entity_key, spec.time_key, span)
     built, _ = features.build_features(rows, spec, config.features, fitted, layout=layout)
     return joins.latest_per_entity(built, spec.entity_key, spec.time_key)
 
 
+def recent_history(rows: DataFrame, entity: str, time: str, span: int) -> DataFrame:
+    """Rows less than ``span`` microseconds before their entity's latest time; rows without a time are left out."""
+    ends = settle(rows.groupBy(F.col(entity).alias("__of")).agg(F.max(time).alias("__end")))
+    earliest = ends.agg(F.min("__end")).first()[0]
+    if earliest is None:
+        return rows.where(F.lit(False))
+    kind = rows.schema[time].dataType
+    bound = scalars.shift_time(F.lit(earliest).cast("timestamp"), -span).cast(kind)
+    joined = rows.where(F.col(time) >= bound).join(ends, F.col(entity).eqNullSafe(F.col("__of")))
+    return joined.where(scalars.micros(time) > scalars.micros("__end") - F.lit(span)).drop("__of", "__end")
+
+
 def score_as_of(
     model: TrainedModel, observations: DataFrame, as_of=None, layout: lay.Layout | None = None
 ) -> DataFrame:
@@ -175,7 +184,14 @@ def rank_search(
 def search_and_predict(
     catalog: DataFrame, model: TrainedModel, observations: DataFrame, as_of=None, layout=None, **search_args
 ) -> RankedSearch:
-    """Search, predict every match as of one time with the model, rank by prediction."""
+    """Search, predict every match as of one time with the model, rank by prediction.
+
+    Only observations of entities that match the search are read into windows.
+    """
+    entity = model.config.dataset.entity_key
+    wanted = flt.expand(flt.normalize(search_args.get("filters")), search_args.get("spec"))
+    matches = flt.apply(catalog, wanted).select(F.col(entity).alias("__match")).distinct()
+    observations = observations.join(matches, F.col(entity) == F.col("__match"), "left_semi")
     scores = score_as_of(model, observations, as_of, layout)
     threshold = None if model.regression else model.threshold
     return rank_search(catalog, scores, model.config.dataset.entity_key, threshold=threshold, **search_args)
