@@ -11,10 +11,15 @@ from tabwise.llm.common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b); label is the smallest node of its component.
 
-    Every round takes the smallest label among the neighbours and then the label of the label, so long chains halve.
+    At first every node keeps the edge to its smallest neighbour below it and ties its other lower neighbours to that one
+    (the same components with about one edge per node). Every round then takes the smallest label among the neighbours and then the label of the label, so long chains halve.
     Minima combine map-side, and a node with very many edges is one row on the side that Spark's skew splitting copies.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    pairs = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    lowest = cut(pairs.groupBy("a").agg(F.min("b").alias("low")))
+    others = pairs.join(lowest, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    few = cut(lowest.select("a", F.col("low").alias("b")).unionByName(others).distinct())
+    both = cut(few.unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
