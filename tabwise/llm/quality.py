@@ -38,7 +38,7 @@ FEATURES = 1 << 18
 #: Lengths of the beginnings by which inflected and compound words share evidence.
 PREFIXES = (4, 5)
 ROUNDS = 60
-PARTS = 8
+PARTS = 4
 #: Weight of the absolute penalty, which leaves only words that tell something.
 PENALTY = 3e-4
 HEADS = ("quality", "toxic")
