@@ -33,7 +33,7 @@ from tabwise.llm.common import atomic_output, cut, new_folder, open_filesystem,
 MAGIC = b"TOKSEF01"
 END_ID = 2
 FILE_IDS = 8_000_000
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 #: Texts that are encoded together.
 TEXTS = 256
 #: Ones between two sampled positions of the upper bits.
