@@ -111,9 +111,12 @@ def first_within(
 
 
 def attach_label(features: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Features with a label computed in another table; one label per key, so rows never multiply."""
+    """Features with a label computed in another table; one label row per key, so rows never multiply.
+
+    Of several rows the greatest is taken as a whole, compared column by column.
+    """
     values = [c for c in labels.columns if c not in keys]
-    single = labels.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
+    single = labels.groupBy(*keys).agg(F.max(F.struct(*values)).alias("__row")).select(*keys, "__row.*")
     return features.join(single, list(keys), "left")
 
 

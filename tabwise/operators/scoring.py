@@ -242,7 +242,7 @@ def evaluate(
     model: TrainedModel, table: DataFrame, split: str | None = "split", filters=None, sample_size: int = 50,
     layout=None, cold_start: bool = False,
 ) -> Evaluation:
-    """Held-out metrics, overall and under an optional filter, with a sample of scored rows."""
+    """Held-out metrics, overall and under an optional filter, with the first 1 to 1000 scored rows in key order."""
     config, label = model.config, model.config.target.name
     scored = score_held_out(model, table, split, layout, cold_start)
 
@@ -265,4 +265,4 @@ def evaluate(
         sample = chosen
     shown = [*config.dataset.keys, F.col(label).alias("actual"), F.col("prediction").alias("predicted")]
     shown += [c for c in ("error", "abs_error", "predicted_label") if c in sample.columns]
-    return Evaluation(measured(scored), filtered, sample.select(*shown).limit(sample_size), scored)
+    return Evaluation(measured(scored), filtered, sample.orderBy(*config.dataset.keys).select(*shown).limit(srch.clamp_limit(sample_size)), scored)
