@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from tabwise.llm.common import cut, fresh
 
 MAX_LABELLED = 20_000
-FEATURES = 1 << 18
+FEATURES = 1 << 17
 #: Lengths of the beginnings by which inflected and compound words share evidence.
 PREFIXES = (4, 5)
-ROUNDS = 60
+ROUNDS = 40
 PARTS = 4
 #: Weight of the absolute penalty, which leaves only words that tell something.
 PENALTY = 3e-4
