@@ -26,7 +26,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from tabwise.llm.common import cut, fresh
 
 MAX_LABELLED = 20_000
-FEATURES = 1 << 17
+#: Features: the most frequent ones of the sample that occur in this share of its documents at least.
+FEATURES, LEAST_SHARE = 20_000, 0.0005
 #: Lengths of the beginnings by which inflected and compound words share evidence.
 PREFIXES = (4, 5)
 ROUNDS = 40
@@ -47,7 +48,7 @@ WEAKEST, STRONGEST = 1.0, 1e6
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def _binned(name: str, share: Column, bins: int = 12) -> Column:
@@ -55,15 +56,13 @@ def _binned(name: str, share: Column, bins: int = 12) -> Column:
 
 
 def _prefixes(distinct: Column, length: int) -> Column:
-    longer = F.filter(distinct, lambda w: F.length(w) > length)
-    return F.array_distinct(F.transform(longer, lambda w: F.concat(F.lit(f"\x02{length}"), F.substring(w, 1, length))))
+    return F.transform(distinct, lambda w: F.concat(F.lit(f"\x02{length}"), F.substring(w, 1, length)))
 
 
-def features(text: Column, found: Column) -> Column:
+def features(text: Column, found: Column, distinct: Column) -> Column:
     """Distinct words and beginnings of words, and style measures as words of their own."""
     size = F.greatest(F.length(text), F.lit(1))
     lines = F.split(text, "\n")
-    distinct = F.array_distinct(found)
     count = F.greatest(F.size(found), F.lit(1))
     style = F.array(
         _binned("capitals", F.regexp_count(text, F.lit(r"\p{Lu}")) / size),
@@ -78,19 +77,22 @@ def features(text: Column, found: Column) -> Column:
 
 @dataclass(frozen=True)
 class Head:
-    """One trained head. ``model`` is None where the labels show one class only."""
+    """One trained head; ``vocabulary`` turns features into vectors. ``model`` is None where labels show one class only."""
 
     name: str
     rate: float
     model: object
+    vocabulary: object = None
 
 
-def _vectors(docs: DataFrame, out: str, found: str, text: str) -> DataFrame:
-    """Adds the feature vector and the words of ``text``."""
-    tokens, = fresh(docs, "__tokens")
+def _listed(docs: DataFrame, tokens: str, found: str, text: str) -> DataFrame:
+    """Adds the features and the words of ``text``."""
+    distinct, = fresh(docs, "__distinct")
+    # One step each: what several later expressions use is computed once.
     worded = docs.withColumn(found, words(F.coalesce(F.col(text), F.lit(""))))
-    listed = worded.withColumn(tokens, features(F.coalesce(F.col(text), F.lit("")), F.col(found)))
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol=tokens, outputCol=out).transform(listed).drop(tokens)
+    worded = worded.withColumn(distinct, F.array_distinct(found))
+    return worded.withColumn(tokens, features(
+        F.coalesce(F.col(text), F.lit("")), F.col(found), F.col(distinct))).drop(distinct)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[Head]:
@@ -100,10 +102,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[
     sample = named.orderBy(order, "doc_id").limit(most)
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # ``most`` rows of three numbers
     # Every round adds up a vector per partition; the bounded sample needs few.
-    rows = _vectors(joined, "features", "__words", "text").select("features", *HEADS).repartition(PARTS).persist()
+    rows = _listed(joined, "tokens", "__words", "text").select("tokens", *HEADS).repartition(PARTS).persist()
+    if rows.isEmpty():
+        rows.unpersist()
+        return [Head(name, 1.0 if name == "quality" else 0.0, None) for name in HEADS]
+    vocabulary = CountVectorizer(vocabSize=FEATURES, minDF=LEAST_SHARE, binary=True, inputCol="tokens",
+                                 outputCol="features").fit(rows)
+    vectors = vocabulary.transform(rows).select("features", *HEADS).persist()
     heads = []
     for name in HEADS:
-        known = rows.where(F.col(name).isNotNull()).select("features", F.col(name).cast("double").alias("label"))
+        known = vectors.where(F.col(name).isNotNull()).select("features", F.col(name).cast("double").alias("label"))
         n, positive = known.agg(F.count(F.lit(1)), F.sum("label")).first()
         if not n or positive in (0, n):
             rate = (positive / n) if n else (1.0 if name == "quality" else 0.0)
@@ -111,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[
             continue
         fit = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, elasticNetParam=1.0,
                                  standardization=False).fit(known)
-        heads.append(Head(name, positive / n, fit))
+        heads.append(Head(name, positive / n, fit, vocabulary))
+    vectors.unpersist()
     rows.unpersist()
     return heads
 
@@ -127,7 +136,10 @@ def _chance(odds: Column) -> Column:
 
 def evidence(docs: DataFrame, heads: list[Head], text: str = "text") -> DataFrame:
     """Adds ``{head}_evidence``, the log-likelihood ratio of the document alone, and ``worded``."""
-    out = _vectors(docs, "__features", "__words", text).withColumn("worded", F.size("__words") > 0).drop("__words")
+    vocabulary = next((h.vocabulary for h in heads if h.vocabulary), None)
+    out = _listed(docs, "__tokens", "__words", text).withColumn("worded", F.size("__words") > 0).drop("__words")
+    if vocabulary:
+        out = vocabulary.copy().setInputCol("__tokens").setOutputCol("__features").transform(out)
     for head in heads:
         if head.model is None:
             out = out.withColumn(f"{head.name}_evidence", F.lit(0.0))
@@ -136,7 +148,7 @@ def evidence(docs: DataFrame, heads: list[Head], text: str = "text") -> DataFram
         model.setFeaturesCol("__features").setRawPredictionCol("__raw").setProbabilityCol("").setPredictionCol("")
         prior = math.log(head.rate / (1 - head.rate))
         out = model.transform(out).withColumn(f"{head.name}_evidence", vector_to_array("__raw")[1] - prior).drop("__raw")
-    return out.drop("__features")
+    return out.drop("__features", "__tokens")
 
 
 HOST, PATH = ("source",), ("source", "lang")
