@@ -62,19 +62,16 @@ def amount_config() -> DatasetConfig:
     })
 
 
-SMALL_TREES = {"maxIter": 10}
-
-
-def trained(spark, folder, algorithm, params=None, features=()):
+def trained(spark, folder, algorithm, features=()):
     events = table(spark, folder, "events")
     return events, models.train_model(
-        events, purchase_config(*features), f"purchase-{algorithm}", algorithm, params, ties=["event_id"])
+        events, purchase_config(*features), f"purchase-{algorithm}", algorithm, ties=["event_id"])
 
 
 @register("train_gbt_score")
 def train_gbt_score(spark, folder):
     """Boosted trees on the event features, then every user as of the latest time."""
-    events, model = trained(spark, folder, "boosted_classifier", SMALL_TREES)
+    events, model = trained(spark, folder, "boosted_classifier")
     return rounded(scoring.score_as_of(model, events), 6)
 
 
@@ -109,14 +106,14 @@ def evaluate_holdout(spark, folder):
 
 @register("feature_importance")
 def feature_importance(spark, folder):
-    _, model = trained(spark, folder, "boosted_classifier", SMALL_TREES)
+    _, model = trained(spark, folder, "boosted_classifier")
     return rounded(model.importance(spark), 6)
 
 
 @register("tree_attribution")
 def tree_attribution(spark, folder):
     """Shapley values of every user's latest prediction, grouped to source columns, three strongest each."""
-    events, model = trained(spark, folder, "boosted_classifier", SMALL_TREES)
+    events, model = trained(spark, folder, "boosted_classifier")
     rows = scoring.features_as_of(model.config, model.fitted, events)
     grouped = explain.group_onehot(explain.attribution(rows, model, ["user_id"]), ["user_id"]).drop("categories")
     return rounded(explain.top_drivers(grouped, ["user_id"], 3), 6)
@@ -137,7 +134,7 @@ def train_gbt_regression(spark, folder):
     """Boosted regression of order totals; validation and test metrics."""
     rows = predicted_orders(spark, folder).join(
         table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
-    model = models.train_model(rows, amount_config(), "amounts", None, {"maxIter": 10}, ties=["o_orderkey"])
+    model = models.train_model(rows, amount_config(), "amounts", None, ties=["o_orderkey"])
     parts = [(n, float(m["mae"]), float(m["rmse"]), float(m["r2"]), float(m["baseline_mae"]))
              for n, m in model.metrics.items() if n in ("validation", "test")]
     return spark.createDataFrame(parts, "split string, mae double, rmse double, r2 double, baseline_mae double")

@@ -1,4 +1,5 @@
 from itertools import permutations
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 from tabwise.operators import explain, models, scoring, splits
 from tabwise.operators.filters import Filter
 from tabwise.plans.specs import DatasetConfig
+from tabwise.queries import REGISTRY
 
+SMALL = "/root/testdata/sf0.001"
 CONFIG = DatasetConfig.read({
     "dataset": {
         "dataset_id": "s", "entity_key": "machine_id", "time_key": "timestamp",
@@ -64,6 +67,28 @@ def test_defaults_and_unknown_names():
             models.resolve_algorithm(name, regression)
 
 
+@pytest.mark.parametrize("name,kind,trees", [
+    ("train_gbt_score", "boosted_classifier", 200), ("feature_importance", "boosted_classifier", 200),
+    ("tree_attribution", "boosted_classifier", 200), ("train_gbt_regression", "boosted_regressor", 300)])
+def test_registered_queries_fit_the_declared_trees(spark, monkeypatch, name, kind, trees):
+    class Fitted(Exception):
+        pass
+
+    class Declared:
+        def __init__(self, **params):
+            self.params = params
+
+        def fit(self, rows):
+            raise Fitted(self.params["maxIter"])
+
+    if not Path(SMALL).exists():
+        pytest.skip("test tables are not here")
+    monkeypatch.setattr(models, "GBTClassifier" if kind == "boosted_classifier" else "GBTRegressor", Declared)
+    with pytest.raises(Fitted) as found:
+        REGISTRY[name].run(spark, SMALL)
+    assert found.value.args == (trees,)
+
+
 def test_training_reports_and_learns(logistic, trees):
     for model in (logistic, trees):
         assert model.feature_names[:3] == ["value_current", "value_mean_3h", "value_std_6h"]
