@@ -10,7 +10,7 @@ Vectors are taken as integers, ``floor(64 * x)``; scores are exact while they st
 
 Defined results. Rows with a null id, a null vector, or a null or non-finite component take no part. Vectors of
 different lengths are not compared. All rows with a query's id count as its own and are no candidates of it; of repeated
-query ids one vector is used, the smallest. Repeated candidate rows each take a rank. Other columns are ignored.
+query ids one vector is used, the smallest. Queries need not be rows of the table. Repeated candidate rows each take a rank. Other columns are ignored.
 
 Scale. Queries grow with the table, so they are broadcast in blocks of at most ``BLOCK_BYTES``, each held against all
 rows in one scan; a task keeps k rows per query, so what it emits does not grow with its input.
@@ -96,16 +96,24 @@ class Search:
         self.stats, self.norm = [statistics(queries, s) for s in SEGMENTS], (queries ** 2).sum(1)
         self.floor = np.full(len(queries), -np.inf)
         self.q, self.s, self.i = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        if len(queries) > k:  # rows of the table themselves: their k-th score is a floor from the start
-            for a in range(0, len(queries), QUERY_ROWS):
-                scores = queries[a:a + QUERY_ROWS] @ queries[:SEED_ROWS].T
-                scores[ids[a:a + QUERY_ROWS, None] == ids[None, :SEED_ROWS]] = -np.inf
-                self.floor[a:a + QUERY_ROWS] = np.partition(scores, -k, axis=1)[:, -k]
+
+    def seed(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Raise floors to the k-th best score among candidates; k of them reach it, so no better row is lost."""
+        if len(rows) < self.k:
+            return
+        for a in range(0, len(self.queries), QUERY_ROWS):
+            b = slice(a, a + QUERY_ROWS)
+            scores = self.queries[b] @ rows.T
+            scores[self.ids[b, None] == ids[None, :]] = -np.inf
+            self.floor[b] = np.maximum(self.floor[b], np.partition(scores, -self.k, axis=1)[:, -self.k])
 
     def scan(self, ids: np.ndarray, rows: np.ndarray) -> None:
         """Take in candidates, given as integer rows."""
         for c in range(0, len(rows), CANDIDATE_ROWS):
             part, part_ids = rows[c:c + CANDIDATE_ROWS], ids[c:c + CANDIDATE_ROWS]
+            if np.isneginf(self.floor).any():
+                seeds = max(SEED_ROWS, 2 * self.k)
+                self.seed(part_ids[:seeds], part[:seeds])
             stats, norm = [statistics(part, s) for s in SEGMENTS], (part ** 2).sum(1)
             found = []
             for a in range(0, len(self.queries), QUERY_ROWS):

@@ -40,6 +40,20 @@ def test_search_is_exact(spark, shared, k, block_bytes):
     assert sorted(map(tuple, got)) == brute(vectors(), k, 20)
 
 
+@pytest.mark.parametrize("asked", [10, 40, 600])
+def test_queries_from_outside_the_table(spark, shared, asked):
+    rng = random.Random(4)
+    table = [(i, [rng.gauss(0, 0.5) for _ in range(24)]) for i in range(200)]
+    outside = [(1000 + i, [rng.gauss(0, 5) for _ in range(24)]) for i in range(asked)]
+    schema = "vec_id long, embedding array<double>"
+    got = topk.top_k(spark.createDataFrame(table, schema).repartition(2), spark.createDataFrame(outside, schema), 20)
+    want = []
+    for i, v in outside:
+        scores = [(-sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(v, w)), j) for j, w in table]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scores)[:20])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_empty_tables(spark, shared):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(none, none).collect() == []
