@@ -12,7 +12,7 @@
 
 Defined results. Null texts and texts without words have no set, are linked with nothing, and are their own component.
 Repeated rows are equal texts. A null doc_id takes part but names no component; a component of nothing else has a null
-id. Rows that share a doc_id share its fate. An empty table gives no rows. Other columns are ignored or kept as they are.
+id. In ``report`` rows that share a doc_id share its fate; ``keep_one`` leaves one row of a component. An empty table gives no rows. Other columns are ignored or kept as they are.
 
 Scale. Sets travel once, for members of clusters alone. A group (band or cluster) above ``BLOCK_ROWS`` or
 ``BLOCK_BYTES`` is not put into one task: all members are held against its first member, which connects a family of
@@ -284,7 +284,7 @@ def _full_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
 
 def component_table(docs: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, n_shingles, key of every row; key and component_id of the keys that hold several rows)."""
+    """(doc_id, text_hash, n_shingles, key of every row; key, label, component_id of the keys that hold several rows)."""
     count = bands(threshold)
     rows = cut(sketches(docs, width, count * ROWS))
     classes = cut(rows.where("key IS NOT NULL").groupBy("key").agg(
@@ -307,7 +307,7 @@ def component_table(docs: DataFrame, width: int, threshold: float) -> tuple[Data
         "key", "least", F.coalesce("label", "key").alias("label"), (F.col("label").isNotNull() | (F.col("n") > 1)).alias("several"))
     named = cut(named.where("several"))
     smallest = cut(named.groupBy("label").agg(F.min("least").alias("component_id")))
-    return rows, cut(named.join(smallest, "label").select("key", "component_id"))
+    return rows, cut(named.join(smallest, "label").select("key", "label", "component_id"))
 
 
 def report(docs: DataFrame, width: int = 3, threshold: float = 0.85) -> DataFrame:
@@ -320,18 +320,28 @@ def report(docs: DataFrame, width: int = 3, threshold: float = 0.85) -> DataFram
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One document of each group of near-duplicates, all its columns unchanged.
+    """One row of each group of near-duplicates, all its columns unchanged.
 
-    The documents to go are few and narrow; only they are joined to the texts. Documents without an id go where their
-    group holds one with an id.
+    It is the row of the smallest doc_id, then of the smallest text hash; documents without an id come last. Of rows
+    equal in both, the one with the smallest hash over its columns stays. The documents to go are narrow; only they, and
+    the few that stay but repeat, are joined to the texts.
     """
     names = [f"__c{i}" for i in range(len(docs.columns))]
     given = docs.toDF(*names).withColumnsRenamed({
         n: c for n, c in zip(names, docs.columns) if c in ("doc_id", "text")})
     rows, several = component_table(given.select("doc_id", "text"), width, threshold)
-    gone = rows.join(several, "key").where(
-        "component_id IS NOT NULL AND (doc_id IS NULL OR doc_id <> component_id)").select(
-        F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")).distinct()
-    left = given.join(cut(gone).hint("shuffle_hash"), given["doc_id"].eqNullSafe(F.col("__gone_id"))
-                      & (F.xxhash64("text") == F.col("__gone_hash")), "left_anti")
+    members = cut(rows.join(several, "key").groupBy("label", "doc_id", "text_hash").agg(
+        F.count(F.lit(1)).alias("n")).withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")))
+    firsts = members.groupBy("label").agg(F.min("place").alias("first"))
+    marked = cut(members.join(firsts, "label").withColumn("__stays", F.col("place").eqNullSafe(F.col("first"))).where(
+        "NOT __stays OR n > 1").select(
+        F.col("doc_id").alias("__mark_id"), F.col("text_hash").alias("__mark_hash"), "__stays"))
+    same = given["doc_id"].eqNullSafe(F.col("__mark_id")) & (F.xxhash64("text") == F.col("__mark_hash"))
+    left = given.join(marked.hint("shuffle_hash"), same, "left_anti")
+    repeated = marked.where("__stays")
+    if not repeated.isEmpty():
+        hashed = [f.name for f in given.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+        one = given.join(repeated.hint("shuffle_hash"), same).groupBy("__mark_id", "__mark_hash").agg(
+            F.min_by(F.struct(*given.columns), F.xxhash64(*hashed)).alias("row"))
+        left = left.unionByName(one.select("row.*"))
     return left.select(*[F.col(c if c in ("doc_id", "text") else n).alias(c) for n, c in zip(names, docs.columns)])

@@ -75,6 +75,24 @@ def test_one_document_stays(spark, shared, no_docs):
     assert near_dup.report(no_docs).collect() == [] and near_dup.keep_one(no_docs).collect() == []
 
 
+def test_one_row_stays_of_repeated_rows_and_missing_ids(spark, shared):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(6)]
+    near = texts[1] + " end"
+    rows = [(1, texts[0], "x"), (1, texts[0], "x"), (1, texts[0], "y"), (2, texts[0], "z"),  # the kept row repeats
+            (None, texts[1], "a"), (None, texts[1], "a"), (None, near, "b"),  # no id in the whole group
+            (None, texts[2], "c"), (5, texts[2], "d"), (5, texts[2], "d"),  # an id beside none
+            (6, texts[3], "e"), (6, texts[3] + " end", "f"),  # one id, two texts
+            (7, texts[4], "g"), (7, texts[5], "h"), (None, None, "i"), (None, None, "i"), (8, "", "j")]  # apart
+    df = spark.createDataFrame([(*r, {"k": r[2]}) for r in rows], "doc_id long, text string, note string, m map<string,string>")
+    kept = near_dup.keep_one(df.repartition(3)).collect()
+    assert all(r.m == {"k": r.note} and (r.doc_id, r.text, r.note) in rows for r in kept)
+    groups = ["xyz", "ab", "cd", "ef", "g", "h", "j"]
+    assert [sum(r.note in g for r in kept) for g in groups] == [1] * len(groups)
+    assert sum(r.note == "i" for r in kept) == 2 and len(kept) == len(groups) + 2
+    assert {r.doc_id for r in kept if r.note in "xyzcd"} == {1, 5}
+
+
 def test_words_hash_alike_in_any_company():
     rng = random.Random(2)
     pool = [" ".join(rng.choice(["a", "B", "é", "longer", "x" * 50]) for _ in range(rng.randint(0, 30))) for _ in range(200)]
