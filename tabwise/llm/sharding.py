@@ -12,7 +12,8 @@ sort first. Rows equal in curve index are ordered by doc_id, checksum and size;
 interchangeable. Shards beyond the row count stay empty. Other columns stay as they are.
 
 Scale. Rows are ranked by one range partitioning of narrow rows; texts are read for their size and checksum only. The
-driver sees quantiles and totals per partition. ``write_shards`` sends each text once, to the range it belongs to.
+driver sees quantiles and totals per partition. ``write_shards`` numbers the rows in a checkpoint and sends each text
+twice: to its place by that number, then to the range it belongs to.
 """
 
 from __future__ import annotations
@@ -105,25 +106,28 @@ def on_curve(df: DataFrame, dimensions: Sequence[str], index: str, bits: int = B
     return hilbert(df, cells, bits, index)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, number: Sequence[str] = ()) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         "doc_id", "source", "lang", (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *number)
 
 
 ORDER = ("curve", "doc_id", "text_crc32", "size")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, curve, shard and slot of every document; shard sizes differ by one row at most."""
-    rows = cut(on_curve(_keyed(docs), DIMENSIONS, "curve", bits))
+def assign(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, number: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, curve, shard and slot of every document; shard sizes differ by one row at most.
+
+    Columns in ``number`` are kept and order the rows that are equal otherwise.
+    """
+    rows = cut(on_curve(_keyed(docs, number), DIMENSIONS, "curve", bits))
     n = max(1, rows.count())
-    placed = ranked(rows, [F.col(c) for c in ORDER], "rank")
+    placed = ranked(rows, [F.col(c) for c in (*ORDER, *number)], "rank")
     shard = F.expr(f"(rank * {shards}L) div {n}L")
     first = F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")
     return placed.withColumn("shard", shard).withColumn("slot", F.col("rank") - first).select(
-        "doc_id", "size", "text_crc32", "curve", F.col("shard").cast("int").alias("shard"), "slot")
+        "doc_id", "size", "text_crc32", "curve", F.col("shard").cast("int").alias("shard"), "slot", *number)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -134,19 +138,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, bits: int = BITS) -> None:
-    """Write all columns as Parquet, one folder per shard, rows along the curve."""
-    placed = assign(docs, shards, bits)
-    starts = placed.where("slot = 0").select("shard", F.struct(*ORDER).alias("start")).orderBy("shard").collect()
+    """Write all columns as Parquet, one folder per shard, rows along the curve.
+
+    Shard and slot are those of ``assign``; they come back to the texts by a row number that a checkpoint fixes, so
+    repeated rows are split as there.
+    """
     names = [f"__c{i}" for i in range(len(docs.columns))]
     wanted = ("doc_id", "source", "lang", "text")
     given = docs.toDF(*names).withColumnsRenamed({n: c for n, c in zip(names, docs.columns) if c in wanted})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = given.withColumns({"size": (F.octet_length(text) + ROW_OVERHEAD).cast("long"),
-                               "text_crc32": F.crc32(F.encode(text, "UTF-8"))})
-    curved = on_curve(keyed, DIMENSIONS, "curve", bits)
-    here = F.struct(*ORDER)
-    reached = [(here >= F.struct(*[F.lit(r["start"][c]).alias(c) for c in ORDER])).cast("int") for r in starts[1:]]
-    numbered = curved.withColumn("shard", sum(reached, F.lit(0)))
-    dealt = numbered.repartitionByRange(shards, *ORDER).sortWithinPartitions("shard", *ORDER)
+    numbered = cut(given.withColumn("__row", F.monotonically_increasing_id()))
+    placed = cut(assign(numbered, shards, bits, ["__row"]).select("__row", "shard", "slot"))
+    dealt = numbered.join(placed, "__row").repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot")
     dealt.select("shard", *[col(c if c in wanted else n).alias(c) for n, c in zip(names, docs.columns)]).write.partitionBy(
         "shard").parquet(folder)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabwise.llm import sharding
 from tabwise.llm.common import new_folder
-from tests.llm.conftest import clashing, documents
+from tests.llm.conftest import DOC_SCHEMA, clashing, documents
 
 
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (4, 2)])
@@ -54,6 +54,18 @@ def test_written_shards_hold_all_rows(spark, docs, no_docs):
     assert sharding.report(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("rows,shards", [
+    ([(i, f"text {i}", "en", f"s{i % 3}", 1) for i in range(40)] + [(7, "repeated", "de", "s1", 2)] * 20, 12),
+    ([(1, "a", "en", "s1", 1), (2, "b", "en", "s1", 1)], 40)])
+def test_written_shards_are_those_of_assign(spark, shared, rows, shards):
+    df = spark.createDataFrame(rows, DOC_SCHEMA).repartition(3)
+    folder = new_folder(spark, "shards")
+    sharding.write_shards(df, folder, shards)
+    key = lambda r: (r.shard, r.doc_id, r["size"])
+    back = spark.read.parquet(folder).withColumn("size", F.octet_length("text") + sharding.ROW_OVERHEAD).collect()
+    assert sorted(map(key, back)) == sorted(map(key, sharding.assign(df, shards).collect()))
+
+
 def test_plan_has_no_python(docs):
     plan = sharding.report(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
