@@ -37,6 +37,7 @@ from tabwise.llm import (  # noqa: E402
     token_ids,
     topk,
     warc,
+    whitening,
 )
 
 WORDS = r"""
@@ -161,3 +162,9 @@ def op8_minhash_near_dup(spark: SparkSession, folder: str) -> DataFrame:
 def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes that every document loses, and the digest of the rest."""
     return suffix_dedup.report(table(spark, folder, "documents"))
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The eight leading whitened components of every vector."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
