@@ -36,6 +36,7 @@ from tabwise.llm import (  # noqa: E402
     suffix_dedup,
     token_ids,
     topk,
+    vector_dup,
     warc,
     whitening,
 )
@@ -168,3 +169,19 @@ def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """The eight leading whitened components of every vector."""
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op12_embedding_near_dup", """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT r, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+      WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r AND a.norm > 0 AND b.norm > 0
+      AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+c AS (WITH RECURSIVE reach(x, y) AS (SELECT r, r FROM v UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x)
+      SELECT x, min(vec_id) AS component_id FROM reach JOIN v ON y = v.r GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN c ON c.x = v.r LEFT JOIN n ON n.x = v.r""")
+def op12_embedding_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vector_dup.report(table(spark, folder, "embeddings"))
