@@ -136,11 +136,11 @@ class Search:
         self.q, self.s, self.i = q[kept], s[kept], i[kept]
 
 
-def usable(vectors: DataFrame, ids: bool = True) -> DataFrame:
-    """vec_id and embedding of the rows that take part; without ``ids``, a null id does not matter."""
+def usable(vectors: DataFrame, ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, ``keep`` and embedding of the rows that take part; without ``ids``, a null id does not matter."""
     value = F.col("embedding")
     bad = F.exists(value, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), *keep, "embedding").where(
         (F.col("vec_id").isNotNull() | F.lit(not ids)) & value.isNotNull() & ~bad)
 
 
