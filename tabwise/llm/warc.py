@@ -151,7 +151,8 @@ def read(spark: SparkSession, folder: str, archives: DataFrame) -> DataFrame:
                             rows, held = [], 0
                     yield pa.RecordBatch.from_pylist(rows, schema=READ)
 
-    files = archives.select("path").repartition(F.col("path"))
+    # A number that is asked for is kept, while small partitions without one would be merged into a single task.
+    files = archives.select("path").repartition(max(1, archives.count()), F.col("path"))
     return files.mapInArrow(load, "page_id string, url string, size long, digest string, type string, "
                                   "original string, payload binary")
 
