@@ -187,7 +187,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
             yield close()
 
     order = [F.col("doc_id").asc_nulls_first(), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # The last order column parts rows that are equal in all others.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tie"))
+    order.append(F.col("tie"))
     placed = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     return cut(placed.mapInArrow(dump, FILES))
 
@@ -219,7 +221,8 @@ def read(folder: str, files: DataFrame) -> DataFrame:
                      pa.array([zlib.crc32(wide[a:b]) for a, b in zip(starts, stops)], pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    named = with_offsets(files).select("path", "first").repartition(F.col("path"))
+    # A number that is asked for is kept, while small partitions without one would be merged into a single task.
+    named = with_offsets(files).select("path", "first").repartition(max(1, files.count()), F.col("path"))
     return named.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
