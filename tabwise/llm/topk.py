@@ -4,7 +4,10 @@ A vector is cut into segments, from a few long ones to many short ones; of each
 Between two vectors, segment length times the squared difference of means plus the squared difference of deviations
 never exceeds the segment's squared distance. Their sum is a lower bound of the distance, hence an upper bound of the
 inner product. Candidates whose bound lies below a query's k-th best score so far drop out at the coarsest resolution
-that shows it; the survivors of the finest get their exact score.
+that shows it; the survivors of the finest get their exact score. The finest segments are single components, whose bound
+is the distance itself. Of every two blocks a few pairs tell first whether a level rules out enough to pay; it is left out
+where not. How many pairs a level can rule out depends on the table: vectors without common directions differ in all
+segments alike, and only the finest levels tell them apart.
 
 Vectors are taken as integers, ``floor(64 * x)``; scores are exact while they stay below 2^53.
 
@@ -12,8 +15,8 @@ Defined results. Rows with a null id, a null vector, or a null or non-finite com
 different lengths are not compared. All rows with a query's id count as its own and are no candidates of it; of repeated
 query ids one vector is used, the smallest. Queries need not be rows of the table. Repeated candidate rows each take a rank. Other columns are ignored.
 
-Scale. Queries grow with the table, so they are broadcast in blocks of at most ``BLOCK_BYTES``, each held against all
-rows in one scan; a task keeps k rows per query, so what it emits does not grow with its input.
+Scale. Queries grow with the table. Blocks of queries meet strips of rows on the cluster (``crossing``); a unit keeps k rows
+per query, so what it emits does not grow with its input.
 """
 
 from __future__ import annotations
@@ -25,28 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwise.llm.crossing import STRIP_BYTES, cross, matrices
+
 SCALE = 64
-SEGMENTS = (4, 16)
-BLOCK_BYTES = 16_000_000
+SEGMENTS = (4, 16, 32, 64)
 #: Candidates and queries of one matrix in a task; candidates that set the first thresholds.
 CANDIDATE_ROWS, QUERY_ROWS, SEED_ROWS = 1024, 512, 512
 PAIR_ROWS = 20_000
+#: Queries and candidates that are tried first, and the share of pairs that a level must rule out among them.
+TRIED, PAYS = (32, 128), 0.05
 
 
 def as_integers(values: np.ndarray) -> np.ndarray:
     return np.floor(SCALE * values.astype(np.float64))
 
 
-def matrices(ids: np.ndarray, lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, integer matrix) for each vector length of a column of lists."""
-    flat = as_integers(lists.flatten().to_numpy(zero_copy_only=False))
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
-    for width in np.unique(lengths):
-        rows = np.flatnonzero(lengths == width)
-        yield ids[rows], flat[starts[rows][:, None] + np.arange(width)]
-
-
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     """Per row: means times the root of the segment length, then deviations (root of the summed squares)."""
     width = x.shape[1]
@@ -55,7 +51,9 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     for a, b in zip(edges, edges[1:]):
         part = x[:, a:b]
         mean = part.mean(axis=1, keepdims=True)
-        out += [mean[:, 0] * np.sqrt(b - a), np.sqrt(((part - mean) ** 2).sum(axis=1))]
+        out.append(mean[:, 0] * np.sqrt(b - a))
+        if b - a > 1:
+            out.append(np.sqrt(((part - mean) ** 2).sum(axis=1)))
     return np.stack(out, axis=1) if out else np.zeros((len(x), 1))
 
 
@@ -74,17 +72,24 @@ def not_ruled_out(q_stats, c_stats, q_norm, c_norm, threshold) -> np.ndarray:
     With both squared norms, a lower bound of the squared distance is an upper bound of the inner product.
     """
     mask = np.ones((len(q_norm), len(c_norm)), bool)
+    tried_q, tried_c = (slice(None, None, max(1, -(-n // t))) for n, t in zip(mask.shape, TRIED))
     for q, c in zip(q_stats, c_stats):
-        def dense(q=q, c=c):
+        def dense(q=q, c=c, q_norm=q_norm, c_norm=c_norm):
             return (q ** 2).sum(1)[:, None] + (c ** 2).sum(1)[None, :] - 2 * (q @ c.T)
 
         def sparse(i, j, q=q, c=c):
             return ((q[i] - c[j]) ** 2).sum(1)
 
+        def far(apart, a, b, limit):
+            return (a + b - apart) / 2 + 1e-9 * (a + b) + 1e-6 < limit
+
+        few = mask[tried_q, tried_c]
+        gone = few & far(dense(q[tried_q], c[tried_c]), q_norm[tried_q, None], c_norm[None, tried_c], threshold[tried_q, None])
+        if few.sum() and gone.sum() < PAYS * few.sum():
+            continue
         i, j, apart = over_pairs(mask, dense, sparse)
-        best = (q_norm[i] + c_norm[j] - apart) / 2
-        far = best + 1e-9 * (q_norm[i] + c_norm[j]) + 1e-6 < threshold[i]
-        mask[i[far], j[far]] = False
+        out = far(apart, q_norm[i], c_norm[j], threshold[i])
+        mask[i[out], j[out]] = False
     return mask
 
 
@@ -94,6 +99,7 @@ class Search:
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.queries, self.k = ids, queries, k
         self.stats, self.norm = [statistics(queries, s) for s in SEGMENTS], (queries ** 2).sum(1)
+        self.pairs = self.scored = 0
         self.floor = np.full(len(queries), -np.inf)
         self.q, self.s, self.i = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
 
@@ -120,6 +126,7 @@ class Search:
                 b = slice(a, a + QUERY_ROWS)
                 mask = not_ruled_out([q[b] for q in self.stats], stats, self.norm[b], norm, self.floor[b])
                 queries = self.queries[b]
+                self.pairs, self.scored = self.pairs + mask.size, self.scored + int(mask.sum())
                 qi, ci, scores = over_pairs(mask, lambda: queries @ part.T,  # noqa: B023 - called at once
                                             lambda i, j: np.einsum("ij,ij->i", queries[i], part[j]))  # noqa: B023
                 good = (scores >= self.floor[b][qi]) & (self.ids[b][qi] != part_ids[ci])
@@ -144,35 +151,28 @@ def usable(vectors: DataFrame, ids: bool = True, keep: tuple[str, ...] = ()) ->
         (F.col("vec_id").isNotNull() | F.lit(not ids)) & value.isNotNull() & ~bad)
 
 
-def _searcher(block, k: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches = {width: Search(ids, queries, k) for width, (ids, queries) in block.value.items()}
-        for batch in batches:
-            for ids, rows in matrices(batch.column(0).to_numpy(), batch.column(1)):
+def _search(k: int):
+    def task(asked: pa.RecordBatch | None, blocks: Iterator[pa.RecordBatch]) -> pa.Table:
+        searches = {}
+        if asked is not None:
+            ids = asked.column("vec_id").to_numpy()
+            searches = {x.shape[1]: Search(ids[at], x, k) for at, x in matrices(asked.column("embedding"), as_integers)}
+        for batch in blocks:
+            ids = batch.column("vec_id").to_numpy()
+            for at, rows in matrices(batch.column("embedding"), as_integers):
                 if rows.shape[1] in searches:
-                    searches[rows.shape[1]].scan(ids, rows)
-        for s in searches.values():
-            yield pa.record_batch([pa.array(s.ids[s.q]), pa.array(s.i), pa.array(s.s.astype(np.int64))],
-                                  ["query_id", "vec_id", "score"])
-    return search
+                    searches[rows.shape[1]].scan(ids[at], rows)
+        columns = [[s.ids[s.q] for s in searches.values()], [s.i for s in searches.values()],
+                   [s.s.astype(np.int64) for s in searches.values()]]
+        return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in columns],
+                        ["query_id", "vec_id", "score"])
+    return task
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, strip_bytes: int = STRIP_BYTES) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows of ``vectors`` for every row of ``queries``."""
-    rows, spark = usable(vectors), vectors.sparkSession
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    size = asked.agg(F.sum(8 * F.size("embedding") + 64)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    best = None
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
-        sent = {}
-        for batch in block.to_batches():
-            for ids, x in matrices(batch.column(0).to_numpy(), batch.column(1)):
-                old = sent.get(x.shape[1])
-                sent[x.shape[1]] = (np.concatenate((old[0], ids)), np.concatenate((old[1], x))) if old else (ids, x)
-        found = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(sent), k), "query_id long, vec_id long, score long")
-        best = found if best is None else best.unionByName(found)
+    best = cross(asked, "vec_id", usable(vectors), _search(k), "query_id long, vec_id long, score long", strip_bytes=strip_bytes)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -32,11 +32,11 @@ def brute(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("k,block_bytes", [(20, topk.BLOCK_BYTES), (5, 2000), (1000, topk.BLOCK_BYTES)])
-def test_search_is_exact(spark, shared, k, block_bytes):
+@pytest.mark.parametrize("k,strip_bytes", [(20, topk.STRIP_BYTES), (5, 2000), (1000, topk.STRIP_BYTES)])
+def test_search_is_exact(spark, shared, k, strip_bytes):
     df = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>").repartition(3)
     wide = df.withColumns({c: F.lit(0) for c in ("query_id", "rank", "score", "label")})
-    got = topk.top_k(wide, wide.where("vec_id % 20 = 0"), k, block_bytes).collect()
+    got = topk.top_k(wide, wide.where("vec_id % 20 = 0"), k, strip_bytes).collect()
     assert sorted(map(tuple, got)) == brute(vectors(), k, 20)
 
 
@@ -57,3 +57,24 @@ def test_queries_from_outside_the_table(spark, shared, asked):
 def test_empty_tables(spark, shared):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(none, none).collect() == []
+
+
+def test_levels_rule_out_most_pairs():
+    """Vectors without common directions: only the finest level tells them apart, and it is the one that is used."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 64))
+    rows = topk.as_integers(x / np.linalg.norm(x, axis=1, keepdims=True))
+    search = topk.Search(np.arange(0, 3000, 20), rows[::20], 20)
+    search.scan(np.arange(3000), rows)
+    assert search.scored < 0.05 * search.pairs
+    exact = rows[::20] @ rows.T
+    exact[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    assert (np.sort(search.s.reshape(150, 20)) == np.sort(exact)[:, -20:]).all()
+    # Clustered vectors leave at a coarse level already.
+    centres = rng.standard_normal((20, 64)) * 5
+    near = topk.as_integers(np.repeat(centres, 100, axis=0) + 0.05 * rng.standard_normal((2000, 64)))
+    q, c, threshold = near[:50], near[:1000], np.full(50, float((near[0] ** 2).sum()) * 0.99)
+    left = topk.not_ruled_out([topk.statistics(q, 4)], [topk.statistics(c, 4)], (q ** 2).sum(1), (c ** 2).sum(1), threshold)
+    assert left.mean() < 0.5
