@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,36 +13,117 @@ from pyspark.sql import types as T
 from tabwise.plans import durations
 from tabwise.plans.specs import DatasetSpec, TargetSpec
 from tabwise.streaming import state
+from tabwise.streaming.state import BLOCK, US
 
 HIT = "positive_row"
+NEVER = np.iinfo(np.int64).max
+
+
+@dataclass(frozen=True)
+class LabelWork:
+    """Pending rows in time order, in blocks that know their first event, and the next event of later buckets.
+
+    A row is labelled when it leaves: by the first event after it among the rows that are still pending, all of which are
+    later, or by the one event that the following buckets have told of.
+    """
+
+    name: str
+    horizon: int
+    block: int = BLOCK
+
+    def arriving(self, processor, batch: pd.DataFrame) -> pd.DataFrame:
+        own = batch[state.OWN].astype(bool)
+        if not own.all():
+            memory = processor.remembered() or self.fresh()
+            memory["later"] = min(memory["later"], int(batch.loc[~own, US].min()))
+            processor.remember(memory)
+            processor.wake(memory["later"] + 1000)  # forgotten then, if nobody asked
+        return batch[own]
+
+    @staticmethod
+    def fresh() -> dict:
+        # Blocks as (number, last time, first event), oldest first; the newest block is held open.
+        return {"blocks": [], "open": None, "later": NEVER, "next": 0}
+
+    def step(self, memory, rows: pd.DataFrame, closed: int, blocks):
+        memory = memory or self.fresh()
+        if len(rows):
+            held = rows if memory["open"] is None else pd.concat([memory["open"], rows], ignore_index=True)
+            for start in range(0, len(held) // self.block * self.block, self.block):
+                part = held.iloc[start:start + self.block]
+                hits = part.loc[part[HIT].astype(bool), US]
+                memory["next"] += 1
+                memory["blocks"].append((memory["next"], int(part[US].iloc[-1]), int(hits.min()) if len(hits) else NEVER))
+                blocks.write(memory["next"], part)
+            rest = held.iloc[len(held) // self.block * self.block:].reset_index(drop=True)
+            memory["open"] = rest if len(rest) else None
+        due, parts, left = closed - self.horizon, [], None
+        while memory["blocks"] or memory["open"] is not None:
+            if memory["blocks"]:
+                part = blocks.take(memory["blocks"].pop(0)[0])
+            else:
+                part, memory["open"] = memory["open"], None
+            leaving = (part[US] <= due).to_numpy()
+            if leaving.any():
+                parts.append(part[leaving])
+            if not leaving.all():
+                left = part[~leaving].reset_index(drop=True)
+                break
+        if left is not None:
+            self._put_back(memory, left, blocks)
+        following = self._next_event(memory, left)
+        emitted = pd.concat(parts, ignore_index=True) if parts else rows.iloc[:0].assign(**{self.name: 0})
+        if parts:
+            times, hit = emitted[US].to_numpy(dtype="int64"), emitted[HIT].astype(bool).to_numpy()
+            events = np.append(times[hit], following)
+            after = events[np.minimum(np.searchsorted(times[hit], times, "right"), len(events) - 1)]
+            emitted[self.name] = (after - times <= self.horizon).astype("int8")
+        if left is None:
+            return emitted, None if memory["later"] == NEVER or closed > memory["later"] else memory, (
+                None if memory["later"] == NEVER or closed > memory["later"] else memory["later"] + 1000)
+        return emitted, memory, int(left[US].iloc[0]) + self.horizon
+
+    @staticmethod
+    def _put_back(memory: dict, left: pd.DataFrame, blocks) -> None:
+        if not memory["blocks"] and memory["open"] is None:
+            memory["open"] = left
+            return
+        hits = left.loc[left[HIT].astype(bool), US]
+        memory["next"] += 1
+        memory["blocks"].insert(0, (memory["next"], int(left[US].iloc[-1]), int(hits.min()) if len(hits) else NEVER))
+        blocks.write(memory["next"], left)
+
+    @staticmethod
+    def _next_event(memory: dict, left: pd.DataFrame | None) -> int:
+        """First event after the rows that leave; a later bucket's is certainly after all of this one's."""
+        for _, _, first in memory["blocks"]:
+            if first != NEVER:
+                return first
+        if memory["open"] is not None:
+            hits = memory["open"].loc[memory["open"][HIT].astype(bool), US]
+            if len(hits):
+                return int(hits.min())
+        return memory["later"]
 
 
 def delayed_labels(
     stream: DataFrame, dataset: DatasetSpec, target: TargetSpec, keep: list[str] | None = None,
-    delay: str = "1 hour", bucket: str = "1d",
+    delay: str = "1 hour", bucket: str = "1d", block: int = BLOCK,
 ) -> DataFrame:
     """Emit a row with its label when the watermark has passed its time plus the horizon.
 
-    Only positive rows are copied to the bucket before theirs, so pairs of rows and events never form.
+    State of a bucket: its pending rows, and one event of the buckets after it. Only positive rows are copied to the bucket
+    before theirs, which keeps the earliest, so pairs of rows and events never form.
     """
     if target.horizon_micros is None:
         raise ValueError(f"target {target.name!r}: a future event needs a horizon")
     horizon = target.horizon_micros
     hit = F.coalesce(F.col(target.source_column) == F.lit(target.positive_class), F.lit(False))
     columns = list(dict.fromkeys([dataset.entity_key, dataset.time_key, *(keep or []), HIT]))
-
-    def compute(held: pd.DataFrame) -> pd.DataFrame:
-        times = held[state.US].to_numpy(dtype="int64")
-        events = np.sort(times[held[HIT].astype(bool).to_numpy()])
-        first = np.searchsorted(events, times, side="right")
-        last = np.searchsorted(events, times + horizon, side="right")
-        held[target.name] = (last > first).astype("int8")
-        return held
-
     placed = state.keyed(
         stream.withColumn(HIT, hit), dataset.entity_key, dataset.time_key,
         max(durations.micros(bucket), horizon), 0, horizon, delay, halo_filter=F.col(HIT),
     )
-    out = state.run(placed, dataset.entity_key, dataset.time_key, columns, horizon, 0, compute,
+    out = state.run(placed, dataset.entity_key, dataset.time_key, columns, LabelWork(target.name, horizon, block),
                     [T.StructField(target.name, T.ByteType())])
     return out.drop(HIT)

@@ -2,70 +2,133 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tabwise.functions import moments, rank_index
 from tabwise.operators.features import needs_history, select_features
 from tabwise.operators.models import TrainedModel
 from tabwise.plans import durations
 from tabwise.plans.specs import DatasetSpec, FeatureSpec
 from tabwise.streaming import state
+from tabwise.streaming.queues import Window
+from tabwise.streaming.state import US
+
+STREAMED = ("mean", "min", "max", "std", "median", "delta", "slope")
+ELAPSED = "elapsed_time"
+
+
+@dataclass(frozen=True)
+class RollingWork:
+    """Two stacks per window; the values of the longest median window as they are; the entity's first time."""
+
+    wanted: tuple[tuple[str, str, str], ...]
+    elapsed: bool
+    whole: bool  # the key is an entity: it remembers its first time for good
+    block: int = state.BLOCK
 
-def rolling(held: pd.DataFrame, time: str, column: str, op: str, window: str) -> pd.Series:
-    """Values over ``(t - w, t]`` of rows in time order; rows of equal time all see the window of the last."""
-    values = pd.Series(
-        held[column].astype(float).to_numpy(), index=pd.DatetimeIndex(pd.to_datetime(held[time], unit="us"))
-    )
-    span = pd.Timedelta(durations.micros(window), unit="us")
-    rolled = getattr(values.rolling(span, min_periods=2 if op == "std" else 1, closed="right"), op)()
-    return pd.Series(rolled.to_numpy()).groupby(held[time].to_numpy()).transform("last")
+    @property
+    def span(self) -> int:
+        return max((durations.micros(w) for _, _, w in self.wanted), default=0)
 
+    def arriving(self, processor, batch: pd.DataFrame) -> pd.DataFrame:
+        return batch
 
-STREAMED = ("mean", "min", "max", "std", "median", "delta")
+    def step(self, memory, rows: pd.DataFrame, closed: int, blocks):
+        merged = [t for t in self.wanted if t[1] != "median"]
+        windows = list(dict.fromkeys(w for _, _, w in merged))
+        columns = {w: list(dict.fromkeys(c for c, _, v in merged if v == w)) for w in windows}
+        medians = [t for t in self.wanted if t[1] == "median"]
+        if memory is None:
+            memory = {"first": None, "recent": {}, "newest": None, "windows": [
+                Window(durations.micros(w), len(columns[w]), k, self.block) for k, w in enumerate(windows)]}
+        times = rows[US].to_numpy(dtype="int64")
+        if len(rows):
+            memory["first"] = int(times[0]) if memory["first"] is None else memory["first"]
+            memory["newest"] = int(times[-1])
+            first, group = state.points(times)
+            seconds = ((times - memory["first"]) // 1_000_000).astype(float)
+            values = {c: rows[c].to_numpy(dtype=float, na_value=np.nan) for c, _, _ in self.wanted}
+            new = {c: moments.of_points(values[c], seconds, group) for c in {c for c, _, _ in merged}}
+            for window, held in zip(windows, memory["windows"]):
+                found = dict(zip(columns[window], held.advance(times[first], [new[c] for c in columns[window]], blocks)))
+                for c, op, w in merged:
+                    if w == window:
+                        taken = moments.value(found[c], op)[group]
+                        rows[f"{c}_{op}_{w}"] = values[c] - taken if op == "delta" else taken
+            self._medians(memory["recent"], medians, times, values, first, group, rows)
+            if self.elapsed:
+                rows[ELAPSED] = seconds
+        emitted = rows[rows[state.OWN].astype(bool)] if len(rows) else rows
+        if memory["newest"] is None or closed < memory["newest"] + self.span:
+            return emitted, memory, None if memory["newest"] is None else memory["newest"] + self.span
+        # Nothing can look back to what is held; only the entity's first time stays.
+        for held in memory["windows"]:
+            held.clear(blocks)
+        if not self.whole:
+            return emitted, None, None
+        fresh = [Window(durations.micros(w), len(columns[w]), k, self.block) for k, w in enumerate(windows)]
+        return emitted, {"first": memory["first"], "recent": {}, "newest": None, "windows": fresh}, None
+
+    @staticmethod
+    def _medians(recent: dict, medians, times, values, first, group, rows) -> None:
+        """Medians cannot be merged: the values of the longest window are read again."""
+        for column in dict.fromkeys(c for c, _, _ in medians):
+            spans = {w: durations.micros(w) for c, _, w in medians if c == column}
+            held = recent.get(column, (np.zeros(0, np.int64), np.zeros(0)))
+            at, v = np.concatenate((held[0], times)), np.concatenate((held[1], values[column]))
+            distinct, codes = np.unique(np.where(np.isnan(v), 0.0, v), return_inverse=True)
+            weight = (~np.isnan(v)).astype(np.int64)
+            upto = np.concatenate(([0], np.cumsum(weight)))
+            end = np.searchsorted(at, times[first], "right")
+            for w, span in spans.items():
+                start = np.searchsorted(at, times[first] - span, "right")
+                total = upto[end] - upto[start]
+                low, high = (distinct[np.minimum(rank_index.select(codes, weight, [(start, end)], np.maximum(r, 0)),
+                                                 len(distinct) - 1)] for r in ((total - 1) // 2, total // 2))
+                rows[f"{column}_median_{w}"] = np.where(total > 0, low + (high - low) * 0.5, np.nan)[group]
+            keep = np.searchsorted(at, times[-1] - max(spans.values()), "right")
+            recent[column] = (at[keep:], v[keep:])
 
 
 def rolling_features(
     stream: DataFrame, dataset: DatasetSpec, spec: FeatureSpec, keep: list[str] | None = None,
-    delay: str = "1 hour", bucket: str = "1d",
+    delay: str = "1 hour", bucket: str = "1d", block: int = state.BLOCK,
 ) -> DataFrame:
     """Features of every row once the watermark has passed it, equal to the batch features of closed rows.
 
-    State of a bucket: its rows and those of the longest window before it.
+    State of a bucket: the points of its longest window. ``slope`` and ``elapsed_time`` count from an entity's first row;
+    with them a bucket is an entity, which then remembers that time and is not spread.
     """
     wanted = [(c, t.op, w) for c, t in spec.items() if needs_history(t.op) for w in t.windows]
+    elapsed = any(t.op == ELAPSED for _, t in spec.items())
     unknown = [op for _, op, _ in wanted if op not in STREAMED]
-    if unknown or not wanted:
+    if unknown or not (wanted or elapsed):
         raise ValueError(f"streamed windows are {', '.join(STREAMED)}; got {unknown or 'none'}")
-    span = durations.micros(spec.max_history_window())
-    width = max(durations.micros(bucket), span)
+    whole = elapsed or any(op == "slope" for _, op, _ in wanted)
+    work = RollingWork(tuple(wanted), elapsed, whole, block)
+    width = None if whole else max(durations.micros(bucket), work.span)
     columns = list(dict.fromkeys([dataset.entity_key, dataset.time_key, *(keep or []), *[c for c, _, _ in wanted]]))
-
-    def compute(held: pd.DataFrame) -> pd.DataFrame:
-        for column, op, window in wanted:
-            taken = rolling(held, state.US, column, "min" if op == "delta" else op, window)
-            held[f"{column}_{op}_{window}"] = held[column] - taken if op == "delta" else taken
-        return held
-
     outputs = [T.StructField(f"{c}_{op}_{w}", T.DoubleType()) for c, op, w in wanted]
-    placed = state.keyed(stream, dataset.entity_key, dataset.time_key, width, span - 1, 0, delay)
-    return state.run(placed, dataset.entity_key, dataset.time_key, columns, 0, span, compute, outputs)
+    outputs += [T.StructField(ELAPSED, T.DoubleType())] * elapsed
+    placed = state.keyed(stream, dataset.entity_key, dataset.time_key, width, max(work.span - 1, 0), 0, delay)
+    return state.run(placed, dataset.entity_key, dataset.time_key, columns, work, outputs)
 
 
 def score_stream(
     stream: DataFrame, model: TrainedModel, keep: list[str] | None = None, delay: str = "1 hour", bucket: str = "1d"
 ) -> DataFrame:
-    """Prediction of every row once the watermark has passed it; the model and its fitted state stay as they are.
-
-    Features that need more than a window of the past (``elapsed_time``, ``slope``) are not streamed.
-    """
+    """Prediction of every row once the watermark has passed it; the model and its fitted state stay as they are."""
     dataset, spec = model.config.dataset, model.config.features
-    if any(t.op in ("elapsed_time", "slope") for _, t in spec.items()):
-        raise ValueError("elapsed_time and slope count from an entity's first row and are not streamed")
     sources = [c for c in spec.source_columns() if c not in dataset.keys]
     held = list(dict.fromkeys([*(keep or []), *sources]))
     closed = rolling_features(stream, dataset, spec, held, delay, bucket)
-    windowed = {f"{c}_{t.op}_{w}" for c, t in spec.items() if needs_history(t.op) for w in t.windows}
-    ready, _ = select_features(closed, dataset, spec, model.fitted, keep or [], {n: n for n in windowed})
+    kept = {f"{c}_{t.op}_{w}" for c, t in spec.items() if needs_history(t.op) for w in t.windows}
+    kept |= {ELAPSED} & set(closed.columns)
+    ready, _ = select_features(closed, dataset, spec, model.fitted, keep or [], {n: n for n in kept})
     outputs = ["prediction"] + ([] if model.regression else ["predicted_label"])
     return model.transform(ready).select(*dataset.keys, *(keep or []), *outputs)

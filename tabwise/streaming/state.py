@@ -2,14 +2,20 @@
 
 Streams are keyed by (entity, time bucket) with the same halo as the batch windows: a row also goes to the
 bucket whose rows may look back (or ahead) to it. A heavy entity is thus spread over its buckets, and the state
-of a bucket is dropped when the watermark has passed everything it can still emit.
+of a bucket is dropped when the watermark has passed everything it can still emit. Operators that need all of an
+entity's past take one bucket per entity.
+
+Rows wait until the watermark has passed them; from then on they are final and are taken in time order. What is kept of
+them lies in blocks of a bounded number of entries, so that a row is written and read a bounded number of times.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,78 +29,113 @@ from tabwise.functions import scalars
 # Their names start with a letter: the Python side of the stateful operator renames others.
 US, OWN, BUCKET = "time_us", "own_row", "bucket_id"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BLOCK = 512
+
+
+class Blocks:
+    """Overflow blocks of a key: numbered entries of a map state."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        key = T.StructType([T.StructField("block", T.LongType())])
+        self.held = handle.getMapState("blocks", key, T.StructType([T.StructField("body", T.BinaryType())]))
+
+    def write(self, number: int, body) -> None:
+        self.held.updateValue((number,), (pickle.dumps(body, 5),))
+
+    def take(self, number: int):
+        body = pickle.loads(bytes(self.held.getValue((number,))[0]))
+        self.held.removeKey((number,))
+        return body
+
 
+class OrderedProcessor(StatefulProcessor):
+    """Hands rows on once, in time order, when the watermark has passed them.
 
-class BucketProcessor(StatefulProcessor):
-    """Holds rows until the watermark has passed ``us + wait``, then emits them once, in time order."""
+    ``step(memory, rows, closed, blocks)`` gets what the key remembers, its newly final rows and the time up to which rows
+    are final; it returns (rows to emit, new memory or None, time at which it must run again or None).
+    """
 
-    def __init__(self, columns: Sequence[str], keep_schema: T.StructType, wait: int, reach: int,
-                 compute: Callable[[pd.DataFrame], pd.DataFrame], out: Sequence[str]):
-        self.columns, self.keep_schema, self.wait, self.reach = list(columns), keep_schema, wait, reach
-        self.compute, self.out = compute, list(out)
+    def __init__(self, columns: Sequence[str], keep_schema: T.StructType, work, out: Sequence[str]):
+        self.columns, self.keep_schema, self.work, self.out = list(columns), keep_schema, work, list(out)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rows = handle.getListState("rows", self.keep_schema)
+        self.memory = handle.getValueState("memory", T.StructType([T.StructField("body", T.BinaryType())]))
+        self.blocks = Blocks(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            values = batch[self.columns].astype(object)
-            self.rows.appendList([tuple(r) for r in values.where(values.notna(), None).itertuples(index=False)])
-            pending = batch.loc[batch[OWN], US]
-            if len(pending):
-                self._wake(int(pending.min()))
-            self._wake(int(batch[US].max()) + self.reach)  # drops copies nobody asked for
+            # What a row of another bucket leaves behind may be less than the row itself.
+            kept = self.work.arriving(self, batch)
+            if len(kept):
+                values = kept[self.columns].astype(object)
+                self.rows.appendList([tuple(r) for r in values.where(values.notna(), None).itertuples(index=False)])
+                self.wake(int(kept[US].min()))
         return iter(())
 
-    def _wake(self, us: int) -> None:
-        self.handle.registerTimer(-(-(us + self.wait) // 1000))
+    def wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def remembered(self):
+        return pickle.loads(bytes(self.memory.get()[0])) if self.memory.exists() else None
+
+    def remember(self, memory) -> None:
+        if memory is None:
+            self.memory.clear()
+        else:
+            self.memory.update((pickle.dumps(memory, 5),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        closed = timerValues.getCurrentWatermarkInMs() * 1000 - self.wait
-        held = pd.DataFrame([tuple(r) for r in self.rows.get()], columns=self.columns)
-        if held.empty:
-            return
-        held = held.sort_values(US, kind="stable").reset_index(drop=True)
-        done = held[OWN].astype(bool) & (held[US] <= closed)
-        if done.any():
-            result = self.compute(held)[done]
-            yield result[self.out].reset_index(drop=True)
-            held.loc[done, OWN] = False
-        pending = held.loc[held[OWN].astype(bool), US]
-        # Rows already emitted stay only while a pending or future row can reach back to them.
-        keep = held[held[OWN].astype(bool) | (held[US] > closed - self.reach)]
-        if keep.empty:
-            self.rows.clear()
-            return
-        self._wake(int(pending.min()) if len(pending) else int(keep[US].max()) + self.reach)
-        values = keep.astype(object)
-        self.rows.put([tuple(r) for r in values.where(values.notna(), None).itertuples(index=False)])
+        closed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = pd.DataFrame([tuple(r) for r in self.rows.get()] if self.rows.exists() else [], columns=self.columns)
+        final = held[US] <= closed
+        done = held[final].sort_values(US, kind="stable").reset_index(drop=True)
+        if len(done):
+            rest = held[~final].astype(object)
+            if len(rest):
+                self.rows.put([tuple(r) for r in rest.where(rest.notna(), None).itertuples(index=False)])
+            else:
+                self.rows.clear()
+        if (~final).any():
+            self.wake(int(held.loc[~final, US].min()))
+        emitted, memory, again = self.work.step(self.remembered(), done, closed, self.blocks)
+        self.remember(memory)
+        if again is not None:
+            self.wake(int(again))
+        if len(emitted):
+            yield emitted[self.out].reset_index(drop=True)
 
     def close(self) -> None:
         pass
 
 
 def keyed(
-    stream: DataFrame, entity: str, time: str, width: int, before: int, after: int, delay: str,
+    stream: DataFrame, entity: str, time: str, width: int | None, before: int, after: int, delay: str,
     halo_filter=None,
 ) -> DataFrame:
-    """Watermarked stream with bucket, ownership and halo copies (only those passing ``halo_filter``)."""
+    """Watermarked stream with bucket, ownership and halo copies (only those passing ``halo_filter``).
+
+    Without a ``width`` all rows of an entity share one bucket.
+    """
     marked = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
     placed = lay.range_halo(marked.withColumn(US, scalars.micros(time)), F.col(US), lay.Layout(width), before, after)
     placed = placed.withColumnsRenamed({lay.OWN: OWN, lay.BUCKET: BUCKET})
     return placed if halo_filter is None else placed.where(F.col(OWN) | halo_filter)
 
 
-def run(
-    placed: DataFrame, entity: str, time: str, value_columns: Sequence[str], wait: int, reach: int,
-    compute: Callable[[pd.DataFrame], pd.DataFrame], outputs: Sequence[T.StructField],
-) -> DataFrame:
+def run(placed: DataFrame, entity: str, time: str, value_columns: Sequence[str], work, outputs: Sequence[T.StructField]) -> DataFrame:
     columns = [*value_columns, US, OWN]
     schema = T.StructType([placed.schema[c] for c in columns])
     emitted = T.StructType([*[placed.schema[c] for c in value_columns], *outputs])
-    processor = partial(BucketProcessor, columns, schema, wait, reach, compute, [f.name for f in emitted.fields])()
+    processor = partial(OrderedProcessor, columns, schema, work, [f.name for f in emitted.fields])()
     needed = placed.select(BUCKET, *dict.fromkeys([entity, time, *columns]))
     return needed.groupBy(entity, BUCKET).transformWithStateInPandas(
         processor, emitted, "Append", "EventTime"
     )
+
+
+def points(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of every distinct time, number of the distinct time of every row) of sorted times."""
+    new = np.append(True, times[1:] != times[:-1]) if len(times) else np.zeros(0, bool)
+    return np.flatnonzero(new), np.cumsum(new) - 1

@@ -13,6 +13,8 @@ SPEC = DatasetSpec.read({
                 "value": {"type": "numeric"}, "failure": {"type": "boolean", "role": "event"}}})
 WINDOWS = FeatureSpec.read("s", {"value": {"transforms": [
     {op: {"windows": ["2h", "6h"]}} for op in ("mean", "min", "max", "std", "median", "delta")]}})
+SLOPES = FeatureSpec.read("s", {"value": {"transforms": [
+    "elapsed_time", *[{op: {"windows": ["2h", "6h"]}} for op in ("slope", "mean", "std")]]}})
 
 
 @pytest.fixture(scope="module")
@@ -39,24 +41,27 @@ def finish(spark, df, place):
     return spark.read.schema(df.schema).parquet(str(place / "out"))
 
 
-def test_streamed_windows_equal_batch_windows_of_closed_rows(spark, sensors, arrivals, tmp_path):
-    out = rolling.rolling_features(stream_of(spark, arrivals, sensors.schema), SPEC, WINDOWS, ["row_id"],
-                                   delay="1 hour", bucket="8h")
+@pytest.mark.parametrize("spec", [WINDOWS, SLOPES], ids=["buckets", "entities"])
+@pytest.mark.parametrize("block", [4, 512])
+def test_streamed_windows_equal_batch_windows_of_closed_rows(spark, sensors, arrivals, tmp_path, spec, block):
+    out = rolling.rolling_features(stream_of(spark, arrivals, sensors.schema), SPEC, spec, ["row_id"],
+                                   delay="1 hour", bucket="8h", block=block)
     got = {r.row_id: r for r in finish(spark, out, tmp_path).collect()}
-    batch, _ = features.build_features(sensors, SPEC, WINDOWS, keep=["row_id"])
+    batch, _ = features.build_features(sensors, SPEC, spec, keep=["row_id"])
     want = {r.row_id: r for r in batch.collect()}
     latest = max(r.timestamp for r in want.values())
     closed = {i for i, r in want.items() if r.timestamp <= latest - timedelta(hours=1, milliseconds=1)}
     assert set(got) == closed
     for i in closed:
-        for name in (c for c in batch.columns if c.startswith("value_")):
+        for name in (c for c in batch.columns if c.startswith("value_") or c == "elapsed_time"):
             a, b = got[i][name], want[i][name]
             assert (a is None or a != a) == (b is None) and (b is None or a == pytest.approx(b, abs=1e-6)), name
 
 
-def test_delayed_labels_equal_batch_labels_of_closed_rows(spark, sensors, arrivals, tmp_path):
+@pytest.mark.parametrize("block", [3, 512])
+def test_delayed_labels_equal_batch_labels_of_closed_rows(spark, sensors, arrivals, tmp_path, block):
     target = TargetSpec("y", "future_event", "failure", "4h", 1)
-    out = labels.delayed_labels(stream_of(spark, arrivals, sensors.schema), SPEC, target, ["row_id"], bucket="8h")
+    out = labels.delayed_labels(stream_of(spark, arrivals, sensors.schema), SPEC, target, ["row_id"], bucket="8h", block=block)
     got = {r.row_id: r.y for r in finish(spark, out, tmp_path).collect()}
     rows = targets.build_target(sensors, target, SPEC).collect()
     latest = max(r.timestamp for r in rows)
@@ -70,7 +75,8 @@ def test_streamed_scores_equal_batch_scores(spark, sensors, arrivals, tmp_path):
 
     config = DatasetConfig.read({
         "dataset": {"dataset_id": "s", "entity_key": "machine_id", "time_key": "timestamp"},
-        "features": {"value": {"transforms": ["current", {"mean": {"windows": ["2h"]}}, {"delta": {"windows": ["6h"]}}]},
+        "features": {"value": {"transforms": ["current", {"mean": {"windows": ["2h"]}}, {"delta": {"windows": ["6h"]}},
+                                               {"slope": {"windows": ["6h"]}}, "elapsed_time"]},
                      "kind": {"transforms": ["categorical", "hour_of_day"]}},
         "target": {"name": "y", "type": "binary", "source_column": "kind", "positive_class": "a"}})
     model = models.train_model(sensors, config, "m", "logistic_regression", ties=["row_id"])
@@ -82,10 +88,6 @@ def test_streamed_scores_equal_batch_scores(spark, sensors, arrivals, tmp_path):
     want = {r.row_id: r for r in rows if r.timestamp <= latest - timedelta(hours=1, milliseconds=1)}
     assert set(got) == set(want)
     assert all(got[i].prediction == pytest.approx(want[i].prediction, abs=1e-9) for i in want)
-    sloped = DatasetConfig.read({**__import__("json").loads(config.raw), "features": {
-        "value": {"transforms": [{"slope": {"windows": ["2h"]}}]}}})
-    with pytest.raises(ValueError, match="not streamed"):
-        rolling.score_stream(sensors, models.TrainedModel("x", "logistic_regression", sloped, model.fitted, {}, {}, None))
 
 
 def test_unsupported_streams(spark, sensors, arrivals):
@@ -110,3 +112,52 @@ def test_stream_validation_sets_late_rows_aside(spark, tmp_path):
     assert read("rows").count() == 4
     found = {(r.batch_id, r.check): r.n_violations for r in read("report").collect()}
     assert found == {(0, "entity_null"): 1, (0, "duplicate_keys"): 1}
+
+
+class Counted:
+    """Blocks in memory that count how often entries are written and read."""
+
+    def __init__(self):
+        self.held, self.written, self.read = {}, 0, 0
+
+    def write(self, number, body):
+        assert number not in self.held
+        self.held[number] = body
+        self.written += len(body[0])
+
+    def take(self, number):
+        body = self.held.pop(number)
+        self.read += len(body[0])
+        return body
+
+
+def test_work_per_arrival_does_not_depend_on_the_window():
+    """Two-stack windows equal direct ones, and every point is written and read a bounded number of times."""
+    import numpy as np
+
+    from tabwise.functions import moments
+    from tabwise.streaming.queues import Window
+
+    rng = np.random.default_rng(1)
+    times = np.cumsum(rng.integers(1, 20, 6000)).astype(np.int64)
+    times[3000:] += 400  # a gap that outlasts the short windows
+    values = rng.normal(3, 2, 6000)
+    values[rng.random(6000) < 0.1] = np.nan
+    one = moments.of_points(values, times.astype(float), np.arange(6000))
+    for span in (5, 300, 3000, 30_000):
+        blocks, window, got, at = Counted(), Window(span, 1, 0, block=32), [], 0
+        while at < len(times):
+            step = int(rng.integers(1, 200))
+            got += window.advance(times[at:at + step], [moments.take(one, slice(at, at + step))], blocks)
+            at += step
+        found = moments.joined(got)
+        for k in rng.integers(0, 6000, 150):
+            held = values[:k + 1][times[:k + 1] > times[k] - span]
+            held = held[~np.isnan(held)]
+            assert found["n"][k] == len(held)
+            if len(held):
+                assert found["ym"][k] == pytest.approx(held.mean()) and found["low"][k] == held.min()
+                assert found["y2"][k] == pytest.approx(held.var() * len(held), abs=1e-6)
+        assert blocks.written <= 2 * 6000 and blocks.read <= 2 * 6000 + 64
+        window.clear(blocks)
+        assert not blocks.held
