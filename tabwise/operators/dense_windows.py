@@ -294,9 +294,16 @@ def _between(parts: list[tuple[DataFrame, int]], kind: str) -> DataFrame:
     indexed = settle(rows.groupBy(SET, "__e", CELL, "__reach").applyInArrow(
         lambda g: summary(g).append_column("__reach", g.column("__reach")[:1]),
         f"{SET} int, __e {kind}, {CELL} long, __values array<long>, __below array<long>, __upto array<long>, __reach long"))
-    # Every cell is seen by itself, by the cells it is whole in, and by the one that sees its later part.
-    seen = indexed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__reach") + 1)).alias("__ahead"))
-    seen = seen.withColumn("__home", F.col(CELL) + F.col("__ahead"))
+    # Every cell is seen by itself, by the cells it is whole in, and by the one that sees its later part; only cells with
+    # rows ask. Within spans of a window's cells a cell reaches one or two.
+    reach = F.col("__reach") + 1
+    block = lambda cell: F.floor(cell / (F.col("__reach") + 2)).cast("long")
+    homes = indexed.select(F.col(SET).alias("__hs"), F.col("__e").alias("__he"), F.col(CELL).alias("__home"),
+                           block(F.col(CELL)).alias("__hb"))
+    seen = indexed.withColumn("__block", F.explode(F.array_distinct(F.array(block(F.col(CELL)), block(F.col(CELL) + reach)))))
+    seen = seen.join(homes, (F.col(SET) == F.col("__hs")) & F.col("__e").eqNullSafe(F.col("__he")) & (
+        F.col("__block") == F.col("__hb")) & F.col("__home").between(F.col(CELL), F.col(CELL) + reach))
+    seen = seen.withColumn("__ahead", F.col("__home") - F.col(CELL)).drop("__hs", "__he", "__hb", "__block")
     asks = seen.groupBy(SET, "__e", "__home").applyInArrow(
         asked, f"{SET} int, __e {kind}, {CELL} long, __home long, __lo long, __hi long")
     return rows.drop("__reach").groupBy(SET, "__e", CELL).cogroup(asks.groupBy(SET, "__e", CELL)).applyInArrow(

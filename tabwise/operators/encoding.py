@@ -6,14 +6,17 @@ import warnings
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwise.functions import quantiles, scalars
 
-# One column per category: beyond this the caller has to say so.
+# Categories of a column: beyond this the caller has to say so.
 MAX_CATEGORIES = 10_000
+# Categories above which linear models take a column as one sparse vector instead of one column per category.
+SPARSE_FROM = 256
 
 
 def category_counts(df: DataFrame, column: str, min_frequency: int = 1) -> DataFrame:
@@ -65,6 +68,25 @@ def onehot(column: str, categories: Sequence[str]) -> list[tuple[str, Column]]:
     ]
 
 
+def sparse_name(column: str) -> str:
+    """Column that holds the index of a row's category; the number of categories stands for none of them."""
+    return scalars.onehot_name(column, "*")
+
+
+def with_category_index(df: DataFrame, column: str, categories: Sequence[str], out: str) -> DataFrame:
+    """Index of the category by one hash lookup; unknown and null values give ``len(categories)``."""
+    text = f"__text_{out}"
+    indexer = StringIndexerModel.from_labels(list(categories), inputCol=text, outputCol=out, handleInvalid="keep")
+    return indexer.transform(df.withColumn(text, scalars.text_value(column))).drop(text)
+
+
+def category_shares(df: DataFrame, index: str, size: int) -> list[float]:
+    """Share of rows per category; one row per category comes back, at most ``max_categories``."""
+    counts = {int(r[0]): r[1] for r in df.groupBy(scalars.named(index)).count().collect()}
+    n = sum(counts.values()) or 1
+    return [counts.get(i, 0) / n for i in range(size)]
+
+
 def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact median per column; a column without values is imputed with 0."""
     columns = list(columns)
@@ -105,10 +127,30 @@ def scaled(column: str, fitted: tuple[float, float]) -> Column:
     return (scalars.named(column).cast("double") - F.lit(mean)) / F.lit(spread)
 
 
-def assemble(df: DataFrame, names: Sequence[str], out: str = "features", scaling: Mapping[str, Any] | None = None):
-    """Feature vector in contract order, scaled first when constants are given."""
-    inputs = {
-        f"__z{i}": scaled(n, scaling[n]) if scaling else scalars.named(n).cast("double") for i, n in enumerate(names)
-    }
-    wide = df.withColumns(inputs)
-    return VectorAssembler(inputCols=list(inputs), outputCol=out).transform(wide).drop(*inputs)
+def assemble(
+    df: DataFrame, names: Sequence[str], out: str = "features", scaling: Mapping[str, Any] | None = None,
+    sparse: Mapping[str, Sequence[str]] | None = None,
+):
+    """Feature vector in contract order, scaled first when constants are given.
+
+    ``sparse`` names the columns that hold category indexes, with the names of their features. Those are divided by their
+    deviation but not centred, which keeps them sparse; an intercept takes up the difference.
+    """
+    sparse = sparse or {}
+    wide, inputs, helpers = df, [], []
+    for i, name in enumerate(names):
+        mine = f"__z{i}"
+        if name not in sparse:
+            wide = wide.withColumn(mine, scaled(name, scaling[name]) if scaling else scalars.named(name).cast("double"))
+        else:
+            index, encoded, size = f"__i{i}", f"__o{i}", len(sparse[name])
+            known = {"ml_attr": {"type": "nominal", "name": index, "num_vals": size + 1}}
+            wide = wide.withColumn(index, scalars.named(name).cast("double").alias(index, metadata=known))
+            wide = OneHotEncoder(inputCol=index, outputCol=encoded, dropLast=True).fit(wide).transform(wide)
+            factors = [1.0 / scaling[f][1] if scaling else 1.0 for f in sparse[name]]
+            wide = ElementwiseProduct(scalingVec=Vectors.dense(factors), inputCol=encoded, outputCol=mine).transform(wide)
+            helpers += [index, encoded]
+        inputs.append(mine)
+    # Names of single categories are not wanted as metadata of the vector.
+    wide = wide.select(*map(scalars.named, df.columns), *[F.col(c).alias(c, metadata={}) for c in inputs])
+    return VectorAssembler(inputCols=inputs, outputCol=out).transform(wide).drop(*inputs, *helpers)

@@ -7,21 +7,26 @@ impacts is the model's raw output.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 from math import factorial
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwise.functions import scalars
 from tabwise.operators import encoding
 from tabwise.operators.models import SCALED, TrainedModel
+from tabwise.session import checkpoint_dir
 
 # Fixed value: shown when no category of a one-hot source is active.
 UNSEEN = "(unseen)"
+# Cells of one table of impacts; tables are broadcast, and their number depends on the model alone.
+GRID_CELLS = 4096
 
 
 def linear_impact(column: str, coefficient: float, mean: float) -> Column:
@@ -40,34 +45,35 @@ def linear_attribution(
     return df.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*")
 
 
-def _leaves(node, path, cover):
-    """(value, [(feature, ratio of rows kept, test)]) per leaf of one tree."""
-    if node.numDescendants() == 0:
-        yield float(node.prediction()), path
-        return
-    split = node.split()
-    feature = int(split.featureIndex())
-    here = cover(node)
-    for child, goes_left in ((node.leftChild(), True), (node.rightChild(), False)):
-        step = (feature, cover(child) / here, float(split.threshold()), goes_left)
-        yield from _leaves(child, [*path, step], cover)
-
-
 def tree_leaves(model: TrainedModel) -> list[tuple[float, list[tuple[int, float, list[tuple[float, bool]]]]]]:
     """Leaves of all trees: weighted value and, per feature on the path, its kept ratio and its tests.
 
-    The size is set by the model (trees and depth), not by the data.
+    The nodes are read from the model's own saved form, in one job. Their number is set by the model (trees and depth), not
+    by the data.
     """
-    java = model.estimator._java_obj
-    weights = list(model.estimator.treeWeights)
+    spark = SparkSession.active()
+    place = f"{checkpoint_dir(spark)}/trees-{uuid4().hex}"
+    model.estimator.write().save(place)
+    nodes: dict[int, dict[int, Row]] = {}
+    for row in spark.read.parquet(f"{place}/data").toLocalIterator():
+        nodes.setdefault(row["treeID"], {})[row["nodeData"]["id"]] = row["nodeData"]
     out = []
-    for weight, tree in zip(weights, java.trees()):
-        for value, path in _leaves(tree.rootNode(), [], lambda n: float(n.impurityStats().rawCount())):
-            per_feature: dict[int, tuple[float, list]] = {}
-            for feature, kept, threshold, left in path:
-                ratio, tests = per_feature.get(feature, (1.0, []))
-                per_feature[feature] = (ratio * kept, [*tests, (threshold, left)])
-            out.append((weight * value, [(f, r, t) for f, (r, t) in per_feature.items()]))
+    for tree, weight in enumerate(model.estimator.treeWeights):
+        held, todo = nodes[tree], [(0, [])]
+        while todo:
+            number, path = todo.pop()
+            node = held[number]
+            if node["leftChild"] < 0:
+                per_feature: dict[int, tuple[float, list]] = {}
+                for feature, kept, threshold, left in path:
+                    ratio, tests = per_feature.get(feature, (1.0, []))
+                    per_feature[feature] = (ratio * kept, [*tests, (threshold, left)])
+                out.append((weight * node["prediction"], [(f, r, t) for f, (r, t) in per_feature.items()]))
+                continue
+            split, rows = node["split"], node["rawCount"]
+            for child, left in ((node["rightChild"], False), (node["leftChild"], True)):
+                step = (split["featureIndex"], held[child]["rawCount"] / rows, split["leftCategoriesOrThreshold"][0], left)
+                todo.append((child, [*path, step]))
     return out
 
 
@@ -97,27 +103,62 @@ def leaf_tables(leaves) -> list[tuple[np.ndarray, list, np.ndarray, float]]:
     return compiled
 
 
-def shapley_batch(x: np.ndarray, compiled, n_features: int) -> tuple[np.ndarray, float]:
+def grid_tables(leaves, cells: int = GRID_CELLS) -> tuple[list[tuple[np.ndarray, list[np.ndarray], np.ndarray]], float]:
+    """Leaves grouped by feature set: (features, thresholds of each, impacts for every cell of their grid), and the base value.
+
+    The thresholds that the leaves of a set test cut each feature into intervals, and inside a cell of intervals every leaf
+    passes the same tests. Their impacts are added up per cell once, so a row costs one lookup per feature set, however many
+    trees there are. A set whose grid would pass ``cells`` is cut into several.
+    """
+    compiled = leaf_tables(leaves)
+    groups: dict[tuple, list] = {}
+    for features, tests, table, _ in compiled:
+        order = np.argsort(features)
+        groups.setdefault(tuple(features[order]), []).append((order, tests, table))
+    out = []
+    for features, held in groups.items():
+        if not features:
+            continue
+        lots, marks = [], [set() for _ in features]
+        for leaf in sorted(held, key=lambda h: [sorted(h[1][j]) for j in h[0]]):
+            more = [m | {t for t, _ in leaf[1][j]} for m, j in zip(marks, leaf[0])]
+            if not lots or np.prod([len(m) + 1.0 for m in more]) > cells:
+                lots.append([])
+                more = [{t for t, _ in leaf[1][j]} for j in leaf[0]]
+            lots[-1].append(leaf)
+            marks = more
+        for lot in lots:
+            edges = [np.array(sorted({t for order, tests, _ in lot for t, _ in tests[order[k]]})) for k in range(len(features))]
+            shape = [len(e) + 1 for e in edges]
+            grid = np.zeros((int(np.prod(shape)), len(features)))
+            for order, tests, table in lot:
+                pattern = np.zeros(shape, dtype=int)
+                for k, j in enumerate(order):
+                    place = np.arange(shape[k])
+                    at = np.searchsorted(edges[k], [t for t, _ in tests[j]])
+                    passed = np.logical_and.reduce([place <= i if left else place > i for i, (_, left) in zip(at, tests[j])])
+                    pattern |= passed.astype(int).reshape([-1 if d == k else 1 for d in range(len(shape))]) << int(j)
+                grid += table[pattern.ravel()][:, order]
+            out.append((np.array(features), edges, grid))
+    return out, sum(base for _, _, _, base in compiled)
+
+
+def shapley_batch(x: np.ndarray, tables, n_features: int) -> tuple[np.ndarray, float]:
     """Impacts of a batch of rows and the base value."""
+    grids, base = tables
     impact = np.zeros((len(x), n_features))
-    base = 0.0
-    for features, tests, table, leaf_base in compiled:
-        base += leaf_base
-        if not len(features):
-            continue
-        pattern = np.zeros(len(x), dtype=int)
-        for j, feature in enumerate(features):
-            column = x[:, feature]
-            passed = np.logical_and.reduce([(column <= t) if left else (column > t) for t, left in tests[j]])
-            pattern |= passed.astype(int) << j
-        impact[:, features] += table[pattern]
+    for features, edges, grid in grids:
+        cell = np.zeros(len(x), dtype=int)
+        for feature, marks in zip(features, edges):
+            cell = cell * (len(marks) + 1) + np.searchsorted(marks, x[:, feature])  # thresholds below the value
+        impact[:, features] += grid[cell]
     return impact, base
 
 
 def tree_attribution(df: DataFrame, model: TrainedModel, keys: Sequence[str]) -> DataFrame:
-    """Long table of impacts for feature rows, computed per Arrow batch with the leaves broadcast."""
+    """Long table of impacts for feature rows, computed per Arrow batch with the tables of the leaves broadcast."""
     names = model.feature_names
-    leaves = df.sparkSession.sparkContext.broadcast(leaf_tables(tree_leaves(model)))
+    leaves = df.sparkSession.sparkContext.broadcast(grid_tables(tree_leaves(model)))
     filled = encoding.impute(df.select(*map(scalars.named, [*keys, *names])), model.medians)
     n = len(names)
     inputs = [f"x{i}" for i in range(n)]  # feature names may hold any character
@@ -145,11 +186,25 @@ def attribution(df: DataFrame, model: TrainedModel, keys: Sequence[str]) -> Data
     """Impacts by the method that fits the model; ``method`` names the one used."""
     if model.algorithm not in SCALED:
         return tree_attribution(df, model, keys).drop("base_value").withColumn("method", F.lit("tree_shapley"))
-    scale = {n: s for n, (_, s) in model.scaling.items()}
-    weights = {n: float(c) / scale[n] for n, c in zip(model.feature_names, model.estimator.coefficients)}
+    names, sparse = model.fitted.expanded_names, model.fitted.sparse_features
+    weights = {n: float(c) / model.scaling[n][1] for n, c in zip(names, model.estimator.coefficients)}
     means = {n: m for n, (m, _) in model.scaling.items()}
     filled = encoding.impute(df, model.medians)
-    return linear_attribution(filled, keys, weights, means).withColumn("method", F.lit("linear"))
+    plain = {n: weights[n] for n in model.feature_names if n not in sparse}
+    parts = [linear_attribution(filled, keys, plain, means)] if plain else []
+    parts += [_sparse_attribution(filled, keys, index, held, weights, means) for index, held in sparse.items()]
+    return reduce(DataFrame.unionByName, parts).withColumn("method", F.lit("linear"))
+
+
+def _sparse_attribution(df: DataFrame, keys: Sequence[str], index: str, names: list[str], weights, means) -> DataFrame:
+    """One row for a column of many categories: its active one, with the impact of all of them.
+
+    Without an active category the first one stands for the column, with the value 0.
+    """
+    average = sum(weights[n] * means[n] for n in names)
+    rows = [(float(i), n, 1.0, weights[n] - average) for i, n in enumerate(names)] + [(float(len(names)), names[0], 0.0, -average)]
+    table = df.sparkSession.createDataFrame(rows, "__index double, feature string, value double, impact double")
+    return df.select(*map(scalars.named, keys), scalars.named(index).alias("__index")).join(table, "__index").drop("__index")
 
 
 def group_onehot(contributions: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -29,13 +29,26 @@ class FittedFeatures:
 
     categories: dict[str, list[str]] = field(default_factory=dict)
     feature_names: list[str] = field(default_factory=list)
+    #: Categorical columns that are carried as one category index.
+    sparse: list[str] = field(default_factory=list)
 
     def to_dict(self) -> dict[str, Any]:
-        return {"categories": self.categories, "feature_names": self.feature_names}
+        return {"categories": self.categories, "feature_names": self.feature_names, "sparse": self.sparse}
 
     @classmethod
     def from_dict(cls, raw: dict[str, Any]) -> FittedFeatures:
-        return cls(dict(raw.get("categories", {})), list(raw.get("feature_names", [])))
+        return cls(dict(raw.get("categories", {})), list(raw.get("feature_names", [])), list(raw.get("sparse", [])))
+
+    @property
+    def sparse_features(self) -> dict[str, list[str]]:
+        """Per index column, the names of the features it stands for."""
+        return {encoding.sparse_name(c): [scalars.onehot_name(c, v) for v in self.categories[c]] for c in self.sparse}
+
+    @property
+    def expanded_names(self) -> list[str]:
+        """One name per feature of the vector."""
+        held = self.sparse_features
+        return [f for n in self.feature_names for f in held.get(n, [n])]
 
 
 @dataclass(frozen=True)
@@ -86,6 +99,9 @@ def _calendar(name: str, formula: Callable[[Column], Column]) -> TransformRule:
 def _categorical(ctx: Context, column: str, t: Transform) -> Built:
     if column not in ctx.fitted.categories:
         raise ValueError(f"no categories learned for {column!r}; fit the features on training rows first")
+    if column in ctx.fitted.sparse:
+        name = encoding.sparse_name(column)
+        return [(name, scalars.named(name))]
     return encoding.onehot(column, ctx.fitted.categories[column])
 
 
@@ -120,12 +136,15 @@ def _check(spec: FeatureSpec) -> None:
 
 
 def fit_features(
-    train: DataFrame, spec: FeatureSpec, max_categories: int | None = encoding.MAX_CATEGORIES
+    train: DataFrame, spec: FeatureSpec, max_categories: int | None = encoding.MAX_CATEGORIES,
+    sparse_from: int | None = None,
 ) -> FittedFeatures:
-    """Learn categories from the training rows only."""
+    """Learn categories from the training rows only; columns with more than ``sparse_from`` of them stay one index."""
     _check(spec)
     minimum = {c: t.get("min_frequency", 1) for c, t in spec.items() if t.op == "categorical"}
-    return FittedFeatures(encoding.fit_categories(train, minimum, max_categories))
+    categories = encoding.fit_categories(train, minimum, max_categories)
+    wide = [c for c, values in categories.items() if sparse_from is not None and len(values) > sparse_from]
+    return FittedFeatures(categories, sparse=wide)
 
 
 def build_features(
@@ -190,6 +209,8 @@ def select_features(work, dataset, spec, fitted, keep, dense: dict[str, str], ha
         parts = [dataset.entity_key] + ([lay.BUCKET] if halo else [])
         return Window.partitionBy(*parts).orderBy(US).rangeBetween(-durations.micros(window) + 1, 0)
 
+    for column in fitted.sparse:
+        work = encoding.with_category_index(work, column, fitted.categories[column], encoding.sparse_name(column))
     ctx = Context(dataset, fitted, frame)
     built: Built = []
     for column, t in spec.items():
@@ -199,4 +220,4 @@ def select_features(work, dataset, spec, fitted, keep, dense: dict[str, str], ha
     carried = list(dict.fromkeys([*dataset.keys, *keep]))
     extra = [lay.OWN, lay.BUCKET] if halo else []
     out = work.select(*map(scalars.named, carried), *extra, *[value.alias(name) for name, value in built])
-    return (lay.owned(out) if halo else out), FittedFeatures(fitted.categories, names)
+    return (lay.owned(out) if halo else out), FittedFeatures(fitted.categories, names, fitted.sparse)

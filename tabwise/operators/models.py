@@ -6,6 +6,7 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from math import sqrt
 from typing import Any
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
@@ -13,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import unwrap_udt
 
 from tabwise.functions import layout as lay
 from tabwise.functions import scalars
@@ -20,6 +22,8 @@ from tabwise.operators import encoding, features, metrics, splits, targets
 from tabwise.plans.specs import DatasetConfig
 from tabwise.session import checkpoint_dir
 
+# Features up to which Spark solves the normal equations.
+NORMAL_FEATURES = 4096
 LABEL, WEIGHT, VECTOR = "__label", "__weight", "__features"
 
 # Hyperparameters of the two boosted-tree models.
@@ -82,7 +86,8 @@ class TrainedModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction`` (value or probability) and, for classifiers, ``predicted_label``."""
-        ready = encoding.assemble(encoding.impute(df, self.medians), self.feature_names, VECTOR, self.scaling)
+        ready = encoding.assemble(
+            encoding.impute(df, self.medians), self.feature_names, VECTOR, self.scaling, self.fitted.sparse_features)
         kept = [scalars.named(c) for c in df.columns]
         scored = self.estimator.transform(ready)
         if self.regression:
@@ -99,7 +104,7 @@ class TrainedModel:
             weights = [float(c) for c in self.estimator.coefficients]
         else:
             weights = [float(w) for w in self.estimator.featureImportances.toArray()]
-        return spark.createDataFrame(list(zip(self.feature_names, weights)), "feature string, importance double")
+        return spark.createDataFrame(list(zip(self.fitted.expanded_names, weights)), "feature string, importance double")
 
     def sidecar(self) -> dict[str, Any]:
         return {
@@ -127,6 +132,11 @@ class TrainedModel:
         )
 
 
+def ml_length(vector: str):
+    """Length of a vector column, dense or sparse."""
+    return F.coalesce(unwrap_udt(vector)["size"], F.size(unwrap_udt(vector)["values"]))
+
+
 def fit_estimator(train: DataFrame, algorithm: str, params: Mapping[str, Any] | None = None):
     """Fit on ``VECTOR`` and ``LABEL`` columns."""
     params = dict(params or {})
@@ -148,17 +158,21 @@ def fit_estimator(train: DataFrame, algorithm: str, params: Mapping[str, Any] |
             standardization=False, maxIter=params.pop("maxIter", 1000), **params,
         ).fit(train.withColumn(WEIGHT, weight))
     alpha = params.pop("alpha", 1.0)
-    n, spread = train.agg(F.count(F.lit(1)), F.stddev_pop(LABEL)).first()
-    # The solver scales the label by its deviation, so the penalty is given in that scale.
-    return LinearRegression(
-        **cols, regParam=alpha / n * (spread or 1.0), elasticNetParam=0.0, standardization=False, solver="normal",
-        **params,
-    ).fit(train)
+    n, spread, sample_spread, wide = train.agg(
+        F.count(F.lit(1)), F.stddev_pop(LABEL), F.stddev_samp(LABEL), F.max(ml_length(VECTOR))).first()
+    # The normal equations are exact and take one pass, up to the number of features their solver takes. Solvers scale the
+    # label by its deviation, each by another one, so the penalty is given in that scale.
+    if (wide or 0) <= NORMAL_FEATURES:
+        solver = {"solver": "normal", "regParam": alpha / n * (spread or 1.0)}
+    else:
+        solver = {"solver": "l-bfgs", "maxIter": 1000, "tol": 1e-10, "regParam": alpha / n * (sample_spread or 1.0)}
+    return LinearRegression(**cols, elasticNetParam=0.0, standardization=False, **{**solver, **params}).fit(train)
 
 
 def labelled_features(
     df: DataFrame, config: DatasetConfig, layout: lay.Layout | None = None, max_categories=encoding.MAX_CATEGORIES,
     fitted: features.FittedFeatures | None = None, keep=(), cold_start: bool = False, split: str | None = None,
+    sparse_from: int | None = None,
 ) -> tuple[DataFrame, features.FittedFeatures]:
     """Features and label on the same row, so duplicate keys never multiply rows.
 
@@ -171,7 +185,7 @@ def labelled_features(
     keep = list(dict.fromkeys([*keep, target.name, *([split] if split else [])]))
     if fitted is None:
         train = labelled.where(F.col(split) == "train") if split else labelled
-        fitted = features.fit_features(train, config.features, max_categories)
+        fitted = features.fit_features(train, config.features, max_categories, sparse_from)
     if not (cold_start and split):
         return features.build_features(labelled, config.dataset, config.features, fitted, keep, layout)
     names = [r[0] for r in labelled.select(split).distinct().collect()]  # three splits at most
@@ -196,13 +210,15 @@ def train_model(
     layout: lay.Layout | None = None,
     cold_start: bool = False,
     validation: DataFrame | None = None,
+    max_categories: int | None = encoding.MAX_CATEGORIES,
 ) -> TrainedModel:
     """Label → split → features fitted on train → impute → fit → threshold on validation → metrics.
 
     With ``validation`` all of ``df`` is trained on and those rows choose the threshold. With ``from_partition`` the
     rows are a train partition and only validation is carved out of it;
     otherwise the declared train / validation / test split is made here. Validation and test numbers are
-    both reported, because the threshold is chosen on validation.
+    both reported, because the threshold is chosen on validation. Linear models take a column of very many categories
+    as one sparse vector, so ``max_categories`` may be large for them.
     """
     if config.features is None or config.target is None:
         raise ValueError(f"dataset {config.dataset_id!r} has no features or no target section")
@@ -214,15 +230,22 @@ def train_model(
     else:
         make = splits.carve_validation if from_partition else _three_way
         divided = make(df, spec.entity_key, spec.time_key, spec.split, ties=ties, out="__split")
-    built, fitted = labelled_features(divided, config, layout, split="__split", cold_start=cold_start)
+    sparse_from = encoding.SPARSE_FROM if algorithm in SCALED else None
+    built, fitted = labelled_features(
+        divided, config, layout, max_categories, split="__split", cold_start=cold_start, sparse_from=sparse_from)
     rows = built.where(F.col(target.name).isNotNull()).persist()
     try:
         train = rows.where(F.col("__split") == "train")
-        medians = encoding.fit_medians(train, fitted.feature_names)
+        sparse = fitted.sparse_features
+        plain = [n for n in fitted.feature_names if n not in sparse]
+        medians = encoding.fit_medians(train, plain)
         filled = encoding.impute(train, medians)
-        constants = encoding.fit_scaling(filled, fitted.feature_names)
+        constants = encoding.fit_scaling(filled, plain) if plain else {}
+        for index, names in sparse.items():
+            shares = encoding.category_shares(filled, index, len(names))
+            constants |= {n: (p, sqrt(p * (1 - p)) or 1.0) for n, p in zip(names, shares)}
         scaling = constants if algorithm in SCALED else {}
-        ready = encoding.assemble(filled, fitted.feature_names, VECTOR, scaling).select(
+        ready = encoding.assemble(filled, fitted.feature_names, VECTOR, scaling, sparse).select(
             VECTOR, F.col(target.name).cast("double").alias(LABEL)
         )
         estimator = fit_estimator(ready, algorithm, params)

@@ -8,6 +8,7 @@ is held by one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ from tabwise.session import settle
 
 # Fixed value: categories listed per column.
 TOP_VALUES = 10
+# Values of one bitmap (fixed by Spark), and rows that a bitmap must stand for at least: its 4 KB then weigh no more than
+# the rows that a shuffle of values would send.
+BITMAP_VALUES, BITMAP_SHARE = 32_768, 256
 
 
 def _declared(df: DataFrame, spec: DatasetSpec, *kinds: str) -> list[str]:
@@ -41,7 +45,38 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def column_counts(df: DataFrame, spec: DatasetSpec, columns: Sequence[str] | None = None) -> DataFrame:
     """Null and distinct counts per declared column; null counts as one distinct value."""
-    return _column_counts(value_counts(df, columns or _declared(df, spec)))
+    names = list(columns or _declared(df, spec))
+    dense = dense_integers(df, names)
+    rest = [c for c in names if c not in dense]
+    parts = [_bitmap_counts(df, list(dense))] if dense else []
+    parts += [_column_counts(value_counts(df, rest))] if rest or not parts else []
+    return reduce(DataFrame.unionByName, parts)
+
+
+def dense_integers(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Whole-number columns whose range is short enough for bitmaps: one pass over minima and maxima."""
+    whole = [c for c in columns if df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")]
+    if not whole:
+        return []
+    row = df.agg(F.count(F.lit(1)), *[f(c) for c in whole for f in (F.min, F.max)]).first()
+    n, held = row[0], []
+    for i, c in enumerate(whole):
+        low, high = row[1 + 2 * i], row[2 + 2 * i]
+        if low is not None and (high - low) // BITMAP_VALUES <= max(1, n // BITMAP_SHARE):
+            held.append(c)
+    return held
+
+
+def _bitmap_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Null and distinct counts by bitmaps: what is shuffled is one bitmap per bucket of values, not a row per value."""
+    buckets = long_form(df, columns, "long").groupBy("column", F.bitmap_bucket_number("value").alias("bucket")).agg(
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("value"))).alias("held"),
+        F.count_if(F.col("value").isNull()).alias("nulls"),
+    )
+    return buckets.groupBy("column").agg(
+        F.sum("nulls").alias("null_count"),
+        (F.sum(F.when(F.col("bucket").isNotNull(), F.col("held")).otherwise(0)) + F.max((F.col("nulls") > 0).cast("long"))).alias("unique_count"),
+    )
 
 
 def _column_counts(counts: DataFrame) -> DataFrame:
@@ -122,10 +157,16 @@ def profile(df: DataFrame, spec: DatasetSpec, approximate: bool = False) -> Data
         "column string, type string, role string",
     )
     categorical = _declared(df, spec, "categorical")
-    names = categorical if approximate else _declared(df, spec)
+    declared_columns = _declared(df, spec)
+    dense = [] if approximate else [c for c in dense_integers(df, declared_columns) if c not in categorical]
+    names = categorical if approximate else [c for c in declared_columns if c not in dense]
     # Distinct values with counts, written once: both the column counts and the top values read them.
     counts = settle(value_counts(df, names)) if names else None
-    columns = approx_column_counts(df, spec) if approximate else _column_counts(counts)
+    if approximate:
+        columns = approx_column_counts(df, spec)
+    else:
+        parts = [_column_counts(counts)] * bool(names) + [_bitmap_counts(df, dense)] * bool(dense)
+        columns = reduce(DataFrame.unionByName, parts)
     result = declared.join(columns, "column", "left")
     if _declared(df, spec, "numeric"):
         result = result.join(numeric_stats(df, spec), "column", "left")

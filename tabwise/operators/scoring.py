@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwise.functions import layout as lay
@@ -67,19 +67,55 @@ def score_as_of(
     return scored.select(*keys, *_outputs(model))
 
 
+def asked_history(
+    config: DatasetConfig, observations: DataFrame, requests: DataFrame, request_time: str, layout: lay.Layout | None = None
+) -> DataFrame:
+    """Observations that some request can see: those in the longest window before the one it is answered from.
+
+    A first pass over keys and times alone finds, for every request, the time of its latest observation. The windows before
+    these times, united per entity, say which rows are read; the earliest and latest of them bound the scan.
+    """
+    spec = config.dataset
+    entity, time, kind = spec.entity_key, spec.time_key, observations.schema[spec.time_key].dataType
+    latest = requests.agg(F.max(F.col(request_time).cast("timestamp"))).first()[0]
+    if latest is None:
+        return observations.where(F.lit(False))
+    observations = observations.where(F.col(time) <= F.lit(latest).cast(kind))
+    wanted = requests.select(entity, request_time).distinct()
+    asked = wanted.select(F.col(entity).alias("__asked")).distinct()
+    of_asked = lambda rows: rows.join(asked, F.col(entity) == F.col("__asked"), "left_semi")
+    if any(t.op == "elapsed_time" for _, t in config.features.items()):
+        return of_asked(observations)  # needs every entity's first row
+    times = of_asked(observations.select(entity, time)).distinct()
+    seen = joins.as_of_join(wanted, times, entity, request_time, time, prefix="f_", layout=layout)
+    ends = settle(seen.select(F.col(entity).alias("__of"), scalars.micros(f"f_{time}").alias("__end")).where(
+        F.col("__end").isNotNull()).distinct())
+    earliest = ends.agg(F.min("__end")).first()[0]
+    if earliest is None:
+        return observations.where(F.lit(False))
+    history = config.features.max_history_window()
+    span = durations.micros(history) if history else 1
+    # Windows that touch become one interval; an interval is dealt in pieces of a window's length, which are join keys.
+    order = Window.partitionBy("__of").orderBy("__end")
+    fresh = F.col("__end") - F.lag("__end").over(order) > span
+    numbered = ends.withColumn("__run", F.sum(F.coalesce(fresh.cast("int"), F.lit(1))).over(order))
+    runs = numbered.groupBy("__of", "__run").agg((F.min("__end") - span).alias("__after"), F.max("__end").alias("__upto"))
+    slot = lambda us: F.floor(us / F.lit(span)).cast("long")
+    pieces = runs.select("__of", "__after", "__upto", F.explode(F.sequence(slot(F.col("__after")), slot(F.col("__upto")))).alias("__slot"))
+    bound = scalars.from_micros(F.lit(earliest - span)).cast(kind)
+    us = scalars.micros(time)
+    return observations.where(F.col(time) > bound).join(
+        pieces, (F.col(entity) == F.col("__of")) & (slot(us) == F.col("__slot")) & (us > F.col("__after")) & (us <= F.col("__upto")),
+        "left_semi")
+
+
 def score_requests(
     model: TrainedModel, observations: DataFrame, requests: DataFrame, request_time: str = "as_of",
     layout: lay.Layout | None = None,
 ) -> DataFrame:
     """Score many (entity, time) requests in one job; requests without history carry an error text."""
     spec = model.config.dataset
-    # Only entities asked for, up to the last time asked for: the time bound reaches the scan.
-    latest = requests.agg(F.max(F.col(request_time).cast("timestamp"))).first()[0]
-    if latest is not None:
-        bound = F.lit(latest).cast(observations.schema[spec.time_key].dataType)
-        observations = observations.where(F.col(spec.time_key) <= bound)
-    asked = requests.select(F.col(spec.entity_key).alias("__asked")).distinct()
-    observations = observations.join(asked, F.col(spec.entity_key) == F.col("__asked"), "left_semi")
+    observations = asked_history(model.config, observations, requests, request_time, layout)
     built, _ = features.build_features(observations, spec, model.config.features, model.fitted, layout=layout)
     found = joins.as_of_join(
         requests, built.withColumn("__seen", F.lit(1)), spec.entity_key, request_time, spec.time_key,

@@ -1,13 +1,16 @@
 """Automatic discovery of slices whose metric deviates from the overall value.
 
-Two passes. The first reduces the table to one row of mergeable moments per combination of all
-dimensions (map-side combined, so a value holding a third of the rows costs nothing) and runs the
-grouping sets over that. The second reads the table again for the ``top_k`` winners only, because
-their exact median is the one statistic that cannot be merged.
+The table is reduced once to one row of mergeable moments per combination of all dimensions (map-side combined, so a
+value holding a third of the rows costs nothing), which is written. Slices are rolled up from it as an iceberg cube, one
+number of dimensions after the other: a slice below ``min_sample_size`` has no refinement that reaches it, so a cell goes
+only to the combinations all of whose parts are large enough. The table is read again for the ``top_k`` winners only,
+because their exact median is the one statistic that cannot be merged. With the median as the metric itself, cells
+count (dimensions, value), and medians are selected by weight for the slices that the cube has kept.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
@@ -22,8 +25,10 @@ from tabwise.operators import filters as flt
 from tabwise.plans.specs import DatasetSpec
 from tabwise.session import settle
 
-# Grouping sets per Expand; more sets are run as a union of batches.
-SETS_PER_BATCH = 64
+log = logging.getLogger(__name__)
+
+# Expanded rows up to which all levels are rolled up together: leaving out small slices would cost more than it saves.
+TOGETHER_ROWS = 5_000_000
 # Winning slices whose conditions one scan evaluates.
 SLICES_PER_PASS = 64
 
@@ -36,7 +41,7 @@ def dimension_sets(dimensions: Sequence[str], max_dimensions: int) -> list[tuple
 def _moments(df: DataFrame, keys: list[str], metric: str) -> DataFrame:
     x = F.col(metric).cast("double")
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__rows"), F.count(x).alias("__n"), F.sum(x).alias("__total"),
+        F.count(F.lit(1)).cast("long").alias("__rows"), F.count(x).alias("__n"), F.sum(x).alias("__total"),
         F.var_pop(x).alias("__var"), F.min(x).alias("__low"), F.max(x).alias("__high"),
     )
 
@@ -66,16 +71,47 @@ def _spread(center: Column) -> Column:
     return F.when(n > 1, F.sqrt(F.greatest(squares - n * shift * shift, F.lit(0.0)) / (n - 1)))
 
 
-def _every_set(cells: DataFrame, dims: list[str], sets: list[tuple[str, ...]], *aggs: Column) -> DataFrame:
-    """Union of grouping-set batches with ``set_id`` telling which dimensions are grouped."""
-    parts = []
-    for start in range(0, len(sets), SETS_PER_BATCH):
-        batch = sets[start:start + SETS_PER_BATCH]
-        parts.append(
-            cells.groupingSets([[F.col(d) for d in s] for s in batch], *[F.col(d) for d in dims]).agg(
-                F.grouping_id().cast("long").alias("set_id"), *aggs
-            )
-        )
+def _set_id(dims: list[str], grouped: Sequence[str]) -> int:
+    """Bit mask of the dimensions that are not grouped, the first one highest."""
+    return sum(_bit(dims, d) for d in dims if d not in grouped)
+
+
+def _same(a: str, b: str, keys: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`")) for k in keys])
+
+
+def iceberg(cells: DataFrame, dims: list[str], sets: list[tuple[str, ...]], least: int, *aggs: Column) -> DataFrame:
+    """Slices (set_id, dimensions) of ``cells`` with at least ``least`` rows (``__rows``), and ``aggs`` of their cells.
+
+    A dimension outside its set is null. Before a level, each cell knows which of its slices one level up are large enough.
+    """
+    keys, levels, parts = ["set_id", *dims], sorted({len(s) for s in sets}), []
+    together = cells.count() * len(sets) <= TOGETHER_ROWS
+    numbered, alive = cells, None
+    if not together:
+        numbered = settle(cells.withColumn("__cell", F.monotonically_increasing_id()))
+    for level in levels[-1:] if together else levels:
+        mine = sets if together else [s for s in sets if len(s) == level]
+        choices = []
+        for s in mine:
+            entry = F.lit(_set_id(dims, s)).cast("long")
+            if alive is not None:
+                above = [F.lit(_set_id(dims, part)).cast("long") for part in combinations(s, level - 1)]
+                entry = F.when(reduce(lambda a, b: a & b, [F.array_contains("__alive", p) for p in above]), entry)
+            choices.append(entry)
+        held = numbered if alive is None else numbered.join(alive, "__cell")
+        expanded = held.withColumn("set_id", F.explode(F.array_compact(F.array(*choices))))
+        for d in dims:
+            expanded = expanded.withColumn(d, F.when(_grouped_in(F.col("set_id"), dims, d), F.col(d)))
+        slices = expanded.groupBy(*keys).agg(F.sum("__rows").alias("row_count"), *aggs).where(F.col("row_count") >= least)
+        if together:
+            return slices
+        slices = settle(slices)
+        parts.append(slices)
+        log.info("slices of %d dimensions with %d rows or more: %d", level, least, slices.count())
+        if level < levels[-1]:
+            pairs = expanded.select("__cell", *keys).alias("c").join(slices.select(*keys).alias("s"), _same("c", "s", keys), "left_semi")
+            alive = settle(pairs.groupBy("__cell").agg(F.collect_list("set_id").alias("__alive")))  # sets of one level
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -107,16 +143,14 @@ def interesting_slices(
     sets = dimension_sets(dims, max_dimensions)
 
     if aggregation == "median":
-        found = _median_slices(rows, dims, sets)
+        found = _median_slices(rows, dims, sets, min_sample_size)
     else:
-        cells = _moments(rows, dims, "__metric")
-        centers = cells.agg((F.sum("__total") / F.sum("__n")).alias("__center"))
-        cells = cells.crossJoin(F.broadcast(centers))
-        whole = cells.agg(_merged(aggregation, F.col("__center")).alias("overall_baseline"))
-        found = _every_set(
-            cells, dims, sets, F.sum("__rows").alias("row_count"),
-            _merged(aggregation, F.col("__center")).alias("metric_value"),
-        ).crossJoin(F.broadcast(whole))
+        cells = settle(_moments(rows, dims, "__metric"))
+        center, = cells.agg(F.sum("__total") / F.sum("__n")).first()
+        around = F.lit(center).cast("double")
+        whole = cells.agg(_merged(aggregation, around).alias("overall_baseline"))
+        found = iceberg(cells, dims, sets, min_sample_size, _merged(aggregation, around).alias("metric_value"))
+        found = found.crossJoin(F.broadcast(whole))  # one row
     # NaN can only come from NaN inputs; null slices cannot be ranked and are left out.
     ranked = (
         found.where((F.col("row_count") >= min_sample_size) & F.col("metric_value").isNotNull())
@@ -141,20 +175,26 @@ def _grouped_in(set_id: Column, dims: list[str], name: str) -> Column:
     return set_id.bitwiseAND(F.lit(_bit(dims, name))) == 0
 
 
-def _median_slices(rows: DataFrame, dims: list[str], sets: list[tuple[str, ...]]) -> DataFrame:
-    """Median cannot be merged from cells: expand rows to every set and take exact medians per slice."""
-    ids = {s: sum(_bit(dims, d) for d in dims if d not in s) for s in sets}
-    expanded = rows.withColumn("set_id", F.explode(F.array(*[F.lit(i).cast("long") for i in ids.values()])))
+def _median_slices(rows: DataFrame, dims: list[str], sets: list[tuple[str, ...]], least: int) -> DataFrame:
+    """Exact medians of the slices that the cube keeps, by weighted selection over (dimensions, value) counts."""
+    counted = settle(rows.groupBy(*dims, "__metric").agg(F.count(F.lit(1)).alias("__rows")))
+    cells = settle(counted.groupBy(*dims).agg(F.sum("__rows").alias("__rows")))
+    kept = settle(iceberg(cells, dims, sets, least))
+    keys = ["set_id", *dims]
+    ids = [F.lit(_set_id(dims, s)).cast("long") for s in sets]
+    expanded = counted.withColumn("set_id", F.explode(F.array(*ids)))
     for d in dims:
         expanded = expanded.withColumn(d, F.when(_grouped_in(F.col("set_id"), dims, d), F.col(d)))
-    keys = ["set_id", *dims]
-    counts = settle(expanded.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")))
-    largest, groups = counts.agg(F.max("row_count"), F.count(F.lit(1))).first()
-    medians = quantiles.group_quantiles(
-        expanded, keys, "__metric", {"metric_value": 0.5}, sizes=(largest or 0, groups)
-    )
-    same = reduce(lambda a, b: a & b, [F.col(f"m.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys])
-    joined = counts.alias("c").join(medians.alias("m"), same).select("c.*", "m.metric_value")
+    inside = expanded.alias("c").join(kept.select(*keys).alias("s"), _same("c", "s", keys), "left_semi").where(
+        F.col("__metric").isNotNull())
+    largest, groups = kept.agg(F.max("row_count"), F.count(F.lit(1))).first()
+    if (largest or 0) <= quantiles.BUFFER_ROWS:
+        medians = inside.groupBy(*keys).agg(F.percentile("__metric", 0.5, F.col("__rows")).alias("metric_value"))
+    else:
+        repeated = inside.select(*keys, "__metric", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rows"))).alias("__one"))
+        medians = quantiles.group_quantiles(
+            repeated.drop("__one"), keys, "__metric", {"metric_value": 0.5}, sizes=(largest, groups))
+    joined = kept.alias("c").join(medians.alias("m"), _same("c", "m", keys), "left").select("c.*", "m.metric_value")
     whole = quantiles.group_quantiles(rows, [], "__metric", {"overall_baseline": 0.5})
     return joined.crossJoin(F.broadcast(whole))
 

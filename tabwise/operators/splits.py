@@ -1,7 +1,7 @@
 """Train / validation / evaluation splits with exact sizes and no global sort.
 
 Rows are ranked by (time, hash of the tie columns), or by hash alone for a random split; the two
-cut points come from counting rounds (see functions/cuts.py), after which the split is a comparison
+cut points come from three reads of the table (see functions/cuts.py), after which the split is a comparison
 per row. Rows equal in time and in every tie column are never separated.
 """
 
@@ -59,18 +59,8 @@ def assign_split(
     ranked = df.select(order.alias("__order"), tie.alias("__tie")) if chronological else df.select(
         order.alias("__order")
     )
-    known = cuts.extent(ranked, "__order")
-    n = known[0]
-    ends = [int(n * train), int(n * (train + validate))]
-    found = cuts.find_cuts(ranked, "__order", [e for e in ends if 0 <= e < n], known)
-    bounds = []
-    for end in ends:
-        cut = found.get(end)
-        tie_cut = None
-        if cut and chronological and cut.remainder:
-            same = ranked.where(F.col("__order") == F.lit(cut.value)).select("__tie")
-            tie_cut = cuts.find_cuts(same, "__tie", [cut.remainder])[cut.remainder]
-        bounds.append(cuts.before_cut(order, tie, cut, tie_cut))
+    found = cuts.sketched_cuts(ranked, "__order", "__tie" if chronological else None, [train, train + validate])
+    bounds = [cuts.before_cut(order, tie, *cut) for cut in found]
     first, second, third = names
     return df.withColumn(
         out, F.when(bounds[0], F.lit(first)).when(bounds[1], F.lit(second)).otherwise(F.lit(third))

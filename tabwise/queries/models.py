@@ -1,5 +1,6 @@
 """Training, scoring, evaluation and explanation on the events and orders tables."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabwise.operators import encoding, explain, models, scoring, splits
@@ -62,10 +63,17 @@ def amount_config() -> DatasetConfig:
     })
 
 
+TRAINED: dict[tuple, models.TrainedModel] = {}
+
+
 def trained(spark, folder, algorithm, features=()):
+    """Events and a model of them, which is fitted once per session."""
     events = table(spark, folder, "events")
-    return events, models.train_model(
-        events, purchase_config(*features), f"purchase-{algorithm}", algorithm, ties=["event_id"])
+    key = spark.sparkContext.applicationId, folder, algorithm, features
+    if key not in TRAINED:
+        TRAINED[key] = models.train_model(
+            events, purchase_config(*features), f"purchase-{algorithm}", algorithm, ties=["event_id"])
+    return events, TRAINED[key]
 
 
 @register("train_gbt_score")
@@ -138,3 +146,48 @@ def train_gbt_regression(spark, folder):
     parts = [(n, float(m["mae"]), float(m["rmse"]), float(m["r2"]), float(m["baseline_mae"]))
              for n, m in model.metrics.items() if n in ("validation", "test")]
     return spark.createDataFrame(parts, "split string, mae double, rmse double, r2 double, baseline_mae double")
+
+
+@register("attribution_adds_up", "SELECT DISTINCT user_id, TRUE AS adds_up FROM events")
+def attribution_adds_up(spark, folder):
+    """Base value and impacts of every user's latest row against the raw output of the boosted trees."""
+    events, model = trained(spark, folder, "boosted_classifier")
+    rows = scoring.features_as_of(model.config, model.fitted, events)
+    summed = explain.tree_attribution(rows, model, ["user_id"]).groupBy("user_id").agg(
+        (F.sum("impact") + F.max("base_value")).alias("explained"))
+    scored = model.transform(rows).select("user_id", "prediction")
+    margin = F.log(F.col("prediction") / (1 - F.col("prediction"))) / 2  # boosted trees give half the log odds
+    return scored.join(summed, "user_id").select("user_id", (F.abs(margin - F.col("explained")) < 1e-6).alias("adds_up"))
+
+
+@register("importance_sums", """
+    SELECT 1.0::DOUBLE AS total, 0.0::DOUBLE AS below_zero, 7 + count(DISTINCT event_type) AS n_features FROM events""")
+def importance_sums(spark, folder):
+    """Importances are shares: none below zero, together one, one per feature."""
+    _, model = trained(spark, folder, "boosted_classifier")
+    return model.importance(spark).agg(
+        F.round(F.sum("importance"), 9).alias("total"), F.sum(F.least("importance", F.lit(0.0))).alias("below_zero"),
+        F.count(F.lit(1)).alias("n_features"))
+
+
+@register("logistic_optimum", """
+    SELECT count(*) AS n_rows, TRUE AS at_optimum FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def logistic_optimum(spark, folder):
+    """The gradient of the penalised, class-balanced loss is zero at the fitted coefficients."""
+    rows = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count(F.lit(1)).cast("double").alias("lines"), F.avg("l_quantity").alias("quantity"),
+    ).join(table(spark, folder, "orders").select(
+        "o_orderkey", (F.col("o_orderpriority") < "3").cast("double").alias(models.LABEL)), "o_orderkey")
+    names = ["lines", "quantity"]
+    ready = encoding.assemble(rows, names, models.VECTOR, encoding.fit_scaling(rows, names)).persist()
+    fitted = models.fit_estimator(ready, "logistic_regression")
+    label, n = F.col(models.LABEL), ready.count()
+    positive = ready.agg(F.sum(label)).first()[0]
+    weight = F.when(label == 1, n / (2 * positive)).otherwise(n / (2 * (n - positive)))
+    off = weight * (vector_to_array(F.col("probability"))[1] - label)
+    x = vector_to_array(F.col(models.VECTOR))
+    scored = fitted.transform(ready)
+    penalty = [0.0, *[float(c) / n for c in fitted.coefficients]]
+    slopes = [F.avg(off * (F.lit(1.0) if j == 0 else x[j - 1])) + F.lit(p) for j, p in enumerate(penalty)]
+    steepest = F.greatest(*[F.abs(g) for g in slopes])
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), (steepest < 1e-4).alias("at_optimum"))

@@ -23,16 +23,17 @@ def validator(spec: DatasetSpec, out: str, delay: str = "1h") -> Callable[[DataF
     """A ``foreachBatch`` function writing ``report``, ``late``, ``rows`` and ``progress`` below ``out``.
 
     Rows older than the latest time of earlier batches minus ``delay`` are late. Every output of a batch
-    overwrites its own ``batch_id`` folder, so a repeated batch after a failure changes nothing.
+    overwrites its own ``batch_id`` folder, so a repeated batch after a failure changes nothing. ``progress`` holds the
+    latest time so far, so that a batch reads what the one before it wrote, and no more.
     """
     slack = durations.micros(delay)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = _written(spark, f"{out}/progress")
-        bound = None
-        if earlier is not None:
-            bound = earlier.where(F.col("batch_id") < batch_id).agg(F.max("latest_us")).first()[0]
+        earlier = _written(spark, f"{out}/progress/batch_id={batch_id - 1}")
+        if earlier is None and (every := _written(spark, f"{out}/progress")) is not None:  # numbers were left out
+            earlier = every.where(F.col("batch_id") < batch_id)
+        bound = earlier.agg(F.max("latest_us")).first()[0] if earlier is not None else None
         late = F.lit(False) if bound is None else micros(spec.time_key) < F.lit(bound - slack)
         marked = batch.withColumn("__late", F.coalesce(late, F.lit(False))).persist()
         place = lambda df, name: df.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
@@ -41,7 +42,8 @@ def validator(spec: DatasetSpec, out: str, delay: str = "1h") -> Callable[[DataF
             place(marked.where("__late").drop("__late"), "late")
             place(quality.validate(on_time, spec), "report")
             place(on_time, "rows")
-            place(on_time.agg(F.max(micros(spec.time_key)).alias("latest_us")), "progress")
+            latest = F.greatest(F.max(micros(spec.time_key)), F.lit(bound).cast("long"))
+            place(on_time.agg(latest.alias("latest_us")), "progress")
         finally:
             marked.unpersist()
 

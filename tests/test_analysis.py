@@ -87,7 +87,6 @@ def test_interesting_slices_match_brute_force(wide, how):
 def test_slices_batch_and_empty(wide, monkeypatch):
     df, _ = wide
     whole = slices.interesting_slices(df, "m", ["a", "b", "c"], 40).collect()
-    monkeypatch.setattr(slices, "SETS_PER_BATCH", 2)
     monkeypatch.setattr(slices, "SLICES_PER_PASS", 3)
     assert slices.interesting_slices(df, "m", ["a", "b", "c"], 40).collect() == whole
     assert slices.interesting_slices(df.where("a = 'none'"), "m", ["a"], 1).collect() == []
@@ -117,3 +116,24 @@ def test_quantiles_of_a_null_group(spark):
     for buffer in (0, 100):
         got = {r.k: r.m for r in quantiles.group_quantiles(df, ["k"], "v", {"m": 0.5}, buffer_rows=buffer).collect()}
         assert got == {"a": None, "b": 1.5}
+
+
+@pytest.mark.parametrize("aggregation", ["mean", "median", "std"])
+def test_iceberg_keeps_what_is_large_enough(wide, monkeypatch, caplog, aggregation):
+    """Level by level the same slices come out, and combinations of small slices are never formed."""
+    df, _ = wide
+    ask = lambda: [tuple(map(str, r)) for r in slices.interesting_slices(
+        df, "m", ["a", "b", "c"], min_sample_size=260, aggregation=aggregation, top_k=50).select(
+            "dimensions", "values", "row_count", F.round("metric_value", 6), F.round("metric_median", 6)).collect()]
+    want = ask()
+    monkeypatch.setattr(slices, "TOGETHER_ROWS", 0)
+    caplog.set_level("INFO", logger=slices.__name__)
+    assert ask() == want and want
+    cells = df.groupBy("a", "b", "c").agg(F.count(F.lit(1)).cast("long").alias("__rows"))
+    found = slices.iceberg(cells, ["a", "b", "c"], slices.dimension_sets(["a", "b", "c"], 3), 260).collect()
+    direct = {}
+    for combo in slices.dimension_sets(["a", "b", "c"], 3):
+        for r in df.groupBy(*combo).count().where("count >= 260").collect():
+            direct[tuple(r[d] if d in combo else None for d in "abc") + (slices._set_id(["a", "b", "c"], combo),)] = r["count"]
+    assert {(r.a, r.b, r.c, r.set_id): r.row_count for r in found} == direct
+    assert "slices of 3 dimensions" in caplog.text

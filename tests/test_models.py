@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabwise.operators import explain, models, scoring, splits
+from tabwise.operators import explain, features, models, scoring, splits
 from tabwise.operators.filters import Filter
 from tabwise.plans.specs import DatasetConfig
 from tabwise.queries import REGISTRY
@@ -239,7 +239,7 @@ def test_tree_attribution_is_exact_and_additive(spark, labelled, trees):
     n = len(trees.feature_names)
     rng = np.random.default_rng(0)
     x = np.column_stack([rng.normal(52, 12, (4, 3)), rng.integers(0, 2, (4, n - 3))])
-    impact, base = explain.shapley_batch(x, explain.leaf_tables(leaves), n)
+    impact, base = explain.shapley_batch(x, explain.grid_tables(leaves), n)
     for row, got in zip(x, impact):
         want, empty = brute_shapley(leaves, row, n)
         assert np.allclose(got, want) and base == pytest.approx(empty)
@@ -293,3 +293,104 @@ def test_categories_with_dots_and_backticks(spark):
         built, _ = features.build_features(df, config.dataset, config.features, model.fitted)
         grouped = explain.group_onehot(explain.attribution(built, model, ["id"]), ["id"])
         assert {(r.feature, r.value) for r in grouped.collect()} == {("kind", k) for k in kinds}
+
+
+def test_one_lookup_per_feature_set():
+    """Leaves of many trees over few feature sets: grids, also cut ones, equal the leaves one by one."""
+    rng = np.random.default_rng(7)
+    leaves = []
+    for _ in range(300):
+        features = rng.choice(5, rng.integers(0, 4), replace=False)
+        path = [(int(f), float(rng.uniform(0.1, 1)), [(float(rng.integers(0, 9)), bool(rng.integers(0, 2)))
+                                                      for _ in range(rng.integers(1, 3))]) for f in features]
+        leaves.append((float(rng.normal()), path))
+    x = rng.integers(-1, 10, (40, 5)).astype(float) + rng.choice([0, 0.5], (40, 5))
+    want, base = np.zeros((40, 5)), 0.0
+    for features, tests, table, leaf_base in explain.leaf_tables(leaves):
+        base += leaf_base
+        for i, row in enumerate(x):
+            passed = [all((row[f] <= t) == left for t, left in held) for f, held in zip(features, tests)]
+            want[i, features] += table[sum(int(p) << j for j, p in enumerate(passed))]
+    for cells in (explain.GRID_CELLS, 30):
+        tables = explain.grid_tables(leaves, cells)
+        got, total = explain.shapley_batch(x, tables, 5)
+        assert np.allclose(got, want) and total == pytest.approx(base)
+        assert cells == 30 or len(tables[0]) <= 25  # sets of up to three of five features
+
+
+def test_requests_read_only_history_they_can_see(spark, labelled, logistic):
+    asked = spark.createDataFrame(
+        [("m0", "2024-01-02 03:00:00"), ("m0", "2024-01-01 08:00:00"), ("m1", "2024-01-02 03:00:00"), ("m2", "2020-01-01 00:00:00")],
+        "machine_id string, as_of string").withColumn("as_of", F.to_timestamp("as_of"))
+    part = scoring.asked_history(CONFIG, labelled, asked, "as_of").select("machine_id", "timestamp").collect()
+    span = __import__("tabwise.plans.durations", fromlist=["micros"]).micros(CONFIG.features.max_history_window()) / 1e6
+    times, want = {}, set()
+    for r in labelled.collect():
+        times.setdefault(r.machine_id, []).append(r.timestamp)
+    for a in asked.collect():
+        seen = [t for t in times.get(a.machine_id, []) if t <= a.as_of]
+        if seen:
+            want |= {(a.machine_id, t) for t in times[a.machine_id] if 0 <= (max(seen) - t).total_seconds() < span}
+    assert {tuple(r) for r in part} == want and 0 < len(want) < labelled.count()
+    every = {(r.machine_id, r.as_of): r.prediction for r in scoring.score_requests(logistic, labelled, asked).collect()}
+    for (machine, as_of), got in every.items():
+        alone = {r.machine_id: r.prediction for r in scoring.score_as_of(logistic, labelled, str(as_of)).collect()}
+        assert got is None and machine == "m2" or got == pytest.approx(alone[machine], abs=1e-9)
+
+
+def test_ridge_beyond_the_normal_equations(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 6))
+    y = x @ np.arange(6) + rng.normal(size=80)
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], [models.VECTOR, models.LABEL])
+    exact = models.fit_estimator(df, "linear_regression").coefficients.toArray()
+    monkeypatch.setattr(models, "NORMAL_FEATURES", 5)
+    assert np.allclose(models.fit_estimator(df, "linear_regression").coefficients.toArray(), exact, atol=1e-5)
+
+
+WIDE = DatasetConfig.read({
+    "dataset": {"dataset_id": "w", "entity_key": "id", "columns": {"city": {"type": "categorical"}, "size": {"type": "numeric"}}},
+    "features": {"size": {"transforms": ["current"]}, "city": {"transforms": ["categorical"]}},
+    "target": {"name": "y", "type": "binary", "source_column": "y", "positive_class": 1}})
+
+
+@pytest.mark.parametrize("algorithm", ["logistic_regression", "linear_regression"])
+def test_sparse_categories_equal_one_column_each(spark, monkeypatch, algorithm):
+    """The same predictions, coefficients and impacts, whether a column's categories are one sparse vector or columns."""
+    raw = {**__import__("json").loads(WIDE.raw)}
+    if algorithm == "linear_regression":
+        raw["target"] = {"name": "y", "type": "regression", "source_column": "y"}
+    config = DatasetConfig.read(raw)
+    rows = [(k, float(k % 11), None if k % 50 == 0 else f"c{k * k % 23}", int((k * 7) % 13 < 6 + (k * k % 23 > 11))) for k in range(600)]
+    df = spark.createDataFrame(rows, "id int, size double, city string, y int")
+    dense = models.train_model(df, config, "d", algorithm)
+    monkeypatch.setattr(models.encoding, "SPARSE_FROM", 5)
+    sparse = models.train_model(df, config, "s", algorithm)
+    assert dense.fitted.sparse == [] and sparse.fitted.sparse == ["city"]
+    assert sparse.fitted.expanded_names == dense.feature_names and len(sparse.feature_names) == 2
+    a, b = ({r.feature: r.importance for r in m.importance(spark).collect()} for m in (dense, sparse))
+    assert a == pytest.approx(b, abs=1e-5)
+    new = spark.createDataFrame([(1, 3.0, "c4"), (2, 9.0, "nowhere"), (3, None, None)], "id int, size double, city string")
+    got = [{r.id: r.prediction for r in scoring.score_records(m, new).collect()} for m in (dense, sparse)]
+    assert got[0] == pytest.approx(got[1], abs=1e-6)
+    built = [features.build_features(new, m.config.dataset, m.config.features, m.fitted)[0] for m in (dense, sparse)]
+    summed = [{(r.id, r.feature): (r.value, r.impact) for r in explain.group_onehot(
+        explain.attribution(x, m, ["id"]), ["id"]).collect()} for x, m in zip(built, (dense, sparse))]
+    assert summed[0].keys() == summed[1].keys()
+    for key, (value, impact) in summed[0].items():
+        assert summed[1][key][0] == value and summed[1][key][1] == pytest.approx(impact, abs=1e-5)
+    again = models.features.FittedFeatures.from_dict(sparse.fitted.to_dict())
+    assert again == sparse.fitted
+
+
+def test_fifty_thousand_categories_train(spark):
+    df = spark.range(150_000).select(
+        F.col("id").cast("int"), (F.col("id") % 7).cast("double").alias("size"), F.concat(F.lit("c"), F.col("id") % 50_000).alias("city"),
+        ((F.col("id") % 50_000) % 2).cast("int").alias("y"))
+    model = models.train_model(df, WIDE, "w", "logistic_regression", {"maxIter": 15}, max_categories=60_000)
+    assert len(model.fitted.expanded_names) > 40_000 and model.metrics["test"]["roc_auc"] > 0.9
+    ridge = DatasetConfig.read({**__import__("json").loads(WIDE.raw), "target": {"name": "y", "type": "regression", "source_column": "y"}})
+    fitted = models.train_model(df, ridge, "r", "linear_regression", {"maxIter": 15}, max_categories=60_000)
+    assert fitted.metrics["test"]["r2"] > 0.3

@@ -79,3 +79,21 @@ def test_contract(catalogue):
     assert profile.semantic_contract(catalogue, search).first().name == "heavy"
     with pytest.raises(ValueError, match="no search section"):
         profile.search_contract(catalogue, spec, None)
+
+
+def test_whole_numbers_are_counted_by_bitmaps(spark):
+    spec = DatasetSpec.read({"dataset_id": "d", "entity_key": "near", "columns": {
+        c: {"type": "numeric"} for c in ("near", "far", "part", "none")}})
+    rows = [(k % 700 - 300, k * 10**14, None if k % 5 == 0 else k // 3, None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "near int, far long, part long, none short").repartition(4)
+    assert profile.dense_integers(df, ["near", "far", "part", "none"]) == ["near", "part"]
+    got = {r["column"]: (r.null_count, r.unique_count) for r in profile.column_counts(df, spec).collect()}
+    want = {c: (sum(r[i] is None for r in rows), len({r[i] for r in rows})) for i, c in enumerate(("near", "far", "part", "none"))}
+    assert got == want
+    whole = {r["column"]: (r.null_count, r.unique_count) for r in profile.profile(df, spec).collect()}
+    assert whole == want
+    # Distinct values do not travel: one bitmap per 32,768 of them does.
+    key = spark.range(200_000).select(F.col("id").alias("near"))
+    plan = profile.column_counts(key, spec, ["near"])._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan and "hashpartitioning(column" in plan
+    assert profile.column_counts(key, spec, ["near"]).first()["unique_count"] == 200_000

@@ -77,3 +77,26 @@ def test_training_splits(hundred):
     assert sizes(splits.random_split(hundred, "n", spec)) == {"train": 60, "validation": 20, "test": 20}
     kept = int(100 * (0.6 / (0.6 + 0.2)))  # the cut is taken in floating point, here just below 75
     assert sizes(splits.carve_validation(hundred, "n", "ts", spec)) == {"train": kept, "validation": 100 - kept}
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_cuts_from_three_reads(spark, monkeypatch, accuracy):
+    """The sketch only brackets: ranks are exact on tables above its size, with ties, and with brackets that miss."""
+    monkeypatch.setattr(cuts, "ACCURACY", accuracy)
+    monkeypatch.setattr(cuts, "ROUNDING", 0)
+    rows = [((k * 7919) % 1000 if k % 3 else 5_000_000_000_000_000, k) for k in range(6000)]  # a third share one value
+    df = spark.createDataFrame(rows, "o long, t long").repartition(5)
+    fractions = [0.0, 0.3, 0.65, 0.8, 0.999, 1.0]
+    order = sorted(rows)
+    for fraction, (cut, tie_cut) in zip(fractions, cuts.sketched_cuts(df, "o", "t", fractions)):
+        rank = int(6000 * fraction)
+        kept = df.where(cuts.before_cut(F.col("o"), F.col("t"), cut, tie_cut)).collect()
+        assert sorted(map(tuple, kept)) == order[:rank]
+    assert cuts.sketched_cuts(df.limit(0), "o", "t", [0.5]) == [(None, None)]
+    reads = []
+    settle = cuts.settle
+    monkeypatch.setattr(cuts, "settle", lambda part: reads.append(part) or settle(part))
+    cuts.sketched_cuts(df, "o", "t", [0.3, 0.65])
+    assert len(reads) == 1  # beside the sketch; what follows reads what was set aside
+    if accuracy == 50:
+        assert reads[0].count() < 6000
