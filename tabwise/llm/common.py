@@ -14,7 +14,11 @@ from tabwise.session import checkpoint_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; Spark's cleaner removes it with the last reference."""
+    """Reliable checkpoint in the shared folder.
+
+    It stays there unless ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set; then Spark's cleaner removes it with
+    the last reference.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

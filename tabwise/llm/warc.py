@@ -1,6 +1,6 @@
 """WARC archives with revisit resolution.
 
-Headers alone are shuffled by payload digest: of the records with equal payloads the one with the smallest ``page_id``
+Digests and ids alone are aggregated: of the records with equal payloads the one with the smallest ``page_id``
 is the original response, the others become revisit records that refer to it and carry no payload. Archives are written
 with fresh headers, one gzip member per record, and read back record by record.
 
@@ -12,7 +12,8 @@ in a url are percent-encoded. An empty table gives no archive and no rows. Other
 
 Scale. Digests are built-in functions; only (digest, page_id) is aggregated, map-side first, so a payload shared by a
 third of all pages costs one row per task. Pages join the digests that occur more than once; those are the few rows of
-the other side, which Spark broadcasts if its own size check allows and else joins with its skew splitting. Archives
+the other side, which Spark broadcasts if its own size check allows; else the join shuffles pages with their payloads once,
+with Spark's skew splitting. Archives are read back by one task each. Archives
 roll over at ``ARCHIVE_BYTES``; a task streams its records and holds one at a time. Files appear by an atomic move, so a
 lost executor's rerun leaves the same archives.
 """
