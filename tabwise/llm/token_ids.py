@@ -124,6 +124,10 @@ def unpack_file(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     return [None] * nulls + known.tolist(), ends, np.frombuffer(rest, f"<u{width}")
 
 
+#: Words that the tokenizer gets as one text.
+LOT = 256
+
+
 class Encoder:
     """Ids of texts, remembering those of the words seen before as little-endian 32-bit numbers."""
 
@@ -133,13 +137,22 @@ class Encoder:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def _look_up(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.array(f.ids, "<u4").tobytes() for w, f in zip(words, found)}
+        """Ids of words, encoded in lots of one text each, which white space parts; offsets tell whose an id is."""
+        lots = [words[k:k + LOT] for k in range(0, len(words), LOT)]
+        found = {}
+        for lot, code in zip(lots, self.tokenizer.encode_batch([b"\n".join(x).decode() for x in lots], add_special_tokens=False)):
+            ends = np.cumsum([len(w.decode()) + 1 for w in lot])
+            stops = 4 * np.searchsorted([start for start, _ in code.offsets], ends)
+            ids, start = np.array(code.ids, "<u4").tobytes(), 0
+            for word, stop in zip(lot, stops.tolist()):
+                found[word] = ids[start:stop]
+                start = stop
+        return found
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [text.encode().split() if text else [] for text in texts]  # bytes split at ASCII white space alone
         known = self.known
-        unknown = list({w for parts in split for w in parts if w not in known})
+        unknown = list(set().union(*split).difference(known))
         if len(known) + len(unknown) <= REMEMBERED:
             known.update(self._look_up(unknown))
             get = known.__getitem__
