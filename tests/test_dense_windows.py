@@ -46,7 +46,7 @@ def largest(monkeypatch):
     return seen
 
 
-def crowd(spark, n=1200, same=False, values=None, seed=1):
+def crowd(spark, n=750, same=False, values=None, seed=1):
     """A third of the rows in one window of machine a (or at one time of it), the others spread over 40 days."""
     rng, start, rows = np.random.default_rng(seed), datetime(2024, 3, 1), []
     for i in range(n):
@@ -62,20 +62,20 @@ def crowd(spark, n=1200, same=False, values=None, seed=1):
 def test_no_task_holds_a_median_window(spark, largest, values):
     triples = [("value", "median", "5d"), ("value", "median", "1d")]
     rows, df = crowd(spark, values=values)
-    got = attached(df, triples, 20, 450)
+    got = attached(df, triples, 25, 300)
     assert np.allclose(got.to_numpy(float), brute(rows, triples), equal_nan=True)
-    assert max(largest) < 200  # the window of five days holds over 450
+    assert max(largest) < 160  # the window of five days holds over 280
 
 
 def test_crowded_time_is_one_point(spark, largest):
     triples = [("value", op, "2d") for op in ("mean", "std", "min", "max")]
     rows, df = crowd(spark, same=True)
-    got = attached(df, triples, 20, 450)
+    got = attached(df, triples, 20, 300)
     assert np.allclose(got.to_numpy(float), brute(rows, triples), equal_nan=True)
-    assert max(largest) < 60  # 400 rows share one time
+    assert max(largest) < 60  # 250 rows share one time
     tied, equal = crowd(spark, same=True, values=2)
     medians = [("value", "median", "2d")]
-    assert np.allclose(attached(equal, medians, 20, 450).to_numpy(float), brute(tied, medians), equal_nan=True)
+    assert np.allclose(attached(equal, medians, 20, 300).to_numpy(float), brute(tied, medians), equal_nan=True)
 
 
 def test_short_and_long_windows_stay_linear(spark, monkeypatch):
