@@ -8,8 +8,9 @@ sites beyond chance. Sites with few documents thus take the global prior. A docu
 
 A document is kept if quality is likelier than not and toxicity is not.
 
-Training uses at most ``MAX_LABELLED`` labelled documents, those with the smallest hash of their id; all sites and
-rates are computed over all documents.
+Training uses at most ``MAX_LABELLED`` labelled documents, those with the smallest hash of their id, and of rows that
+repeat an id the one with the smallest text; every feature that occurs in ``LEAST_SHARE`` of them takes part. All sites
+and rates are computed over all documents.
 
 Defined results. Null texts and texts without words are rejected, with quality 0. Null sources and languages are sites of
 their own. A null label does not train its head; a head whose labels show one class only gives no document evidence, and
@@ -34,11 +35,11 @@ from pyspark.sql import functions as F
 from tabwise.llm.common import cut, fresh
 
 MAX_LABELLED = 20_000
-#: Features: the most frequent ones of the sample that occur in this share of its documents at least.
-FEATURES, LEAST_SHARE = 20_000, 0.0005
+#: Share of the sample's documents in which a feature occurs at least; all such features are kept.
+LEAST_SHARE = 0.0005
 #: Lengths of the beginnings by which inflected and compound words share evidence.
 PREFIXES = (4, 5)
-ROUNDS = 40
+ROUNDS = 60
 PARTS = 4
 #: Weight of the absolute penalty, which leaves only words that tell something.
 PENALTY = 3e-4
@@ -101,12 +102,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[
     named = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(h).alias(h) for h in HEADS])
     sample = named.orderBy(order, "doc_id").limit(most)
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # ``most`` rows of three numbers
+    # A repeated id meets map-side, so that no id sends more than a row per task.
+    joined = joined.groupBy("doc_id", *HEADS).agg(F.min("text").alias("text"))
     # Every round adds up a vector per partition; the bounded sample needs few.
     rows = _listed(joined, "tokens", "__words", "text").select("tokens", *HEADS).repartition(PARTS).persist()
     if rows.isEmpty():
         rows.unpersist()
         return [Head(name, 1.0 if name == "quality" else 0.0, None) for name in HEADS]
-    vocabulary = CountVectorizer(vocabSize=FEATURES, minDF=LEAST_SHARE, binary=True, inputCol="tokens",
+    vocabulary = CountVectorizer(vocabSize=2**31 - 1, minDF=LEAST_SHARE, binary=True, inputCol="tokens",
                                  outputCol="features").fit(rows)
     vectors = vocabulary.transform(rows).select("features", *HEADS).persist()
     heads = []

@@ -1,6 +1,8 @@
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabwise.llm import quality
 from tests.llm.conftest import clashing, documents
@@ -37,7 +39,7 @@ def test_sites_shrink_towards_the_prior(spark, shared):
     scored = spark.createDataFrame(
         [("big", "en", 4.0)] * 400 + [("big", "de", -4.0)] * 30 + [("bad", "en", -4.0)] * 400 + [("one", "fr", -4.0)]
         + [(None, None, 4.0)] * 5, "source string, lang string, quality_evidence double").withColumn(
-        "worded", __import__("pyspark").sql.functions.lit(True))
+        "worded", F.lit(True))
     heads = [quality.Head("quality", 0.5, None)]
     sites = {(r.source, r.lang): r for r in quality.site_rates(scored, heads).collect()}
     rate = {k: (r.quality_k + r.quality_m * r.quality_host) / (r.n + r.quality_m) for k, r in sites.items()}
@@ -64,3 +66,70 @@ def test_kept_documents_keep_columns(spark, docs, no_docs):
     want = {r.doc_id for r in quality.report(wide, given).collect() if r.keep}
     assert {r.doc_id for r in kept.collect()} == want
     assert quality.report(no_docs, given).collect() == [] and quality.keep_good(no_docs, given).collect() == []
+
+
+def nested_beta(scored, rates):
+    """Brute force of the posteriors: {path: (host rate, path strength)}, votes and global rate by plain sums."""
+    def strength(groups, prior):
+        n = sum(g[0] for g in groups)
+        chance = [prior(i) * (1 - prior(i)) for i in range(len(groups))]
+        spread = sum(g[0] * (g[1] / g[0] - prior(i)) ** 2 for i, g in enumerate(groups))
+        between = max(0.0, (spread - sum(chance)) / n)
+        m = sum(g[0] * c for g, c in zip(groups, chance)) / n / between - 1 if between else quality.STRONGEST
+        return min(max(m, quality.WEAKEST), quality.STRONGEST)
+
+    prior = math.log(rates / (1 - rates))
+    paths, hosts = {}, {}
+    for source, lang, evidence in scored:
+        vote = 1 / (1 + math.exp(-(evidence + prior)))
+        for table, key in ((paths, (source, lang)), (hosts, source)):
+            n, k = table.get(key, (0, 0.0))
+            table[key] = n + 1, k + vote
+    mean = sum(k for _, k in hosts.values()) / len(scored)
+    m = strength(list(hosts.values()), lambda i: mean)
+    host_rate = {h: (k + m * mean) / (n + m) for h, (n, k) in hosts.items()}
+    keys = list(paths)
+    inner = strength([paths[key] for key in keys], lambda i: host_rate[keys[i][0]])
+    out = []
+    for source, lang, evidence in scored:
+        n, k = paths[source, lang]
+        own = 1 / (1 + math.exp(-(evidence + prior)))
+        site = (max(k - own, 0.0) + inner * host_rate[source]) / (n - 1 + inner)
+        out.append((site, 1 / (1 + math.exp(-(evidence + math.log(site / (1 - site)))))))
+    return out
+
+
+def test_posteriors_match_brute_force(spark, shared):
+    rng = random.Random(8)
+    hosts = {h: rng.uniform(-3, 3) for h in ["a", "b", "c", None]}
+    scored = [(h, rng.choice(["en", "de", None]), rng.gauss(hosts[h], 1)) for h in
+              (rng.choice(["a", "a", "a", "b", "c", None]) for _ in range(400))] + [("lone", "fr", -1.0)]
+    rows = [(i, *x, -x[2] / 2) for i, x in enumerate(scored)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, quality_evidence double, "
+                                     "toxic_evidence double").withColumn("worded", F.lit(True))
+    heads = [quality.Head("quality", 0.7, None), quality.Head("toxic", 0.2, None)]
+    got = {r.doc_id: r for r in quality.combine(df, quality.site_rates(df, heads), heads).collect()}
+    good = nested_beta(scored, 0.7)
+    bad = nested_beta([(s, c, -e / 2) for s, c, e in scored], 0.2)
+    for i, ((site, score), (toxic_site, toxic)) in enumerate(zip(good, bad)):
+        row = got[i]
+        assert (row.quality_site, row.quality_score) == pytest.approx((site, score), abs=1e-9)
+        assert (row.toxic_site, row.toxic_score) == pytest.approx((toxic_site, toxic), abs=1e-9)
+        assert row.keep == (score >= 0.5 and toxic < 0.5)
+
+
+def test_repeated_ids_train_once(spark, shared):
+    rows, labels = corpus(80)
+    docs, given = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)
+    hot = docs.unionByName(spark.createDataFrame([(0, "zzz later text", "en", "host0", 0)] * 200, SCHEMA))
+    plain, crowded = quality.train(docs, given), quality.train(hot, given)
+    for a, b in zip(plain, crowded):
+        assert a.rate == b.rate
+        assert sorted(a.vocabulary.vocabulary) == sorted(b.vocabulary.vocabulary)
+
+
+def test_rare_words_are_features(spark, shared):
+    rows, labels = corpus(120)
+    wide = [(i, t + " " + " ".join(f"x{i}q{k}" for k in range(400)), *rest) for i, t, *rest in rows]
+    heads = quality.train(spark.createDataFrame(wide, SCHEMA), spark.createDataFrame(labels, LABELS))
+    assert len(heads[0].vocabulary.vocabulary) > 48_000
