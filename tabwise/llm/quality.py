@@ -17,8 +17,8 @@ their own. A null label does not train its head; a head whose labels show one cl
 that class as its rate. Without labels everything with words is kept. Repeated rows are judged each. Other columns stay
 as they are.
 
-Scale. Texts are never shuffled: the labelled sample is broadcast by its bound, sites are map-side sums, and the site
-table joins back by Spark's own size check, else with skew splitting.
+Scale. Texts outside the sample are never shuffled: the labelled sample is broadcast by its bound, sites are map-side
+sums, and the site table joins back by Spark's own size check, else with skew splitting.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwise.llm.common import cut, fresh
+from tabwise.session import settle
 
 MAX_LABELLED = 20_000
 #: Share of the sample's documents in which a feature occurs at least; all such features are kept.
@@ -215,12 +216,12 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the classifier keeps, all their columns unchanged.
 
-    The evidence is computed twice, for the sites and for the decision: cheaper than moving or storing every text.
+    The evidence is computed once and stored beside the documents in the shared folder, for the sites and the decision.
     """
     names = [f"__c{i}" for i in range(len(docs.columns))]
     wanted = ("doc_id", "source", "lang", "text")
     given = docs.toDF(*names).withColumnsRenamed({n: c for n, c in zip(names, docs.columns) if c in wanted})
     heads = train(given, labels)
-    sites = site_rates(evidence(given.select("source", "lang", "text"), heads), heads)
-    judged = combine(evidence(given, heads), sites, heads).where("keep")
+    scored = settle(evidence(given, heads))
+    judged = combine(scored, site_rates(scored, heads), heads).where("keep")
     return judged.select(*[F.col(c if c in wanted else n).alias(c) for n, c in zip(names, docs.columns)])
