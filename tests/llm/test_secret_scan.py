@@ -67,3 +67,53 @@ def test_repeated_and_missing_rows(docs, no_docs):
 def test_plan_has_no_python(docs):
     plan = secret_scan.report(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def scanned(spark, docs, texts):
+    """Text of every find of the models, per text, with models of ``docs``."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secret_scan.find(df, ["doc_id"], secret_scan.train(docs)).collect()
+    got = {r.doc_id: r for r in rows}
+    for i, text in enumerate(texts):
+        assert all(x.match == (text or "")[x.start:x.end] for x in got[i].random), text
+        assert not any(x.start < y.end and y.start < x.end for x in got[i].random for y in got[i].rules), text
+    return [[x.match for x in got[i].random] for i in range(len(texts))]
+
+
+def test_recall_by_length_and_place(spark, docs):
+    """Keys of 8 to 40 characters, alone, behind a name, in a path, and beside what a rule finds."""
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    for length, least in ((8, 0.8), (12, 0.95), (24, 0.99), (40, 0.99)):
+        planted = [key(length) for _ in range(60)]
+        forms = ["river stone {} under", "name={} wind", "over /light/under/{} again", "password=abcdef=={} again", "é数 {}"]
+        found = scanned(spark, docs, [forms[k % 5].format(x) for k, x in enumerate(planted)])
+        hit = sum(any(x in f or f in x for f in fs) for x, fs in zip(planted, found))
+        hit += sum(not fs for k, fs in enumerate(found) if k % 5 == 3)  # the rule may take the whole run
+        assert hit >= least * len(planted), length
+
+
+def test_ordinary_strings_and_numbers_stay(spark, docs):
+    words = ["under/over/again/light", "light_wind_under_river", "river-stone-river-stone", "againagainagain", "", None]
+    assert scanned(spark, docs, words) == [[]] * len(words)
+    numbered = spark.createDataFrame([(i, f"river 20{i % 90 + 10} stone {i * 37 % 100000} light") for i in range(200)],
+                                     "doc_id long, text string")
+    assert scanned(spark, numbered, ["4929123456781234", "1234 5678 2024 20241201"]) == [[], []]
+
+
+def test_two_keys_of_one_run(spark, docs):
+    a, b = "q9ZxK2vT7bLmW4cR", "Zp8YtN3gHs6DfQ1x"
+    found, = scanned(spark, docs, [f"{a}/under-over-again-light-wind-river-stone-again/{b}"])
+    assert any(a in f for f in found) and any(b in f for f in found)
+
+
+def test_long_run_is_judged_whole(spark, docs):
+    key = "q9ZxK2vT7bLmW4cR8nYh"
+    found, = scanned(spark, docs, ["under-" * 4000 + key])
+    assert [key in f for f in found] == [True]
+
+
+def test_training_takes_one_row_per_id(spark, docs):
+    hot = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1, "zzz")] * 500, "doc_id long, text string"))
+    assert secret_scan.training_docs(hot, 5).count() == 5
