@@ -9,8 +9,10 @@ sites beyond chance. Sites with few documents thus take the global prior. A docu
 A document is kept if quality is likelier than not and toxicity is not.
 
 Training uses at most ``MAX_LABELLED`` labelled documents, those with the smallest hash of their id, and of rows that
-repeat an id the one with the smallest text; every feature that occurs in ``LEAST_SHARE`` of them takes part. All sites
-and rates are computed over all documents.
+repeat an id the one with the smallest text; every feature that occurs in ``LEAST_SHARE`` of them takes part. The L1
+penalty leaves most weights at zero, so a head is fitted on a working set and the gradients of all features are added up
+on the cluster: those that the optimum of all features would use join the set until there are none. All sites and rates
+are computed over all documents.
 
 Defined results. Null texts and texts without words are rejected, with quality 0. Null sources and languages are sites of
 their own. A null label does not train its head; a head whose labels show one class only gives no document evidence, and
@@ -27,7 +29,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ LEAST_SHARE = 0.0005
 #: Lengths of the beginnings by which inflected and compound words share evidence.
 PREFIXES = (4, 5)
 ROUNDS = 60
+#: Features that join a working set at once, and the slack of their gradient over the penalty.
+STEP, SLACK = 4000, 1.1
 PARTS = 4
 #: Weight of the absolute penalty, which leaves only words that tell something.
 PENALTY = 3e-4
@@ -106,29 +110,49 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[
     # A repeated id meets map-side, so that no id sends more than a row per task.
     joined = joined.groupBy("doc_id", *HEADS).agg(F.min("text").alias("text"))
     # Every round adds up a vector per partition; the bounded sample needs few.
-    rows = _listed(joined, "tokens", "__words", "text").select("tokens", *HEADS).repartition(PARTS).persist()
+    rows = _listed(joined, "tokens", "__words", "text").select(
+        F.array_distinct("tokens").alias("tokens"), *HEADS).repartition(PARTS).persist()
     if rows.isEmpty():
         rows.unpersist()
         return [Head(name, 1.0 if name == "quality" else 0.0, None) for name in HEADS]
-    vocabulary = CountVectorizer(vocabSize=2**31 - 1, minDF=LEAST_SHARE, binary=True, inputCol="tokens",
-                                 outputCol="features").fit(rows)
-    vectors = vocabulary.transform(rows).select("features", *HEADS).persist()
     heads = []
     for name in HEADS:
-        known = vectors.where(F.col(name).isNotNull()).select("features", F.col(name).cast("double").alias("label"))
+        known = rows.where(F.col(name).isNotNull()).select("tokens", F.col(name).cast("double").alias("label"))
         n, positive = known.agg(F.count(F.lit(1)), F.sum("label")).first()
         if not n or positive in (0, n):
             rate = (positive / n) if n else (1.0 if name == "quality" else 0.0)
             heads.append(Head(name, rate, None))
             continue
-        fit = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, elasticNetParam=1.0,
-                                 standardization=False).fit(known)
-        heads.append(Head(name, positive / n, fit, vocabulary))
-    vectors.unpersist()
+        heads.append(Head(name, positive / n, *_fit(known, n, positive / n)))
     rows.unpersist()
     return heads
 
 
+def missed(residuals: DataFrame, n: int, most: int) -> list[str]:
+    """Features of the steepest gradients above the penalty; ``residuals`` has tokens and chance minus label (off)."""
+    slopes = residuals.select(F.explode("tokens").alias("token"), "off").groupBy("token").agg(
+        F.count(F.lit(1)).alias("times"), F.abs(F.sum("off") / n).alias("slope"))
+    steep = slopes.where((F.col("times") >= LEAST_SHARE * n) & (F.col("slope") > SLACK * PENALTY))
+    return [r[0] for r in steep.orderBy(F.desc("slope"), "token").limit(most).select("token").collect()]
+
+
+def _fit(known: DataFrame, n: int, rate: float):
+    """Model and vocabulary of one head: the optimum over all features, fitted on those that matter for it."""
+    used = missed(known.select("tokens", (F.lit(rate) - F.col("label")).alias("off")), n, STEP) or ["\x01length=0"]
+    while True:
+        vocabulary = CountVectorizerModel.from_vocabulary(used, "tokens", "features").setBinary(True)
+        vectors = vocabulary.transform(known).persist()
+        model = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, elasticNetParam=1.0,
+                                   standardization=False).fit(vectors.select("features", "label"))
+        off = model.transform(vectors).select("tokens", (vector_to_array("probability")[1] - F.col("label")).alias("off"))
+        inside = set(used)
+        new = [t for t in missed(off, n, STEP + len(used)) if t not in inside][:STEP]
+        vectors.unpersist()
+        if not new:
+            return model, vocabulary
+        used = used + new
+
+
 def _log_odds(p: Column) -> Column:
     safe = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
     return F.log(safe / (1 - safe))
@@ -140,19 +164,18 @@ def _chance(odds: Column) -> Column:
 
 def evidence(docs: DataFrame, heads: list[Head], text: str = "text") -> DataFrame:
     """Adds ``{head}_evidence``, the log-likelihood ratio of the document alone, and ``worded``."""
-    vocabulary = next((h.vocabulary for h in heads if h.vocabulary), None)
     out = _listed(docs, "__tokens", "__words", text).withColumn("worded", F.size("__words") > 0).drop("__words")
-    if vocabulary:
-        out = vocabulary.copy().setInputCol("__tokens").setOutputCol("__features").transform(out)
     for head in heads:
         if head.model is None:
             out = out.withColumn(f"{head.name}_evidence", F.lit(0.0))
             continue
+        out = head.vocabulary.copy().setInputCol("__tokens").setOutputCol("__features").transform(out)
         model = head.model.copy()
         model.setFeaturesCol("__features").setRawPredictionCol("__raw").setProbabilityCol("").setPredictionCol("")
         prior = math.log(head.rate / (1 - head.rate))
-        out = model.transform(out).withColumn(f"{head.name}_evidence", vector_to_array("__raw")[1] - prior).drop("__raw")
-    return out.drop("__features", "__tokens")
+        out = model.transform(out).withColumn(f"{head.name}_evidence", vector_to_array("__raw")[1] - prior).drop(
+            "__raw", "__features")
+    return out.drop("__tokens")
 
 
 HOST, PATH = ("source",), ("source", "lang")

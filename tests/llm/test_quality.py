@@ -128,8 +128,15 @@ def test_repeated_ids_train_once(spark, shared):
         assert sorted(a.vocabulary.vocabulary) == sorted(b.vocabulary.vocabulary)
 
 
-def test_rare_words_are_features(spark, shared):
-    rows, labels = corpus(120)
-    wide = [(i, t + " " + " ".join(f"x{i}q{k}" for k in range(400)), *rest) for i, t, *rest in rows]
-    heads = quality.train(spark.createDataFrame(wide, SCHEMA), spark.createDataFrame(labels, LABELS))
-    assert len(heads[0].vocabulary.vocabulary) > 48_000
+def test_working_set_reaches_the_optimum_of_all_features(spark, shared, monkeypatch):
+    """Features that join step by step give the fit on all features at once."""
+    rows, labels = corpus(160)
+    docs, given = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)
+    whole = quality.train(docs, given)
+    monkeypatch.setattr(quality, "STEP", 20)
+    steps = quality.train(docs, given)
+    score = lambda heads: {r.doc_id: (r[1], r[2]) for r in quality.evidence(docs, heads).select(
+        "doc_id", "quality_evidence", "toxic_evidence").collect()}
+    a, b = score(whole), score(steps)
+    assert all(h.model is not None for h in steps)
+    assert all((x > 0) == (y > 0) for i in a for x, y in zip(a[i], b[i]))
