@@ -16,7 +16,8 @@ id. In ``report`` rows that share a doc_id share its fate; ``keep_one`` leaves o
 
 Scale. Sets travel once, for members of clusters alone. A group (band or cluster) above ``BLOCK_ROWS`` or
 ``BLOCK_BYTES`` is not put into one task: all members are held against its first member, which connects a family of
-near-copies in linear work, and only what stays apart is compared with the rest, in pairs of blocks.
+near-copies in linear work, and only what stays apart is compared with the rest, in pairs of blocks. Steps that hold a
+few rows for every large group or link run in as many tasks as these need.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import cut
+from tabwise.llm.common import cut, gathered
 from tabwise.llm.components import components
 from tabwise.llm.hashing import mix, shingles, word_hashes
 
@@ -39,6 +40,8 @@ BATCH = 16
 PRUNE = 1e-6
 BLOCK_ROWS = 1000
 BLOCK_BYTES = 8_000_000
+#: Large groups whose sizes are broadcast at most: rows of a few numbers, about a megabyte.
+FEW_GROUPS = 10_000
 #: Rows of an Arrow batch that are sketched together.
 TEXTS = 256
 
@@ -223,11 +226,11 @@ def connecting_links(members: DataFrame, compare: Callable, threshold: float, bl
     """Links (a, b) that connect near members of each group; ``members`` has g, id (binary) and payload."""
     members = cut(members.select("g", "id", "payload"))
     group_type = members.schema["g"].dataType.simpleString()
-    sizes = cut(members.groupBy("g").agg(
+    sizes = members.groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("payload")).alias("bytes"), F.min("id").alias("first"))
-        .where("n > 1").withColumn("blocks", F.greatest(
-            F.ceil(F.col("n") / block_rows), F.ceil(F.col("bytes") / block_bytes)).cast("long")))
-    large = sizes.where("blocks > 1")
+    large = cut(sizes.withColumn("blocks", F.greatest(
+        F.ceil(F.col("n") / block_rows), F.ceil(F.col("bytes") / block_bytes)).cast("long")).where("n > 1 AND blocks > 1"))
+    groups, rows, size = large.agg(F.count(F.lit(1)), F.sum("n"), F.sum("bytes")).first()
     columns = ["g", "task", "id", "payload", "side"]
 
     def solve(tasks: DataFrame) -> DataFrame:
@@ -235,25 +238,33 @@ def connecting_links(members: DataFrame, compare: Callable, threshold: float, bl
         return dealt.select(*columns).mapInArrow(_group_task(compare, threshold), "a binary, b binary")
 
     zero = F.lit(0).cast("long")
-    small = members.join(sizes.where("blocks = 1").select("g"), "g", "left_semi")
+    if not groups:
+        return solve(members.select("g", zero.alias("task"), "id", "payload", F.lit(0).alias("side")))
+
+    def few(table: DataFrame) -> DataFrame:
+        """One narrow row a large group: up to the bound they go to the members, so that payloads need not be shuffled."""
+        return F.broadcast(table) if groups <= FEW_GROUPS else table
+
+    large = cut(gathered(large, groups))
+    small = members.join(few(large.select("g")), "g", "left_anti")
     links = solve(small.select("g", zero.alias("task"), "id", "payload", F.lit(0).alias("side")))
-    if large.isEmpty():
-        return links
-    heavy = cut(members.join(large.select("g", "first", "blocks"), "g"))
+    # All members are read here, in tasks of their own; the large groups' rows then in as many as these need.
+    heavy = gathered(cut(members.join(few(large.select("g", "first", "blocks")), "g")), rows, size)
     firsts = heavy.where("id = first").groupBy("g").agg(F.min("payload").alias("first_payload"))
-    held = heavy.select("g", "id", "payload", "first").join(cut(firsts), "g").select(
+    # The first of a group is at most as large as its group, so ``size`` bounds these.
+    held = heavy.select("g", "id", "payload", "first").join(cut(gathered(firsts, groups, size)), "g").select(
         "g", "id", "payload", "first", "first_payload")
-    judged = cut(held.mapInArrow(_leader_task(compare, threshold), f"g {group_type}, id binary, payload binary, "
-                                                                   "first binary, linked boolean"))
+    judged = cut(gathered(held, rows, size).mapInArrow(
+        _leader_task(compare, threshold), f"g {group_type}, id binary, payload binary, first binary, linked boolean"))
     links = links.unionByName(judged.where("linked AND id <> first").select(
         F.col("id").alias("a"), F.col("first").alias("b")))
     apart = judged.where("NOT linked")
-    blocks = large.select("g", "blocks")
+    blocks = few(large.select("g", "blocks"))
     placed = judged.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # Blocks of what stays apart, each against every block of the group.
     mine = apart.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("payload")).alias("bytes")).select(
         "g", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("bytes") / block_bytes)).cast("long").alias("own"))
-    mine = cut(mine)
+    mine = few(cut(gathered(mine, groups)))
     left = apart.join(mine, "g").join(blocks, "g").select(
         "g", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("other"),
         F.pmod(F.xxhash64("id", F.lit(1)), F.col("own")).alias("part"), "blocks", "id", "payload", F.lit(0).alias("side"))
@@ -296,7 +307,7 @@ def component_table(docs: DataFrame, width: int, threshold: float) -> tuple[Data
     repeated = banded.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
     candidates = banded.join(cut(repeated), "g", "left_semi")
     signed = cut(candidates).join(classes.select(F.col("key").alias("id"), F.col("sig").alias("payload")), "id")
-    near = connecting_links(signed, Signatures, threshold).distinct()
+    near = connecting_links(signed, Signatures, threshold)
     clusters = components(near)
     members = clusters.join(classes, F.col("node") == F.col("key")).select(
         F.col("label").alias("g"), F.col("key").alias("id"), F.col("rep.doc_id").alias("rep_id"),

@@ -1,8 +1,12 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabwise.llm import near_dup
+from tabwise.llm.common import LEAST_TASKS
+from tabwise.llm.components import components
 from tabwise.llm.hashing import shingles, word_hashes
 from tests.llm.conftest import clashing, sentence
 
@@ -93,6 +97,35 @@ def test_one_row_stays_of_repeated_rows_and_missing_ids(spark, shared):
     assert {r.doc_id for r in kept if r.note in "xyzcd"} == {1, 5}
 
 
+def test_small_graphs_take_few_tasks(spark, shared):
+    """Links in many partitions, as many shuffle partitions leave them, end in few: each leaves files of its own."""
+    chain = spark.range(0, 300, 1, 64).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + 2).alias("b"))
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(chain.unionByName(chain).unionByName(spark.createDataFrame([(901, 903), (903, 905)], "a long, b long")))
+        assert found.rdd.getNumPartitions() <= LEAST_TASKS
+        got = {r.node: r.label for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert got == {2 * k: 0 for k in range(301)} | {901: 901, 903: 901, 905: 901}
+
+
+@pytest.mark.parametrize("few_groups", [near_dup.FEW_GROUPS, 0])
+def test_large_groups_connect_with_and_without_broadcast(spark, shared, monkeypatch, few_groups):
+    monkeypatch.setattr(near_dup, "FEW_GROUPS", few_groups)
+    sets = [set(range(k, k + 100)) for k in (0, 1, 2, 3, 500, 501, 900)] + [set(range(0, 100, 2))]
+    rows = [(g, bytes([g, k]), np.array(sorted(s), np.uint64).tobytes()) for g in (1, 2) for k, s in enumerate(sets)]
+    rows += [(3, b"\3\0", rows[0][2]), (3, b"\3\1", rows[1][2]), (4, b"\4\0", rows[0][2])]
+    members = spark.createDataFrame(rows, "g long, id binary, payload binary")
+    links = near_dup.connecting_links(members, near_dup.Sets, 0.85, block_rows=3)
+    got = {bytes(r.node): bytes(r.label) for r in components(links).collect()}
+    want = {bytes([g, k]): bytes([g, 0 if k < 4 else 4]) for g in (1, 2) for k in range(6)}
+    assert got == want | {b"\3\0": b"\3\0", b"\3\1": b"\3\0"}
+
+
 def test_words_hash_alike_in_any_company():
     rng = random.Random(2)
     pool = [" ".join(rng.choice(["a", "B", "é", "longer", "x" * 50]) for _ in range(rng.randint(0, 30))) for _ in range(200)]
