@@ -165,7 +165,8 @@ def profile(df: DataFrame, spec: DatasetSpec, approximate: bool = False) -> Data
     if approximate:
         columns = approx_column_counts(df, spec)
     else:
-        parts = [_column_counts(counts)] * bool(names) + [_bitmap_counts(df, dense)] * bool(dense)
+        parts = [_column_counts(counts)] if names else []
+        parts += [_bitmap_counts(df, dense)] if dense else []
         columns = reduce(DataFrame.unionByName, parts)
     result = declared.join(columns, "column", "left")
     if _declared(df, spec, "numeric"):
