@@ -13,18 +13,27 @@ Scale. One range partitioning puts texts in order; tokenising follows it, so no
 ``FILE_IDS`` ids, which bounds a task's memory by one file's array and one Arrow batch. Files appear by an atomic move.
 Global offsets are sums over files, per task first. Words repeat, so each worker remembers the ids of up to
 ``REMEMBERED`` words; what stands between ASCII white space is encoded on its own, which gives the same ids for
-tokenizers that drop white space and never join across it.
+tokenizers that drop white space and never join across it. New words are mostly old pieces with other marks around them:
+of a tokenizer with the ``STEPS`` below, words of plain characters are parted into the pieces that these steps make, and
+only pieces that are not among ``REMEMBERED_PIECES`` go through its model.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, count, repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +43,9 @@ MAGIC = b"TOKSEF01"
 END_ID = 2
 FILE_IDS = 8_000_000
 REMEMBERED = 1_200_000
-#: Texts that are encoded together.
-TEXTS = 256
+REMEMBERED_PIECES = 600_000
+#: Bytes of texts that are encoded together, besides the last text.
+TEXT_BYTES = 4_000_000
 #: Ones between two sampled positions of the upper bits.
 SAMPLE = 256
 
@@ -126,40 +136,124 @@ def unpack_file(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
 
 #: Words that the tokenizer gets as one text.
 LOT = 256
+#: Steps of a tokenizer whose words can be parted into pieces here, so that only unknown pieces are merged.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+#: Characters before this one are composed and have one character as lower case, except U+0130.
+PLAIN = 0x180
+
+
+def _of_category(first: str) -> str:
+    return "".join(re.escape(c) for c in map(chr, range(PLAIN)) if unicodedata.category(c)[0] == first)
+
+
+#: The pieces of plain words in lower case, and the line feeds between the words.
+PIECES = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^\\t-\\r \x85\xa0{0}{1}]+".format(
+    _of_category("L"), _of_category("N")))
+
+
+def gather(ids: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the given entries one after the other, and how many each has; entry k is ``ids[ends[k]:ends[k + 1]]``."""
+    first = ends[numbers]
+    counts = ends[numbers + 1] - first
+    stops = np.cumsum(counts)
+    return ids[np.repeat(first - stops + counts, counts) + np.arange(stops[-1] if len(stops) else 0)], counts
+
+
+class Remembered:
+    """Ids of up to ``most`` strings; ``look_up`` gives those of others, as one array and the count of each."""
+
+    def __init__(self, look_up: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int):
+        self.look_up, self.most = look_up, most
+        self.numbers, self.ids, self.ends = {}, np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def __call__(self, strings: list, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``gather`` of ``strings[k]`` for every k of ``at``; the strings are distinct."""
+        get, known = self.numbers.get, len(self.numbers)
+        numbers = np.fromiter(map(get, strings, repeat(-1)), np.int64, len(strings))
+        places = np.flatnonzero(numbers < 0)
+        ids, ends = self.ids, self.ends
+        if len(places):
+            unknown = [strings[k] for k in places]
+            more, counts = self.look_up(unknown)
+            ids, ends = np.concatenate((ids, more)), np.concatenate((ends, ends[-1] + np.cumsum(counts)))
+            numbers[places] = known + np.arange(len(places))
+            # What came first is most frequent; the rest is looked up again where it occurs.
+            kept = min(self.most, known + len(places))
+            self.numbers.update(zip(unknown, range(known, kept)))
+            self.ids, self.ends = ids[:ends[kept]].copy(), ends[:kept + 1].copy()
+        return gather(ids, ends, numbers[at])
 
 
 class Encoder:
-    """Ids of texts, remembering those of the words seen before as little-endian 32-bit numbers."""
+    """Ids of texts, remembering those of the words and of the pieces of words seen before."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _look_up(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words, encoded in lots of one text each, which white space parts; offsets tell whose an id is."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(Path(path).read_text("utf-8"))
+        self.model, byte_level = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(PLAIN) if chr(c) != "\n"}
+        self.in_pieces = all(spec.get(k) == v for k, v in STEPS.items()) and spec["model"]["type"] == "BPE" \
+            and not any(t["normalized"] for t in spec["added_tokens"])
+        # In UTF-8: characters from PLAIN on begin with a byte from C6 on, and C4 B0 is U+0130.
+        added = [re.escape(t["content"].encode()) for t in spec["added_tokens"]]
+        self.whole = re.compile(b"|".join([b"[\xc6-\xff]", b"\xc4\xb0", *added]))
+        self.words, self.pieces = Remembered(self._words, REMEMBERED), Remembered(self._pieces, REMEMBERED_PIECES)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes = [[t.id for t in self.model.tokenize(p)] for p in "\n".join(pieces).translate(self.bytes).split("\n")]
+        return np.fromiter(chain.from_iterable(codes), "<u4"), np.fromiter(map(len, codes), np.int64, len(codes))
+
+    def _in_pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts = PIECES.findall(b"\n".join([b"", *words]).decode().lower())  # a line feed before every word, numbered 0
+        order = defaultdict(count().__next__)
+        at = np.fromiter(map(order.__getitem__, parts), np.int64, len(parts))
+        inner = at > 0
+        ids, counts = self.pieces(list(order)[1:], at[inner] - 1)
+        filled = np.zeros(len(at), np.int64)
+        filled[inner] = counts
+        return ids, np.add.reduceat(filled, np.flatnonzero(~inner)) if len(words) else filled
+
+    def _in_lots(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words encoded in lots of one text each, which white space parts; offsets tell whose an id is."""
         lots = [words[k:k + LOT] for k in range(0, len(words), LOT)]
-        found = {}
-        for lot, code in zip(lots, self.tokenizer.encode_batch([b"\n".join(x).decode() for x in lots], add_special_tokens=False)):
+        found, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        codes = self.tokenizer.encode_batch([b"\n".join(x).decode() for x in lots], add_special_tokens=False)
+        for lot, code in zip(lots, codes):
             ends = np.cumsum([len(w.decode()) + 1 for w in lot])
-            stops = 4 * np.searchsorted([start for start, _ in code.offsets], ends)
-            ids, start = np.array(code.ids, "<u4").tobytes(), 0
-            for word, stop in zip(lot, stops.tolist()):
-                found[word] = ids[start:stop]
-                start = stop
-        return found
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [text.encode().split() if text else [] for text in texts]  # bytes split at ASCII white space alone
-        known = self.known
-        unknown = list(set().union(*split).difference(known))
-        if len(known) + len(unknown) <= REMEMBERED:
-            known.update(self._look_up(unknown))
-            get = known.__getitem__
-        else:  # what came first is most frequent; the rest is looked up again where it occurs
-            rest = self._look_up(unknown)
-            get = lambda w: known.get(w) if w in known else rest[w]
-        return [np.frombuffer(b"".join(map(get, parts)), "<u4") for parts in split]
+            found.append(np.array(code.ids, "<u4"))
+            counts.append(np.diff(np.searchsorted([start for start, _ in code.offsets], ends), prepend=0))
+        return np.concatenate(found), np.concatenate(counts)
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.in_pieces:
+            return self._in_lots(words)
+        whole = np.fromiter(map(bool, map(self.whole.search, words)), bool, len(words))
+        plain, plain_counts = self._in_pieces([w for w, x in zip(words, whole.tolist()) if not x])
+        if not whole.any():
+            return plain, plain_counts
+        rest, rest_counts = self._in_lots([words[k] for k in np.flatnonzero(whole)])
+        place = np.argsort(np.concatenate((np.flatnonzero(~whole), np.flatnonzero(whole))))
+        ends = np.concatenate(([0], np.cumsum(np.concatenate((plain_counts, rest_counts)))))
+        return gather(np.concatenate((plain, rest)), ends, place)
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(column)
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()  # to_pylist is ten times slower
+        ids, counts = self.words(distinct, words.indices.to_numpy().astype(np.int64))
+        before = np.concatenate(([0], np.cumsum(counts)))
+        per_text = pc.fill_null(pc.list_value_length(split), 0).to_numpy()
+        return np.split(ids, before[np.cumsum(per_text)[:-1]]) if len(column) else []
 
 
 @lru_cache(maxsize=2)
@@ -168,6 +262,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in order, parted after every ``TEXT_BYTES`` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    lots = (np.cumsum(sizes) - sizes) // TEXT_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(lots)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]))
+
+
 FILES = "task long, number long, path string, n_docs long, n_ids long"
 
 
@@ -187,9 +289,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
             return pa.record_batch([pa.array(x) for x in row], ["task", "number", "path", "n_docs", "n_ids"])
 
         end = np.array([end_id], np.uint32)
-        for doc_id, ids in (x for batch in batches for k in range(0, batch.num_rows, TEXTS) for x in zip(
-                batch.column(0).slice(k, TEXTS), encode(batch.column(1).slice(k, TEXTS).to_pylist()))):
-            doc_ids.append(doc_id.as_py())
+        for doc_id, ids in (x for batch in batches for part in slices(batch) for x in zip(
+                part.column(0).to_pylist(), encode(part.column(1)))):
+            doc_ids.append(doc_id)
             lengths.append(len(ids) + 1)
             arrays += [ids, end]
             held += len(ids) + 1

@@ -44,6 +44,46 @@ def test_remembered_words_give_the_library_ids():
         assert encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_plain_characters_side_by_side_give_the_library_ids():
+    tokenizer, encode = Tokenizer.from_file(PATH), token_ids.Encoder(PATH)
+    plain = [chr(c) for c in range(token_ids.PLAIN + 8)]
+    texts = [f"{a}{b}" for a in plain for b in plain] + [f"{a}'{b}{c}" for a in "a.1'" for b in plain for c in "Sé' "]
+    codes = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [x.tolist() for x in encode(texts)] == [code.ids for code in codes]
+
+
+def test_new_words_of_known_pieces_are_not_merged_again():
+    encode, merged = token_ids.Encoder(PATH), []
+    look_up = encode.pieces.look_up
+    encode.pieces.look_up = lambda pieces: merged.extend(pieces) or look_up(pieces)
+    encode(["Wherever, only (there) 12", "only, wherever! There 21"])
+    encode(["THERE! (only) there, Wherever 1212", None, "", " only(wherever) "])
+    assert sorted(merged) == sorted({"wherever", ",", "only", "(", "there", ")", "1", "2", "!"})
+
+
+@pytest.mark.parametrize("words, pieces", [(3, 2), (0, 0), (50, 0)])
+def test_full_memories_change_no_ids(monkeypatch, words, pieces):
+    monkeypatch.setattr(token_ids, "REMEMBERED", words)
+    monkeypatch.setattr(token_ids, "REMEMBERED_PIECES", pieces)
+    tokenizer, encode, rng = Tokenizer.from_file(PATH), token_ids.Encoder(PATH), random.Random(3)
+    pool = ["a", "Bé,", "x\u0301y", "don't", "..", "漢字", "42"]
+    for _ in range(30):
+        texts = [" ".join(rng.choices(pool, k=rng.randint(0, 9))) for _ in range(4)]
+        assert [x.tolist() for x in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encode.words.numbers) <= words and len(encode.pieces.numbers) <= pieces
+
+
+def test_slices_hold_every_row_in_order(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_ids, "TEXT_BYTES", 10)
+    texts = ["", None, "a" * 25, "b" * 4, None, "c" * 4, "d" * 3]
+    batch = pa.record_batch([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(token_ids.slices(batch))
+    assert len(parts) > 2 and [i for p in parts for i in p.column(0).to_pylist()] == list(range(7))
+    assert sum(p.num_rows for p in token_ids.slices(batch.slice(0, 0))) == 0
+
+
 @pytest.mark.parametrize("file_ids", [token_ids.FILE_IDS, 50])
 def test_files_match_direct_encoding(spark, docs, file_ids):
     from tabwise.llm.common import new_folder
