@@ -12,10 +12,11 @@ gives no file and no rows. Other columns are ignored.
 Scale. One range partitioning puts texts in order; tokenising follows it, so no id is shuffled. A file is closed at
 ``FILE_IDS`` ids, which bounds a task's memory by one file's array and one Arrow batch. Files appear by an atomic move.
 Global offsets are sums over files, per task first. Words repeat, so each worker remembers the ids of up to
-``REMEMBERED`` words; what stands between ASCII white space is encoded on its own, which gives the same ids for
+``REMEMBERED`` words of up to ``LONGEST`` bytes, the first that come; what stands between ASCII white space is encoded on its own, which gives the same ids for
 tokenizers that drop white space and never join across it. New words are mostly old pieces with other marks around them:
 of a tokenizer with the ``STEPS`` below, words of plain characters are parted into the pieces that these steps make, and
-only pieces that are not among ``REMEMBERED_PIECES`` go through its model.
+only pieces that are not among ``REMEMBERED_PIECES`` go through its model. Workers outlive their tasks and stand idle beside
+the stages that follow, so these memories are small, and what a task has freed goes back to the system.
 """
 
 from __future__ import annotations
@@ -37,13 +38,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import atomic_output, cut, new_folder, open_filesystem, partitions
+from tabwise.llm.common import atomic_output, cut, give_back, new_folder, open_filesystem, partitions
 
 MAGIC = b"TOKSEF01"
 END_ID = 2
 FILE_IDS = 8_000_000
-REMEMBERED = 1_200_000
-REMEMBERED_PIECES = 600_000
+REMEMBERED = 200_000
+REMEMBERED_PIECES = 150_000
+LONGEST = 64
 #: Bytes of texts that are encoded together, besides the last text.
 TEXT_BYTES = 4_000_000
 #: Ones between two sampled positions of the upper bits.
@@ -167,7 +169,7 @@ def gather(ids: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.n
 
 
 class Remembered:
-    """Ids of up to ``most`` strings; ``look_up`` gives those of others, as one array and the count of each."""
+    """Ids of up to ``most`` strings no longer than ``LONGEST``; ``look_up`` gives those of others, as one array and the count of each."""
 
     def __init__(self, look_up: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int):
         self.look_up, self.most = look_up, most
@@ -185,9 +187,13 @@ class Remembered:
             ids, ends = np.concatenate((ids, more)), np.concatenate((ends, ends[-1] + np.cumsum(counts)))
             numbers[places] = known + np.arange(len(places))
             # What came first is most frequent; the rest is looked up again where it occurs.
-            kept = min(self.most, known + len(places))
-            self.numbers.update(zip(unknown, range(known, kept)))
-            self.ids, self.ends = ids[:ends[kept]].copy(), ends[:kept + 1].copy()
+            sizes = np.fromiter(map(len, unknown), np.int64, len(unknown))
+            kept = np.flatnonzero(sizes <= LONGEST)[:self.most - known]
+            if len(kept):
+                self.numbers.update(zip(map(unknown.__getitem__, kept.tolist()), count(known)))
+                own, own_counts = gather(more, np.concatenate(([0], np.cumsum(counts))), kept)
+                self.ids = np.concatenate((self.ids, own))
+                self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(own_counts)))
         return gather(ids, ends, numbers[at])
 
 
@@ -275,7 +281,7 @@ FILES = "task long, number long, path string, n_docs long, n_ids long"
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the token files of all documents; returns their list, already written."""
-    def dump(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, task, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -301,6 +307,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
         if doc_ids:
             yield close()
 
+    def dump(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from written(batches)
+        give_back()
+
     order = [F.col("doc_id").asc_nulls_first(), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))]
     # The last order column parts rows that are equal in all others.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tie"))
@@ -335,6 +345,8 @@ def read(folder: str, files: DataFrame) -> DataFrame:
                      pa.array([b - a for a, b in zip(starts, stops)], pa.int64()),
                      pa.array([zlib.crc32(wide[a:b]) for a, b in zip(starts, stops)], pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"])
+                del raw, doc_ids, ends, ids, wide, stops, starts
+        give_back()
 
     # A number that is asked for is kept, while small partitions without one would be merged into a single task.
     named = with_offsets(files).select("path", "first").repartition(max(1, files.count()), F.col("path"))

@@ -1,5 +1,8 @@
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -73,6 +76,40 @@ def test_full_memories_change_no_ids(monkeypatch, words, pieces):
         assert len(encode.words.numbers) <= words and len(encode.pieces.numbers) <= pieces
 
 
+def test_long_words_are_not_remembered():
+    tokenizer, encode = Tokenizer.from_file(PATH), token_ids.Encoder(PATH)
+    texts = [f"short{'abc' * 5000}{k} word, {'+/' * 40} short" for k in range(20)]
+    for _ in range(2):
+        assert [x.tolist() for x in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for memory in (encode.words, encode.pieces):
+        assert 0 < sum(map(len, memory.numbers)) < 200
+        assert len(memory.ends) == len(memory.numbers) + 1 and memory.ends[-1] == len(memory.ids)
+
+
+IDLE = """
+import re, sys
+from tabwise.llm import token_ids
+from tabwise.llm.common import give_back
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+encode = token_ids.Encoder(sys.argv[1])
+before, letters = held(), "abcdefghijklmnopqrst"
+for k in range(20):
+    encode([" ".join("".join(letters[(n // 20**p) % 20] for p in range(5)) for n in range(k * 25_000, (k + 1) * 25_000))])
+give_back()
+print(held() - before)
+"""
+
+
+def test_an_idle_worker_holds_little():
+    """Half a million different words of as many pieces; a worker stays beside the JVM of the stages that follow."""
+    root = Path(token_ids.__file__).parents[2]
+    said = subprocess.run([sys.executable, "-c", IDLE, PATH], cwd=root, capture_output=True, text=True, timeout=300)
+    assert float(said.stdout) < 100, said.stderr
+
+
 def test_slices_hold_every_row_in_order(monkeypatch):
     import pyarrow as pa
 
