@@ -84,3 +84,30 @@ def test_repeated_rows_and_null_ids(spark, shared, no_docs):
     got = sorted(tuple(r)[1:4] for r in suffix_dedup.report(df).collect())
     assert got == [(4, 0, 0), (600, 600, 1), (600, 600, 1), (600, 600, 1), (601, 600, 1)]
     assert suffix_dedup.report(no_docs).collect() == []
+
+
+def alike():
+    """Two different texts of one string each whose sums of bytes times powers agree modulo 2^64 for every odd base."""
+    change = np.ones(1, int)
+    for gap in (2, 3, 4, 8, 8, 16, 16, 24, 32, 32, 48, 64):  # base^gap - 1 is divisible by a power of two
+        change = np.convolve(change, [-1, *[0] * (gap - 1), 1])
+    rng = random.Random(1)
+    while True:
+        low = [rng.randrange(97, 115) for _ in change]
+        rest = "".join(rng.choice("abcdefghij klmnop") for _ in range(N - len(change)))
+        pair = ["".join(chr(c + max(k, 0)) for c, k in zip(low, (side * change).tolist())) + rest for side in (1, -1)]
+        anchors = {suffix_dedup.runs_of(np.frombuffer(t.encode(), np.uint8), np.array([0, N]))[4][0] for t in pair}
+        if len(anchors) == 1:
+            return pair
+
+
+@pytest.mark.parametrize("block", [suffix_dedup.BLOCK_CONTEXTS, 1])
+def test_texts_with_equal_sums_stay(spark, shared, monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_CONTEXTS", block)
+    one, other = alike()
+    assert one != other and len(one) == len(other) == N
+    given = [one, other, "x" + one[1:]]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.report(df).collect()}
+    assert got == dict(enumerate(brute(given)))
+    assert {r[1] for r in got.values()} == {0}
