@@ -9,9 +9,9 @@ from datetime import datetime, timezone
 from math import sqrt
 from typing import Any
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import GBTRegressionModel, LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import unwrap_udt
@@ -19,6 +19,7 @@ from pyspark.sql.functions import unwrap_udt
 from tabwise.functions import layout as lay
 from tabwise.functions import scalars
 from tabwise.operators import encoding, features, metrics, splits, targets
+from tabwise.operators.boosting import GBTClassifier, GBTRegressor
 from tabwise.plans.specs import DatasetConfig
 from tabwise.session import checkpoint_dir
 
