@@ -19,15 +19,23 @@ HIT = "positive_row"
 NEVER = np.iinfo(np.int64).max
 
 
+def entities(column: pd.Series) -> tuple[np.ndarray, list]:
+    """(number of every row's entity, entities by number); null is one."""
+    codes, found = pd.factorize(column, use_na_sentinel=False)
+    return codes, [None if pd.isna(v) else v for v in found.tolist()]
+
+
 @dataclass(frozen=True)
 class LabelWork:
-    """Pending rows in time order, in blocks that know their first event, and the next event of later buckets.
+    """Pending rows of many entities in time order, in blocks that know each entity's first event, and the next event of
+    later buckets.
 
-    A row is labelled when it leaves: by the first event after it among the rows that are still pending, all of which are
-    later, or by the one event that the following buckets have told of.
+    A row is labelled when it leaves: by its entity's first event after it among the rows that are still pending, all of
+    which are later, or by the one event that the following buckets have told of.
     """
 
     name: str
+    entity: str
     horizon: int
     block: int = BLOCK
 
@@ -35,15 +43,24 @@ class LabelWork:
         own = batch[state.OWN].astype(bool)
         if not own.all():
             memory = processor.remembered() or self.fresh()
-            memory["later"] = min(memory["later"], int(batch.loc[~own, US].min()))
+            later = memory["later"]
+            for who, us in self._firsts(batch[~own]).items():
+                later[who] = min(us, later.get(who, NEVER))
             processor.remember(memory)
-            processor.wake(memory["later"] + 1000)  # forgotten then, if nobody asked
+            processor.wake(max(later.values()) + 1000)  # forgotten then, if nobody asked
         return batch[own]
 
     @staticmethod
     def fresh() -> dict:
-        # Blocks as (number, last time, first event), oldest first; the newest block is held open.
-        return {"blocks": [], "open": None, "later": NEVER, "next": 0}
+        # Blocks as (number, first event of each entity), oldest first; the newest block is held open.
+        return {"blocks": [], "open": None, "later": {}, "next": 0}
+
+    def _firsts(self, part: pd.DataFrame) -> dict:
+        hits = part[part[HIT].astype(bool)]
+        codes, names = entities(hits[self.entity])
+        first = np.full(len(names), NEVER)
+        np.minimum.at(first, codes, hits[US].to_numpy(dtype="int64"))
+        return dict(zip(names, first.tolist()))
 
     def step(self, memory, rows: pd.DataFrame, closed: int, blocks):
         memory = memory or self.fresh()
@@ -51,9 +68,8 @@ class LabelWork:
             held = rows if memory["open"] is None else pd.concat([memory["open"], rows], ignore_index=True)
             for start in range(0, len(held) // self.block * self.block, self.block):
                 part = held.iloc[start:start + self.block]
-                hits = part.loc[part[HIT].astype(bool), US]
                 memory["next"] += 1
-                memory["blocks"].append((memory["next"], int(part[US].iloc[-1]), int(hits.min()) if len(hits) else NEVER))
+                memory["blocks"].append((memory["next"], self._firsts(part)))
                 blocks.write(memory["next"], part)
             rest = held.iloc[len(held) // self.block * self.block:].reset_index(drop=True)
             memory["open"] = rest if len(rest) else None
@@ -71,39 +87,49 @@ class LabelWork:
                 break
         if left is not None:
             self._put_back(memory, left, blocks)
-        following = self._next_event(memory, left)
         emitted = pd.concat(parts, ignore_index=True) if parts else rows.iloc[:0].assign(**{self.name: 0})
         if parts:
-            times, hit = emitted[US].to_numpy(dtype="int64"), emitted[HIT].astype(bool).to_numpy()
-            events = np.append(times[hit], following)
-            after = events[np.minimum(np.searchsorted(times[hit], times, "right"), len(events) - 1)]
-            emitted[self.name] = (after - times <= self.horizon).astype("int8")
-        if left is None:
-            return emitted, None if memory["later"] == NEVER or closed > memory["later"] else memory, (
-                None if memory["later"] == NEVER or closed > memory["later"] else memory["later"] + 1000)
-        return emitted, memory, int(left[US].iloc[0]) + self.horizon
+            emitted[self.name] = self._labels(emitted, self._next_events(memory))
+        if left is not None:
+            return emitted, memory, int(left[US].iloc[0]) + self.horizon
+        memory["later"] = {who: us for who, us in memory["later"].items() if us >= closed}
+        if not memory["later"]:
+            return emitted, None, None
+        return emitted, memory, max(memory["later"].values()) + 1000
 
-    @staticmethod
-    def _put_back(memory: dict, left: pd.DataFrame, blocks) -> None:
+    def _put_back(self, memory: dict, left: pd.DataFrame, blocks) -> None:
         if not memory["blocks"] and memory["open"] is None:
             memory["open"] = left
             return
-        hits = left.loc[left[HIT].astype(bool), US]
         memory["next"] += 1
-        memory["blocks"].insert(0, (memory["next"], int(left[US].iloc[-1]), int(hits.min()) if len(hits) else NEVER))
+        memory["blocks"].insert(0, (memory["next"], self._firsts(left)))
         blocks.write(memory["next"], left)
 
-    @staticmethod
-    def _next_event(memory: dict, left: pd.DataFrame | None) -> int:
-        """First event after the rows that leave; a later bucket's is certainly after all of this one's."""
-        for _, _, first in memory["blocks"]:
-            if first != NEVER:
-                return first
+    def _next_events(self, memory: dict) -> dict:
+        """First event of each entity after the rows that leave; a later bucket's is certainly after all of this one's."""
+        found = dict(memory["later"])
         if memory["open"] is not None:
-            hits = memory["open"].loc[memory["open"][HIT].astype(bool), US]
-            if len(hits):
-                return int(hits.min())
-        return memory["later"]
+            found |= self._firsts(memory["open"])
+        for _, firsts in reversed(memory["blocks"]):
+            found |= firsts
+        return found
+
+    def _labels(self, leaving: pd.DataFrame, following: dict) -> np.ndarray:
+        times, hit = leaving[US].to_numpy(dtype="int64"), leaving[HIT].astype(bool).to_numpy()
+        codes, names = entities(leaving[self.entity])
+        told = [(code, following[who]) for code, who in enumerate(names) if who in following]
+        who = np.concatenate((codes[hit], np.array([c for c, _ in told], np.int64)))
+        when = np.concatenate((times[hit], np.array([t for _, t in told], np.int64)))
+        distinct, place = np.unique(np.concatenate((times, when)), return_inverse=True)
+        rank = lambda code, at: code.astype(np.int64) * len(distinct) + at  # by entity, then by time
+        keys = rank(who, place[len(times):])
+        order = np.argsort(keys, kind="stable")
+        after = np.searchsorted(keys[order], rank(codes, place[:len(times)]), "right")
+        known = after < len(keys)
+        next_one = order[after[known]]
+        out = np.zeros(len(times), "int8")
+        out[known] = (who[next_one] == codes[known]) & (when[next_one] - times[known] <= self.horizon)
+        return out
 
 
 def delayed_labels(
@@ -112,7 +138,7 @@ def delayed_labels(
 ) -> DataFrame:
     """Emit a row with its label when the watermark has passed its time plus the horizon.
 
-    State of a bucket: its pending rows, and one event of the buckets after it. Only positive rows are copied to the bucket
+    State of a group of entities in a bucket: its pending rows, and per entity one event of the buckets after it. Only positive rows are copied to the bucket
     before theirs, which keeps the earliest, so pairs of rows and events never form.
     """
     if target.horizon_micros is None:
@@ -124,6 +150,6 @@ def delayed_labels(
         stream.withColumn(HIT, hit), dataset.entity_key, dataset.time_key,
         max(durations.micros(bucket), horizon), 0, horizon, delay, halo_filter=F.col(HIT),
     )
-    out = state.run(placed, dataset.entity_key, dataset.time_key, columns, LabelWork(target.name, horizon, block),
-                    [T.StructField(target.name, T.ByteType())])
+    out = state.run(placed, dataset.entity_key, dataset.time_key, columns, LabelWork(target.name, dataset.entity_key, horizon, block),
+                    [T.StructField(target.name, T.ByteType())], grouped=True)
     return out.drop(HIT)

@@ -3,7 +3,8 @@
 Streams are keyed by (entity, time bucket) with the same halo as the batch windows: a row also goes to the
 bucket whose rows may look back (or ahead) to it. A heavy entity is thus spread over its buckets, and the state
 of a bucket is dropped when the watermark has passed everything it can still emit. Operators that need all of an
-entity's past take one bucket per entity.
+entity's past take one bucket per entity. Operators that can take many entities at once are keyed by (group of entities,
+bucket) instead, as a key costs milliseconds however few rows it has.
 
 Rows wait until the watermark has passed them; from then on they are final and are taken in time order. What is kept of
 them lies in blocks of a bounded number of entries, so that a row is written and read a bounded number of times.
@@ -27,9 +28,11 @@ from tabwise.functions import scalars
 
 # Rows of one bucket: event time in microseconds, and whether the bucket emits the row.
 # Their names start with a letter: the Python side of the stateful operator renames others.
-US, OWN, BUCKET = "time_us", "own_row", "bucket_id"
+US, OWN, BUCKET, GROUP = "time_us", "own_row", "bucket_id", "entity_group"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BLOCK = 512
+# Groups that entities are dealt to, by hash.
+GROUPS = 256
 
 
 class Blocks:
@@ -55,12 +58,12 @@ class OrderedProcessor(StatefulProcessor):
     are final; it returns (rows to emit, new memory or None, time at which it must run again or None).
     """
 
-    def __init__(self, columns: Sequence[str], keep_schema: T.StructType, work, out: Sequence[str]):
-        self.columns, self.keep_schema, self.work, self.out = list(columns), keep_schema, work, list(out)
+    def __init__(self, columns: Sequence[str], work, out: Sequence[str]):
+        self.columns, self.work, self.out = list(columns), work, list(out)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.keep_schema)
+        self.rows = handle.getListState("rows", T.StructType([T.StructField("body", T.BinaryType())]))
         self.memory = handle.getValueState("memory", T.StructType([T.StructField("body", T.BinaryType())]))
         self.blocks = Blocks(handle)
 
@@ -69,8 +72,7 @@ class OrderedProcessor(StatefulProcessor):
             # What a row of another bucket leaves behind may be less than the row itself.
             kept = self.work.arriving(self, batch)
             if len(kept):
-                values = kept[self.columns].astype(object)
-                self.rows.appendList([tuple(r) for r in values.where(values.notna(), None).itertuples(index=False)])
+                self.rows.appendValue((pickle.dumps(kept[self.columns], 5),))
                 self.wake(int(kept[US].min()))
         return iter(())
 
@@ -88,15 +90,15 @@ class OrderedProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         closed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = pd.DataFrame([tuple(r) for r in self.rows.get()] if self.rows.exists() else [], columns=self.columns)
+        bodies = [pickle.loads(bytes(r[0])) for r in self.rows.get()] if self.rows.exists() else []
+        held = pd.concat(bodies, ignore_index=True) if bodies else pd.DataFrame(columns=self.columns)
         final = held[US] <= closed
         done = held[final].sort_values(US, kind="stable").reset_index(drop=True)
         if len(done):
-            rest = held[~final].astype(object)
-            if len(rest):
-                self.rows.put([tuple(r) for r in rest.where(rest.notna(), None).itertuples(index=False)])
-            else:
+            if final.all():
                 self.rows.clear()
+            else:
+                self.rows.put([(pickle.dumps(held[~final], 5),)])
         if (~final).any():
             self.wake(int(held.loc[~final, US].min()))
         emitted, memory, again = self.work.step(self.remembered(), done, closed, self.blocks)
@@ -124,13 +126,20 @@ def keyed(
     return placed if halo_filter is None else placed.where(F.col(OWN) | halo_filter)
 
 
-def run(placed: DataFrame, entity: str, time: str, value_columns: Sequence[str], work, outputs: Sequence[T.StructField]) -> DataFrame:
+def run(
+    placed: DataFrame, entity: str, time: str, value_columns: Sequence[str], work, outputs: Sequence[T.StructField],
+    grouped: bool = False,
+) -> DataFrame:
+    """``grouped`` hands ``work`` many entities at once; rows without an entity are a group of their own."""
     columns = [*value_columns, US, OWN]
-    schema = T.StructType([placed.schema[c] for c in columns])
     emitted = T.StructType([*[placed.schema[c] for c in value_columns], *outputs])
-    processor = partial(OrderedProcessor, columns, schema, work, [f.name for f in emitted.fields])()
-    needed = placed.select(BUCKET, *dict.fromkeys([entity, time, *columns]))
-    return needed.groupBy(entity, BUCKET).transformWithStateInPandas(
+    processor = partial(OrderedProcessor, columns, work, [f.name for f in emitted.fields])()
+    key = entity
+    if grouped:
+        group = F.when(F.col(entity).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(entity), F.lit(GROUPS)))
+        placed, key = placed.withColumn(GROUP, group.cast("int")), GROUP
+    needed = placed.select(BUCKET, *dict.fromkeys([key, entity, time, *columns]))
+    return needed.groupBy(key, BUCKET).transformWithStateInPandas(
         processor, emitted, "Append", "EventTime"
     )
 

@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +163,35 @@ def test_work_per_arrival_does_not_depend_on_the_window():
         assert blocks.written <= 2 * 6000 and blocks.read <= 2 * 6000 + 64
         window.clear(blocks)
         assert not blocks.held
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_labels_of_many_entities_come_from_one_key(block):
+    """A key holds a group of entities; each is labelled by its own events, those told by later buckets included."""
+    class Held(dict):
+        def write(self, number, body):
+            self[number] = body
+
+        def take(self, number):
+            return self.pop(number)
+
+    rng, horizon, end = np.random.default_rng(3), 40, 1000
+    n = 500
+    rows = pd.DataFrame({"who": [None if k == 7 else f"e{k}" for k in rng.integers(0, 40, n)], "n": range(n),
+                         state.US: np.sort(rng.integers(0, end, n)), state.OWN: True})
+    rows[labels.HIT] = rng.random(n) < 0.2
+    later = {f"e{k}": end + 10 * k for k in range(5)}
+    work, blocks, got = labels.LabelWork("y", "who", horizon, block), Held(), {}
+    memory = work.fresh() | {"later": dict(later)}
+    for closed in range(50, end + 400, 50):
+        final = rows[(rows[state.US] <= closed) & (rows[state.US] > closed - 50)].reset_index(drop=True)
+        emitted, memory, again = work.step(memory, final, closed, blocks)
+        assert (emitted[state.US] <= closed - horizon).all() if len(emitted) else True
+        got |= dict(zip(emitted["n"], emitted["y"]))
+    assert memory is None and again is None and not blocks
+
+    def known(row):
+        mine = rows[(rows["who"].fillna("") == (row["who"] or "")) & rows[labels.HIT]][state.US].tolist()
+        return int(any(0 < t - row[state.US] <= horizon for t in [*mine, later.get(row["who"], 10 * end)]))
+
+    assert got == {row["n"]: known(row) for row in rows.to_dict("records")}
