@@ -15,6 +15,7 @@ from tabwise.operators.models import TrainedModel
 from tabwise.plans import durations
 from tabwise.plans.specs import DatasetSpec, FeatureSpec
 from tabwise.streaming import state
+from tabwise.streaming.labels import NEVER, entities
 from tabwise.streaming.queues import Window
 from tabwise.streaming.state import US
 
@@ -95,13 +96,109 @@ class RollingWork:
             recent[column] = (at[keep:], v[keep:])
 
 
+class _Spaced:
+    """Overflow blocks of one of a key's entities."""
+
+    def __init__(self, blocks, number: int):
+        self.blocks, self.base = blocks, number << 44
+
+    def write(self, number: int, body) -> None:
+        self.blocks.write(self.base + number, body)
+
+    def take(self, number: int):
+        return self.blocks.take(self.base + number)
+
+
+@dataclass(frozen=True)
+class GroupWork:
+    """Windows of many entities at once.
+
+    Entities with few rows in reach share arrays and one pass over them. One with more than ``block`` rows goes on with two
+    stacks of its own, so that what is read again stays bounded.
+    """
+
+    single: RollingWork
+    entity: str
+
+    def arriving(self, processor, batch: pd.DataFrame) -> pd.DataFrame:
+        return batch
+
+    def step(self, memory, rows: pd.DataFrame, closed: int, blocks):
+        memory = memory or {"light": None, "heavy": {}, "newest": None}
+        if len(rows):
+            memory["newest"] = max(int(rows[US].iloc[-1]), -NEVER if memory["newest"] is None else memory["newest"])
+            rows = self._computed(memory, rows, closed, blocks)
+        emitted = rows[rows[state.OWN].astype(bool)] if len(rows) else rows
+        if memory["newest"] is None:
+            return emitted, None, None
+        if closed < memory["newest"] + self.single.span:
+            return emitted, memory, memory["newest"] + self.single.span
+        for number, held in memory["heavy"].values():
+            for window in held["windows"]:
+                window.clear(_Spaced(blocks, number))
+        return emitted, None, None
+
+    def _computed(self, memory, rows: pd.DataFrame, closed: int, blocks) -> pd.DataFrame:
+        heavy, before = memory["heavy"], 0 if memory["light"] is None else len(memory["light"])
+        every = rows if not before else pd.concat([memory["light"], rows], ignore_index=True)
+        new = np.arange(len(every)) >= before
+        codes, names = entities(every[self.entity])
+        own = (np.bincount(codes, minlength=len(names)) > self.single.block) | np.array([who in heavy for who in names])
+        parts = []
+        for code in np.flatnonzero(own):
+            mine = codes == code
+            number, held = heavy.get(names[code], (len(heavy) + 1, None))
+            for part in (every[mine & ~new], every[mine & new]):
+                if len(part):
+                    part = part.sort_values(US, kind="stable").reset_index(drop=True)
+                    emitted, held, _ = self.single.step(held, part, -NEVER, _Spaced(blocks, number))
+            heavy[names[code]] = number, held
+            if (mine & new).any():
+                parts.append(emitted)
+        light = np.flatnonzero(~own[codes])
+        if len(light):
+            order = light[np.lexsort((every[US].to_numpy(dtype="int64")[light], codes[light]))]
+            parts.append(self._light(every.iloc[order].reset_index(drop=True), codes[order])[new[order]])
+        reach = every[~own[codes] & (every[US].to_numpy(dtype="int64") > closed - self.single.span)]
+        memory["light"] = reach[list(dict.fromkeys([self.entity, US, *[c for c, _, _ in self.single.wanted]]))] if len(reach) else None
+        return pd.concat(parts, ignore_index=True)
+
+    def _light(self, rows: pd.DataFrame, codes: np.ndarray) -> pd.DataFrame:
+        """Rows lie together by entity, in time order; entities are set apart on one axis by more than any window."""
+        times = rows[US].to_numpy(dtype="int64")
+        times = times - times.min()
+        apart = int(times.max()) + self.single.span + 1
+        most = max(1, (1 << 62) // apart)
+        if codes[-1] - codes[0] >= most:  # too many for one axis
+            cut = int(np.searchsorted(codes, codes[0] + most))
+            head, tail = (rows.iloc[p].reset_index(drop=True) for p in (slice(None, cut), slice(cut, None)))
+            return pd.concat([self._light(head, codes[:cut]), self._light(tail, codes[cut:])], ignore_index=True)
+        times = times + (codes - codes[0]).astype(np.int64) * apart
+        first, group = state.points(times)
+        at = times[first]
+        values = {c: rows[c].to_numpy(dtype=float, na_value=np.nan) for c, _, _ in self.single.wanted}
+        found = {}
+        for c, op, w in self.single.wanted:
+            if op == "median":
+                continue
+            if (c, w) not in found:
+                whole = moments.of_points(values[c], np.zeros(len(times)), group)
+                start = np.searchsorted(at, at - durations.micros(w), "right")
+                kept = {k: whole[k] for k in ("n", "ym", "y2", "low", "high")}
+                found[c, w] = moments.windows(kept, start, np.arange(1, len(at) + 1))
+            taken = moments.value(found[c, w], op)[group]
+            rows[f"{c}_{op}_{w}"] = values[c] - taken if op == "delta" else taken
+        self.single._medians({}, [t for t in self.single.wanted if t[1] == "median"], times, values, first, group, rows)
+        return rows
+
+
 def rolling_features(
     stream: DataFrame, dataset: DatasetSpec, spec: FeatureSpec, keep: list[str] | None = None,
     delay: str = "1 hour", bucket: str = "1d", block: int = state.BLOCK,
 ) -> DataFrame:
     """Features of every row once the watermark has passed it, equal to the batch features of closed rows.
 
-    State of a bucket: the points of its longest window. ``slope`` and ``elapsed_time`` count from an entity's first row;
+    State of a group of entities in a bucket: the points of its longest window. ``slope`` and ``elapsed_time`` count from an entity's first row;
     with them a bucket is an entity, which then remembers that time and is not spread.
     """
     wanted = [(c, t.op, w) for c, t in spec.items() if needs_history(t.op) for w in t.windows]
@@ -116,7 +213,8 @@ def rolling_features(
     outputs = [T.StructField(f"{c}_{op}_{w}", T.DoubleType()) for c, op, w in wanted]
     outputs += [T.StructField(ELAPSED, T.DoubleType())] * elapsed
     placed = state.keyed(stream, dataset.entity_key, dataset.time_key, width, max(work.span - 1, 0), 0, delay)
-    return state.run(placed, dataset.entity_key, dataset.time_key, columns, work, outputs)
+    work = work if whole else GroupWork(work, dataset.entity_key)
+    return state.run(placed, dataset.entity_key, dataset.time_key, columns, work, outputs, grouped=not whole)
 
 
 def score_stream(

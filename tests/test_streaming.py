@@ -165,16 +165,19 @@ def test_work_per_arrival_does_not_depend_on_the_window():
         assert not blocks.held
 
 
+class Held(dict):
+    """Overflow blocks in memory."""
+
+    def write(self, number, body):
+        self[number] = body
+
+    def take(self, number):
+        return self.pop(number)
+
+
 @pytest.mark.parametrize("block", [3, 512])
 def test_labels_of_many_entities_come_from_one_key(block):
     """A key holds a group of entities; each is labelled by its own events, those told by later buckets included."""
-    class Held(dict):
-        def write(self, number, body):
-            self[number] = body
-
-        def take(self, number):
-            return self.pop(number)
-
     rng, horizon, end = np.random.default_rng(3), 40, 1000
     n = 500
     rows = pd.DataFrame({"who": [None if k == 7 else f"e{k}" for k in rng.integers(0, 40, n)], "n": range(n),
@@ -195,3 +198,28 @@ def test_labels_of_many_entities_come_from_one_key(block):
         return int(any(0 < t - row[state.US] <= horizon for t in [*mine, later.get(row["who"], 10 * end)]))
 
     assert got == {row["n"]: known(row) for row in rows.to_dict("records")}
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_windows_of_many_entities_come_from_one_key(block):
+    """Light and heavy entities of a key, over several steps, against each row's own window."""
+    rng, span, n = np.random.default_rng(4), 4_000_000, 400
+    rows = pd.DataFrame({"who": [None if k == 7 else f"e{k}" for k in rng.integers(0, 20, n)], "n": range(n),
+                         "x": np.where(rng.random(n) < 0.2, np.nan, rng.normal(size=n)),
+                         state.US: np.sort(rng.integers(0, 20, n)) * 1_000_000, state.OWN: rng.random(n) < 0.9})
+    wanted = tuple(("x", op, "4s") for op in ("mean", "std", "min", "max", "delta", "median"))
+    work, blocks, got = rolling.GroupWork(rolling.RollingWork(wanted, False, False, block), "who"), Held(), []
+    memory = None
+    for closed in range(2_000_000, 30_000_001, 2_000_000):
+        final = rows[(rows[state.US] <= closed) & (rows[state.US] > closed - 2_000_000 * (1 if closed > 2_000_000 else 9))]
+        emitted, memory, again = work.step(memory, final.reset_index(drop=True), closed, blocks)
+        got.append(emitted)
+    assert memory is None and again is None and not blocks
+    got = pd.concat([g for g in got if len(g)]).set_index("n")
+    assert sorted(got.index) == sorted(rows.loc[rows[state.OWN], "n"])
+    for row in rows[rows[state.OWN]].to_dict("records"):
+        mine = rows[rows["who"].fillna("") == (row["who"] or "")]
+        x = mine.loc[(mine[state.US] <= row[state.US]) & (mine[state.US] > row[state.US] - span), "x"]
+        want = {"mean": x.mean(), "std": x.std(), "min": x.min(), "max": x.max(), "delta": row["x"] - x.min(), "median": x.median()}
+        for op, value in want.items():
+            assert got.loc[row["n"], f"x_{op}_4s"] == pytest.approx(value, abs=1e-9, nan_ok=True), (row, op)
