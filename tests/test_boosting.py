@@ -75,3 +75,9 @@ def test_constant_features_and_what_is_left_to_spark(spark):
     assert boosting.fit_trees(boosting.GBTRegressor(**PARAMS, weightCol="y"), rows, None, False) is None
     with pytest.raises(Exception, match="(?i)label"):
         boosting.GBTClassifier(**PARAMS).fit(rows)
+
+
+def test_every_boosted_model_is_trained_this_way():
+    from tabwise.operators import models
+
+    assert models.GBTClassifier is boosting.GBTClassifier and models.GBTRegressor is boosting.GBTRegressor
